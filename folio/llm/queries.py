@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from folio.llm.common import read_table
 from folio.llm.exact import exact_dedup
 from folio.llm.linededup import line_dedup
+from folio.llm.mixing import mix
 from folio.llm.packing import pack_documents
 from folio.llm.quality import quality_report
 from folio.llm.tokens import token_counts
+from folio.llm.warc import warc_round_trip
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), limit=512)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
