@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import read_table
 from folio.llm.exact import exact_dedup
 from folio.llm.linededup import line_dedup
+from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mix
 from folio.llm.packing import pack_documents
 from folio.llm.quality import quality_report
@@ -27,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op4_minhash": op4_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
