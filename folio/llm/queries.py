@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import read_table
 from folio.llm.exact import exact_dedup
+from folio.llm.langid import language_id
 from folio.llm.linededup import line_dedup
 from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mix
@@ -44,6 +45,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_chars=40, min_docs=5).select(
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
