@@ -13,6 +13,7 @@ from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mix
 from folio.llm.packing import pack_documents
 from folio.llm.quality import quality_report
+from folio.llm.suffix import suffix_dedup
 from folio.llm.tokens import token_counts
 from folio.llm.warc import warc_round_trip
 
@@ -41,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"), length=200).drop("kept_bytes")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
