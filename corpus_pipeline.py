@@ -1,8 +1,107 @@
-"""A corpus pipeline of five stages over the table of documents."""
+"""A corpus pipeline of five stages over the table of documents.
 
-STAGES = []
+Quality rules drop lines and documents, line dedup drops lines that many documents share,
+near-dedup keeps one document of each group, mixing takes whole documents as often as the
+target weights ask, and packing places their tokens in sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's docs; all but the last return the columns of
+documents.  A stage deletes the working tables of the stage before it, whose result has
+been written by then.
+
+Edge cases: null, empty and blank texts fail the quality rules; a text that loses all its
+lines stays as an empty text and is no near copy of anything; repeated rows are near
+copies of each other; of rows with one id and different texts each counts on its own; an
+empty table gives empty tables; further columns of docs are kept as they are.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm.common import delete_path, if_small, materialise, read_table, release, shared_folder, text_or_empty
+from folio.llm.linededup import line_dedup
+from folio.llm.minhash import near_duplicates
+from folio.llm.mixing import mixed_documents
+from folio.llm.packing import pack_documents
+from folio.llm.quality import quality
+
+CAPACITY = 1024
+
+
+def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`docs` with n_chars, where there is one, counted again after a change of text."""
+    if "n_chars" not in columns:
+        return docs.select(*columns)
+    return docs.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines."""
+    release(spark, docs)
+    # prefixed, so that no column of docs has the name of one that the rules add
+    judged = quality(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), "in_text").where("kept")
+    back = [F.col("clean_text" if c == "text" else f"in_{c}").alias(c) for c in docs.columns]
+    return recounted(judged.select(*back), docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that five or more documents share (save in one of them)."""
+    release(spark, docs)
+    return recounted(line_dedup(docs, min_chars=40, min_docs=5), docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    release(spark, docs)
+    tag = F.xxhash64(text_or_empty())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), tag.alias("tag"))
+    found = near_duplicates(docs.select(key.alias("key"), "text"), 75, "key", "text")
+    kept = found.where("kept").groupBy(F.col("key.doc_id").alias("__doc"), F.col("key.tag").alias("__tag")).agg(F.count("*").alias("__rows"), F.max("n_shingles").alias("__set"))
+    kept = materialise(kept, "kept")
+    joined = docs.withColumn("__text_tag", tag).join(if_small(kept), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_tag") == F.col("__tag")))
+    single = joined.where("__rows = 1 OR __set = 0").select(*docs.columns)
+    if kept.where("__rows > 1 AND __set > 0").isEmpty():
+        return single
+    # rows of one id and one text: they are one group, of which one row stays
+    return single.unionByName(joined.where("__rows > 1 AND __set > 0").dropDuplicates(["doc_id", "__text_tag"]).select(*docs.columns))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    release(spark, docs)
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    release(spark, docs)
+    return pack_documents(docs, CAPACITY)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL can express neither the quality of a mix nor a packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the table of documents."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/folio-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
