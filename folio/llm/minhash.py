@@ -7,10 +7,13 @@ to ERRORS symbols, so with ERRORS = 1 every chunk is indexed once for each symbo
 out, and every pair under that distance (28 of 84) meets in a bucket.  At similarity 0.75
 a pair meets nowhere with probability 2e-5, less above it.
 
-Buckets are never expanded into all pairs.  First each node is compared with its bucket's
-lead; confirmed links are contracted to components; then only pairs from different
-components of one bucket remain.  If those are many, further leads are tried first.
-Candidates pass a signature filter and are confirmed on the full sets.
+Buckets are never expanded into pairs.  Each gives links from its lead to its nodes, and
+what these connect is a cluster: all pairs in question lie inside one.  Clusters are cut
+into cells of bounded bytes that hold the full sets; a task compares the sets of a cell
+and returns the links that join its components, fewer than it has nodes.  A cluster of one
+cell is settled by that.  In a larger one every cell also holds the cluster's hubs, so the
+copies of one text fall into one component wherever they were dealt; then only cells of
+different components are compared, a large component's cells never with each other.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with nothing and is
 its own component; texts of one to four words have one shingle; repeated rows fall into
@@ -28,15 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, arrow_batches, if_small, materialise, text_or_empty
+from folio.llm.common import arrow_batches, if_small, materialise, text_or_empty
 
 WORDS = 5
 CHUNKS, SYMBOLS, ERRORS = 14, 6, 1
 K = CHUNKS * SYMBOLS
-#: Signatures further apart than this are no candidates: six deviations above the mean at 0.75.
-FAR = 45
-#: Pairs left between components, in units of bucket rows, before another lead is tried.
-PAIRS_PER_ROW, LEAD_ROUNDS = 4, 6
+#: Bytes of full sets in a cell, and hubs of a cluster that all its cells hold.
+CELL_BYTES, HUBS = 24 << 20, 16
+#: Small clusters are pooled to this part of a cell on average.
+POOLED = 8
+#: Keys of buckets with two nodes or more are broadcast up to this many (two longs each).
+KEY_ROWS = 1_000_000
 GROUP_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(20240101)
@@ -155,13 +160,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
             for _, texts in groups_of(batch, 0):
                 sets = shingle_sets(texts)
                 names = names_of(sets)
-                items = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[s.size for s in sets]]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                items = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), items], names=["hi", "lo", "items"])
 
     ids = if_small(materialise(nodes.select(F.col("id").alias("__id")).distinct(), "ids"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     with arrow_batches(docs.sparkSession, 500):
-        sets = texts.mapInArrow(collect, "hi bigint, lo bigint, items array<bigint>")
+        sets = texts.mapInArrow(collect, "hi bigint, lo bigint, items binary")
+    # rows of one id offer sets of other nodes, and repeated rows the same set again
     return sets.join(if_small(nodes.select("node", "hi", "lo")), ["hi", "lo"]).groupBy("node").agg(F.first("items").alias("items"))
 
 
@@ -172,8 +178,11 @@ def components(edges: DataFrame) -> DataFrame:
     with very many links is pre-aggregated and its join can be split.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            # stars: every node has one link, to its root
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -181,54 +190,118 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
-
-
-class Linker:
-    """Candidate pairs of nodes in, confirmed links out."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str):
-        self.docs, self.nodes, self.percent, self.id_col, self.text_col = docs, nodes, percent, id_col, text_col
-        self.tried: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Test pairs (a, b) with a < b that were not tried before."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in (4, 5))
-                    yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "n_a", "n_b"]).filter(pa.array((a != b).sum(1) <= FAR))
-
-        met = materialise(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(near, "a bigint, b bigint, n_a bigint, n_b bigint"), "near")
-        needed = materialise(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-        needed = materialise(self.nodes.select("node", "id", "hi", "lo").join(if_small(needed), "node", "left_semi"), "needed-nodes")
-        sets = full_sets(self.docs, needed, self.id_col, self.text_col)
-        joined = met.join(sets.withColumnsRenamed({"node": "a", "items": "items_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
-        common = F.size(F.array_intersect("items_a", "items_b"))
-        linked = joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), common.alias("common")).where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b")
-        linked = materialise(linked, "links")
-        self.links = linked if self.links is None else self.links.unionByName(linked)
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+
+def linking_pairs(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of the sets; those of one label are one component already.
+
+    A set is compared with all others at once by counting their occurrences in the lists
+    of its elements.  Sets outside the largest component are taken until none is left, so
+    one side of every pair between components has been compared with the other.
+    """
+    n = len(sets)
+    sizes = np.array([s.size for s in sets])
+    label = np.unique(labels, return_inverse=True)[1]
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    head = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    count = np.diff(np.r_[head, values.size])
+    at = np.empty(order.size, np.int64)  # the list of each element, sets end to end
+    at[order] = np.repeat(np.arange(head.size), count)
+    bounds = np.cumsum(np.r_[0, sizes])
+    weight, todo, found = np.bincount(label), np.ones(n, bool), []
+    while True:
+        rest = np.flatnonzero(todo & (label != weight.argmax()))
+        if not rest.size:
+            return found
+        for x in rest.tolist():
+            if not todo[x] or label[x] == weight.argmax():
+                continue
+            todo[x] = False
+            lists = at[bounds[x] : bounds[x + 1]]
+            lists = lists[count[lists] > 1]
+            length = count[lists]
+            where = np.repeat(head[lists] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+            common = np.bincount(owner[where], minlength=n)
+            linked = 100 * common >= percent * (sizes[x] + sizes - common)
+            other, first = np.unique(label[linked], return_index=True)
+            for o, y in zip(other.tolist(), np.flatnonzero(linked)[first].tolist(), strict=True):
+                if o != label[x]:
+                    found.append((x, y))
+            keep = max([*other.tolist(), int(label[x])], key=weight.__getitem__)
+            for o in {*other.tolist(), int(label[x])} - {keep}:
+                label[label == o] = keep
+                weight[keep] += weight[o]
+                weight[o] = 0
+
+
+def cell_links(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links found in each cell of rows (cluster, cell, node, label, items)."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")  # the same links in whatever order rows came
+        node = rows["node"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
+        pairs = np.array(linking_pairs(sets, rows["label"].to_numpy(), percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[pairs[:, 0]]), "b": pa.array(node[pairs[:, 1]])})
+
+    return placed.groupBy("cluster", "cell").applyInArrow(compare, "a bigint, b bigint")
+
+
+def cluster_links(members: DataFrame, percent: int, cell_bytes: int, hubs: int) -> DataFrame:
+    """Links (a, b) that connect what is linked, for (materialised) rows (node, cluster, items)."""
+    members = members.withColumn("bytes", F.octet_length("items"))
+    clusters = materialise(members.groupBy("cluster").agg(F.sum("bytes").alias("weight")), "clusters")
+    large = materialise(clusters.where(F.col("weight") > cell_bytes).withColumn("cells", F.ceil(F.col("weight") / cell_bytes)), "large-clusters")
+    # many small clusters share a cell, number -1 of their pool
+    pools = -(-(clusters.agg(F.sum("weight")).first()[0] or 0) * POOLED // cell_bytes) or 1
+    pool = lambda rows: rows.select(F.pmod(F.xxhash64("cluster"), F.lit(pools)).alias("cluster"), F.lit(-1).cast("long").alias("cell"), "node", F.col("node").alias("label"), "items")
+    if large.isEmpty():
+        return materialise(cell_links(pool(members), percent), "links")
+    dealt = members.join(if_small(large.select("cluster", "cells")), "cluster", "left")
+    # hubs: the nodes of least hash in so many parts of the cluster, to all its cells
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(hubs))
+    hub = dealt.where("cells IS NOT NULL").groupBy("cluster", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node"))).alias("h"))
+    hub = materialise(hub.select(F.col("h.node").alias("node"), F.lit(True).alias("hub")), "hubs")
+    cell = F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("cells"))))
+    cut = dealt.where("cells IS NOT NULL").join(if_small(hub), "node", "left").withColumn("cell", F.explode(cell))
+    first = pool(dealt.where("cells IS NULL")).unionByName(cut.select("cluster", "cell", "node", F.col("node").alias("label"), "items"))
+    links = materialise(cell_links(first, percent), "links")
+    # what is left: pairs from different cells and different components
+    labels = materialise(components(links), "labels")
+    again = members.join(if_small(large.select("cluster")), "cluster", "left_semi").join(if_small(labels), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    again = materialise(again.select("cluster", "node", "label", "bytes"), "again")
+    roots = again.groupBy("cluster", "label").agg(F.sum("bytes").alias("weight"))
+    roots = roots.withColumns({"own": F.col("weight") > cell_bytes})
+    mixed = roots.where("NOT own").groupBy("cluster").agg(F.ceil(F.sum("weight") / cell_bytes).alias("parts")).withColumn("label", F.lit(None).cast("long"))
+    alone = roots.where("own").select("cluster", F.ceil(F.col("weight") / cell_bytes).alias("parts"), "label")
+    blocks = materialise(alone.unionByName(mixed), "block-counts")
+    block = materialise(blocks.select("cluster", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    other = block.select("cluster", F.col("label").alias("label2"), F.col("block").alias("block2"))
+    # cells of two blocks (or of one block of small components), never two of one large component
+    pair = block.join(other, "cluster").where("block <= block2 AND (label IS NULL OR label2 IS NULL OR label <> label2)").withColumn("cell", F.monotonically_increasing_id())
+    pair = materialise(pair.select("block", "block2", "cell"), "block-pairs")
+    of_block = pair.select(F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), "cell")
+    sized = again.join(if_small(materialise(alone.select("cluster", F.col("label"), F.lit(True).alias("own"), F.col("parts").alias("own_parts")), "own")), ["cluster", "label"], "left")
+    sized = sized.join(if_small(materialise(mixed.select("cluster", F.col("parts").alias("mixed_parts")), "mixed")), "cluster", "left")
+    sized = sized.withColumns({"of": F.when(F.col("own"), F.col("label")), "part": F.when(F.col("own"), F.pmod(F.xxhash64("node"), F.col("own_parts"))).otherwise(F.pmod(F.xxhash64("label"), F.col("mixed_parts")))})
+    keyed = sized.select("cluster", "node", "label", "of", "part")
+    where = block.select(F.col("cluster").alias("cluster_"), F.col("label").alias("of_"), F.col("part").alias("part_"), "block")
+    inside = keyed.join(if_small(where), (F.col("cluster") == F.col("cluster_")) & F.col("of").eqNullSafe(F.col("of_")) & (F.col("part") == F.col("part_")))
+    inside = inside.select("cluster", "node", "label", "block").join(if_small(materialise(of_block, "cells-of-blocks")), "block").select("cluster", "cell", "node", "label")
+    cross = cell_links(inside.join(members.select("node", "items"), "node"), percent)
+    return links.unionByName(materialise(cross, "cross-links"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", cell_bytes: int = CELL_BYTES, hubs: int = HUBS) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept.
 
     Texts are linked if their sets' similarity is at least `percent` per cent; component_id
     is the smallest id that can be reached; kept marks the rows that have that id.
     """
     signed = materialise(signed_documents(docs, id_col, text_col), "signed")
-    nodes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,38 +312,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     with arrow_batches(docs.sparkSession):
         rows = nodes.select("node", "sig").mapInArrow(keys, "node bigint, key bigint")
-    multi = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    members = materialise(rows.join(multi, "key"), "members")
-
-    linker = Linker(docs, nodes, percent, id_col, text_col)
-    linker.confirm(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    labels = materialise(components(linker.links), "labels")
-    for rounds in range(LEAD_ROUNDS + 1):
-        placed = members.select("key", "node").join(if_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
-        open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same")).where("parts > 1")
-        open_keys = materialise(open_keys, "open")
-        keys_left, rows_left, pairs_left = open_keys.agg(F.count("*"), F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not keys_left:
-            break
-        placed = materialise(placed.join(open_keys.select("key") if keys_left > BROADCAST_ROWS else F.broadcast(open_keys.select("key")), "key", "left_semi"), "placed")
-        last = rounds == LEAD_ROUNDS or pairs_left <= PAIRS_PER_ROW * rows_left
-        if last:
-            roots = placed.select("key", "root").distinct()
-            pairs_of_roots = roots.join(roots.withColumnRenamed("root", "other"), "key").where("root < other")
-            x = placed.withColumnRenamed("node", "x")
-            y = placed.withColumnsRenamed({"node": "y", "root": "other"})
-            pairs = pairs_of_roots.join(x, ["key", "root"]).join(y, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(rounds)), F.col("node").alias("node"), F.col("root").alias("root"))).alias("lead"))
-            pairs = placed.join(lead, "key").where(F.col("root") != F.col("lead.root")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        linker.confirm(pairs)
-        labels = materialise(components(linker.links), "labels")
-        if last:
-            break
+    multi = materialise(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "buckets")
+    met = rows.join(if_small(multi, KEY_ROWS), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    clusters = components(met)
+    wanted = materialise(nodes.select("node", "id", "hi", "lo").join(if_small(clusters), "node"), "clustered")
+    sets = full_sets(docs, wanted, id_col, text_col)
+    members = materialise(sets.join(if_small(wanted.select("node", F.col("root").alias("cluster"))), "node"), "sets")
+    labels = materialise(components(cluster_links(members, percent, cell_bytes, hubs)), "labels")
     named = materialise(nodes.select("hi", "lo", "node", "id").join(if_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = materialise(named.join(least, "root").select("hi", "lo", "component_id"), "found")
-    out = signed.select("id", "hi", "lo", "n").join(if_small(found), ["hi", "lo"], "left")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    least = materialise(least, "least")
+    out = signed.select("id", "hi", "lo", "n")
+    # a set that stands alone has the id of its node, which may be that of another row
+    found = materialise(named.join(if_small(least), "root", "left").select("hi", "lo", F.coalesce("component_id", "id").alias("component_id")), "found")
+    out = out.join(if_small(found), ["hi", "lo"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
