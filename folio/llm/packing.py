@@ -141,6 +141,7 @@ class LocalSearch:
         self.widest = np.zeros(capacity + 1, np.int64)  # by size: the largest gap of a bin that holds this size
         self.reach = np.arange(capacity + 1)
         self.by_gap: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.changes = 0
         for b in range(len(bins)):
             self.enter(b)
 
@@ -174,6 +175,7 @@ class LocalSearch:
         return found
 
     def change(self, a: int, out_a: list[int], b: int, out_b: list[int]) -> None:
+        self.changes += 1
         self.leave(a), self.leave(b)
         for i in out_a:
             self.bins[a].remove(i)
@@ -218,7 +220,11 @@ class LocalSearch:
     def run(self, passes: int) -> list[list[int]]:
         for _ in range(passes):
             order = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.gap[b]), key=lambda b: -self.gap[b])
-            if not sum(self.empty(b) for b in order if self.bins[b] and self.gap[b]):
+            before = self.changes
+            for b in order:
+                if self.bins[b] and self.gap[b]:
+                    self.empty(b)
+            if self.changes == before:
                 break
         return [b for b in self.bins if b]
 
