@@ -75,6 +75,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the working table that materialise() returned as `df`; nothing may read it any more."""
+    path = df.inputFiles()[0].rpartition("/")[0] if not df.isEmpty() else None
+    for own in [p for p in _SCRATCH.get(df.sparkSession.sparkContext.applicationId, []) if path and p.rpartition("/")[2] == path.rpartition("/")[2]]:
+        delete_path(df.sparkSession, own)
+        _SCRATCH[df.sparkSession.sparkContext.applicationId].remove(own)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` (already materialised) with a broadcast hint if it has at most `rows` rows.
 

@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, arrow_batches, if_small, materialise, text_or_empty
+from folio.llm.common import arrow_batches, discard, if_small, materialise, text_or_empty
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Window starts looked at together; longer texts are taken in overlapping pieces.
 PIECE = 1 << 22
 #: Bytes of contexts in a bucket, and different contexts of one anchor beyond which its windows are counted.
@@ -139,7 +139,7 @@ def suffix_order(symbols: np.ndarray, context: np.ndarray, end: np.ndarray) -> n
     key = np.zeros(n, np.int64)
     for j in range(7):
         moved = np.zeros(n, np.int64)
-        moved[: n - j] = symbols[j:]
+        moved[: max(0, n - j)] = symbols[j:]
         key = (key << 9) | np.where(left >= j, moved, 0)
     tie = np.where(left < 7, context + 1, 0)
     order = np.lexsort((tie, key))
@@ -258,8 +258,6 @@ def counted_runs(bodies: DataFrame, length: int) -> DataFrame:
 def context_bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(h, c, body) for wanted contexts (h, c, id, tag, s, n), read from their texts."""
     listed = materialise(wanted.groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("h", "c", "s", "n")).alias("list")), "listed")
-    if (listed.agg(F.sum(F.size("list"))).first()[0] or 0) <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
     joined = texts.join(listed, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("text", "list")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +275,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int,
     found = materialise(contexts(texts, length, gram), "contexts")
     twice = materialise(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "anchors")
     here = materialise(found.join(if_small(twice, ANCHOR_ROWS), "h"), "occurrences")
+    discard(found)
     kinds = materialise(here.groupBy("h", "c").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "tag", "s")).alias("at")), "kinds")
     many = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
     doubtful = kinds.join(if_small(many), "h").select("h", "c", "k", "m", "n", "at.id", "at.tag", "at.s")
@@ -290,7 +289,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int,
     part = runs.join(kinds.where("k = 1").select("h", "c"), ["h", "c"], "left_semi")
     flags = materialise(whole.unionByName(part), "flags")
     spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return here.join(if_small(flags), ["h", "c"]).select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return here.join(if_small(flags), ["h", "c"]).select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -312,8 +311,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     with arrow_batches(docs.sparkSession):
         texts = keyed(docs, id_col, text_col)
         spans = materialise(repeated_spans(texts, length, gram, bucket_bytes, most_contexts).withColumnsRenamed({"id": "id_", "tag": "tag_"}), "spans")
-        if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:
-            spans = F.broadcast(spans)
         joined = texts.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("id", "text", "spans")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
