@@ -38,8 +38,6 @@ LENGTH, GRAM = 200, 64
 PIECE = 1 << 22
 #: Bytes of contexts in a bucket, and different contexts of one anchor beyond which its windows are counted.
 BUCKET_BYTES, MOST_CONTEXTS = 1 << 20, 8000
-#: Anchors that occur twice or more are broadcast up to this many (a long each).
-ANCHOR_ROWS = 1_000_000
 _PLACE_BITS = 24
 _STEPS = np.random.default_rng(7).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -274,11 +272,11 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int,
     """(id, tag, spans): byte ranges (a, b) of each text that repeated strings cover, not merged."""
     found = materialise(contexts(texts, length, gram), "contexts")
     twice = materialise(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "anchors")
-    here = materialise(found.join(if_small(twice, ANCHOR_ROWS), "h"), "occurrences")
+    here = materialise(found.join(twice, "h"), "occurrences")
     discard(found)
     kinds = materialise(here.groupBy("h", "c").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "tag", "s")).alias("at")), "kinds")
     many = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
-    doubtful = kinds.join(if_small(many), "h").select("h", "c", "k", "m", "n", "at.id", "at.tag", "at.s")
+    doubtful = kinds.join(many, "h").select("h", "c", "k", "m", "n", "at.id", "at.tag", "at.s")
     doubtful = materialise(doubtful, "doubtful")
     bodies = materialise(context_bodies(texts, doubtful, length).join(if_small(many.where(F.col("m") > most_contexts)), "h", "left"), "bodies")
     normal = bodies.where("m IS NULL")
@@ -288,8 +286,10 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int,
     whole = kinds.where("k > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"))
     part = runs.join(kinds.where("k = 1").select("h", "c"), ["h", "c"], "left_semi")
     flags = materialise(whole.unionByName(part), "flags")
+    for done in (twice, kinds, many, doubtful, bodies):
+        discard(done)
     spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return here.join(if_small(flags), ["h", "c"]).select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return here.join(flags, ["h", "c"]).select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
