@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
-from folio.functions.text import script_weights, solid_count, strip_speech_punctuation, text_of, trim
+from folio.functions.text import once, solid_count, strip_speech_punctuation, text_of, trim
 
 CUT = "\U0010ffff"
 PIECES = "array<struct<t:string,o:int>>"
@@ -30,11 +30,6 @@ HARD_CUT = rf"(?s)\G(?=.{{{C.MAX_SENTENCE + 1}}})(?:.{{{C.SHORTEST_CUT},{C.MAX_S
 CLAUSE_CUT = rf"(?:[，、；：;]|(?<![0-9])[,:]|[,:](?![0-9]))[{C.WS}]*"
 
 
-def once(value: Column, use) -> Column:
-    """`use(value)` with the value worked out once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def cut_at(c: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(c, f"({pattern})", f"$1{CUT}"), CUT, -1)
 
@@ -84,16 +79,20 @@ def sentences(c: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Cut after clause marks (and the white space behind them) with MIN_CLAUSE solid characters on both sides."""
-    t = text_of(c)
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), solid_count(t).alias("left"))
 
-    def step(s: Column, p: Column) -> Column:
-        cur, left = F.concat(s["cur"], p), s["left"] - solid_count(p)
-        cut = (solid_count(cur) >= C.MIN_CLAUSE) & (left >= C.MIN_CLAUSE)
-        return F.struct(F.when(cut, F.array_append(s["out"], cur)).otherwise(s["out"]).alias("out"), F.when(cut, "").otherwise(cur).alias("cur"), left.alias("left"))
+    def folded(parts: Column) -> Column:
+        counted = F.transform(parts, lambda p: F.struct(p.alias("t"), solid_count(p).alias("n")))
+        state = lambda xs: F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"), F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"]).alias("left"))
+
+        def step(s: Column, p: Column) -> Column:
+            cur, n, left = F.concat(s["cur"], p["t"]), s["n"] + p["n"], s["left"] - p["n"]
+            cut = (n >= C.MIN_CLAUSE) & (left >= C.MIN_CLAUSE)
+            return F.struct(F.when(cut, F.array_append(s["out"], cur)).otherwise(s["out"]).alias("out"), F.when(cut, "").otherwise(cur).alias("cur"), F.when(cut, 0).otherwise(n).alias("n"), left.alias("left"))
+
+        return once(counted, lambda xs: F.aggregate(xs, state(xs), step, lambda s: F.when(s["cur"] == "", s["out"]).otherwise(F.array_append(s["out"], s["cur"]))))
 
-    parts = F.aggregate(cut_at(t, CLAUSE_CUT), state, step, lambda s: F.when(s["cur"] == "", s["out"]).otherwise(F.array_append(s["out"], s["cur"])))
-    return placed(parts)
+    whole = lambda t: F.when(t == "", F.array().cast(PIECES)).otherwise(F.array(F.struct(t.alias("t"), F.lit(0).alias("o"))))
+    return once(text_of(c), lambda t: F.when(t.rlike(f"[{C.CLAUSE_MARKS}]"), placed(once(cut_at(t, CLAUSE_CUT), folded))).otherwise(whole(t)))
 
 
 def _python_class(body: str) -> str:
@@ -133,17 +132,17 @@ def lang_runs(c: Column, min_en: int = C.MIN_FOREIGN_EN, min_zh: int = C.MIN_FOR
         return texts.map(lambda t: [] if t is None else [{"t": a, "lang": lang, "o": o} for a, lang, o in runs_of(t, min_en, min_zh)])
 
     t = text_of(c)
-    han, latin = script_weights(t)
+    han, latin = t.rlike(f"[{C.CJK}]"), t.rlike(f"[{C.LATIN}]")
     whole = lambda lang: F.array(F.struct(t.alias("t"), F.lit(lang).alias("lang"), F.lit(0).alias("o")))
-    both = (han > 0) & (latin > 0)
-    return F.when(t == "", F.array().cast(RUNS)).when(both, mixed(F.when(both, t))).when(latin > 0, whole("en")).when(han > 0, whole("zh")).otherwise(whole(fallback))
+    both = han & latin
+    return F.when(t == "", F.array().cast(RUNS)).when(both, mixed(F.when(both, t))).when(latin, whole("en")).when(han, whole("zh")).otherwise(whole(fallback))
 
 
 def parts_of_runs(runs: Column) -> Column:
     """What a voice says, (say, lang, o, brk), for an array of runs; brk asks for a short pause."""
 
     def of_run(r: Column) -> Column:
-        return F.transform(clauses(r["t"]), lambda p: F.struct(strip_speech_punctuation(p["t"]).alias("say"), r["lang"].alias("lang"), (r["o"] + p["o"]).alias("o"), F.regexp_replace(p["t"], rf"[{C.WS}{_CLOSERS}]+$", "").rlike(f"[{C.CLAUSE_MARKS}]$").alias("brk")))
+        return F.transform(clauses(r["t"]), lambda p: F.struct(strip_speech_punctuation(p["t"]).alias("say"), r["lang"].alias("lang"), (r["o"] + p["o"]).alias("o"), p["t"].rlike(rf"[{C.CLAUSE_MARKS}][{C.WS}{_CLOSERS}]*\z").alias("brk")))
 
     said = F.filter(F.flatten(F.transform(runs, of_run)), lambda p: p["say"] != "")
     return once(said, lambda x: F.transform(x, lambda p, i: F.struct(p["say"].alias("say"), p["lang"].alias("lang"), p["o"].alias("o"), (p["brk"] & (i < F.size(x) - 1)).alias("brk"))))

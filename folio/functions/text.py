@@ -19,16 +19,25 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{C.WS}]+", ""), f"[{C.WS}]+$", "")
+    return F.btrim(c, F.lit(C.WS_CHARS))
 
 
 def normalize(c: Column) -> Column:
     """Byte order marks, NULs and zero-width characters go; line ends and spaces become one kind."""
-    c = F.regexp_replace(text_of(c), r"\x{FEFF}", "")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[\x{0}\x{200B}-\x{200D}\x{2060}]", "")
-    return F.regexp_replace(F.translate(c, "\u00a0", " "), r"[ \t]+", " ")
+
+    def changed(t: Column) -> Column:
+        t = F.regexp_replace(F.replace(t, F.lit("\ufeff"), F.lit("")), r"\r\n?", "\n")
+        t = F.regexp_replace(t, r"[\x{0}\x{200B}-\x{200D}\x{2060}]", "")
+        return F.regexp_replace(F.translate(t, "\u00a0", " "), r"[ \t]+", " ")
+
+    # one look tells most texts, which have nothing to change
+    return once(text_of(c), lambda t: F.when(t.rlike(r"[\r\t\x{0}\x{A0}\x{200B}-\x{200D}\x{2060}\x{FEFF}]|  "), changed(t)).otherwise(t))
 
 
 def clean_text(c: Column) -> Column:
@@ -44,13 +53,13 @@ def clean_title(c: Column) -> Column:
 
 
 def looks_heading(c: Column) -> Column:
-    t = trim(text_of(c))
-    return F.char_length(t).between(1, C.MAX_HEADING) & (t.rlike(HEADING_HAN) | t.rlike(HEADING_LATIN) | t.rlike(HEADING_MATTER))
+    return once(trim(text_of(c)), lambda t: F.char_length(t).between(1, C.MAX_HEADING) & t.rlike(f"{HEADING_HAN}|{HEADING_MATTER}|{HEADING_LATIN}"))
 
 
 def strip_speech_punctuation(c: Column) -> Column:
     """Signs a voice would read out become spaces; those inside words and numbers stay."""
-    out = rf"(?<![{C.LATIN}])['’-]|['’-](?![{C.LATIN}])|(?<![0-9])[.:,]|[.:,](?![0-9])|[^{C.WS}{C.LATIN}0-9{C.CJK}$%&@'’.:,-]"
+    # the sign itself is matched first, then what is around it is looked at
+    out = rf"['’-](?:(?![{C.LATIN}])|(?<![{C.LATIN}].))|[.:,](?:(?![0-9])|(?<![0-9].))|[^{C.WS}{C.LATIN}0-9{C.CJK}$%&@'’.:,-]"
     return trim(F.regexp_replace(F.regexp_replace(text_of(c), out, " "), f"[{C.WS}]+", " "))
 
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
-from folio.functions.segment import once
-from folio.functions.text import clean_title, looks_heading, normalize, trim
+from folio.functions.text import clean_title, looks_heading, normalize, once, trim
 
 UNITS = "array<struct<start:int,end:int,title:string,body:bigint,chars:bigint>>"
 

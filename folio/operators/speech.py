@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
-from folio.functions.segment import lang_runs, once, parts_of_runs, sentences
-from folio.functions.text import lc_lang
+from folio.functions.segment import lang_runs, parts_of_runs, sentences
+from folio.functions.text import lc_lang, once
 
 # Voices that sound best, and the regions to prefer.
 PREFERRED_ZH = r"(?i)Google|Siri|Meijia|美佳|Microsoft|Ting-Ting|Hsiao|曉|台|Taiwan"
