@@ -3,10 +3,12 @@
 Everything is a column expression over one row; nothing is shuffled and no Python runs.
 
 Line rules (a line that holds no word is neither kept nor lost):
-* navigation: at least two of the separators ``| > » ·`` between short labels;
+* navigation: at least two of the separators ``| > » ·``, and one to every five words;
 * boilerplate: a short line with a phrase of BOILERPLATE;
 * punctuation: a short line of four words or more without an end mark, a short line of
-  which more than half are ASCII signs, or a line with a long run of signs.
+  which more than half are ASCII signs, a line with a long run of signs, a line with a
+  symbol (one of ``# * $ % & | < >``) to every ten characters, or one with two doubled
+  marks such as ``!!`` or more, and one to every four words.
 
 A document stays if its base counts pass and the words of its kept lines hold at least
 half of the characters in words.
@@ -46,11 +48,13 @@ BOILERPLATE = (
     "skip to content",
     "powered by",
 )
-END_MARK = rf"[.!?:;…。！？][\"')\]’”»]*[{SPACES}]*$"
+END_MARK = rf"[.!?:;…。！？][\"')\]’”»]*[{SPACES}]*\z"
 #: Runs without ASCII signs: white space, letters, digits, anything beyond ASCII.
 UNSIGNED = rf"[{SPACES}A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+"
 #: So many ASCII signs in a row are no prose.
 SIGN_RUN = r"[!-/:-@\[-`{-~]{12}"
+SEPARATOR, DOUBLED = "[|>»·]", "[!?]{2,}"
+FOUR_WORDS = rf"{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}"
 #: Bits of a position inside the packed (hash, position) numbers that find repeated windows.
 POSITION_BITS = 24
 
@@ -102,12 +106,16 @@ def with_base_counts(docs: DataFrame, text: str = "__text") -> DataFrame:
 
 def line_passes(line: Column) -> Column:
     """Whether a line that holds a word passes all line rules."""
-    short = F.length(line) < SHORT_LINE
-    navigation = F.regexp_count(line, F.lit(r"[|>»·]")) >= 2
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    navigation = (count(SEPARATOR) >= 2) & (5 * count(SEPARATOR) >= count(WORD))
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    unended = line.rlike(rf"{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}") & ~line.rlike(END_MARK)
+    unended = line.rlike(FOUR_WORDS) & ~line.rlike(END_MARK)
     signs = 2 * F.length(F.regexp_replace(line, UNSIGNED, "")) > F.length(line)
-    return ~F.when(short, navigation | boilerplate | unended | signs).otherwise(line.rlike(SIGN_RUN))
+    symbols = line.rlike("[#*$%&|<>]") & (10 * F.length(F.regexp_replace(line, NOT_SYMBOLS, "")) >= F.length(line))
+    shouting = line.rlike(DOUBLED) & (count(DOUBLED) >= 2) & (4 * count(DOUBLED) >= count(WORD))
+    # the cheap look for a sign comes first: most lines of prose end there
+    odd = line.rlike("[|>»·#*$%&<!?]") & (navigation | symbols | shouting)
+    return ~(odd | F.when(F.length(line) < SHORT_LINE, boilerplate | unended | signs).otherwise(line.rlike(SIGN_RUN)))
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from folio.llm.linededup import line_dedup
 from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mix
 from folio.llm.packing import pack_documents
+from folio.llm import quality as rules
 from folio.llm.quality import quality_report
 from folio.llm.suffix import suffix_dedup
 from folio.llm.tokens import token_counts
@@ -78,8 +79,50 @@ QUERIES = {
 }
 
 _SPACES = r"\x20\x09-\x0D"
+_WORD = rf"[^{_SPACES}]+"
+_WORDS = rf"list_filter(regexp_split_to_array(%s, '[{_SPACES}]+'), lambda w: w <> '')"
+_COUNT = "len(regexp_extract_all(line, '{}'))"
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_QUOTED = rules.END_MARK.replace("'", "''")
 
 ORACLES = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+        SELECT page_id, n AS payload_bytes,
+               list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, CAST(i * 5 // 4 + 1 AS BIGINT), 2) AS INTEGER) >> CAST(3 - i * 5 % 4 AS INTEGER)) & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+               CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM h""",
+    "op4_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS % f"translate(coalesce(text, ''), {_LETTERS})"} AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+        n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n_shingles + q.n_shingles - k)),
+        b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(a, z) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, b.y FROM r JOIN b ON b.x = r.z),
+        m AS (SELECT a AS doc_id, min(z) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
+    "op8_quality_rules": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, {_WORDS % 'text'} AS ws FROM t),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+        l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORD}')),
+        f AS (SELECT doc_id, line, length(regexp_replace(line, '[{_SPACES}]+', '', 'g')) AS chars,
+              ({_COUNT.format(rules.SEPARATOR)} >= 2 AND 5 * {_COUNT.format(rules.SEPARATOR)} >= {_COUNT.format(_WORD)})
+              OR (regexp_matches(line, '[#*$%&|<>]') AND 10 * length(regexp_replace(line, '{rules.NOT_SYMBOLS}', '', 'g')) >= length(line))
+              OR ({_COUNT.format(rules.DOUBLED)} >= 2 AND 4 * {_COUNT.format(rules.DOUBLED)} >= {_COUNT.format(_WORD)})
+              OR CASE WHEN length(line) < {rules.SHORT_LINE} THEN regexp_matches(lower(line), '{"|".join(rules.BOILERPLATE)}')
+                 OR (regexp_matches(line, '{rules.FOUR_WORDS}') AND NOT regexp_matches(line, '{_QUOTED}'))
+                 OR 2 * length(regexp_replace(line, '{rules.UNSIGNED}', '', 'g')) > length(line) ELSE regexp_matches(line, '{rules.SIGN_RUN}') END AS fails FROM l),
+        d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(CASE WHEN fails THEN chars END), 0) AS lost FROM f GROUP BY doc_id),
+        a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+              CAST(coalesce(d.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, coalesce(d.lost, 0) AS lost FROM w LEFT JOIN d USING (doc_id) LEFT JOIN rw USING (doc_id)),
+        v AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words AS base_failed FROM a)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (word_chars - lost) >= {rules.MIN_KEPT} * word_chars AS kept FROM v""",
     "op5_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[{_SPACES}]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w AS rn

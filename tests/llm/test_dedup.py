@@ -121,7 +121,9 @@ def test_lines_of_the_table(spark, sf_dir, table_rows):
 
 def test_lines_repeated_rows_and_empty(null_id_docs, empty_docs, edge_rows):
     got = line_rows(line_dedup(null_id_docs).where("doc_id IS NOT NULL"))
-    assert got == sorted(brute.lines([r[:2] for r in edge_rows]) * 2)
+    # the rows without an id count as one document, which never keeps a line that others hold
+    rows = [r[:2] for r in edge_rows]
+    assert got == sorted(x for x in brute.lines(rows * 2 + [(-1, t) for _, t in rows]) if x[0] >= 0)
     assert line_dedup(empty_docs).collect() == []
 
 

@@ -36,6 +36,10 @@ def test_line_rules(spark):
         "Home | About | Contact | News": False,
         "Please read our privacy policy here.": False,
         "a line of words without an end": False,
+        "Price & quality: 5 % off, and that is all there is to say about it for now, is it not, dear reader?": True,
+        "word&&& and*** more### of$$$ this%%% noise&&& for*** a### whole$$$ long%%% line&&& of*** words### here$$$ and%%% there.": False,
+        "BUY!! NOW!! AND!! NEVER!! THINK!! ABOUT!! IT!! AGAIN!! OR!! YOU!! WILL!! BE!! SORRY!! FOR!! EVER!! AND!! EVER!!": False,
+        "What!! he cried, and then he said nothing more for the rest of that long evening, but looked at the fire!!": True,
         "***** ///// #### ---- !!!": False,
         "------------------------------------------------------------------------------------ and words after that": False,
     }
