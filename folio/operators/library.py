@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import falsy, pct, trim
+from folio.operators.position import block_of_page, chapter_of, share_of
 
 FINISHED_AT = 0.995
 BACKUP_COLUMNS = ("id", "title", "author", "format", "file_name", "size", "total_chars", "added_at", "last_read_at", "finished", "anchor", "percent")
@@ -41,6 +42,33 @@ def saved_progress(books: DataFrame, saves: DataFrame, at: str = "ts") -> DataFr
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in books.columns])
 
 
+def page_saves(saves: DataFrame, books: DataFrame, docs: DataFrame, at: str = "ts") -> DataFrame:
+    """Saves of a page (id, page from 1, n_pages, at) as saves of an anchor, for saved_progress().
+
+    A scanned book counts its pages; one with text (docs: id, starts) is at the first block
+    of the page, and its share is that of the text (docs also: before, by block, and total).
+    """
+    j = saves.join(books.select("id", "format"), "id").join(docs.select("id", "starts", "before", "total"), "id", "left")
+    scanned = F.col("format") == "pdf-image"
+    block = block_of_page(F.col("starts"), F.col("page"))
+    b = F.when(scanned, F.col("page") - 1).otherwise(block)
+    share = F.when(scanned, F.col("page") / F.col("n_pages")).otherwise(share_of(F.get("before", block), F.lit(0), F.col("total")))
+    return j.where("coalesce(n_pages, 0) > 0").select("id", F.struct(b.cast("int").alias("b"), F.lit(0).alias("o")).alias("anchor"), share.alias("percent"), at)
+
+
+def end_of_book(blocks: DataFrame, at: Column, id_col: str = "doc_id") -> DataFrame:
+    """The save (id, anchor, percent, ts) of going on from the last unit: the end of the last block, all read."""
+    last = blocks.groupBy(id_col).agg(F.max(F.struct("b", F.char_length("t").alias("o"))).alias("anchor"))
+    return last.select(F.col(id_col).alias("id"), "anchor", F.lit(1.0).alias("percent"), at.alias("ts"))
+
+
+def open_books(books: DataFrame, units: DataFrame, notes: DataFrame) -> DataFrame:
+    """`books` with the unit `ci` of their anchor and their notes in order of position."""
+    placed = chapter_of(books.select("id", F.coalesce("anchor.b", F.lit(0)).alias("b")).distinct(), units, "id").select("id", "ci")
+    listed = notes.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("b", "o", F.col("id").alias("note"), "text"))).alias("notes"))
+    return books.join(placed, "id", "left").join(listed, "id", "left")
+
+
 def restarted(books: DataFrame, first_block: Column | None = None) -> DataFrame:
     b = F.lit(0) if first_block is None else F.coalesce(first_block, F.lit(0))
     return books.withColumns({"anchor": F.struct(b.alias("b"), F.lit(0).alias("o")), "percent": F.lit(0.0), "finished": F.lit(False)})

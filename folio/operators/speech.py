@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folio.functions import chars as C
 from folio.functions.segment import lang_runs, parts_of_runs, sentences
 from folio.functions.text import lc_lang, once
+from folio.operators.library import noted
+from folio.operators.position import chapter_of
 
 # Voices that sound best, and the regions to prefer.
 PREFERRED_ZH = r"(?i)Google|Siri|Meijia|美佳|Microsoft|Ting-Ting|Hsiao|曉|台|Taiwan"
@@ -24,6 +26,13 @@ def block_sentences(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return blocks.select(id_col, "b", F.posexplode(whole).alias("i", "s")).select(id_col, "b", "i", "s.t", "s.o")
 
 
+def rendered(blocks: DataFrame, units: DataFrame, notes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, ci, b, k, i, t, o, noted): every unit as the sentences of its blocks, with those that carry a note."""
+    inside = chapter_of(blocks.select(id_col, "b", "k", "t"), units, id_col)
+    spans = block_sentences(inside, id_col).join(inside.select(id_col, "b", "k", "ci"), [id_col, "b"])
+    return noted(spans.select(id_col, "ci", "b", "k", "i", "t", "o"), notes, id_col)
+
+
 def speech_queue(blocks: DataFrame, start: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, seq, b, o, say, lang, pause_ms): either something to say or a pause, in order.
 

@@ -106,3 +106,28 @@ def test_settings(spark):
 def test_tap_direction(spark):
     df = spark.createDataFrame([("edge", 0.1, 0.5), ("edge", 0.9, 0.5), ("edge", 0.5, 0.0), ("updown", 0.0, 0.2), ("updown", 0.0, 0.7), ("off", 0.0, 0.0)], "m string, x double, y double")
     assert [r.d for r in df.select(B.tap_direction(F.col("m"), F.col("x"), F.col("y")).alias("d")).collect()] == [-1, 1, 0, -1, 1, 0]
+
+
+def test_page_saves_and_the_end(spark):
+    saves = spark.createDataFrame([("s", 3, 4, 1), ("t", 2, 3, 1), ("x", 1, 0, 1)], "id string, page int, n_pages int, ts long")
+    b = books(spark, book("s", format="pdf-image"), book("t", format="pdf"), book("x", format="pdf-image"))
+    docs = spark.createDataFrame([("t", [0, 2], [0, 5, 8], 10)], "id string, starts array<int>, before array<long>, total long")
+    got = {r.id: (tuple(r.anchor), r.percent) for r in B.page_saves(saves, b, docs).collect()}
+    assert got == {"s": ((2, 0), 0.75), "t": ((2, 0), 0.8)}
+    blocks = spark.createDataFrame([("t", 0, "p", "abc"), ("t", 1, "p", "de")], "doc_id string, b int, k string, t string")
+    end = B.end_of_book(blocks, F.lit(9).cast("long"))
+    assert [(r.id, tuple(r.anchor), r.percent, r.ts) for r in end.collect()] == [("t", (1, 2), 1.0, 9)]
+    done = B.saved_progress(b, end)
+    assert rows(done.where("id = 't'"), "finished", "percent") == [(True, 1.0)]
+
+
+def test_open_and_render(spark):
+    from folio.operators.speech import rendered
+
+    units = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 1, 3)], "id string, ci int, start int, `end` int")
+    notes = spark.createDataFrame([note("n", b=2, o=0), note("m", b=1, o=4)], NOTES)
+    got = B.open_books(books(spark, book("a", anchor=(2, 0)), book("b")), units, notes)
+    assert {r.id: (r.ci, [x.note for x in r.notes or []]) for r in got.collect()} == {"a": (1, ["m", "n"]), "b": (0, [])}
+    blocks = spark.createDataFrame([("a", 0, "h", "Title"), ("a", 1, "p", "One here. Two there."), ("a", 2, "q", "Three.")], "doc_id string, b int, k string, t string")
+    spans = rendered(blocks, units.withColumnRenamed("id", "doc_id"), notes.select(F.col("book_id").alias("doc_id"), "b", "o"))
+    assert rows(spans, "ci", "b", "k", "t", "noted") == [(0, 0, "h", "Title", False), (1, 1, "p", " Two there.", False), (1, 1, "p", "One here.", False), (1, 2, "q", "Three.", True)]
