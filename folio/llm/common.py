@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -18,6 +17,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast up to this many narrow rows (ids, keys and counts).
 BROADCAST_ROWS = 250_000
 
+ROWS_A_BATCH, BYTES_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
 _SCRATCH: dict[str, list[str]] = {}
 _OWN_FOLDER: dict[str, str] = {}
 
@@ -95,16 +97,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-@contextlib.contextmanager
-def arrow_batches(spark: SparkSession, records: int = 2000):
-    """Bound the rows that one Arrow batch of texts carries to Python while a plan is made."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(records, int(before)) if int(before) > 0 else records))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of texts that one Arrow batch carries to Python.
+
+    Spark reads these settings when a plan runs, which may be after an operator has
+    returned it, so they stay lowered in the session.
+    """
+    for key, most in ((ROWS_A_BATCH, BATCH_ROWS), (BYTES_A_BATCH, BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

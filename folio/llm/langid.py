@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_batches, materialise, text_or_empty
+from folio.llm.common import bound_batches, materialise, text_or_empty
 
 ORDER = 3
 #: Labelled texts a language, about, that the trees are counted on.
@@ -34,7 +34,7 @@ SAMPLE = 4000
 #: The longest n-grams kept, the most frequent first.
 NODES = 400_000
 UNKNOWN = "und"
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 SLOTS = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +79,8 @@ def context_counts(texts: DataFrame) -> DataFrame:
                     gram, n = np.unique(grams(data, size)[own], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * gram.size), pa.array(np.full(gram.size, size, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "size", "gram", "n"])
 
-    with arrow_batches(texts.sparkSession):
-        return texts.mapInArrow(count, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    bound_batches(texts.sparkSession)
+    return texts.mapInArrow(count, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
 class ContextTrees:
@@ -207,8 +207,8 @@ def predict(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    with arrow_batches(docs.sparkSession):
-        return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(classify, f"`{id_col}` {kind}, lang_pred string, score double")
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(classify, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

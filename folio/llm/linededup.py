@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, SPACE_BYTES, arrow_batches, if_small, materialise, new_path, text_or_empty
+from folio.llm.common import BROADCAST_ROWS, SPACE_BYTES, bound_batches, if_small, materialise, new_path, text_or_empty
 
 SHARDS = 64
 #: Filters are broadcast up to this many bytes; beyond, every key goes to the exact join.
@@ -167,8 +167,8 @@ def line_keys(docs: DataFrame, min_chars: int, filters: list | None = None, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc", "tag", "pos", "hi", "lo"])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("tag"), text_or_empty(text_col).alias("text"))
-    with arrow_batches(docs.sparkSession):
-        return texts.mapInArrow(keys, f"doc {kind}, tag bigint, pos int, hi bigint, lo bigint")
+    bound_batches(docs.sparkSession)
+    return texts.mapInArrow(keys, f"doc {kind}, tag bigint, pos int, hi bigint, lo bigint")
 
 
 class LineIndex:

@@ -31,18 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_batches, if_small, materialise, text_or_empty
+from folio.llm.common import bound_batches, if_small, materialise, text_or_empty
 
 WORDS = 5
 CHUNKS, SYMBOLS, ERRORS = 14, 6, 1
 K = CHUNKS * SYMBOLS
 #: Bytes of full sets in a cell, and hubs of a cluster that all its cells hold.
-CELL_BYTES, HUBS = 24 << 20, 16
+CELL_BYTES, HUBS = 8 << 20, 16
 #: Small clusters are pooled to this part of a cell on average.
-POOLED = 8
+POOLED = 4
 #: Keys of buckets with two nodes or more are broadcast up to this many (two longs each).
 KEY_ROWS = 1_000_000
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240101)
 _ODD = lambda *shape: _RNG.integers(0, 1 << 63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,7 +65,7 @@ def scrambled(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 18)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, inverse)]
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -148,8 +148,8 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(began, len(texts)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.size for s in sets], pa.int64()), sig], names=["id", "hi", "lo", "n", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    with arrow_batches(docs.sparkSession):
-        return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(sign, f"id {kind}, hi bigint, lo bigint, n bigint, sig binary")
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(sign, f"id {kind}, hi bigint, lo bigint, n bigint, sig binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,8 +165,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
 
     ids = if_small(materialise(nodes.select(F.col("id").alias("__id")).distinct(), "ids"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    with arrow_batches(docs.sparkSession, 500):
-        sets = texts.mapInArrow(collect, "hi bigint, lo bigint, items binary")
+    bound_batches(docs.sparkSession)
+    sets = texts.mapInArrow(collect, "hi bigint, lo bigint, items binary")
     # rows of one id offer sets of other nodes, and repeated rows the same set again
     return sets.join(if_small(nodes.select("node", "hi", "lo")), ["hi", "lo"]).groupBy("node").agg(F.first("items").alias("items"))
 
@@ -310,8 +310,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                 found = bucket_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), K)), pa.array(found.ravel().view(np.int64))], names=["node", "key"])
 
-    with arrow_batches(docs.sparkSession):
-        rows = nodes.select("node", "sig").mapInArrow(keys, "node bigint, key bigint")
+    bound_batches(docs.sparkSession)
+    rows = nodes.select("node", "sig").mapInArrow(keys, "node bigint, key bigint")
     multi = materialise(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "buckets")
     met = rows.join(if_small(multi, KEY_ROWS), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     clusters = components(met)

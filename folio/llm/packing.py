@@ -19,19 +19,18 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_batches, materialise, text_or_empty
+from folio.llm.common import bound_batches, materialise, text_or_empty
 from folio.llm.tokens import default_tokenizer, settled
 
 END_ID = 2
 #: Pieces packed together by one task: large enough that the last bins of a group do not matter.
-GROUP_PIECES = 40_000
+GROUP_PIECES = 20_000
 #: Local search goes over the underfull bins at most this often.
 PASSES = 4
 
@@ -68,11 +67,6 @@ class Encoder:
         return (self.full if self.RUN.search(text) else self.plain).encode_ordinary(text)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, ranks: str | None) -> Encoder:
-    return Encoder(path, ranks)
-
-
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -85,7 +79,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None =
     ranks = ranks or (None if tokenizer else default_ranks())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, ranks)
+        enc = Encoder(path, ranks)  # of this task alone, so that idle workers do not hold one
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -104,8 +98,8 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    with arrow_batches(docs.sparkSession):
-        return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_batches, discard, if_small, materialise, text_or_empty
+from folio.llm.common import bound_batches, discard, if_small, materialise, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Window starts looked at together; longer texts are taken in overlapping pieces.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Bytes of contexts in a bucket, and different contexts of one anchor beyond which its windows are counted.
 BUCKET_BYTES, MOST_CONTEXTS = 1 << 20, 8000
 _PLACE_BITS = 24
@@ -308,24 +308,24 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     Removed is every byte that a string of `length` bytes covers which also starts
     anywhere else in the table; `gram` (a power of two) must be shorter than `length`.
     """
-    with arrow_batches(docs.sparkSession):
-        texts = keyed(docs, id_col, text_col)
-        spans = materialise(repeated_spans(texts, length, gram, bucket_bytes, most_contexts).withColumnsRenamed({"id": "id_", "tag": "tag_"}), "spans")
-        joined = texts.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("id", "text", "spans")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes, removed, runs, digests, kept = [], [], [], [], []
-                for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                    data, gone = text.as_py().encode("utf-8", "surrogatepass"), merged(spans.as_py() or [])
-                    edges = [0, *(x for r in gone for x in r), len(data)]
-                    left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else data
-                    sizes.append(len(data))
-                    removed.append(len(data) - len(left))
-                    runs.append(len(gone))
-                    digests.append(hashlib.sha256(left).hexdigest())
-                    kept.append(left)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
-
-        kind = docs.schema[id_col].dataType.simpleString()
-        return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary")
+    bound_batches(docs.sparkSession)
+    texts = keyed(docs, id_col, text_col)
+    spans = materialise(repeated_spans(texts, length, gram, bucket_bytes, most_contexts).withColumnsRenamed({"id": "id_", "tag": "tag_"}), "spans")
+    joined = texts.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("id", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, runs, digests, kept = [], [], [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                data, gone = text.as_py().encode("utf-8", "surrogatepass"), merged(spans.as_py() or [])
+                edges = [0, *(x for r in gone for x in r), len(data)]
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else data
+                sizes.append(len(data))
+                removed.append(len(data) - len(left))
+                runs.append(len(gone))
+                digests.append(hashlib.sha256(left).hexdigest())
+                kept.append(left)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary")

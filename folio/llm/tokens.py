@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_batches, text_or_empty
+from folio.llm.common import bound_batches, text_or_empty
 
 #: Pre-tokens remembered per Python worker before the memory is started afresh.
 REMEMBERED = 400_000
@@ -183,5 +183,5 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
 
     narrow = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    with arrow_batches(docs.sparkSession):
-        return narrow.mapInArrow(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    bound_batches(docs.sparkSession)
+    return narrow.mapInArrow(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

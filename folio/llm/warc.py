@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import arrow_batches, if_small, materialise, new_path, text_or_empty
+from folio.llm.common import bound_batches, if_small, materialise, new_path, text_or_empty
 
 #: Bytes of records in a file, on average; one record may be larger.
 FILE_BYTES = 16 << 20
@@ -102,8 +102,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "p
 
     narrow = marked.select(F.col("id").cast("string"), "url", F.when(~revisit, F.col("payload")).alias("payload"), "sha", revisit.alias("again"), F.col("first.id").cast("string").alias("first_id"), F.col("first.url").alias("first_url"))
     per_file = max(3, int(3 * file_bytes / (max(1, (size or 0) / max(1, n or 0)) + 1500)))
-    with arrow_batches(pages.sparkSession, 500):
-        narrow.mapInArrow(records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    bound_batches(pages.sparkSession)
+    narrow.mapInArrow(records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def inflated(data: bytes) -> bytes:
@@ -165,8 +165,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         part = []
                 yield pa.RecordBatch.from_pylist(part, schema)
 
-    with arrow_batches(spark, 1):
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
+    bound_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:

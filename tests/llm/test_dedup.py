@@ -46,8 +46,9 @@ def test_near_of_the_table(spark, sf_dir, table_rows):
     assert got.where("kept <> (doc_id = component_id)").isEmpty()
 
 
-def test_near_many_variants(spark):
-    """A large group of near copies that are not all similar to each other."""
+@pytest.mark.parametrize(("cell_bytes", "hubs"), [(1 << 23, 16), (20_000, 3), (5_000, 3)])
+def test_near_many_variants(spark, cell_bytes, hubs):
+    """A large group of near copies that are not all similar to each other, in one cell and in many."""
     import random
 
     rng = random.Random(5)
@@ -59,7 +60,7 @@ def test_near_many_variants(spark):
             text[rng.randrange(len(text))] = f"v{rng.randrange(50)}"
         rows.append((i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert near_rows(near_duplicates(docs)) == sorted(brute.near(rows))
+    assert near_rows(near_duplicates(docs, cell_bytes=cell_bytes, hubs=hubs)) == sorted(brute.near(rows))
 
 
 def test_near_repeated_rows_and_empty(null_id_docs, empty_docs, edge_rows):
