@@ -1,6 +1,7 @@
 """Plain Python specifications of the library's text rules, for comparison on small inputs."""
 
 import re
+from itertools import groupby
 
 from folio.functions import chars as C
 
@@ -67,20 +68,13 @@ def solid(t):
 
 
 def clauses(text):
-    out, start, i = [], 0, 0
-    while i < len(text):
-        c = text[i]
-        if c in C.CLAUSE_MARKS and not (c in ",:" and i and text[i - 1] in "0123456789" and text[i + 1 : i + 2] in tuple("0123456789")):
-            end = i + 1
-            while end < len(text) and text[end] in WS:
-                end += 1
-            if solid(text[start:i]) >= 2 and solid(text[end:]) >= 2:
-                out.append((start, text[start:end]))
-                start, i = end, end - 1
-        i += 1
-    if start < len(text):
-        out.append((start, text[start:]))
-    return out
+    out, start = [], 0
+    for m in re.finditer(f"[{C.CLAUSE_MARKS}][{re.escape(WS)}]*", text):
+        number = m[0][0] in ",:" and re.match("[0-9].[0-9]", text[max(0, m.start() - 1) : m.start() + 2])
+        if not number and min(solid(text[start : m.start()]), solid(text[m.end() :])) >= 2:
+            out.append((start, text[start : m.end()]))
+            start = m.end()
+    return out + [(start, text[start:])] * (start < len(text))
 
 
 def said(text):
@@ -98,31 +92,19 @@ def side(c):
 
 
 def runs(text, need_en=12, need_zh=1):
-    """Marks every character with the script of its run, then groups them."""
-    han, latin = sum(bool(HAN.match(c)) for c in text), sum(bool(LATIN.match(c)) for c in text)
+    """Positions of the other script, filled up between the first and last of each stretch, then grouped."""
+    han, latin = len(HAN.findall(text)), len(LATIN.findall(text))
     if not han or not latin:
         return [(text, "en" if latin else "zh", 0)] if text else []
-    own = "zh" if han >= latin / 4 else "en"
-    marks, j = [own] * len(text), 0
-    while j < len(text):
-        if side(text[j]) not in ("", own):
-            k, weight, last = j, 0, j
-            while k < len(text) and side(text[k]) != own:
-                if side(text[k]):
-                    weight, last = weight + 1, k
-                k += 1
-            if weight >= (need_en if side(text[j]) == "en" else need_zh):
-                marks[j : last + 1] = [side(text[j])] * (last + 1 - j)
-            j = k
-        else:
-            j += 1
-    out, s = [], 0
-    for i in range(1, len(text) + 1):
-        if i == len(text) or marks[i] != marks[s]:
-            if text[s:i].strip(WS):
-                out.append((text[s:i], marks[s], s))
-            s = i
-    return out or [(text, own, 0)]
+    own, other, need = ("zh", "en", need_en) if 4 * han >= latin else ("en", "zh", need_zh)
+    sides, foreign = [side(c) for c in text], set()
+    for is_own, stretch in groupby(range(len(text)), lambda i: sides[i] == own):
+        at = [i for i in stretch if sides[i]]
+        if not is_own and len(at) >= need:
+            foreign.update(range(at[0], at[-1] + 1))
+    groups = [(flag, list(g)) for flag, g in groupby(range(len(text)), foreign.__contains__)]
+    found = [(text[g[0] : g[-1] + 1], other if flag else own, g[0]) for flag, g in groups]
+    return [r for r in found if r[0].strip(WS)] or [(text, own, 0)]
 
 
 def units(blocks):
