@@ -41,3 +41,19 @@ def test_entry(spark):
 def test_plans_stay_in_the_jvm(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_package_is_shipped_where_workers_lack_it(spark, tmp_path, monkeypatch):
+    from folio.plans import shipping
+
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+    monkeypatch.setattr(shipping, "_DONE", set())
+    monkeypatch.setenv("PYTHONPATH", str(shipping.Path(shipping.folio.__file__).parent.parent))
+    monkeypatch.chdir(tmp_path)
+    shipping.ship(spark)
+    assert sent == []
+    monkeypatch.delenv("PYTHONPATH")
+    shipping.ship(spark)
+    shipping.ship(spark)
+    assert len(sent) == 1
