@@ -4,11 +4,17 @@ Everything is a column expression over one row; nothing is shuffled and no Pytho
 
 Line rules (a line that holds no word is neither kept nor lost):
 * navigation: at least two of the separators ``| > » ·``, and one to every five words;
-* boilerplate: a short line with a phrase of BOILERPLATE;
-* punctuation: a short line of four words or more without an end mark, a short line of
-  which more than half are ASCII signs, a line with a long run of signs, a line with a
-  symbol (one of ``# * $ % & | < >``) to every ten characters, or one with two doubled
-  marks such as ``!!`` or more, and one to every four words.
+* boilerplate: a short line with a phrase of BOILERPLATE as whole words;
+* punctuation: a short line of four words or more without an end mark that is no part of
+  a wrapped passage, a short line of which more than half are ASCII signs, a line with a
+  long run of signs, a line with a symbol (one of ``# * $ % & | < >``) to every ten
+  characters, or one with two doubled marks such as ``!!`` or more, and one to every four
+  words.
+
+A line reads on in the next one if both hold words, neither fails by another rule, and the
+next is of similar width (the line, with the next one's first word, has over three quarters
+of its characters) or starts in lower case.  Lines that read on form a passage; if a
+sentence ends anywhere in it, its lines need no end marks of their own.
 
 A document stays if its base counts pass and the words of its kept lines hold at least
 half of the characters in words.
@@ -48,7 +54,29 @@ BOILERPLATE = (
     "skip to content",
     "powered by",
 )
+#: The end marks of the SQL; the rules here take SENTENCE_END.
 END_MARK = rf"[.!?:;…。！？][\"')\]’”»]*[{SPACES}]*\z"
+#: Unicode's sentence terminals (STerm, ATerm) beyond ASCII.
+TERMINALS = (
+    r"\x{589}\x{61D}-\x{61F}\x{6D4}\x{700}-\x{702}\x{7F9}\x{837}\x{839}\x{83D}-\x{83E}"
+    r"\x{964}-\x{965}\x{104A}-\x{104B}\x{1362}\x{1367}-\x{1368}\x{166E}\x{1735}-\x{1736}\x{17D4}-\x{17D5}\x{1803}"
+    r"\x{1809}\x{1944}-\x{1945}\x{1AA8}-\x{1AAB}\x{1B4E}-\x{1B4F}\x{1B5A}-\x{1B5B}\x{1B5E}-\x{1B5F}\x{1B7D}-\x{1B7F}\x{1C3B}-\x{1C3C}"
+    r"\x{1C7E}-\x{1C7F}\x{2024}\x{203C}-\x{203D}\x{2047}-\x{2049}\x{2CF9}-\x{2CFB}\x{2E2E}\x{2E3C}\x{2E53}-\x{2E54}"
+    r"\x{2E60}-\x{2E61}\x{3002}\x{A4FF}\x{A60E}-\x{A60F}\x{A6F3}\x{A6F7}\x{A876}-\x{A877}\x{A8CE}-\x{A8CF}"
+    r"\x{A92F}\x{A9C8}-\x{A9C9}\x{AA5D}-\x{AA5F}\x{AAF0}-\x{AAF1}\x{ABEB}\x{FE12}\x{FE15}-\x{FE16}\x{FE52}"
+    r"\x{FE56}-\x{FE57}\x{FF01}\x{FF0E}\x{FF1F}\x{FF61}\x{10A56}-\x{10A57}\x{10F55}-\x{10F59}\x{10F86}-\x{10F89}"
+    r"\x{11047}-\x{11048}\x{110BE}-\x{110C1}\x{11141}-\x{11143}\x{111C5}-\x{111C6}\x{111CD}\x{111DE}-\x{111DF}\x{11238}-\x{11239}\x{1123B}-\x{1123C}"
+    r"\x{112A9}\x{113D4}-\x{113D5}\x{1144B}-\x{1144C}\x{115C2}-\x{115C3}\x{115C9}-\x{115D7}\x{11641}-\x{11642}\x{1173C}-\x{1173E}\x{11944}"
+    r"\x{11946}\x{11A42}-\x{11A43}\x{11A9B}-\x{11A9C}\x{11C41}-\x{11C42}\x{11EF7}-\x{11EF8}\x{11F43}-\x{11F44}\x{16A6E}-\x{16A6F}\x{16AF5}"
+    r"\x{16B37}-\x{16B38}\x{16B44}\x{16D6E}-\x{16D6F}\x{16E98}\x{1BC9F}\x{1DA88}"
+)
+#: Full stops and the like, with ellipses and the shad; then further marks that may end a line:
+#: colons and semicolons, Latin, Greek, Arabic and full width.
+STOPS = rf".!?\x{{2026}}\x{{F0D}}-\x{{F0E}}{TERMINALS}"
+CLOSERS = r"[\"'\p{Pe}\p{Pf}\p{Pi}»]*"
+SENTENCE_END = rf"[{STOPS}:;\x{{37E}}\x{{61B}}\x{{FF1A}}\x{{FF1B}}]{CLOSERS}[{SPACES}]*\z"
+#: A sentence that ends anywhere in a line.
+SENTENCE = rf"[{STOPS}]{CLOSERS}([{SPACES}]|\z)|[\x{{3002}}\x{{FF01}}\x{{FF1F}}]|{SENTENCE_END}"
 #: Runs without ASCII signs: white space, letters, digits, anything beyond ASCII.
 UNSIGNED = rf"[{SPACES}A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+"
 #: So many ASCII signs in a row are no prose.
@@ -104,18 +132,61 @@ def with_base_counts(docs: DataFrame, text: str = "__text") -> DataFrame:
     ).withColumns({"n_words": F.col("__words.n"), "n_repeat_words": F.col("__words.repeated")}).drop("__words")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line that holds a word passes all line rules."""
+#: Of a line: passes (or holds no word), fails only for want of an end mark, fails by another rule.
+PASSES, UNENDED, FAILS = 0, 1, 2
+
+
+def line_kind(line: Column) -> Column:
+    """PASSES, UNENDED or FAILS, from the line alone."""
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     navigation = (count(SEPARATOR) >= 2) & (5 * count(SEPARATOR) >= count(WORD))
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    unended = line.rlike(FOUR_WORDS) & ~line.rlike(END_MARK)
+    phrase = "|".join(BOILERPLATE)
+    # the plain phrases come first: few lines hold one
+    boilerplate = F.lower(line).rlike(phrase) & F.lower(line).rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])({phrase})(?![\p{{L}}\p{{M}}\p{{N}}_])")
+    unended = line.rlike(FOUR_WORDS) & ~line.rlike(SENTENCE_END)
     signs = 2 * F.length(F.regexp_replace(line, UNSIGNED, "")) > F.length(line)
     symbols = line.rlike("[#*$%&|<>]") & (10 * F.length(F.regexp_replace(line, NOT_SYMBOLS, "")) >= F.length(line))
     shouting = line.rlike(DOUBLED) & (count(DOUBLED) >= 2) & (4 * count(DOUBLED) >= count(WORD))
     # the cheap look for a sign comes first: most lines of prose end there
     odd = line.rlike("[|>»·#*$%&<!?]") & (navigation | symbols | shouting)
-    return ~(odd | F.when(F.length(line) < SHORT_LINE, boilerplate | unended | signs).otherwise(line.rlike(SIGN_RUN)))
+    fails = odd | F.when(F.length(line) < SHORT_LINE, boilerplate | signs).otherwise(line.rlike(SIGN_RUN))
+    return F.when(~line.rlike(WORD), PASSES).when(fails, FAILS).when((F.length(line) < SHORT_LINE) & unended, UNENDED).otherwise(PASSES)
+
+
+def line_passes(line: Column) -> Column:
+    """Whether a line that holds a word passes all line rules on its own."""
+    return line_kind(line) == PASSES
+
+
+def in_passages(lines: Column, kinds: Column) -> Column:
+    """"1" for each line of a passage of two lines or more in which a sentence ends, else "0".
+
+    One letter a line (b and d read on in the next, c and d hold the end of a sentence), cut
+    into passages after each line that does not read on: linear in the lines.
+    """
+
+    def letter(x: Column, i: Column) -> Column:
+        after = F.get(lines, i + 1)
+        words = x.rlike(WORD) & after.rlike(WORD) & (F.get(kinds, i) != FAILS) & (F.get(kinds, i + 1) != FAILS)
+        similar = 4 * (F.length(x) + 1 + F.length(F.regexp_extract(after, WORD, 0))) > 3 * F.length(after)
+        on = F.coalesce(words & (similar | after.rlike(rf"^[{SPACES}]*\p{{Ll}}")), F.lit(False))
+        ends = x.rlike(SENTENCE)
+        return F.when(on, F.when(ends, "d").otherwise("b")).otherwise(F.when(ends, "c").otherwise("a"))
+
+    passages = F.split(F.array_join(F.transform(lines, letter), ""), "(?<=[ac])")
+    flags = F.transform(passages, lambda p: F.when((F.length(p) > 1) & p.rlike("[cd]"), F.translate(p, "abcd", "1111")).otherwise(F.translate(p, "abcd", "0000")))
+    return F.split(F.array_join(flags, ""), "")
+
+
+def failing(lines: Column) -> Column:
+    """Of each of the (bound) lines, whether it fails."""
+
+    def judged(kinds: Column) -> Column:
+        alone = F.transform(kinds, lambda k: k != PASSES)
+        passages = bound(in_passages(lines, kinds), lambda p: F.transform(kinds, lambda k, i: (k == FAILS) | ((k == UNENDED) & (F.get(p, i) == "0"))))
+        return F.when(F.array_contains(kinds, UNENDED), passages).otherwise(alone)
+
+    return bound(F.transform(lines, line_kind), judged)
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -125,14 +196,15 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Working columns start with two underscores.
     """
     base = with_base_counts(docs.select(*docs.columns, text_or_empty(text_col).alias("__text")))
-    fails = lambda x: x.rlike(WORD) & ~line_passes(x)
     lines = F.split(F.col("__text"), "\n", -1)
+    base = base.withColumn("__fails", bound(lines, failing))
     chars = lambda x: F.length(F.regexp_replace(x, f"[{SPACES}]+", ""))
-    lost = F.aggregate(F.filter(lines, fails), F.lit(0), lambda a, x: a + chars(x))
+    fails = lambda i: F.get(F.col("__fails"), i)
+    lost = F.when(~F.array_contains("__fails", True), 0).otherwise(F.aggregate(F.filter(lines, lambda x, i: fails(i)), F.lit(0), lambda a, x: a + chars(x)))
     judged = base.withColumns({"base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")), "__lost": lost})
     kept = ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("__lost")) >= MIN_KEPT * F.col("word_chars"))
-    clean = F.when(F.col("__lost") == 0, F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda x: ~fails(x)), "\n"))
-    return judged.withColumns({"kept": kept, "clean_text": clean}).drop("__text", "__lost")
+    clean = F.when(F.col("__lost") == 0, F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~fails(i)), "\n"))
+    return judged.withColumns({"kept": kept, "clean_text": clean}).drop("__text", "__fails", "__lost")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

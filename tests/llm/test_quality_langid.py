@@ -58,6 +58,48 @@ def test_cleaning_and_verdict(spark):
     assert not got[3].kept and not got[4].kept and not got[5].kept
 
 
+WRAPPED = """\
+Call me Ishmael. Some years ago, never mind how long precisely, having
+little or no money in my purse, and nothing particular to interest me on
+shore, I thought I would sail about a little and see the watery part of
+the world. It is a way I have of driving off the spleen and regulating
+the circulation.
+
+Whenever I find myself growing grim about the mouth; whenever it is a
+damp, drizzly November in my soul; whenever I find myself involuntarily
+pausing before coffin warehouses, I account it high time to get to sea
+as soon as I can. This is my substitute for pistol and ball, and with a
+philosophical flourish Cato throws himself upon his sword while I take
+"""
+
+
+def test_wrapped_prose_stays(spark):
+    junk = "Top stories of this day\nWatch the latest videos now\nMore from all our partners\n"
+    docs = spark.createDataFrame([(1, WRAPPED), (2, WRAPPED.replace("\n", "\r\n")), (3, WRAPPED + "\n" + junk), (4, junk * 12), (5, "\n\n".join(WRAPPED.split("\n")))], "doc_id long, text string")
+    got = {r.doc_id: r for r in Q.quality(docs).collect()}
+    assert got[1].kept and got[1].clean_text == WRAPPED
+    assert got[2].kept and got[2].clean_text == WRAPPED.replace("\n", "\r\n")
+    assert got[3].kept and got[3].clean_text == WRAPPED + "\n"
+    assert not got[4].kept and not got[5].kept
+
+
+def test_end_marks_and_phrases(spark):
+    lines = {
+        "यह एक छोटा वाक्य है।": True,
+        "यह एक छोटा वाक्य है": False,
+        "هل هذا سؤال قصير جدا؟": True,
+        "یہ ایک چھوٹا جملہ ہے۔": True,
+        "Αυτή είναι μια μικρή ερώτηση\u037e": True,
+        "ይህ አጭር ዓረፍተ ነገር ነው።": True,
+        "The catalog in the hall was long.": True,
+        "Please log in to go on.": False,
+        "LOG IN": False,
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "t string")
+    got = {r.t: r.ok for r in df.select("t", Q.line_passes(df.t).alias("ok")).collect()}
+    assert got == lines
+
+
 def test_quality_of_repeated_rows_and_empty_tables(null_id_docs, empty_docs, edge_rows):
     assert Q.quality_report(null_id_docs).count() == 3 * len(edge_rows)
     assert Q.quality_report(empty_docs).collect() == []
