@@ -83,8 +83,9 @@ UNSIGNED = rf"[{SPACES}A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+"
 SIGN_RUN = r"[!-/:-@\[-`{-~]{12}"
 SEPARATOR, DOUBLED = "[|>»·]", "[!?]{2,}"
 FOUR_WORDS = rf"{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}"
-#: Bits of a position inside the packed (hash, position) numbers that find repeated windows.
-POSITION_BITS = 24
+#: Bits of a position inside the packed (hash, position) numbers that find repeated windows:
+#: for texts of at most 2 ** POSITION_BITS words, and for longer ones (an array index has 31).
+POSITION_BITS, ANY_POSITION_BITS = 24, 31
 
 
 def bound(value: Column, use) -> Column:
@@ -103,9 +104,16 @@ def repeated_window_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs twice or more in the text.
 
     Window hashes share a long with their positions, so one sort of plain numbers finds
-    the few windows whose leading hash bits repeat; only those are compared in full.
+    the few windows whose leading hash bits repeat; only those are compared in full, so
+    that the bits left to the hash decide the work and not the result.
     """
-    step = 1 << POSITION_BITS
+    packed = [packed_window_words(words, bits) for bits in (POSITION_BITS, ANY_POSITION_BITS)]
+    return F.when(F.size(words) <= 1 << POSITION_BITS, packed[0]).otherwise(packed[1])
+
+
+def packed_window_words(words: Column, bits: int) -> Column:
+    """repeated_window_words for at most 2 ** bits words."""
+    step = 1 << bits
     position = lambda x: x.bitwiseAND(step - 1).cast("int")
     top = F.lit(((1 << 63) - 1) & ~(step - 1))
     packed = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(top).bitwiseOR(i.cast("long")))

@@ -20,6 +20,13 @@ def test_base_counts_of_the_table(spark, sf_dir, table_rows):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
+def test_repeats_beyond_the_packed_positions(edge_docs, edge_rows, monkeypatch):
+    """Texts with more words than the short positions count are counted in full."""
+    monkeypatch.setattr(Q, "POSITION_BITS", 4)
+    got = {r.doc_id: r.n_repeat_words for r in Q.quality_report(edge_docs).collect()}
+    assert got == {r[0]: brute.base_counts(r[1])[4] for r in edge_rows}
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op8_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
