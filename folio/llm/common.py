@@ -16,6 +16,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: A side of a join is broadcast up to this many narrow rows (ids, keys and counts).
 BROADCAST_ROWS = 250_000
+#: Where rows also hold text, with at most this many bytes of it.
+BROADCAST_BYTES = 64 << 20
 
 ROWS_A_BATCH, BYTES_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -85,12 +87,20 @@ def discard(df: DataFrame) -> None:
         _SCRATCH[df.sparkSession.sparkContext.applicationId].remove(own)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> DataFrame:
     """`df` (already materialised) with a broadcast hint if it has at most `rows` rows.
 
+    With `text`, a column of strings or bytes of any length, also only up to BROADCAST_BYTES
+    of it; above that the hint asks for a shuffle, as Spark itself goes by compressed files.
+
     Beyond that the join shuffles both sides and adaptive execution splits skewed keys.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    if text is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    count, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    if size > BROADCAST_BYTES:
+        return df.hint("merge")
+    return F.broadcast(df) if count <= rows else df
 
 
 def text_or_empty(column: str = "text") -> Column:

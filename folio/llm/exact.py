@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, first_width: int = FIRST_WIDTH, id_col: str =
         parts = state.groupBy("group", "digit").agg(F.min("row").alias("part"), F.count("*").alias("n"))
         # a settled singleton stays where it is: only its own row names it
         many = materialise(parts.where("n > 1"), "parts")
-        split = state.join(if_small(many), ["group", "digit"]).select("row", F.col("part").alias("group"), "n", (F.octet_length("digit") < width).alias("ended"))
+        split = state.join(if_small(many, text="digit"), ["group", "digit"]).select("row", F.col("part").alias("group"), "n", (F.octet_length("digit") < width).alias("ended"))
         split = materialise(split, "split")
         settled.append(split.where("ended").select("row", "group"))
         open_rows = split.where("NOT ended").select("row", "group")

@@ -2,6 +2,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from folio.llm import common
 from folio.llm.exact import exact_dedup
 from folio.llm.linededup import CuckooFilter, LineIndex, line_dedup
 from folio.llm.minhash import near_duplicates
@@ -32,6 +33,21 @@ def test_exact_repeated_rows_and_empty(null_id_docs, empty_docs, edge_rows):
     assert exact_dedup(empty_docs).collect() == []
 
 
+def test_exact_broadcasts_few_bytes(edge_docs, edge_rows, monkeypatch):
+    """Digits of long copied texts are shuffled, however few rows they are."""
+    sent, hint = [], F.broadcast
+
+    def broadcast(df):
+        if "digit" in df.columns:
+            sent.append(df.agg(F.sum(F.octet_length("digit"))).first()[0] or 0)
+        return hint(df)
+
+    monkeypatch.setattr(F, "broadcast", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 3000, raising=False)
+    assert exact_rows(exact_dedup(edge_docs)) == sorted(brute.exact([r[:2] for r in edge_rows]))
+    assert sent and max(sent) <= 3000
+
+
 def near_rows(df):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
 
