@@ -7,18 +7,19 @@ to ERRORS symbols, so with ERRORS = 1 every chunk is indexed once for each symbo
 out, and every pair under that distance (28 of 84) meets in a bucket.  At similarity 0.75
 a pair meets nowhere with probability 2e-5, less above it.
 
-Buckets are never expanded into pairs.  Each gives links from its lead to its nodes, and
-what these connect is a cluster: all pairs in question lie inside one.  Clusters are cut
-into cells of bounded bytes that hold the full sets; a task compares the sets of a cell
-and returns the links that join its components, fewer than it has nodes.  A cluster of one
-cell is settled by that.  In a larger one every cell also holds the cluster's hubs, so the
-copies of one text fall into one component wherever they were dealt; then only cells of
-different components are compared, a large component's cells never with each other.
+Nothing is joined on a mere meeting.  Pairs that meet are first held against each other by
+their signatures, and those that agree in enough symbols by their full sets; only links
+confirmed by full sets make components.  To keep the pairs few, a round compares each
+bucket's members with two of them; then only buckets that still hold several components
+are in question, large ones being compared with some of their main component first.  What
+remains outside a bucket's main component is compared with every member, in cells of
+bounded size: a large group of near copies is never compared with itself.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with nothing and is
 its own component; texts of one to four words have one shingle; repeated rows fall into
 one node and get the same component; null ids count as larger than any id; an empty table
-gives an empty table; other columns are not read.
+gives an empty table; other columns are not read.  A text of any length has one signature
+and one set, of 8 bytes a shingle, which one task holds whole.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ from folio.llm.common import bound_batches, if_small, materialise, text_or_empty
 WORDS = 5
 CHUNKS, SYMBOLS, ERRORS = 14, 6, 1
 K = CHUNKS * SYMBOLS
-#: Bytes of full sets in a cell, and hubs of a cluster that all its cells hold.
-CELL_BYTES, HUBS = 8 << 20, 16
-#: Small clusters are pooled to this part of a cell on average.
-POOLED = 4
+#: Bytes of full sets in a cell; members of a bucket beyond which it is cut into blocks of so many.
+CELL_BYTES, BLOCK = 8 << 20, 1000
+#: Bucket rows that one task's group pools, and pairs of signatures held against each other at once.
+POOL_ROWS, PAIRS = 20_000, 100_000
+#: Rounds in which large buckets are compared with members of their main component, and how many of these.
+ROUNDS, LEADS = 6, 3
 #: Keys of buckets with two nodes or more are broadcast up to this many (two longs each).
 KEY_ROWS = 1_000_000
 GROUP_BYTES = 1 << 18
@@ -192,113 +195,212 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(small, "small")
 
 
-def linking_pairs(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of the sets; those of one label are one component already.
+def mark_words(marks: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The low bytes of signatures, eight to a number, the rest of the last one zero."""
+    flat = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, K)
+    return np.ascontiguousarray(np.pad(flat, ((0, 0), (0, -K % 8)))).view(np.uint64)
 
-    A set is compared with all others at once by counting their occurrences in the lists
-    of its elements.  Sets outside the largest component are taken until none is left, so
-    one side of every pair between components has been compared with the other.
+
+def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many of K bytes the rows are equal, counted in whole numbers at once."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    x = one ^ two
+    different = (((x & low) + low) | x) & ~low  # the top bit of each byte that is not zero
+    return K - np.bitwise_count(different).sum(1, dtype=np.int64)
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree, in the low byte of each symbol, in `least` places or more."""
+    marks = nodes.select("node", "marks")
+    both = pairs.join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = pa.array(agreement(mark_words(batch.column(2)), mark_words(batch.column(3))) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "ma", "mb").mapInArrow(close, "a bigint, b bigint")
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where rows with new keys begin, and the number of rows at the end (rows sorted by keys)."""
+    new = np.zeros(keys[0].size, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.r_[np.flatnonzero(new), keys[0].size]
+
+
+def met_in_buckets(cells: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a cell and whose signatures agree enough.
+
+    Rows are (pool, key, i, j, node, label, left, right, marks): a pool is a task's group of many
+    cells (key, i, j), and left rows of a cell are compared with its right rows.
     """
-    n = len(sets)
-    sizes = np.array([s.size for s in sets])
-    label = np.unique(labels, return_inverse=True)[1]
-    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    head = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    count = np.diff(np.r_[head, values.size])
-    at = np.empty(order.size, np.int64)  # the list of each element, sets end to end
-    at[order] = np.repeat(np.arange(head.size), count)
-    bounds = np.cumsum(np.r_[0, sizes])
-    weight, todo, found = np.bincount(label), np.ones(n, bool), []
-    while True:
-        rest = np.flatnonzero(todo & (label != weight.argmax()))
-        if not rest.size:
-            return found
-        for x in rest.tolist():
-            if not todo[x] or label[x] == weight.argmax():
-                continue
-            todo[x] = False
-            lists = at[bounds[x] : bounds[x + 1]]
-            lists = lists[count[lists] > 1]
-            length = count[lists]
-            where = np.repeat(head[lists] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-            common = np.bincount(owner[where], minlength=n)
-            linked = 100 * common >= percent * (sizes[x] + sizes - common)
-            other, first = np.unique(label[linked], return_index=True)
-            for o, y in zip(other.tolist(), np.flatnonzero(linked)[first].tolist(), strict=True):
-                if o != label[x]:
-                    found.append((x, y))
-            keep = max([*other.tolist(), int(label[x])], key=weight.__getitem__)
-            for o in {*other.tolist(), int(label[x])} - {keep}:
-                label[label == o] = keep
-                weight[keep] += weight[o]
-                weight[o] = 0
-
-
-def cell_links(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found in each cell of rows (cluster, cell, node, label, items)."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+        key, i, j, node, label, left, right = (rows[c].to_numpy() for c in ("key", "i", "j", "node", "label", "left", "right"))
+        marks = mark_words(rows["marks"])
+        names, short = np.unique(node, return_inverse=True)
+        edge = runs_of(key, i, j)
+        of = np.repeat(np.arange(edge.size - 1), np.diff(edge))
+        those = np.flatnonzero(right)
+        first = np.searchsorted(those, edge)  # right rows of each cell
+        these = np.flatnonzero(left)
+        many = (first[1:] - first[:-1])[of[these]]
+        found = []
+        for part in np.split(these, np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum(), PAIRS))):
+            n = (first[1:] - first[:-1])[of[part]]
+            x = np.repeat(part, n)
+            y = those[np.repeat(first[of[part]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if n.sum() else x[:0]
+            twice = left[y] & right[x]  # met from both sides: once is enough
+            keep = (label[x] != label[y]) & (~twice | (node[x] < node[y]))
+            x, y = x[keep], y[keep]
+            for k in range(0, x.size, PAIRS):
+                a, b = x[k : k + PAIRS], y[k : k + PAIRS]
+                near = agreement(marks[a], marks[b]) >= least
+                a, b = short[a[near]], short[b[near]]
+                found.append(np.minimum(a, b) * names.size + np.maximum(a, b))
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        return pa.table({"a": pa.array(names[pairs // names.size] if pairs.size else pairs), "b": pa.array(names[pairs % names.size] if pairs.size else pairs)})
+
+    return cells.groupBy("pool").applyInArrow(compare, "a bigint, b bigint")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) -> DataFrame:
+    """Those of the (materialised) pairs (a, b) that the full sets (node, items, bytes) link.
+
+    Sets come to cells of about `cell_bytes`: b's with all its partners a, or with a part of
+    them where they hold more than a quarter of a cell.
+    """
+    size = sets.select("node", "bytes")
+    loads = pairs.join(size.select(F.col("node").alias("a"), F.col("bytes").alias("load")), "a").groupBy("b").agg(F.sum("load").alias("load"))
+    loads = materialise(loads.join(size.select(F.col("node").alias("b"), "bytes"), "b").withColumn("parts", F.ceil(F.col("load") * 4 / cell_bytes)), "loads")
+    whole = loads.agg(F.sum(F.col("load") + F.col("bytes") * F.col("parts"))).first()[0] or 0
+    cell = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(-(-int(whole) // cell_bytes) or 1))
+    placed = pairs.join(if_small(loads.select("b", "parts")), "b").select(cell.alias("cell"), "a", "b")
+    partners = placed.groupBy("cell", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))
+    mates = placed.select("cell", F.col("a").alias("node")).distinct().withColumn("partners", F.lit(None).cast("array<bigint>"))
+    needed = partners.unionByName(mates).groupBy("cell", "node").agg(F.first("partners", True).alias("partners"))
+    filled = needed.join(sets.select("node", "items"), "node")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")  # the same links in whatever order rows came
-        node = rows["node"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
-        pairs = np.array(linking_pairs(sets, rows["label"].to_numpy(), percent), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(node[pairs[:, 0]]), "b": pa.array(node[pairs[:, 1]])})
-
-    return placed.groupBy("cluster", "cell").applyInArrow(compare, "a bigint, b bigint")
-
-
-def cluster_links(members: DataFrame, percent: int, cell_bytes: int, hubs: int) -> DataFrame:
-    """Links (a, b) that connect what is linked, for (materialised) rows (node, cluster, items)."""
-    members = members.withColumn("bytes", F.octet_length("items"))
-    clusters = materialise(members.groupBy("cluster").agg(F.sum("bytes").alias("weight")), "clusters")
-    large = materialise(clusters.where(F.col("weight") > cell_bytes).withColumn("cells", F.ceil(F.col("weight") / cell_bytes)), "large-clusters")
-    # many small clusters share a cell, number -1 of their pool
-    pools = -(-(clusters.agg(F.sum("weight")).first()[0] or 0) * POOLED // cell_bytes) or 1
-    pool = lambda rows: rows.select(F.pmod(F.xxhash64("cluster"), F.lit(pools)).alias("cluster"), F.lit(-1).cast("long").alias("cell"), "node", F.col("node").alias("label"), "items")
-    if large.isEmpty():
-        return materialise(cell_links(pool(members), percent), "links")
-    dealt = members.join(if_small(large.select("cluster", "cells")), "cluster", "left")
-    # hubs: the nodes of least hash in so many parts of the cluster, to all its cells
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(hubs))
-    hub = dealt.where("cells IS NOT NULL").groupBy("cluster", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node"))).alias("h"))
-    hub = materialise(hub.select(F.col("h.node").alias("node"), F.lit(True).alias("hub")), "hubs")
-    cell = F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("cells"))))
-    cut = dealt.where("cells IS NOT NULL").join(if_small(hub), "node", "left").withColumn("cell", F.explode(cell))
-    first = pool(dealt.where("cells IS NULL")).unionByName(cut.select("cluster", "cell", "node", F.col("node").alias("label"), "items"))
-    links = materialise(cell_links(first, percent), "links")
-    # what is left: pairs from different cells and different components
-    labels = materialise(components(links), "labels")
-    again = members.join(if_small(large.select("cluster")), "cluster", "left_semi").join(if_small(labels), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    again = materialise(again.select("cluster", "node", "label", "bytes"), "again")
-    roots = again.groupBy("cluster", "label").agg(F.sum("bytes").alias("weight"))
-    roots = roots.withColumns({"own": F.col("weight") > cell_bytes})
-    mixed = roots.where("NOT own").groupBy("cluster").agg(F.ceil(F.sum("weight") / cell_bytes).alias("parts")).withColumn("label", F.lit(None).cast("long"))
-    alone = roots.where("own").select("cluster", F.ceil(F.col("weight") / cell_bytes).alias("parts"), "label")
-    blocks = materialise(alone.unionByName(mixed), "block-counts")
-    block = materialise(blocks.select("cluster", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    other = block.select("cluster", F.col("label").alias("label2"), F.col("block").alias("block2"))
-    # cells of two blocks (or of one block of small components), never two of one large component
-    pair = block.join(other, "cluster").where("block <= block2 AND (label IS NULL OR label2 IS NULL OR label <> label2)").withColumn("cell", F.monotonically_increasing_id())
-    pair = materialise(pair.select("block", "block2", "cell"), "block-pairs")
-    of_block = pair.select(F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), "cell")
-    sized = again.join(if_small(materialise(alone.select("cluster", F.col("label"), F.lit(True).alias("own"), F.col("parts").alias("own_parts")), "own")), ["cluster", "label"], "left")
-    sized = sized.join(if_small(materialise(mixed.select("cluster", F.col("parts").alias("mixed_parts")), "mixed")), "cluster", "left")
-    sized = sized.withColumns({"of": F.when(F.col("own"), F.col("label")), "part": F.when(F.col("own"), F.pmod(F.xxhash64("node"), F.col("own_parts"))).otherwise(F.pmod(F.xxhash64("label"), F.col("mixed_parts")))})
-    keyed = sized.select("cluster", "node", "label", "of", "part")
-    where = block.select(F.col("cluster").alias("cluster_"), F.col("label").alias("of_"), F.col("part").alias("part_"), "block")
-    inside = keyed.join(if_small(where), (F.col("cluster") == F.col("cluster_")) & F.col("of").eqNullSafe(F.col("of_")) & (F.col("part") == F.col("part_")))
-    inside = inside.select("cluster", "node", "label", "block").join(if_small(materialise(of_block, "cells-of-blocks")), "block").select("cluster", "cell", "node", "label")
-    cross = cell_links(inside.join(members.select("node", "items"), "node"), percent)
-    return links.unionByName(materialise(cross, "cross-links"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", cell_bytes: int = CELL_BYTES, hubs: int = HUBS) -> DataFrame:
+        node, sets = rows["node"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
+        sizes = np.array([s.size for s in sets])
+        # elements as small numbers, so that a set can be marked in an array and others read there
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        sets, marked, out = np.split(codes, np.cumsum(sizes)[:-1]), np.zeros(values.size, bool), []
+        for y, partners in enumerate(rows["partners"]):
+            if not partners.is_valid:
+                continue
+            xs = np.searchsorted(node, np.sort(partners.values.to_numpy()))
+            marked[sets[y]] = True
+            same = marked[np.concatenate([sets[x] for x in xs.tolist()])]
+            marked[sets[y]] = False
+            common = np.add.reduceat(same, np.r_[0, np.cumsum(sizes[xs])[:-1]], dtype=np.int64)
+            hit = xs[100 * common >= percent * (sizes[xs] + sizes[y] - common)]
+            out.append(np.stack([node[hit], np.full(hit.size, node[y])], 1))
+        links = np.concatenate([np.zeros((0, 2), np.int64), *out])
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    return materialise(filled.groupBy("cell").applyInArrow(compare, "a bigint, b bigint"), "links")
+
+
+class Links:
+    """Links confirmed so far, the full sets read for them, and what they connect."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str, cell_bytes: int):
+        self.docs, self.nodes, self.percent, self.columns, self.cell_bytes = docs, nodes, percent, (id_col, text_col), cell_bytes
+        self.sets = self.links = self.labels = None
+
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Compare the full sets of (materialised) pairs (a, b); whether any are linked."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = materialise(self.nodes.select("node", "id", "hi", "lo").join(wanted, "node", "left_semi"), "wanted")
+        if not wanted.isEmpty():
+            more = full_sets(self.docs, wanted, *self.columns).withColumn("bytes", F.octet_length("items").cast("long"))
+            more = materialise(more, "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return False
+        new = linked(pairs, self.sets, self.percent, self.cell_bytes)
+        if new.isEmpty():
+            return False
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.labels = materialise(components(self.links), "labels")
+        # what is in a component needs no link of its own again
+        self.links = self.labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return True
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the label of their node: its component's least node, or itself."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(if_small(self.labels), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def least_agreement(percent: int) -> int:
+    """Symbols in which linked sets agree but for about one pair in 200,000 (4.4 deviations)."""
+    p = percent / 100
+    return max(1, int(np.ceil(K * p - 4.4 * np.sqrt(K * p * (1 - p)))))
+
+
+def confirmed_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, percent: int, id_col: str, text_col: str, cell_bytes: int, block: int) -> DataFrame | None:
+    """(node, root): components of the links among nodes that met in buckets (node, key, lead, last)."""
+    least = least_agreement(percent)
+    found = Links(docs, nodes, percent, id_col, text_col, cell_bytes)
+    ends = met.select(F.explode(F.array("lead", "last")).alias("b"), F.col("node").alias("a")).where("a <> b")
+    pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found.confirm(materialise(agreeing(pairs, nodes, least), "pairs"))
+    others = None
+    for k in range(ROUNDS):
+        rows = materialise(found.labelled(met.select("key", "node")), "bucket-labels")
+        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+        mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        mixed = materialise(mixed.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "mixed")
+        rows = rows.join(if_small(mixed, KEY_ROWS), "key").withColumn("other", F.col("label") != F.col("main"))
+        before, others = others, mixed.where(F.col("n") > block).agg(F.sum("others")).first()[0] or 0
+        if not others or (before is not None and others > 0.8 * before):
+            break
+        # in large buckets the rest is first compared with a few of the bucket's main component
+        large = materialise(rows.where(F.col("n") > block), "large")
+        hashed = lambda s: F.struct(F.xxhash64("node", F.lit(1000 * k + s)).alias("h"), F.col("node").alias("node"))  # noqa: B023, E731
+        leads = large.where("NOT other").groupBy("key").agg(F.array(*[F.min(hashed(s))["node"] for s in range(LEADS)]).alias("leads"))
+        pairs = large.where("other").join(leads, "key").select(F.explode(F.array_distinct("leads")).alias("a"), F.col("node").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if not found.confirm(materialise(agreeing(pairs, nodes, least), "pairs")):
+            break
+    # all that is left: in each bucket, what lies outside its main component against every member
+    small = F.col("n") <= block
+    left_blocks, right_blocks = F.ceil(F.col("others") / block), F.ceil(F.col("n") / block)
+    i, j = F.pmod(F.xxhash64("node"), left_blocks), F.pmod(F.xxhash64("node"), right_blocks)
+    cell = lambda i, j, left, right: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_right = F.transform(upto(left_blocks), lambda x: cell(x, j, no, yes))
+    as_left = F.when(F.col("other"), F.transform(upto(right_blocks), lambda x: cell(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>"))
+    cells = rows.withColumn("cell", F.explode(F.when(small, F.array(cell(zero, zero, F.col("other"), yes))).otherwise(F.concat(as_right, as_left))))
+    cells = cells.select("key", "node", "label", "cell.*")
+    weight = mixed.select(F.when(small, F.col("n")).otherwise(F.col("n") * left_blocks + F.col("others") * right_blocks).alias("w")).agg(F.sum("w")).first()[0] or 0
+    if weight:
+        pools = -(-int(weight) // POOL_ROWS)
+        cells = cells.withColumn("pool", F.pmod(F.xxhash64("key", "i", "j"), F.lit(pools))).join(nodes.select("node", "marks"), "node")
+        pairs = materialise(met_in_buckets(cells, least).distinct(), "pairs")
+        found.confirm(pairs)
+    return found.labels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", cell_bytes: int = CELL_BYTES, block: int = BLOCK) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept.
 
     Texts are linked if their sets' similarity is at least `percent` per cent; component_id
-    is the smallest id that can be reached; kept marks the rows that have that id.
+    is the smallest id that can be reached; kept marks the rows that have that id.  The
+    number of chunks suits 75 per cent and more: pairs below it may meet in no bucket.
     """
     signed = materialise(signed_documents(docs, id_col, text_col), "signed")
     nodes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
@@ -310,16 +412,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                 found = bucket_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), K)), pa.array(found.ravel().view(np.int64))], names=["node", "key"])
 
+    def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, K)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "id", "hi", "lo", "marks"])
+
     bound_batches(docs.sparkSession)
     rows = nodes.select("node", "sig").mapInArrow(keys, "node bigint, key bigint")
-    multi = materialise(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "buckets")
-    met = rows.join(if_small(multi, KEY_ROWS), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = components(met)
-    wanted = materialise(nodes.select("node", "id", "hi", "lo").join(if_small(clusters), "node"), "clustered")
-    sets = full_sets(docs, wanted, id_col, text_col)
-    members = materialise(sets.join(if_small(wanted.select("node", F.col("root").alias("cluster"))), "node"), "sets")
-    labels = materialise(components(cluster_links(members, percent, cell_bytes, hubs)), "labels")
-    named = materialise(nodes.select("hi", "lo", "node", "id").join(if_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    multi = materialise(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last"), "buckets")
+    met = materialise(rows.join(if_small(multi, KEY_ROWS), "key").select("node", "key", "lead", "last"), "met")
+    near = if_small(materialise(met.select("node").distinct(), "met-nodes"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    close = nodes.join(near, "node", "left_semi").select("node", "id", "hi", "lo", "sig").mapInArrow(low_bytes, f"node bigint, id {kind}, hi bigint, lo bigint, marks binary")
+    labels = confirmed_links(docs, materialise(close, "met-marks"), met, percent, id_col, text_col, cell_bytes, block)
+    named = nodes.select("hi", "lo", "node", "id")
+    named = named.withColumn("root", F.col("node")) if labels is None else named.join(if_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialise(named, "named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
     least = materialise(least, "least")
     out = signed.select("id", "hi", "lo", "n")

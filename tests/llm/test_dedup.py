@@ -62,8 +62,8 @@ def test_near_of_the_table(spark, sf_dir, table_rows):
     assert got.where("kept <> (doc_id = component_id)").isEmpty()
 
 
-@pytest.mark.parametrize(("cell_bytes", "hubs"), [(1 << 23, 16), (20_000, 3), (5_000, 3)])
-def test_near_many_variants(spark, cell_bytes, hubs):
+@pytest.mark.parametrize(("cell_bytes", "block"), [(1 << 23, 1000), (20_000, 20), (5_000, 3)])
+def test_near_many_variants(spark, cell_bytes, block):
     """A large group of near copies that are not all similar to each other, in one cell and in many."""
     import random
 
@@ -76,7 +76,35 @@ def test_near_many_variants(spark, cell_bytes, hubs):
             text[rng.randrange(len(text))] = f"v{rng.randrange(50)}"
         rows.append((i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert near_rows(near_duplicates(docs, cell_bytes=cell_bytes, hubs=hubs)) == sorted(brute.near(rows))
+    assert near_rows(near_duplicates(docs, cell_bytes=cell_bytes, block=block)) == sorted(brute.near(rows))
+
+
+def test_near_pages_that_share_a_template(spark, monkeypatch):
+    """Pages that meet in buckets without being linked are not compared by their sets."""
+    import random
+
+    from folio.llm import minhash
+
+    rng = random.Random(1)
+    template = " ".join(f"t{k}" for k in range(80))
+    rows = [(i, template + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 400, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, linked = [], minhash.linked
+    monkeypatch.setattr(minhash, "linked", lambda pairs, *rest: compared.append(pairs.count()) or linked(pairs, *rest))
+    assert near_rows(near_duplicates(docs)) == sorted(brute.near(rows))
+    assert sum(compared) <= 20
+
+
+def test_signature_agreement():
+    import numpy as np
+    import pyarrow as pa
+
+    from folio.llm.minhash import K, agreement, mark_words
+
+    one, two = np.random.default_rng(1).integers(0, 3, (2, 50, K), np.uint8)
+    words = [mark_words(pa.array([r.tobytes() for r in x])) for x in (one, two)]
+    assert (agreement(*words) == (one == two).sum(1)).all()
 
 
 def test_near_repeated_rows_and_empty(null_id_docs, empty_docs, edge_rows):
