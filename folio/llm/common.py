@@ -24,28 +24,36 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _SCRATCH: dict[str, list[str]] = {}
 _OWN_FOLDER: dict[str, str] = {}
+_SETTINGS: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set by hand.
 
-    Where the session has none (tests, notebooks on one machine) a temporary folder
-    is made once and set as the checkpoint folder.
+    Where a session on one machine has neither (tests, notebooks) a temporary folder is
+    made once and set as the checkpoint folder; on a cluster that is an error, as
+    executors could not read each other's files there.
     """
     sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     app = sc.applicationId
+    if app not in _OWN_FOLDER and (named := sc.getCheckpointDir()):
+        return named.rstrip("/")
     if app not in _OWN_FOLDER:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="folio-")
         sc.setCheckpointDir(_OWN_FOLDER[app])
     return _OWN_FOLDER[app]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no one has used, remembered for release()."""
+    """A path in the shared folder that no one has used: gone with release(), or else with the application."""
     path = f"{shared_folder(spark)}/folio-{tag}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
 
 
@@ -56,10 +64,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession, docs: DataFrame | None = None) -> None:
-    """Delete the working tables made so far, unless `docs` is itself read from one of them.
+    """Delete the working tables made so far, unless `docs` is itself read from one of them,
+    and give the session back the settings that bound_batches() lowered.
 
     For callers that have already written out what the earlier operators returned.
     """
+    app = spark.sparkContext.applicationId
+    for of, key in [k for k in _SETTINGS if k[0] == app]:
+        spark.conf.set(key, _SETTINGS.pop((of, key)))
     paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
     if not paths:
         return
@@ -111,13 +123,20 @@ def bound_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of texts that one Arrow batch carries to Python.
 
     Spark reads these settings when a plan runs, which may be after an operator has
-    returned it, so they stay lowered in the session.
+    returned it, so they stay lowered in the session until release().
     """
     for key, most in ((ROWS_A_BATCH, BATCH_ROWS), (BYTES_A_BATCH, BATCH_BYTES)):
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
+            _SETTINGS.setdefault((spark.sparkContext.applicationId, key), spark.conf.get(key))
             spark.conf.set(key, str(most))
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns c0, c1, ... that clash with no working column, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
