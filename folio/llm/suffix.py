@@ -3,21 +3,27 @@
 Finding where to look.  Every window of LENGTH bytes has one anchor, the rightmost least
 hash among the GRAM-byte strings in it, and equal windows have it at the same place.  So
 the windows of a text fall into runs with one anchor each; a run's context is the bytes
-that its windows span.  Contexts whose anchor occurs once in the corpus hold nothing
-repeated, and equal contexts are repeated as a whole.  What is left are different
-contexts around one anchor: the edges of copied passages.
-
-Comparing.  These go, by anchor, into buckets of bounded size, where a suffix array over
-the concatenated contexts gives the Burrows-Wheeler transform.  Starting from the
-interval of the empty string, intervals are extended backwards breadth first; the string
-length at which a boundary between two suffixes is first met is their common prefix.
-The search stops at LENGTH: boundaries not met by then separate suffixes that share at
-least so many bytes.  An anchor with too many different contexts for a bucket has its
-windows counted one by one instead.
+that its windows span.  Equal contexts are taken together as one that occurs k times.
+Contexts whose anchor occurs once in the corpus hold nothing repeated.
+
+Comparing.  Different contexts around one anchor (the edges of copied passages) go, by
+anchor, into buckets of bounded size, where a suffix array over the concatenated contexts
+gives the Burrows-Wheeler transform.  Starting from the interval of the empty string,
+intervals are extended backwards breadth first; the string length at which a boundary
+between two suffixes is first met is their common prefix.  The search stops at LENGTH:
+boundaries not met by then separate suffixes that share at least so many bytes.  The
+suffixes of a context that occurs k > 1 times fill such an interval by themselves, so a
+context alone at its anchor needs no search.
+
+An anchor with too many different contexts for a bucket has them cut into parts whose
+windows share a core, a string that all of them hold.  Parts with one core are compared as
+contexts with one anchor are; where there are still too many they are cut again, down to
+single windows.
 
 Edge cases: null is the empty text; texts shorter than LENGTH are only hashed; repeated
 rows repeat each other and lose all such bytes; null ids are ids like others; an empty
-table gives an empty table; other columns are not read.
+table gives an empty table; very long texts are looked at in overlapping pieces of PIECE
+window starts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +42,10 @@ from folio.llm.common import bound_batches, discard, if_small, materialise, text
 LENGTH, GRAM = 200, 64
 #: Window starts looked at together; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
-#: Bytes of contexts in a bucket, and different contexts of one anchor beyond which its windows are counted.
+#: Bytes of contexts in a bucket, and different contexts of one anchor beyond which they are cut into parts.
 BUCKET_BYTES, MOST_CONTEXTS = 1 << 20, 8000
+#: How far apart the windows of a part start at first; a quarter of it where parts are cut again.
+PART_WIDTH = 32
 _PLACE_BITS = 24
 _STEPS = np.random.default_rng(7).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -236,21 +244,75 @@ def bucket_runs(bodies: DataFrame, buckets: int, length: int) -> DataFrame:
     return bodies.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, "h bigint, c bigint, runs array<struct<a:int,b:int>>").where("size(runs) > 0")
 
 
-def counted_runs(bodies: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: every window is counted by its 128-bit hash."""
+def anchor_offset(body: bytes, h: int, n: int, length: int, gram: int) -> int:
+    """Where in a context of n windows the gram of hash h lies that all of them hold, the rightmost."""
+    hashes = gram_hashes(np.frombuffer(body, np.uint8), gram)
+    return int(np.flatnonzero(hashes[n - 1 : length - gram + 1] == np.uint64(h & (1 << 64) - 1))[-1]) + n - 1
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, body in enumerate(batch.column(2)):
-                data = body.as_py()
-                n = len(data) - length + 1
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in range(n)), np.int64).reshape(-1, 2)
-                at = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["h", "c", "j", "d1", "d2"])
 
-    each = materialise(bodies.select("h", "c", "body").mapInArrow(windows, "h bigint, c bigint, j int, d1 bigint, d2 bigint"), "windows")
-    multi = each.groupBy("h", "d1", "d2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return each.join(multi, ["h", "d1", "d2"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("j").alias("a"), F.col("j").alias("b"))).alias("runs"))
+def split_contexts(rows: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """Contexts (h, c, k, d, body) cut into parts: (h, c, k, j, h2, c2, n, d, body).
+
+    The windows of a part start up to `width` apart, in blocks of distances before the anchor,
+    so equal windows lie in the same block.  h2 is the hash of what all windows of the block
+    hold, c2 that of the part; d is the distance from the first window to the anchor (null at first).
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, c, k, d, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                n = len(body) - length + 1
+                d = anchor_offset(body, h, n, length, gram) if d is None else d
+                j = 0
+                while j < n:
+                    block = (d - j) // width
+                    upto = min(n, d - block * width + 1)
+                    # the block's windows start from d - block * width back to width - 1 bytes before
+                    core = body[d - block * width : d - block * width - width + 1 + length]
+                    part = body[j : upto + length - 1]
+                    names = [np.frombuffer(xxhash.xxh3_64_digest(x), ">i8")[0] for x in (f"{h} {block} {width} ".encode() + core, part)]
+                    out.append((h, c, k, j, int(names[0]), int(names[1]), upto - j, d - j, part))
+                    j = upto
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["h", "c", "k", "j", "h2", "c2", "n", "d", "body"])
+
+    return rows.select("h", "c", "k", "d", "body").mapInArrow(cut, "h bigint, c bigint, k bigint, j int, h2 bigint, c2 bigint, n int, d int, body binary")
+
+
+def runs_by_parts(rows: DataFrame, length: int, gram: int, bucket_bytes: int, most: int, width: int) -> DataFrame:
+    """(h, c, runs) of contexts (h, c, k, d, body) whose anchors have too many of them for one bucket.
+
+    Parts that share their core are compared as contexts are that share an anchor; where there
+    are still too many, they are cut again, down to single windows, which are their own cores.
+    """
+    parts = materialise(split_contexts(rows, length, gram, width), "parts")
+    kinds = parts.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("body").alias("body"))
+    kinds = materialise(kinds, "part-kinds")
+    cores = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "cores")
+    shared = kinds.join(if_small(cores), "h")
+    flags = whole_runs(kinds)
+    several = shared.where(F.col("m") <= most)
+    size = several.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    if size:
+        flags = flags.unionByName(single_runs(bucket_runs(several.select("h", "c", "body"), -(-size // bucket_bytes), length), kinds))
+    if width > 1 and not cores.where(F.col("m") > most).isEmpty():
+        finer = runs_by_parts(shared.where(F.col("m") > most), length, gram, bucket_bytes, most, -(-width // 4))
+        flags = flags.unionByName(single_runs(finer, kinds))
+    flags = materialise(flags.withColumnsRenamed({"h": "h2", "c": "c2"}), "part-flags")
+    moved = F.transform("runs", lambda r: F.struct((F.col("j") + r["a"]).cast("int").alias("a"), (F.col("j") + r["b"]).cast("int").alias("b")))
+    return parts.select("h", "c", "j", "h2", "c2").join(flags, ["h2", "c2"]).groupBy("h", "c").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+
+
+def whole_runs(kinds: DataFrame) -> DataFrame:
+    """All windows of contexts (h, c, k, n) that occur k > 1 times."""
+    return kinds.where("k > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b"))).alias("runs"))
+
+
+def single_runs(runs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows of `runs` for contexts that occur once."""
+    return runs.join(kinds.where("k = 1").select("h", "c"), ["h", "c"], "left_semi")
 
 
 def context_bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -278,14 +340,15 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int,
     many = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
     doubtful = kinds.join(many, "h").select("h", "c", "k", "m", "n", "at.id", "at.tag", "at.s")
     doubtful = materialise(doubtful, "doubtful")
-    bodies = materialise(context_bodies(texts, doubtful, length).join(if_small(many.where(F.col("m") > most_contexts)), "h", "left"), "bodies")
-    normal = bodies.where("m IS NULL")
+    bodies = context_bodies(texts, doubtful, length).join(if_small(many.where(F.col("m") > most_contexts)), "h", "left")
+    bodies = materialise(bodies, "bodies")
+    normal, crowded = bodies.where("m IS NULL"), bodies.where("m IS NOT NULL")
     size = normal.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    runs = bucket_runs(normal, max(1, -(-size // bucket_bytes)), length).unionByName(counted_runs(bodies.where("m IS NOT NULL"), length))
-    # equal contexts are repeated as a whole, whatever else they share
-    whole = kinds.where("k > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"))
-    part = runs.join(kinds.where("k = 1").select("h", "c"), ["h", "c"], "left_semi")
-    flags = materialise(whole.unionByName(part), "flags")
+    runs = single_runs(bucket_runs(normal, max(1, -(-size // bucket_bytes)), length), kinds)
+    if not crowded.isEmpty():
+        crowded = crowded.join(kinds.select("h", "c", "k"), ["h", "c"]).withColumn("d", F.lit(None).cast("int"))
+        runs = runs.unionByName(single_runs(runs_by_parts(crowded, length, gram, bucket_bytes, most_contexts, PART_WIDTH), kinds))
+    flags = materialise(whole_runs(kinds).unionByName(runs), "flags")
     for done in (twice, kinds, many, doubtful, bodies):
         discard(done)
     spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
