@@ -6,13 +6,15 @@ longest context seen, with escapes of method C on the way down: n occurrences an
 distinct followers give c / (n + d) to a follower and d / (n + d) to the escape.  A text
 gets the language in which its bytes have the shortest code.
 
-Contexts are counted with Spark over a bounded sample of labelled texts (SAMPLE texts a
-language at most on average, taken by a hash of the id).  The frozen tree is one table of n-grams with a row
-of log probabilities for all languages, at most NODES long, so it can be broadcast.
+Contexts are counted with Spark over a bounded sample of labelled texts: about SAMPLE whole
+texts a language at most, taken by a hash of the id and fewer of each language where the
+trees of all would take more than MODEL_BYTES.  Every n-gram of the sample is kept.  The
+frozen trees are tables of n-grams, each with a row of log probabilities for all languages.
 
 Edge cases: null labels are not learned from; null ids are; a null text, or one without a
 letter, is `und` with score 0; with nothing to learn from every text is `und`; repeated rows
-give a row each; an empty table gives an empty table; other columns are not read.
+give a row each; an empty table gives an empty table; a text of any length is scored whole,
+by one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,12 @@ from folio.llm.common import bound_batches, materialise, text_or_empty
 ORDER = 3
 #: Labelled texts a language, about, that the trees are counted on.
 SAMPLE = 4000
-#: The longest n-grams kept, the most frequent first.
-NODES = 400_000
+#: Bytes of frozen trees, of all languages together, that are broadcast.
+MODEL_BYTES = 96 << 20
 UNKNOWN = "und"
-GROUP_BYTES = 1 << 20
+#: Texts scored together, and positions looked up at once (a row of floats for each).
+GROUP_BYTES, STEP = 1 << 20, 1 << 17
 LETTER = regex.compile(r"\p{L}")
-SLOTS = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,104 +85,138 @@ def context_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
+class Slots:
+    """Open addressing with linear probing: from n-grams to their numbers 1, 2, ..., 0 for others."""
+
+    def __init__(self, grams: np.ndarray):
+        self.bits = max(4, int(4 * grams.size).bit_length())
+        self.key, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        keys, numbers = grams.astype(np.uint64) + np.uint64(1), np.arange(1, grams.size + 1, dtype=np.int32)
+        at = self.first(keys)
+        while keys.size:
+            free = np.flatnonzero(self.key[at] == 0)
+            _, one = np.unique(at[free], return_index=True)  # one n-gram takes a slot, the others go on
+            took = free[one]
+            self.key[at[took]], self.number[at[took]] = keys[took], numbers[took]
+            rest = np.ones(keys.size, bool)
+            rest[took] = False
+            keys, numbers, at = keys[rest], numbers[rest], self.next(at[rest])
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MULT) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        keys = grams + np.uint64(1)
+        at = self.first(keys)
+        held = self.key[at]
+        out = np.where(held == keys, self.number[at], 0)
+        going = np.flatnonzero((held != keys) & (held != 0))
+        while going.size:
+            at[going] = self.next(at[going])
+            held = self.key[at[going]]
+            found = held == keys[going]
+            out[going[found]] = self.number[at[going[found]]]
+            going = going[~found & (held != 0)]
+        return out
+
+
 class ContextTrees:
-    """Frozen log2 probabilities of all languages, by n-gram.
+    """Frozen log2 probabilities of all languages: for each order the n-grams counted in any language.
 
-    Up to order 2 the probabilities are dense over the bytes that occur (`classes`); the
-    longest n-grams lie in an open hash table.  `escape` is what leaving a 3-byte context
-    costs.
+    `rows[k]` has, for each n-gram of k + 1 bytes, the logarithms of its last byte's
+    probability after the first k, escapes included; `leave[k]` has, for each context of k
+    bytes (numbered as the n-grams of k bytes are), what it costs to leave it.  Row 0 stands
+    for n-grams not counted: as such it is the uniform code of order -1 in rows[0], and
+    nothing to leave in leave[k].
     """
 
-    def __init__(self, counts: pd.DataFrame, nodes: int = NODES):
-        self.langs = sorted(counts["lang"].unique())
-        n_lang = len(self.langs)
-        lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy()
-        size, gram, n = counts["size"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        seen = np.unique(gram[size == 1])
-        self.classes = np.zeros(256, np.int64)  # 0: the start margin and bytes never seen
-        self.classes[seen] = np.arange(1, seen.size + 1)
-        a = self.a = seen.size + 1
-
-        def dense(k: int) -> np.ndarray:
-            """Counts of k-grams as an array over class tuples, a language last."""
-            out = np.zeros((a,) * k + (n_lang,))
-            of = size == k
-            index = tuple(self.classes[(gram[of] >> (8 * (k - 1 - j))) & 255] for j in range(k))
-            np.add.at(out, (*index, lang[of]), n[of])
-            return out
-
-        unseen = 1 / 256
-        p = np.full((a, n_lang), unseen)  # order -1
-        for k in (1, 2, 3):
-            c = dense(k)
-            total, kinds = c.sum(-2, keepdims=True), (c > 0).sum(-2, keepdims=True)
-            esc = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            p = np.where(c > 0, c / np.maximum(total + kinds, 1), esc * p)
-        self.low = np.log2(p).astype(np.float32).reshape(-1, n_lang)
-        of = size == ORDER + 1
-        keys, where = np.unique(gram[of], return_inverse=True)
-        c = np.zeros((keys.size, n_lang))
-        np.add.at(c, (where, lang[of]), n[of])
-        context = self.index(np.array(keys >> 8))
-        total, kinds = np.zeros((a**3, n_lang)), np.zeros((a**3, n_lang))
-        np.add.at(total, context, c)
-        np.add.at(kinds, context, c > 0)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        self.escape = np.log2(escape).astype(np.float32)
-        low = self.low[self.index(keys & 0xFFFFFF)].astype(np.float64)
-        full = np.where(c > 0, np.log2(np.maximum(c, 1) / np.maximum((total + kinds)[context], 1)), self.escape[context] + low)
-        order = np.lexsort((keys, -c.sum(1)))[:nodes]
-        self.slot_key = np.zeros(SLOTS, np.uint64)
-        self.slot_row = np.zeros(SLOTS, np.int32)
-        rows = [np.zeros(n_lang, np.float32)]
-        # one n-gram a slot, the most frequent first; others are pruned and fall to their shorter context
-        slots = self.slot(keys[order].astype(np.uint64))
-        _, first = np.unique(slots, return_index=True)
-        chosen = order[np.sort(first)]
-        self.slot_key[self.slot(keys[chosen].astype(np.uint64))] = keys[chosen].astype(np.uint64)
-        self.slot_row[self.slot(keys[chosen].astype(np.uint64))] = np.arange(1, chosen.size + 1)
-        self.high = np.vstack([rows[0], full[chosen]]).astype(np.float32)
+    def __init__(self, langs: list[str], size: np.ndarray, gram: np.ndarray, lang: np.ndarray, n: np.ndarray):
+        self.langs, n_lang = langs, len(langs)
+        self.slots, self.rows, self.leave = [], [], []
+        uniform = np.full((1, n_lang), 1 / 256)
+        for k in range(ORDER + 1):
+            of = size == k + 1
+            grams = np.unique(np.r_[gram[of], 0])  # zero: what stands before a text is a context too
+            c = np.zeros((grams.size, n_lang))
+            c[np.searchsorted(grams, gram[of]), lang[of]] = n[of]
+            # sums over the followers of each context of k bytes
+            context = self.slots[-1].find(grams.astype(np.uint64) >> np.uint64(8)) if k else np.ones(grams.size, np.int64)
+            contexts = len(self.rows[-1]) if k else 2
+            total, kinds = np.zeros((contexts, n_lang)), np.zeros((contexts, n_lang))
+            np.add.at(total, context, c)
+            np.add.at(kinds, context, c > 0)
+            shorter = np.exp2(self.chain(grams.astype(np.uint64), k - 1).astype(np.float64)) if k else np.repeat(uniform, grams.size, 0)
+            leave = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+            p = np.where(c > 0, c / np.maximum(total + kinds, 1)[context], leave[context] * shorter)
+            if k == 0:
+                unseen = leave[1:2] * uniform
+                leave = leave[1:2]
+            self.leave.append(np.log2(leave).astype(np.float32))
+            self.rows.append(np.log2(np.vstack([unseen if k == 0 else uniform, p])).astype(np.float32))
+            self.slots.append(Slots(grams))
 
     @staticmethod
-    def slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * _MULT) >> np.uint64(64 - 21)).astype(np.int64)
-
-    def index(self, gram: np.ndarray) -> np.ndarray:
-        """Dense index of 3-byte n-grams."""
-        c = self.classes
-        return (c[(gram >> 16) & 255] * self.a + c[(gram >> 8) & 255]) * self.a + c[gram & 255]
+    def part(grams: np.ndarray, size: int) -> np.ndarray:
+        """The last `size` bytes of packed n-grams."""
+        return grams & np.uint64((1 << 8 * size) - 1)
+
+    def chain(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """(n-grams, languages): log probability of the last byte after up to `order` bytes before it.
+
+        Contexts begin with what stands before in the packed n-gram; from the longest order
+        down, only n-grams not found are looked up again.
+        """
+        bits = np.zeros((grams.size, len(self.langs)), np.float32)
+        left = np.arange(grams.size)
+        for k in range(order, -1, -1):
+            row = self.slots[k].find(self.part(grams[left], k + 1))
+            found = row > 0 if k else np.ones(left.size, bool)
+            bits[left[found]] += self.rows[k][row[found]]
+            left = left[~found]
+            if not left.size:
+                break
+            # of contexts of no language nothing is left
+            bits[left] += self.leave[k][self.slots[k - 1].find(self.part(grams[left] >> np.uint64(8), k))]
+        return bits
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): bits of each text under each language's tree."""
         data, bounds = with_margin(texts)
-        c = self.classes[data]
-        three = c.copy()
-        three[1:] += c[:-1] * self.a
-        three[2:] += c[:-2] * self.a * self.a
-        gram = grams(data, ORDER + 1)
-        at = self.slot(gram)
-        row = np.where(self.slot_key[at] == gram, self.slot_row[at], 0)
-        before = np.r_[0, three[:-1]]
-        bits = self.high[row]
-        miss = row == 0
-        bits[miss] = self.low[three[miss]] + self.escape[before[miss]]
+        every, of = grams(data, ORDER + 1), np.repeat(np.arange(len(texts)), np.diff(bounds))
+        own = np.ones(data.size, bool)
         for k in range(ORDER):
-            bits[bounds[:-1] + k] = 0
-        return -np.add.reduceat(bits, bounds[:-1], axis=0, dtype=np.float64)
+            own[bounds[:-1] + k] = False
+        every, of = every[own], of[own]
+        out = np.zeros((len(texts), len(self.langs)))
+        for k in range(0, of.size, STEP):
+            part = of[k : k + STEP]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            out[part[first]] -= np.add.reduceat(self.chain(every[k : k + STEP], ORDER), first, axis=0, dtype=np.float64)
+        return out
 
 
-def trained(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, nodes: int = NODES) -> ContextTrees | None:
-    """Count, prune and freeze the trees; None if no labelled text is there.
+def trained(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, model_bytes: int = MODEL_BYTES) -> ContextTrees | None:
+    """Count and freeze the trees; None if no labelled text is there.
 
-    What reaches the driver is the n-grams that occur at least twice (all short ones),
-    the most frequent `nodes` * 4 of the longest: a bound that does not grow with the table.
+    What reaches the driver is the n-grams of the sample, which is halved until the trees
+    take at most `model_bytes`: a bound that does not grow with the table.
     """
-    counts = materialise(context_counts(sampled(docs, learn, id_col, text_col, lang_col, sample)), "contexts")
-    short = counts.where(F.col("size") <= ORDER).toPandas()
-    if short.empty:
+    while True:
+        counts = materialise(context_counts(sampled(docs, learn, id_col, text_col, lang_col, sample)), "contexts")
+        n_grams, n_langs = counts.agg(F.count_distinct("size", "gram"), F.count_distinct("lang")).first()
+        # a row of floats for each n-gram, as itself and as a context, and about eight slots
+        if n_grams * (8 * n_langs + 96) <= model_bytes or sample <= 1:
+            break
+        sample //= 2
+    if not n_grams:
         return None
-    long = counts.where((F.col("size") > ORDER) & (F.col("n") > 1)).orderBy(F.col("n").desc(), "gram", "lang").limit(nodes * 4).toPandas()
-    return ContextTrees(pd.concat([short, long], ignore_index=True), nodes)
+    table = counts.toArrow().combine_chunks()
+    langs = sorted(pc.unique(table["lang"]).to_pylist())
+    lang = pc.index_in(table["lang"], pa.array(langs)).to_numpy()
+    return ContextTrees(langs, table["size"].to_numpy(), table["gram"].to_numpy(), lang, table["n"].to_numpy())
 
 
 def predict(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -146,3 +147,37 @@ def warc(pages):
         again = first[html or ""] != page
         out.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[html or ""] if again else None))
     return out
+
+
+def ppm(texts, order=3):
+    """A function from bytes to bits, for one language's texts: method C, counts frozen, texts after `order` zero bytes."""
+    seen = defaultdict(Counter)
+    for t in texts:
+        b = bytes(order) + t
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                seen[b[i - k : i]][b[i]] += 1
+
+    def chance(context, x):
+        after = seen.get(context)
+        if after is None:
+            return chance(context[1:], x) if context else 1 / 256
+        n, d = sum(after.values()), len(after)
+        return after[x] / (n + d) if x in after else d / (n + d) * (chance(context[1:], x) if context else 1 / 256)
+
+    def bits(t):
+        b = bytes(order) + t
+        return -sum(math.log2(chance(b[i - order : i], b[i])) for i in range(order, len(b)))
+
+    return bits
+
+
+def entropy_rates(docs, target):
+    """Rates of documents (their sizes) that give `target`, by bisection of the dual's slope."""
+    mean = sum(docs) / len(docs)
+    rate = lambda lam, x: 2 / (1 + math.exp(min(700, -lam * x / mean)))
+    low, high = -1e5, 1e5
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(x * rate(mid, x) for x in docs) < target else (low, mid)
+    return [rate(low, x) for x in docs]
