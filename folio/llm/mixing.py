@@ -13,7 +13,8 @@ single documents are given or lose a copy where that brings a source nearer.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order;
 sources without words have target 0; repeated rows are documents of their own; ties go by
-a hash of the id; an empty table gives an empty table; other columns are not read.
+a hash of the id; an empty table gives an empty table; a text of any length is counted
+whole; other columns are not read, and mixed_documents() keeps those of any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACES, if_small, materialise, text_or_empty
+from folio.llm.common import SPACES, if_small, materialise, set_aside, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -124,14 +125,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     quota = quota.withColumn("m", F.least(F.floor(F.col("upto") + 0.5) - F.floor(before + 0.5), ceiling * F.col("n")))
     quota = materialise(quota.select("rank", "size", "n", F.floor(F.col("m") / F.col("n")).alias("base"), (F.col("m") % F.col("n")).alias("extra")), "quota")
     given = ranked.join(if_small(quota), ["rank", "size"])
-    # the `extra` documents of least hash within a source and size get one copy more
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
-    given = given.withColumn("block", block)
+    # the `extra` documents of least hash within a source and size get one copy more; only these cells are ranked
+    settled = given.where("extra = 0").withColumn("copies", F.col("base"))
+    block = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.xxhash64("row")), F.ceil(F.col("n") / BLOCK))
+    given = given.where("extra > 0").withColumn("block", block)
     blocks = given.groupBy("rank", "size", "block").agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy("rank", "size").orderBy("block")) - F.col("k")
     many = materialise(blocks.withColumn("skip", upto).where("skip > 0").select("rank", "size", "block", "skip"), "blocks")
     at = F.row_number().over(Window.partitionBy("rank", "size", "block").orderBy(F.xxhash64("id", "tag"), "id", "row")) + F.coalesce("skip", F.lit(0))
     copied = given.join(if_small(many), ["rank", "size", "block"], "left").withColumn("copies", F.col("base") + F.when(at <= F.col("extra"), 1).otherwise(0))
+    copied = copied.select(*settled.columns).unionByName(settled)
     out = materialise(copied.select("row", "id", "tag", "size", "rank", "source_size", "target", "copies"), "copies")
     for _ in range(REPAIRS):
         gaps = out.groupBy("rank").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"), F.first("target").alias("aim"))
@@ -152,12 +155,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tag = F.xxhash64(text_or_empty(text_col), F.col(source_col))
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, tag=tag, **options)
     copies = materialise(copies.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0"), "taken")
-    tagged = docs.withColumn("__t", tag)
     if docs.isEmpty():
         return docs
+    rows, names = set_aside(docs)
+    ident = names[id_col]
+    rows = rows.withColumn("tagged", F.xxhash64(text_or_empty(names[text_col]), F.col(names[source_col])))
     # repeated rows share their copies: one of them stands for all
-    repeated = materialise(tagged.groupBy(F.col(id_col).alias("__rid"), F.col("__t").alias("__rt")).agg(F.count("*").alias("__n")).where("__n > 1"), "repeats")
+    repeated = materialise(rows.groupBy(F.col(ident).alias("r"), F.col("tagged").alias("rt")).agg(F.count("*").alias("times")).where("times > 1"), "repeats")
     if not repeated.isEmpty():
-        tagged = tagged.dropDuplicates([id_col, "__t"])
-    joined = tagged.join(if_small(copies), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tag")))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        rows = rows.dropDuplicates([ident, "tagged"])
+    joined = rows.join(if_small(copies), F.col(ident).eqNullSafe(F.col("__id")) & (F.col("tagged") == F.col("__tag")))
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(names[c]).alias(c) for c in docs.columns])

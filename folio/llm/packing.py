@@ -5,11 +5,13 @@ pieces with the remainder first.  Full pieces are sequences of their own.  The o
 at most one a document, are dealt evenly into groups of bounded size; each group is
 packed best-fit decreasing and then improved by local search: from the emptiest bin on,
 a piece moves into another bin's gap, or one or two pieces change places with a smaller
-one of another bin.  Every step raises the sum of squared fills, so the search ends; bins
+one of another bin, all pairs of sizes in the bin being tried.  Every step raises the sum
+of squared fills, so the search ends: when a pass over the bins changes nothing.  Bins
 that run empty are gone.
 
 Edge cases: a null or empty text is one piece that holds the end id; repeated rows are
-packed each on their own; an empty table gives an empty table; other columns are not read.
+packed each on their own; an empty table gives an empty table; a text of any length is
+encoded whole, by one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from folio.llm.tokens import default_tokenizer, settled
 END_ID = 2
 #: Pieces packed together by one task: large enough that the last bins of a group do not matter.
 GROUP_PIECES = 20_000
-#: Local search goes over the underfull bins at most this often.
-PASSES = 4
 
 
 class Encoder:
@@ -151,21 +151,24 @@ class LocalSearch:
         self.by_gap[self.gap[b]].discard(b)
         return {self.sizes[i] for i in self.bins[b]}
 
-    def top(self, s: int, but: int) -> int | None:
-        """The bin other than `but` that holds size s and has the largest gap."""
+    def holder(self, s: int, a: int, need: int) -> int | None:
+        """A bin at least as full as a that holds size s and has a gap of `need` or more, the emptiest of these."""
         heap, aside, found = self.heaps[s], [], None
-        while heap:
+        while heap and found is None:
             gap, b = heap[0]
             if -gap != self.gap[b] or not any(self.sizes[i] == s for i in self.bins[b]):
                 heapq.heappop(heap)  # an old entry
-            elif b == but:
-                aside.append(heapq.heappop(heap))
-            else:
-                found = b
+            elif -gap < need:
                 break
+            elif b != a and -gap <= self.gap[a]:
+                found = b
+            else:
+                entry = heapq.heappop(heap)
+                if entry not in aside[-1:]:
+                    aside.append(entry)
+        self.widest[s] = -(aside or heap or [(0, 0)])[0][0]
         for entry in aside:
             heapq.heappush(heap, entry)
-        self.widest[s] = -heap[0][0] if heap else 0
         return found
 
     def change(self, a: int, out_a: list[int], b: int, out_b: list[int]) -> None:
@@ -196,8 +199,8 @@ class LocalSearch:
         low = max(1, total - self.capacity)
         y = self.reach[low : min(total, self.capacity + 1)]
         for s in y[self.widest[y] >= total - y].tolist():
-            b = self.top(s, a)
-            if b is not None and total - s <= self.gap[b] <= self.gap[a]:
+            b = self.holder(s, a, total - s)
+            if b is not None:
                 self.change(a, items, b, [next(i for i in self.bins[b] if self.sizes[i] == s)])
                 return True
         return False
@@ -207,19 +210,23 @@ class LocalSearch:
         going = True
         while self.bins[a] and going:
             going = False
-            items = sorted(self.bins[a], key=lambda i: -self.sizes[i])
-            going = any(self.move(a, i) for i in items) or any(self.swap(a, [i]) for i in items) or any(self.swap(a, [i, j]) for k, i in enumerate(items[:8]) for j in items[k + 1 : 9])
+            by_size: dict[int, list[int]] = {}
+            for i in sorted(self.bins[a], key=lambda i: -self.sizes[i]):
+                by_size.setdefault(self.sizes[i], []).append(i)
+            ones = [of[0] for of in by_size.values()]
+            # two pieces of each pair of sizes, or of one size twice
+            pairs = ([x, y] for k, x in enumerate(ones) for y in [*by_size[self.sizes[x]][1:2], *ones[k + 1 :]])
+            going = any(self.move(a, i) for i in ones) or any(self.swap(a, [i]) for i in ones) or any(self.swap(a, pair) for pair in pairs)
         return not self.bins[a]
 
-    def run(self, passes: int) -> list[list[int]]:
-        for _ in range(passes):
-            order = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.gap[b]), key=lambda b: -self.gap[b])
+    def run(self) -> list[list[int]]:
+        """Passes over the underfull bins, the emptiest first, until one changes nothing."""
+        before = -1
+        while self.changes != before:
             before = self.changes
-            for b in order:
+            for b in sorted((b for b in range(len(self.bins)) if self.bins[b] and self.gap[b]), key=lambda b: -self.gap[b]):
                 if self.bins[b] and self.gap[b]:
                     self.empty(b)
-            if self.changes == before:
-                break
         return [b for b in self.bins if b]
 
 
@@ -233,7 +240,7 @@ def packed(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PI
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])  # the same bins in whatever order rows came
         sizes = rows["length"].to_numpy()
-        bins = LocalSearch(sizes, best_fit(sizes, capacity), capacity).run(PASSES)
+        bins = LocalSearch(sizes, best_fit(sizes, capacity), capacity).run()
         seq, off = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         for k, items in enumerate(bins):
             seq[items] = (key[0].as_py() << 32) + k

@@ -95,7 +95,7 @@ def test_local_search_never_loses_a_piece(sizes):
     sizes = np.array(sizes)
     start = best_fit(sizes, 50)
     n = len(start)
-    done = LocalSearch(sizes, start, 50).run(4)
+    done = LocalSearch(sizes, start, 50).run()
     assert sorted(i for b in done for i in b) == list(range(sizes.size))
     assert all(sizes[b].sum() <= 50 for b in done) and len(done) <= n
 
@@ -103,4 +103,4 @@ def test_local_search_never_loses_a_piece(sizes):
 def test_local_search_empties_a_bin():
     # best fit decreasing needs 4 bins of 10 here, 3 suffice
     sizes = np.array([5, 4, 4, 3, 3, 3, 3, 3, 2])
-    assert len(LocalSearch(sizes, [[0, 1], [2, 3, 4], [5, 6, 7], [8]], 10).run(4)) == 3
+    assert len(LocalSearch(sizes, [[0, 1], [2, 3, 4], [5, 6, 7], [8]], 10).run()) == 3

@@ -1,8 +1,10 @@
 import gzip
+import math
 from collections import Counter, defaultdict
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm.common import new_path
 from folio.llm.mixing import mix, mixed_documents
@@ -128,3 +130,25 @@ def test_rates_fall_with_the_tilt(spark):
     small = [r.copies for r in rows if r.doc_id % 3 == 2 and r.size < 30]
     large = [r.copies for r in rows if r.doc_id % 3 == 2 and r.size > 70]
     assert sum(small) / len(small) > sum(large) / len(large)
+
+
+def test_rates_are_those_of_the_dual(spark, edge_docs):
+    """The tilted rates, against bisection of each source's dual, and the copies that they are rounded to."""
+    from folio.llm.mixing import ranked_sources, solved_rates, with_targets
+
+    rows = spark.createDataFrame([(i, s, 5 + (i * i * 37) % 400 * (1 + i % 3)) for i, s in enumerate(["a", "b", "c", "d"] * 40)], "row long, source string, size long")
+    sources = with_targets(ranked_sources(rows))
+    hist = rows.join(sources.select("source", "rank"), "source").groupBy("rank", "size").agg(F.count("*").alias("n"))
+    rates = {r["rank"]: r for r in solved_rates(hist, sources).collect()}
+    found = 0
+    for s in sources.collect():
+        sizes = [r.size for r in rows.where(F.col("source") == s.source).collect()]
+        r = rates[s["rank"]]
+        if r.lam is None:
+            assert s.target >= 2 * s.source_size * (1 - 1e-9)
+            continue
+        found += 1
+        want = brute.entropy_rates(sizes, s.target)
+        got = [2 / (1 + math.exp(-r.lam * x / r.mean)) for x in sizes]
+        assert max(abs(a - b) for a, b in zip(want, got)) < 1e-6
+    assert found >= 2
