@@ -19,12 +19,14 @@ BROADCAST_ROWS = 250_000
 #: Where rows also hold text, with at most this many bytes of it.
 BROADCAST_BYTES = 64 << 20
 
+#: Spark 4.1 may take a union for partitioned by a key whose rows lie apart in it, and leave out an exchange.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 ROWS_A_BATCH, BYTES_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _SCRATCH: dict[str, list[str]] = {}
 _OWN_FOLDER: dict[str, str] = {}
-_SETTINGS: dict[tuple[str, str], str] = {}
+_SETTINGS: dict[tuple[str, str], str | None] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no one has used: gone with release(), or else with the application."""
+    lower(spark, UNION_PARTITIONING, "false")
     path = f"{shared_folder(spark)}/folio-{tag}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,7 +74,10 @@ def release(spark: SparkSession, docs: DataFrame | None = None) -> None:
     """
     app = spark.sparkContext.applicationId
     for of, key in [k for k in _SETTINGS if k[0] == app]:
-        spark.conf.set(key, _SETTINGS.pop((of, key)))
+        if (was := _SETTINGS.pop((of, key))) is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
     paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
     if not paths:
         return
@@ -128,8 +134,15 @@ def bound_batches(spark: SparkSession) -> None:
     for key, most in ((ROWS_A_BATCH, BATCH_ROWS), (BYTES_A_BATCH, BATCH_BYTES)):
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
-            _SETTINGS.setdefault((spark.sparkContext.applicationId, key), spark.conf.get(key))
-            spark.conf.set(key, str(most))
+            lower(spark, key, str(most))
+
+
+def lower(spark: SparkSession, key: str, value: str) -> None:
+    """Set a setting and remember what it was, for release()."""
+    now = spark.conf.get(key, None)
+    if now != value:
+        _SETTINGS.setdefault((spark.sparkContext.applicationId, key), now)
+        spark.conf.set(key, value)
 
 
 def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -139,4 +152,6 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table, dealt over all cores by its first column where its files give under half of them something to do."""
+    df, cores = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if 2 * df.rdd.getNumPartitions() <= cores else df

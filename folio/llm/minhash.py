@@ -8,12 +8,14 @@ out, and every pair under that distance (28 of 84) meets in a bucket.  At simila
 a pair meets nowhere with probability 2e-5, less above it.
 
 Nothing is joined on a mere meeting.  Pairs that meet are first held against each other by
-their signatures, and those that agree in enough symbols by their full sets; only links
-confirmed by full sets make components.  To keep the pairs few, a round compares each
-bucket's members with two of them; then only buckets that still hold several components
-are in question, large ones being compared with some of their main component first.  What
-remains outside a bucket's main component is compared with every member, in cells of
-bounded size: a large group of near copies is never compared with itself.
+their signatures and by sketches that bound how far two sets are apart; those that agree
+enough by their full sets; only links
+confirmed by full sets make components.  To keep the pairs few, each bucket's members are
+compared with two of them; then only buckets that still hold several components are in
+question.  There what lies outside a bucket's main component is held by its signature
+against every member, in cells of bounded size, and a node that comes near another
+component is compared by its full set with all of it: a large group of near copies is never
+compared with itself, and nodes near it give one row each.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with nothing and is
 its own component; texts of one to four words have one shingle; repeated rows fall into
@@ -41,10 +43,11 @@ K = CHUNKS * SYMBOLS
 CELL_BYTES, BLOCK = 8 << 20, 1000
 #: Bucket rows that one task's group pools, and pairs of signatures held against each other at once.
 POOL_ROWS, PAIRS = 20_000, 100_000
-#: Rounds in which large buckets are compared with members of their main component, and how many of these.
-ROUNDS, LEADS = 6, 3
 #: Keys of buckets with two nodes or more are broadcast up to this many (two longs each).
 KEY_ROWS = 1_000_000
+#: Bits of a set's parity sketch, and 64-bit words of a node's marks that hold the low bytes of its signature.
+PARITY = 1024
+LOW_WORDS = -(-K // 8)
 GROUP_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240101)
@@ -115,6 +118,14 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(7)).astype(np.uint32)  # b = 32 bits of each minimum
 
 
+def parity(values: np.ndarray) -> bytes:
+    """For each of PARITY places, whether an odd number of elements falls there.
+
+    Every place in which two sketches differ holds an element of one set that is not in the other.
+    """
+    return np.packbits(np.bincount((values >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+
+
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     """(nodes, K) keys: chunk j with its symbol p left out, for all j and p."""
     mixed = scrambled(signatures.astype(np.uint64) + _SYMBOL).reshape(-1, CHUNKS, SYMBOLS)
@@ -140,14 +151,14 @@ def names_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hi, lo, n, sig) for each row."""
+    """(id, hi, lo, n, sig) for each row: the set's name and size, its signature and parity sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for began, texts in groups_of(batch, 1):
                 sets = shingle_sets(texts)
                 names = names_of(sets)
-                sig = pa.array([signature(s).tobytes() if s.size else None for s in sets], pa.binary())
+                sig = pa.array([signature(s).tobytes() + parity(s) if s.size else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(began, len(texts)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.size for s in sets], pa.int64()), sig], names=["id", "hi", "lo", "n", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -196,9 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def mark_words(marks: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """The low bytes of signatures, eight to a number, the rest of the last one zero."""
-    flat = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, K)
-    return np.ascontiguousarray(np.pad(flat, ((0, 0), (0, -K % 8)))).view(np.uint64)
+    """A node's marks, LOW_WORDS numbers for the low bytes of its signature and then its parity sketch."""
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint64).reshape(-1, LOW_WORDS + PARITY // 64)
+
+
+def marks_of(sig: list[bytes]) -> list[bytes]:
+    whole = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, 4 * K + PARITY // 8)
+    low = np.pad(np.ascontiguousarray(whole[:, : 4 * K]).view(np.uint32).astype(np.uint8), ((0, 0), (0, 8 * LOW_WORDS - K)))
+    return [x.tobytes() for x in np.concatenate([low, whole[:, 4 * K :]], 1)]
 
 
 def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -209,18 +225,33 @@ def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return K - np.bitwise_count(different).sum(1, dtype=np.int64)
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree, in the low byte of each symbol, in `least` places or more."""
-    marks = nodes.select("node", "marks")
-    both = pairs.join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a")
+def may_link(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with these marks agree in enough symbols and can be linked.
+
+    The second is a certain bound: their sketches differ in no more places than the sets have
+    elements apart.
+    """
+    out = agreement(one[:, :LOW_WORDS], two[:, :LOW_WORDS]) >= least
+    at = np.flatnonzero(out)
+    apart = np.bitwise_count(one[at, LOW_WORDS:] ^ two[at, LOW_WORDS:]).sum(1, dtype=np.int64)
+    n, m = n[at], m[at]
+    common = np.minimum(np.minimum(n, m), (n + m - apart) // 2)
+    out[at] = 100 * common >= percent * (n + m - common)
+    return out
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that may_link()."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("marks").alias(f"m{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(agreement(mark_words(batch.column(2)), mark_words(batch.column(3))) >= least)
+                keep = pa.array(may_link(mark_words(batch.column(2)), mark_words(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), least, percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "ma", "mb").mapInArrow(close, "a bigint, b bigint")
+    return both.select("a", "b", "ma", "mb", "na", "nb").mapInArrow(close, "a bigint, b bigint")
 
 
 def runs_of(*keys: np.ndarray) -> np.ndarray:
@@ -232,18 +263,20 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(new), keys[0].size]
 
 
-def met_in_buckets(cells: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a cell and whose signatures agree enough.
+def met_in_buckets(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """(node, label): nodes that share a cell with one of another component that they may_link() to.
 
-    Rows are (pool, key, i, j, node, label, left, right, marks): a pool is a task's group of many
-    cells (key, i, j), and left rows of a cell are compared with its right rows.
+    Rows are (pool, key, i, j, node, label, size, left, right, marks, n): a pool is a task's group of
+    many cells (key, i, j), and left rows of a cell are compared with its right rows.  Of two
+    components the larger is named, so many nodes near one component give a row each.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        key, i, j, node, label, left, right = (rows[c].to_numpy() for c in ("key", "i", "j", "node", "label", "left", "right"))
+        key, i, j, node, label, size, left, right, n_items = (rows[c].to_numpy() for c in ("key", "i", "j", "node", "label", "size", "left", "right", "n"))
         marks = mark_words(rows["marks"])
-        names, short = np.unique(node, return_inverse=True)
+        nodes, short = np.unique(node, return_inverse=True)
+        labels, of_label = np.unique(label, return_inverse=True)
         edge = runs_of(key, i, j)
         of = np.repeat(np.arange(edge.size - 1), np.diff(edge))
         those = np.flatnonzero(right)
@@ -260,13 +293,14 @@ def met_in_buckets(cells: DataFrame, least: int) -> DataFrame:
             x, y = x[keep], y[keep]
             for k in range(0, x.size, PAIRS):
                 a, b = x[k : k + PAIRS], y[k : k + PAIRS]
-                near = agreement(marks[a], marks[b]) >= least
-                a, b = short[a[near]], short[b[near]]
-                found.append(np.minimum(a, b) * names.size + np.maximum(a, b))
+                near = may_link(marks[a], marks[b], n_items[a], n_items[b], least, percent)
+                a, b = a[near], b[near]
+                swap = (size[a] > size[b]) | ((size[a] == size[b]) & (label[a] < label[b]))
+                found.append(np.where(swap, short[b], short[a]) * labels.size + np.where(swap, of_label[a], of_label[b]))
         pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
-        return pa.table({"a": pa.array(names[pairs // names.size] if pairs.size else pairs), "b": pa.array(names[pairs % names.size] if pairs.size else pairs)})
+        return pa.table({"node": pa.array(nodes[pairs // max(1, labels.size)]), "label": pa.array(labels[pairs % max(1, labels.size)])})
 
-    return cells.groupBy("pool").applyInArrow(compare, "a bigint, b bigint")
+    return cells.groupBy("pool").applyInArrow(compare, "node bigint, label bigint")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) -> DataFrame:
@@ -309,39 +343,95 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) ->
     return materialise(filled.groupBy("cell").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
+def linked_to_components(near: DataFrame, members: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) -> DataFrame:
+    """Links (a, b) between nodes near (node, label) a component and its members (node, label).
+
+    Both are dealt into blocks of about half a cell, and each cell holds a block of either;
+    a node gets one link a cell at most.
+    """
+    sized = sets.select("node", "bytes")
+    theirs = materialise(members.join(near.select("label").distinct(), "label", "left_semi").join(sized, "node"), "members")
+    ours = materialise(near.join(sized, "node"), "near")
+    weight = lambda rows, name: rows.groupBy("label").agg(F.sum("bytes").alias(name))
+    both = weight(theirs, "x").join(weight(ours, "y"), "label")
+    blocks = materialise(both.select("label", "x", "y", F.ceil(F.col("x") * 2 / cell_bytes).alias("p"), F.ceil(F.col("y") * 2 / cell_bytes).alias("q")), "component-blocks")
+    whole = blocks.agg(F.sum(F.col("x") * F.col("q") + F.col("y") * F.col("p"))).first()[0] or 0
+    mine, upto = F.xxhash64("node"), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    placed = theirs.join(if_small(blocks), "label").select("label", "node", F.lit(False).alias("near"), F.pmod(mine, "p").alias("i"), F.explode(upto(F.col("q"))).alias("j"))
+    dealt = ours.join(if_small(blocks), "label").select("label", "node", F.lit(True).alias("near"), F.explode(upto(F.col("p"))).alias("i"), F.pmod(mine, "q").alias("j"))
+    pool = F.pmod(F.xxhash64("label", "i", "j"), F.lit(-(-int(whole) // cell_bytes) or 1))
+    filled = placed.unionByName(dealt).withColumn("pool", pool).join(sets.select("node", "items"), "node")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending"), ("near", "ascending"), ("node", "ascending")])
+        label, i, j, node, near = (rows[c].to_numpy() for c in ("label", "i", "j", "node", "near"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
+        sizes, out = np.array([s.size for s in sets]), []
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        sets, marked = np.split(codes, np.cumsum(sizes)[:-1]), np.zeros(values.size, bool)
+        edge = runs_of(label, i, j)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            cut = a + int(np.searchsorted(near[a:b], True))
+            if a == cut or cut == b:
+                continue
+            held, first = np.concatenate(sets[a:cut]), np.r_[0, np.cumsum(sizes[a:cut])[:-1]]
+            for y in range(cut, b):
+                marked[sets[y]] = True
+                common = np.add.reduceat(marked[held], first, dtype=np.int64)
+                marked[sets[y]] = False
+                hit = np.flatnonzero(100 * common >= percent * (sizes[a:cut] + sizes[y] - common))
+                if hit.size:
+                    out.append((node[a + hit[0]], node[y]))
+        links = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    return materialise(filled.groupBy("pool").applyInArrow(compare, "a bigint, b bigint"), "links")
+
+
 class Links:
     """Links confirmed so far, the full sets read for them, and what they connect."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str, cell_bytes: int):
         self.docs, self.nodes, self.percent, self.columns, self.cell_bytes = docs, nodes, percent, (id_col, text_col), cell_bytes
-        self.sets = self.links = self.labels = None
+        self.sets = self.labels = None
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Compare the full sets of (materialised) pairs (a, b); whether any are linked."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def read_sets(self, wanted: DataFrame) -> None:
+        """Read the full sets of nodes (node) that have none yet."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         wanted = materialise(self.nodes.select("node", "id", "hi", "lo").join(wanted, "node", "left_semi"), "wanted")
-        if not wanted.isEmpty():
-            more = full_sets(self.docs, wanted, *self.columns).withColumn("bytes", F.octet_length("items").cast("long"))
-            more = materialise(more, "sets")
+        if self.sets is None or not wanted.isEmpty():
+            more = materialise(full_sets(self.docs, wanted, *self.columns).withColumn("bytes", F.octet_length("items").cast("long")), "sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
-        if self.sets is None:
-            return False
-        new = linked(pairs, self.sets, self.percent, self.cell_bytes)
-        if new.isEmpty():
-            return False
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.labels = materialise(components(self.links), "labels")
-        # what is in a component needs no link of its own again
-        self.links = self.labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return True
+
+    def add(self, links: DataFrame) -> None:
+        if links.isEmpty():
+            return
+        if self.labels is not None:
+            links = links.unionByName(self.labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.labels = materialise(components(links), "labels")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare the full sets of (materialised) pairs (a, b)."""
+        if not pairs.isEmpty():
+            self.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            self.add(linked(pairs, self.sets, self.percent, self.cell_bytes))
+
+    def confirm_near(self, near: DataFrame) -> None:
+        """Compare the full sets of (materialised) nodes near (node, label) a component with those of its members."""
+        if not near.isEmpty():
+            alone = near.select(F.col("label").alias("node"), "label").distinct()
+            members = alone if self.labels is None else self.labels.select("node", F.col("root").alias("label")).unionByName(alone.join(self.labels.select("node"), "node", "left_anti"))
+            self.read_sets(near.select("node").unionByName(alone.select("node")).distinct())
+            self.add(linked_to_components(near, members, self.sets, self.percent, self.cell_bytes))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """`rows` with the label of their node: its component's least node, or itself."""
+        """`rows` with the label of their node, its component's least node or itself, and the component's size."""
         if self.labels is None:
-            return rows.withColumn("label", F.col("node"))
-        return rows.join(if_small(self.labels), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            return rows.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long")})
+        sized = self.labels.join(self.labels.groupBy("root").agg(F.count("*").alias("size")), "root")
+        joined = rows.join(if_small(materialise(sized, "sized-labels")), "node", "left")
+        return joined.withColumns({"label": F.coalesce("root", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))}).drop("root")
 
 
 def least_agreement(percent: int) -> int:
@@ -356,25 +446,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, percent:
     found = Links(docs, nodes, percent, id_col, text_col, cell_bytes)
     ends = met.select(F.explode(F.array("lead", "last")).alias("b"), F.col("node").alias("a")).where("a <> b")
     pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found.confirm(materialise(agreeing(pairs, nodes, least), "pairs"))
-    others = None
-    for k in range(ROUNDS):
-        rows = materialise(found.labelled(met.select("key", "node")), "bucket-labels")
-        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-        mixed = materialise(mixed.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "mixed")
-        rows = rows.join(if_small(mixed, KEY_ROWS), "key").withColumn("other", F.col("label") != F.col("main"))
-        before, others = others, mixed.where(F.col("n") > block).agg(F.sum("others")).first()[0] or 0
-        if not others or (before is not None and others > 0.8 * before):
-            break
-        # in large buckets the rest is first compared with a few of the bucket's main component
-        large = materialise(rows.where(F.col("n") > block), "large")
-        hashed = lambda s: F.struct(F.xxhash64("node", F.lit(1000 * k + s)).alias("h"), F.col("node").alias("node"))  # noqa: B023, E731
-        leads = large.where("NOT other").groupBy("key").agg(F.array(*[F.min(hashed(s))["node"] for s in range(LEADS)]).alias("leads"))
-        pairs = large.where("other").join(leads, "key").select(F.explode(F.array_distinct("leads")).alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if not found.confirm(materialise(agreeing(pairs, nodes, least), "pairs")):
-            break
+    found.confirm(materialise(agreeing(pairs, nodes, least, percent), "pairs"))
+    rows = materialise(found.labelled(met.select("key", "node")), "bucket-labels")
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = materialise(mixed.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")), "mixed")
+    rows = rows.join(if_small(mixed, KEY_ROWS), "key").withColumn("other", F.col("label") != F.col("main"))
     # all that is left: in each bucket, what lies outside its main component against every member
     small = F.col("n") <= block
     left_blocks, right_blocks = F.ceil(F.col("others") / block), F.ceil(F.col("n") / block)
@@ -385,13 +462,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, percent:
     as_right = F.transform(upto(left_blocks), lambda x: cell(x, j, no, yes))
     as_left = F.when(F.col("other"), F.transform(upto(right_blocks), lambda x: cell(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>"))
     cells = rows.withColumn("cell", F.explode(F.when(small, F.array(cell(zero, zero, F.col("other"), yes))).otherwise(F.concat(as_right, as_left))))
-    cells = cells.select("key", "node", "label", "cell.*")
+    cells = cells.select("key", "node", "label", "size", "cell.*")
     weight = mixed.select(F.when(small, F.col("n")).otherwise(F.col("n") * left_blocks + F.col("others") * right_blocks).alias("w")).agg(F.sum("w")).first()[0] or 0
     if weight:
         pools = -(-int(weight) // POOL_ROWS)
-        cells = cells.withColumn("pool", F.pmod(F.xxhash64("key", "i", "j"), F.lit(pools))).join(nodes.select("node", "marks"), "node")
-        pairs = materialise(met_in_buckets(cells, least).distinct(), "pairs")
-        found.confirm(pairs)
+        cells = cells.withColumn("pool", F.pmod(F.xxhash64("key", "i", "j"), F.lit(pools))).join(nodes.select("node", "marks", "n"), "node")
+        found.confirm_near(materialise(met_in_buckets(cells, least, percent).distinct(), "near"))
     return found.labels
 
 
@@ -403,20 +479,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     number of chunks suits 75 per cent and more: pairs below it may meet in no bucket.
     """
     signed = materialise(signed_documents(docs, id_col, text_col), "signed")
-    nodes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    nodes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = bucket_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K))
+                whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 4 * K + PARITY // 8)
+                found = bucket_keys(np.ascontiguousarray(whole[:, : 4 * K]).view(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), K)), pa.array(found.ravel().view(np.int64))], names=["node", "key"])
 
-    def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, K)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "id", "hi", "lo", "marks"])
+                marks = pa.array(marks_of(batch.column(5).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], marks], names=["node", "id", "hi", "lo", "n", "marks"])
 
     bound_batches(docs.sparkSession)
     rows = nodes.select("node", "sig").mapInArrow(keys, "node bigint, key bigint")
@@ -424,7 +501,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     met = materialise(rows.join(if_small(multi, KEY_ROWS), "key").select("node", "key", "lead", "last"), "met")
     near = if_small(materialise(met.select("node").distinct(), "met-nodes"))
     kind = docs.schema[id_col].dataType.simpleString()
-    close = nodes.join(near, "node", "left_semi").select("node", "id", "hi", "lo", "sig").mapInArrow(low_bytes, f"node bigint, id {kind}, hi bigint, lo bigint, marks binary")
+    close = nodes.join(near, "node", "left_semi").select("node", "id", "hi", "lo", "n", "sig").mapInArrow(marked, f"node bigint, id {kind}, hi bigint, lo bigint, n bigint, marks binary")
     labels = confirmed_links(docs, materialise(close, "met-marks"), met, percent, id_col, text_col, cell_bytes, block)
     named = nodes.select("hi", "lo", "node", "id")
     named = named.withColumn("root", F.col("node")) if labels is None else named.join(if_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -98,13 +98,25 @@ def test_near_pages_that_share_a_template(spark, monkeypatch):
 
 def test_signature_agreement():
     import numpy as np
-    import pyarrow as pa
 
-    from folio.llm.minhash import K, agreement, mark_words
+    from folio.llm.minhash import K, LOW_WORDS, agreement, may_link, parity
 
     one, two = np.random.default_rng(1).integers(0, 3, (2, 50, K), np.uint8)
-    words = [mark_words(pa.array([r.tobytes() for r in x])) for x in (one, two)]
+    words = [np.pad(x, ((0, 0), (0, 8 * LOW_WORDS - K))).view(np.uint64) for x in (one, two)]
     assert (agreement(*words) == (one == two).sum(1)).all()
+    # what the parity sketches rule out is never linked
+    rng, ruled_out = np.random.default_rng(2), 0
+    for _ in range(300):
+        n, extra = rng.integers(1, 3000), rng.integers(0, 900)
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[rng.integers(0, n // 2 + 1) :], rng.integers(0, 1 << 63, extra, np.uint64)])
+        marks = [np.concatenate([np.zeros(LOW_WORDS, np.uint64), np.frombuffer(parity(x), np.uint64)])[None] for x in (a, b)]
+        common = np.intersect1d(a, b).size
+        linked = 100 * common >= 75 * (a.size + b.size - common)
+        able = may_link(*marks, np.array([a.size]), np.array([b.size]), 1, 75)[0]
+        assert able or not linked
+        ruled_out += not able
+    assert ruled_out > 100
 
 
 def test_near_repeated_rows_and_empty(null_id_docs, empty_docs, edge_rows):
@@ -186,8 +198,53 @@ def test_line_index_is_reversible(spark, edge_docs, edge_rows):
     left = [r[:2] for r in edge_rows if r[0] % 2 == 1]
     assert line_rows(index.apply(edge_docs.where("doc_id % 2 = 1"))) == sorted(brute.lines(left))
     keys = {(r.hi, r.lo) for r in index.repeated().collect()}
-    for shard, one in index.filters.items():
-        assert int((one.table > 0).sum()) + len(one.spare) == sum(hi & 63 == shard for hi, _ in keys)
+    for r in index.filters.collect():
+        one = CuckooFilter.from_bytes(r.filter)
+        assert int((one.table > 0).sum()) + len(one.spare) == r.n_keys == sum(hi & 63 == r.shard for hi, _ in keys)
+
+
+def test_deleting_what_is_not_there(spark, edge_docs, edge_rows):
+    index = LineIndex(spark)
+    index.delete(edge_docs)
+    index.insert(edge_docs)
+    index.delete(edge_docs.withColumn("doc_id", F.col("doc_id") + 100_000))
+    index.delete(edge_docs.where("doc_id < 60"))
+    index.delete(edge_docs.where("doc_id < 60"))
+    index.insert(edge_docs.where("doc_id < 60"))
+    assert line_rows(index.apply(edge_docs)) == sorted(brute.lines([r[:2] for r in edge_rows]))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_filters_grow_and_are_used_at_every_size(spark, monkeypatch, most):
+    """Many more shards and keys than at first, with filters broadcast and with lines sent to them."""
+    from folio.llm import linededup
+
+    monkeypatch.setattr(linededup, "FILTER_BYTES", most)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(linededup, "LEAST_SHARDS", 2)
+    passed, keys = [], linededup.CuckooFilter.might_hold
+    monkeypatch.setattr(linededup.CuckooFilter, "might_hold", lambda self, k: passed.append(1) or keys(self, k))
+    line = lambda k: f"line number {k} that is long enough to be counted as one"
+    rows = [(i, "\n".join(line(k) for k in range(300) if (k + i) % 3 or k < 12)) for i in range(12)]
+    index = LineIndex(spark, min_docs=5)
+    for part in (rows[:5], rows[5:8], rows[8:]):
+        index.insert(spark.createDataFrame(part, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert index.shards > 2
+    assert line_rows(index.apply(docs)) == sorted(brute.lines(rows))
+    for r in index.filters.collect():
+        one = CuckooFilter.from_bytes(r.filter)
+        assert not one.spare and r.n_keys <= one.table.size
+    index.delete(docs.where("doc_id >= 6"))
+    assert line_rows(index.apply(docs.where("doc_id < 6"))) == sorted(brute.lines(rows[:6]))
+
+
+def test_lines_with_clashing_columns(spark, edge_rows):
+    rows = [(*r[:2], "x", "y", "z", 7) for r in edge_rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, tag string, __text_tag string, __line_total long")
+    got = line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "__doc", "tag", "__text_tag", "__line_total", "__line_drops"]
+    assert line_rows(got) == sorted(brute.lines([r[:2] for r in edge_rows]))
 
 
 def test_cuckoo_filter():
@@ -207,3 +264,5 @@ def test_cuckoo_filter():
     assert again.might_hold(np.array(keys[2000:])).all()
     others = np.array([rng.getrandbits(64) - (1 << 63) for _ in range(20000)])
     assert again.might_hold(others).mean() < 0.15
+    made = CuckooFilter.of_keys(keys)
+    assert not made.spare and made.might_hold(np.array(keys)).all() and made.might_hold(others).mean() < 0.01
