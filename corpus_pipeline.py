@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import delete_path, if_small, materialise, read_table, release, shared_folder, text_or_empty
+from folio.llm.common import delete_path, if_small, materialise, read_table, release, set_aside, shared_folder, text_or_empty
 from folio.llm.linededup import line_dedup
 from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mixed_documents
@@ -60,14 +60,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tag = F.xxhash64(text_or_empty())
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), tag.alias("tag"))
     found = near_duplicates(docs.select(key.alias("key"), "text"), 75, "key", "text")
-    kept = found.where("kept").groupBy(F.col("key.doc_id").alias("__doc"), F.col("key.tag").alias("__tag")).agg(F.count("*").alias("__rows"), F.max("n_shingles").alias("__set"))
+    kept = found.where("kept").groupBy(F.col("key.doc_id").alias("doc"), F.col("key.tag").alias("tag")).agg(F.count("*").alias("n_rows"), F.max("n_shingles").alias("n_set"))
     kept = materialise(kept, "kept")
-    joined = docs.withColumn("__text_tag", tag).join(if_small(kept), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_tag") == F.col("__tag")))
-    single = joined.where("__rows = 1 OR __set = 0").select(*docs.columns)
-    if kept.where("__rows > 1 AND __set > 0").isEmpty():
+    rows, names = set_aside(docs)
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    doc = names["doc_id"]
+    joined = rows.withColumn("text_tag", F.xxhash64(text_or_empty(names["text"]))).join(if_small(kept), F.col(doc).eqNullSafe(F.col("doc")) & (F.col("text_tag") == F.col("tag")))
+    single = joined.where("n_rows = 1 OR n_set = 0").select(*back)
+    if kept.where("n_rows > 1 AND n_set > 0").isEmpty():
         return single
     # rows of one id and one text: they are one group, of which one row stays
-    return single.unionByName(joined.where("__rows > 1 AND __set > 0").dropDuplicates(["doc_id", "__text_tag"]).select(*docs.columns))
+    return single.unionByName(joined.where("n_rows > 1 AND n_set > 0").dropDuplicates([doc, "text_tag"]).select(*back))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

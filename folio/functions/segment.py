@@ -1,8 +1,8 @@
 """Sentences, clauses and script runs of a text as arrays of structs (t, o): piece and offset.
 
-A boundary is marked by one regular expression over the text and the text is then split
-at the marks, so the whole of it stays inside the JVM; only texts that mix scripts go
-through a Python function (lang_runs).  CUT marks boundaries and must not occur in texts.
+One regular expression takes a text apart, piece by piece up to the next boundary, so the
+whole of it stays inside the JVM and every character is allowed in texts; only texts that
+mix scripts go through a Python function (lang_runs).
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from folio.functions import chars as C
 from folio.functions.text import once, solid_count, strip_speech_punctuation, text_of, trim
 
-CUT = "\U0010ffff"
 PIECES = "array<struct<t:string,o:int>>"
 RUNS = "array<struct<t:string,lang:string,o:int>>"
 
@@ -31,7 +30,8 @@ CLAUSE_CUT = rf"(?:[，、；：;]|(?<![0-9])[,:]|[,:](?![0-9]))[{C.WS}]*"
 
 
 def cut_at(c: Column, pattern: str) -> Column:
-    return F.split(F.regexp_replace(c, f"({pattern})", f"$1{CUT}"), CUT, -1)
+    """The pieces of a text, each up to and with the next match, and what is left."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s).*?(?:{pattern})|.+\z"), F.lit(0))
 
 
 def placed(pieces: Column, start: Column | None = None) -> Column:
@@ -52,7 +52,7 @@ def hard_split(sentences: Column) -> Column:
     def without_blank_rest(parts: Column) -> Column:
         return F.when((F.size(parts) > 1) & blank(F.element_at(parts, -1)["t"]), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
-    one = lambda s: once(F.filter(placed(cut_at(s["t"], HARD_CUT), s["o"]), lambda p: p["t"] != ""), without_blank_rest)
+    one = lambda s: once(placed(F.regexp_extract_all(s["t"], F.lit(rf"{HARD_CUT}|.+\z"), F.lit(0)), s["o"]), without_blank_rest)
     long = lambda s: F.char_length(s["t"]) > C.MAX_SENTENCE
     return once(sentences, lambda x: F.when(F.exists(x, long), F.flatten(F.transform(x, lambda s: F.when(long(s), one(s)).otherwise(F.array(s))))).otherwise(x))
 
@@ -123,6 +123,26 @@ def runs_of(text: str, min_en: int = C.MIN_FOREIGN_EN, min_zh: int = C.MIN_FOREI
     return found or [(text, names[own], 0)]
 
 
+def lang_runs_of_pieces(pieces: Column, min_en: int = C.MIN_FOREIGN_EN, min_zh: int = C.MIN_FOREIGN_ZH, fallback: str = "zh") -> Column:
+    """lang_runs() of each of an array of pieces (t, o), as an array of arrays."""
+    min_en, min_zh = min_en or C.MIN_FOREIGN_EN, min_zh or C.MIN_FOREIGN_ZH
+
+    @F.pandas_udf(f"array<{RUNS}>")
+    def mixed(lists: pd.Series) -> pd.Series:
+        def of_text(t: str) -> list[dict]:
+            both = _HAN.search(t) and _LATIN.search(t)
+            found = runs_of(t, min_en, min_zh) if both else [(t, "en" if _LATIN.search(t) else "zh" if _HAN.search(t) else fallback, 0)]
+            return [{"t": a, "lang": lang, "o": o} for a, lang, o in found if t]
+
+        return lists.map(lambda ts: [] if ts is None else [of_text(t) for t in ts])
+
+    texts = F.transform(pieces, lambda p: p["t"])
+    han, latin = (lambda t: t.rlike(f"[{C.CJK}]")), (lambda t: t.rlike(f"[{C.LATIN}]"))
+    both = F.exists(texts, lambda t: han(t) & latin(t))
+    whole = lambda t: F.when(t == "", F.array().cast(RUNS)).otherwise(F.array(F.struct(t.alias("t"), F.when(latin(t), "en").when(han(t), "zh").otherwise(fallback).alias("lang"), F.lit(0).alias("o"))))
+    return F.when(both, mixed(F.when(both, texts))).otherwise(F.transform(texts, whole))
+
+
 def lang_runs(c: Column, min_en: int = C.MIN_FOREIGN_EN, min_zh: int = C.MIN_FOREIGN_ZH, fallback: str = "zh") -> Column:
     """Runs (t, lang, o) to be read by one voice each; texts of one script never leave the JVM."""
     min_en, min_zh = min_en or C.MIN_FOREIGN_EN, min_zh or C.MIN_FOREIGN_ZH

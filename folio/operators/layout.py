@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import chars as C
 from folio.functions.text import fix_radicals, head_key, trim
+from folio.operators.documents import heading_chapters, reading_units, with_sizes
 
 # Fixed values of the layout rules.
 LINE_STEP, LINE_SHARE = 1.5, 0.6
@@ -59,9 +60,12 @@ def page_counts(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def strip_running_heads(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """`lines` without page numbers, and without first and last lines that most pages share."""
-    pages = page_counts(lines, id_col) if pages is None else pages
     page = Window.partitionBy(id_col, "page")
-    marked = lines.join(pages.select(id_col, "n_pages"), id_col).withColumns({"__key": head_key(trim(F.col("t"))), "__first": F.row_number().over(page.orderBy("i")) == 1, "__last": F.row_number().over(page.orderBy(F.col("i").desc())) == 1})
+    if pages is None:
+        counted = lines.withColumn("n_pages", F.max("page").over(Window.partitionBy(id_col)) + 1)
+    else:
+        counted = lines.join(pages.select(id_col, "n_pages"), id_col)
+    marked = counted.withColumns({"__key": head_key(trim(F.col("t"))), "__first": F.row_number().over(page.orderBy("i")) == 1, "__last": F.row_number().over(page.orderBy(F.col("i").desc())) == 1})
     same = Window.partitionBy(id_col, "__key")
     need = F.greatest(F.lit(HEAD_LEAST), F.ceil(F.col("n_pages") * HEAD_SHARE))
     often = lambda flag: (F.col("n_pages") >= HEAD_PAGES) & (F.col("__key") != "") & F.col(flag) & (F.count_if(F.col(flag)).over(same) >= need)
@@ -80,11 +84,10 @@ def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`lines` with `new` (the line opens a block), `heading` and `block`, its block's ordinal."""
     doc, page = Window.partitionBy(id_col), Window.partitionBy(id_col, "page")
     order, inside = doc.orderBy("page", "i"), page.orderBy("i")
-    medians = lines.where("h > 0").groupBy(id_col).agg(upper_median(F.collect_list("h")).alias("__h"))
-    rows = lines.join(medians, id_col, "left").withColumn("__h", F.coalesce("__h", F.lit(DEFAULT_HEIGHT)))
+    # medians are windows too: everything is laid out by document once
+    rows = lines.withColumn("__h", F.coalesce(upper_median(F.collect_list(F.when(F.col("h") > 0, F.col("h"))).over(doc)), F.lit(DEFAULT_HEIGHT)))
     rows = rows.withColumns({"__up": F.lag("y").over(inside) - F.col("y"), "__start": F.row_number().over(inside) == 1, "__min": F.min("x").over(page)})
-    gaps = rows.where("__up > 0").groupBy(id_col, "page").agg(upper_median(F.collect_list("__up")).alias("__gap"))
-    rows = rows.join(gaps, [id_col, "page"], "left").withColumn("__gap", F.coalesce("__gap", F.col("__h") * DEFAULT_GAP))
+    rows = rows.withColumn("__gap", F.coalesce(upper_median(F.collect_list(F.when(F.col("__up") > 0, F.col("__up"))).over(page)), F.col("__h") * DEFAULT_GAP))
     rows = rows.withColumn("heading", (F.col("h") > F.col("__h") * HEADING_RISE) & (F.char_length("t") <= C.MAX_HEADING))
     none_open = F.coalesce(F.lag("heading").over(order), F.lit(True))
     indented = F.col("x") - F.col("__min") > F.col("__h") * INDENT
@@ -94,8 +97,11 @@ def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("block", F.sum(F.col("new").cast("int")).over(order) - 1).select(*lines.columns, "heading", "new", "block")
 
 
-def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Lines to blocks (id, b, k, t); hyphens at line ends go, CJK lines join without a space."""
+def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
+    """Lines to blocks (id, b, k, t); hyphens at line ends go, CJK lines join without a space.
+
+    pages: documents (id), of which those without lines get a block that says so.
+    """
     rows = ended_blocks(lines, id_col)
     within = Window.partitionBy(id_col, "block").orderBy("page", "i")
     after = F.lead("t").over(within)
@@ -105,17 +111,39 @@ def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     piece = F.when(after.isNull(), F.col("t")).when(hyphen, F.expr("left(t, char_length(t) - 1)")).when(tight, F.col("t")).otherwise(F.concat("t", F.lit(" ")))
     pieces = rows.select(id_col, "block", "heading", F.struct("page", "i", piece.alias("s")).alias("x"))
     blocks = pieces.groupBy(id_col, "block").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("heading").alias("head"))
-    return blocks.select(id_col, F.col("block").cast("int").alias("b"), F.when(F.col("head"), "h").otherwise("p").alias("k"), trim(F.array_join(F.transform("xs", lambda x: x["s"]), "")).alias("t"))
+    blocks = blocks.select(id_col, F.col("block").cast("int").alias("b"), F.when(F.col("head"), "h").otherwise("p").alias("k"), trim(F.array_join(F.transform("xs", lambda x: x["s"]), "")).alias("t"))
+    if pages is None:
+        return blocks
+    empty = pages.select(id_col).distinct().join(lines.select(id_col).distinct(), id_col, "left_anti")
+    return blocks.unionByName(empty.select(id_col, F.lit(0).alias("b"), F.lit("p").alias("k"), F.lit(C.EMPTY_PAGES).alias("t")))
 
 
 def page_starts(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, starts): for each page the number of blocks opened before it, i.e. its first block or the one that goes on."""
-    pages = page_counts(lines, id_col) if pages is None else pages
+    """(id, starts, n_blocks): for each page the number of blocks opened before it, i.e. its first block or the one that goes on."""
     opened = ended_blocks(lines, id_col).groupBy(id_col, "page").agg(F.sum(F.col("new").cast("int")).alias("n"))
-    every = pages.select(id_col, F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)).alias("page")).join(opened, [id_col, "page"], "left")
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(id_col).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = every.select(id_col, "page", before.cast("int").alias("start")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("page", "start"))).alias("s"))
-    return listed.select(id_col, F.transform("s", lambda x: x["start"]).alias("starts"))
+    listed = opened.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("page", "n"))).alias("ps"), F.sum("n").cast("int").alias("n_blocks"))
+    last = F.element_at("ps", -1)["page"] + 1 if pages is None else F.col("n_pages")
+    listed = listed if pages is None else pages.select(id_col, "n_pages").join(listed, id_col, "left")
+    some = F.coalesce("ps", F.array().cast("array<struct<page:int,n:bigint>>"))
+    before = F.transform(F.sequence(F.lit(0), last - 1), lambda p: F.aggregate(F.filter(some, lambda x: x["page"] < p), F.lit(0), lambda a, x: a + x["n"].cast("int")))
+    return listed.select(id_col, before.alias("starts"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+
+
+def page_documents(lines: DataFrame, outline: DataFrame, id_col: str = "doc_id") -> dict[str, DataFrame]:
+    """Lines and outline entries (id, seq, title, page) to tables: scanned (id, n_pages), blocks, units, starts.
+
+    Documents with too little text for their pages are scanned and have no blocks; chapters
+    come from the outline where there is a usable one, else from headings.
+    """
+    tested = scan_test(lines, id_col=id_col)
+    read = lines.join(tested.where("NOT scanned").select(id_col), id_col, "left_semi")
+    clean, pages = strip_running_heads(read, id_col=id_col), page_counts(read, id_col)
+    blocks, starts = lines_to_blocks(clean, id_col, pages), page_starts(clean, pages, id_col)
+    n_blocks = blocks.groupBy(id_col).agg(F.count("*").cast("int").alias("n_blocks"))
+    outlined = with_sizes(outline_chapters(entries=outline, starts=starts.select(id_col, "starts"), n_blocks=n_blocks, id_col=id_col), blocks, id_col)
+    headed = heading_chapters(blocks.join(outlined.select(id_col).distinct(), id_col, "left_anti"), id_col)
+    units = reading_units(outlined.unionByName(headed.select(*outlined.columns)), blocks, id_col)
+    return {"scanned": tested.where("scanned").select(id_col, "n_pages"), "blocks": blocks, "units": units, "starts": starts}
 
 
 def scan_test(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -128,9 +156,10 @@ def scan_test(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "d
 
 def flat_outline(outline: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Entries (id, seq, title, page, children: array<struct<title,page>>) of two levels in reading order, unresolved ones gone."""
-    own = outline.select(id_col, "seq", F.lit(-1).alias("sub"), "title", "page")
-    below = outline.select(id_col, "seq", F.posexplode("children").alias("sub", "c")).select(id_col, "seq", "sub", "c.title", "c.page")
-    rows = own.unionByName(below).where("page IS NOT NULL")
+    entry = lambda e: F.struct(e["title"].cast("string").alias("title"), e["page"].cast("int").alias("page"))
+    below = F.transform("children", entry)
+    both = F.concat(F.array(F.struct("title", F.col("page").cast("int").alias("page"))), F.coalesce(below, F.array().cast("array<struct<title:string,page:int>>")))
+    rows = outline.select(id_col, "seq", F.posexplode(both).alias("sub", "e")).select(id_col, "seq", "sub", "e.title", "e.page").where("page IS NOT NULL")
     return rows.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("seq", "sub")) - 1).alias("seq"), "title", "page")
 
 
@@ -142,7 +171,10 @@ def outline_chapters(entries: DataFrame, starts: DataFrame, n_blocks: DataFrame,
     rows = rows.withColumn("start", F.get("starts", page - 1)).where("start IS NOT NULL")
     rows = rows.withColumn("__prev", F.lag("start").over(doc.orderBy("seq"))).where("__prev IS NULL OR __prev <> start")
     rows = rows.select(id_col, "seq", trim(F.col("title")).alias("title"), "start", "n_blocks")
-    front = rows.groupBy(id_col).agg(F.min("start").alias("m"), F.first("n_blocks").alias("n_blocks")).where("m > 0")
-    rows = rows.unionByName(front.select(id_col, F.lit(-1).alias("seq"), F.lit(C.FRONT).alias("title"), F.lit(0).alias("start"), "n_blocks"))
-    end = F.coalesce(F.lead("start").over(doc.orderBy("start", "seq")), F.col("n_blocks"))
-    return rows.select(id_col, "start", end.cast("int").alias("end"), "title").where("end > start")
+    order = doc.orderBy("start", "seq")
+    rows = rows.withColumns({"__end": F.coalesce(F.lead("start").over(order), F.col("n_blocks")).cast("int"), "__first": F.row_number().over(order) == 1})
+    chapter = lambda title, start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), title.alias("title"))
+    own = F.array(chapter(F.col("title"), F.col("start"), F.col("__end")))
+    front = F.array(chapter(F.lit(C.FRONT), F.lit(0), F.col("start")))
+    found = F.explode(F.when(F.col("__first") & (F.col("start") > 0), F.concat(front, own)).otherwise(own))
+    return rows.select(id_col, found.alias("c")).select(id_col, "c.*").where("end > start")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import falsy, pct, trim
+from folio.functions.text import base_name, date_label, falsy, format_of, pct, trim
 from folio.operators.position import block_of_page, chapter_of, share_of
 
 FINISHED_AT = 0.995
+NEVER_READ = "尚未開始"
 BACKUP_COLUMNS = ("id", "title", "author", "format", "file_name", "size", "total_chars", "added_at", "last_read_at", "finished", "anchor", "percent")
 
 
@@ -29,6 +30,37 @@ def import_files(files: DataFrame, seq: str = "seq") -> DataFrame:
     return hashed.groupBy("id").agg(F.max_by("name", seq).alias("file_name"), F.min(seq).alias("added_seq"), F.first(F.octet_length("content")).alias("size"), F.count("*").alias("n_imports"))
 
 
+def import_into(books: DataFrame, files: DataFrame, seq: str = "seq") -> DataFrame:
+    """`books` after importing files (name, content, seq): known contents keep their row but for the name, new ones come in.
+
+    added_at of a book that has none, and of a new one, is the file's seq.
+    """
+    found = import_files(files, seq)
+    names = found.select("id", F.col("file_name").alias("name_"), F.col("added_seq").alias("seq_"))
+    new = {"file_name": F.coalesce("name_", "file_name"), "added_at": F.when(F.col("seq_").isNotNull(), falsy(F.col("added_at"), F.col("seq_"), 0)).otherwise(F.col("added_at"))}
+    known = books.join(names, "id", "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in books.columns])
+    fresh = {"id": F.col("id"), "title": base_name(F.col("file_name")), "author": F.lit(""), "format": format_of(F.col("file_name")), "file_name": F.col("file_name"), "size": F.col("size"), "added_at": F.col("added_seq"), "last_read_at": F.lit(0), "finished": F.lit(False), "anchor": F.struct(F.lit(0).alias("b"), F.lit(0).alias("o")), "percent": F.lit(0.0), "annot_count": F.lit(0)}
+    rows = found.join(books.select("id"), "id", "left_anti")
+    return known.unionByName(rows.select(*[fresh.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in books.schema]))
+
+
+def import_summary(outcomes: DataFrame, error: str = "error") -> DataFrame:
+    """One row: n_ok, n_failed of files with the reason they failed in `error`, or null."""
+    return outcomes.agg(F.count_if(F.col(error).isNull()).alias("n_ok"), F.count_if(F.col(error).isNotNull()).alias("n_failed"))
+
+
+def with_documents(books: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
+    """`books` with `doc_version` (null: no document) and `reparse`: a stale one whose file is still there; others keep what they have."""
+    d = docs.select("id", F.col("parser_version").alias("doc_version"))
+    f = files.select("id").distinct().withColumn("file_", F.lit(True))
+    return books.join(d, "id", "left").join(f, "id", "left").withColumn("reparse", F.col("stale") & F.coalesce("file_", F.lit(False))).drop("file_")
+
+
+def last_opened(settings_rows: DataFrame, books: DataFrame, key: str = "last_book") -> DataFrame:
+    """Settings rows whose last opened book still exists."""
+    return settings_rows.join(books.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
 def delete_books(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame) -> dict[str, DataFrame]:
     """Every table, {name: (rows, its book id column)}, without the rows of the books in `ids` (id)."""
     return {name: rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti") for name, (rows, key) in tables.items()}
@@ -87,18 +119,28 @@ def save_notes(notes: DataFrame, edits: DataFrame) -> DataFrame:
     return notes.join(rows.select("id"), "id", "left_anti").unionByName(rows)
 
 
+def delete_notes(books: DataFrame, notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, notes) without the notes in `ids` (id), the books counted again."""
+    left = notes.join(ids.select("id").distinct(), "id", "left_anti")
+    return note_counts(books, left), left
+
+
 def note_counts(books: DataFrame, notes: DataFrame) -> DataFrame:
     counts = notes.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("n"))
     return books.drop("annot_count").join(counts, "id", "left").withColumn("annot_count", F.coalesce("n", F.lit(0))).drop("n")
 
 
-def shelf(books: DataFrame) -> DataFrame:
-    """Rows as the shelf shows them, in its order: last read first, then last added."""
+def shelf(books: DataFrame, owner: str | None = None) -> DataFrame:
+    """Rows as a shelf shows them, with their `place`: last read first, then last added.
+
+    owner: a column that says whose shelf a book is on; without it all books are on one.
+    """
     when = falsy(F.col("last_read_at"), falsy(F.col("added_at"), F.lit(0), 0), 0)
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("file_name", F.lit("")), F.lit("未命名"))
-    place = F.row_number().over(Window.orderBy(F.col("when").desc(), "id"))
-    rows = books.select("id", title.alias("title"), F.when(F.col("format") == "epub", "epub").otherwise("txt").alias("tag"), F.coalesce("finished", F.lit(False)).alias("finished"), pct(F.col("percent")).alias("pct"), when.alias("when"))
-    return rows.withColumn("place", place)  # a shelf is one reader's: small
+    read = F.when(F.coalesce("last_read_at", F.lit(0)) != 0, date_label(F.timestamp_millis(F.col("last_read_at")))).otherwise(NEVER_READ)
+    keys = [owner] if owner else []
+    rows = books.select(*keys, "id", title.alias("title"), F.when(F.col("format") == "epub", "epub").otherwise("txt").alias("tag"), F.coalesce("finished", F.lit(False)).alias("finished"), F.coalesce("author", F.lit("")).alias("author"), pct(F.col("percent")).alias("pct"), read.alias("read"), F.coalesce("annot_count", F.lit(0)).alias("notes"), when.alias("when"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("when").desc(), "id")))
 
 
 def shelf_order(events: DataFrame, owner: str, book: str, at: Column) -> DataFrame:
@@ -110,23 +152,35 @@ def shelf_order(events: DataFrame, owner: str, book: str, at: Column) -> DataFra
 def merge_backup(local: DataFrame, remote: DataFrame) -> DataFrame:
     """`local` books with the progress of `remote` ones that were read later, and `updated`.
 
-    Missing or zero: an anchor or a percentage that is so there keeps what is here.
+    Missing or zero: an anchor or a percentage that is so there keeps what is here.  Where a
+    backup has a book several times, its rows are taken one after another, by `seq` if there
+    is such a column, else by the time they were read.
     """
-    r = remote.select("id", F.struct("anchor", "percent", "last_read_at", "finished").alias("r"))
+    first = F.col("seq") if "seq" in remote.columns else F.coalesce("last_read_at", F.lit(0))
+    given = F.struct(first.alias("k"), F.coalesce("last_read_at", F.lit(0)).alias("at"), "anchor", "percent", F.coalesce("finished", F.lit(False)).alias("finished"))
+    r = remote.groupBy("id").agg(F.array_sort(F.collect_list(given)).alias("rs"))
     j = local.join(r, "id", "left")
-    newer = F.coalesce(F.col("r.last_read_at"), F.lit(0)) > F.coalesce(F.col("last_read_at"), F.lit(0))
-    new = {
-        "anchor": F.when(newer, F.coalesce("r.anchor", "anchor")).otherwise(F.col("anchor")),
-        "percent": F.when(newer, falsy(F.col("r.percent"), F.col("percent"), 0.0)).otherwise(F.col("percent")),
-        "last_read_at": F.when(newer, F.col("r.last_read_at")).otherwise(F.col("last_read_at")),
-        "finished": F.when(newer, F.coalesce("r.finished", F.lit(False))).otherwise(F.col("finished")),
-    }
-    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in local.columns], F.coalesce(newer, F.lit(False)).alias("updated"))
+    state = F.struct("anchor", "percent", "last_read_at", "finished", F.lit(False).alias("updated"))
+
+    def step(s: Column, x: Column) -> Column:
+        newer = x["at"] > F.coalesce(s["last_read_at"], F.lit(0))
+        new = {"anchor": F.coalesce(x["anchor"], s["anchor"]), "percent": falsy(x["percent"], s["percent"], 0.0), "last_read_at": x["at"], "finished": x["finished"], "updated": F.lit(True)}
+        return F.struct(*[F.when(newer, v).otherwise(s[c]).alias(c) for c, v in new.items()])
+
+    done = j.withColumn("m_", F.aggregate(F.coalesce("rs", F.array().cast(r.schema["rs"].dataType)), state, step))
+    new = ("anchor", "percent", "last_read_at", "finished")
+    return done.select(*[F.col(f"m_.{c}").alias(c) if c in new else F.col(c) for c in local.columns], F.col("m_.updated").alias("updated"))
 
 
 def merge_notes(notes: DataFrame, backup: DataFrame) -> DataFrame:
-    """Notes of a backup replace those with their id; ones without id or book are left out."""
-    good = backup.where("coalesce(id, '') <> '' AND coalesce(book_id, '') <> ''").select(*notes.columns)
+    """Notes of a backup replace those with their id; ones without id or book are left out.
+
+    Of several with one id the last counts, by `seq` if there is such a column, else by the
+    time of their change.
+    """
+    good = backup.where("coalesce(id, '') <> '' AND coalesce(book_id, '') <> ''")
+    last = F.col("seq") if "seq" in backup.columns else F.struct(F.coalesce("updated_at", F.lit(0)), F.xxhash64(*notes.columns))
+    good = good.groupBy("id").agg(F.max_by(F.struct(*notes.columns), last).alias("r")).select("r.*")
     return notes.join(good.select("id"), "id", "left_anti").unionByName(good)
 
 
@@ -165,6 +219,12 @@ def settings(json: Column, fonts: int = 5, lines: int = 5) -> Column:
     )
 
 
+def settings_text(s: Column) -> Column:
+    """A settings struct as the text that settings() reads."""
+    names = {"font": "font", "line": "line", "family": "family", "theme": "theme", "rate": "rate", "rate_en": "rateEn", "voice_zh": "voiceZh", "voice_en": "voiceEn", "keep_awake": "keepAwake", "tap_mode": "tapMode", "last_book": "lastBook"}
+    return F.to_json(F.struct(*[s[k].alias(v) for k, v in names.items()]))
+
+
 def tap_direction(mode: Column, x: Column, y: Column, edge: float = 0.25, band: float = 0.35) -> Column:
     """-1 back, 1 on, 0 neither, for a tap at (x, y) of a page of size 1."""
     at, share = F.when(mode == "edge", x).when(mode == "updown", y), F.when(mode == "edge", edge).otherwise(band)

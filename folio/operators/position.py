@@ -123,6 +123,8 @@ def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id
     Quotes are searched for in blocks of QUOTE_BLOCK, all of a block at once by an
     automaton in one pass over the texts; nothing is joined by `contains`.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = quotes.sparkSession
     keys = quotes.select(F.col(quote_id).alias("qid"), quote_key(F.col("text")).alias("q")).where("q IS NOT NULL")
     found = None
@@ -132,6 +134,7 @@ def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id
         shared = spark.sparkContext.broadcast(part)
         kind = blocks.schema[id_col].dataType.simpleString()
         qkind = quotes.schema[quote_id].dataType.simpleString()
+        qtype = to_arrow_type(quotes.schema[quote_id].dataType)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import ahocorasick
@@ -157,7 +160,7 @@ def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id
                                 raw += 1
                             out += [(i, qid, raw) for qid in ids[q]]
                 at = pa.array([x[0] for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out]), batch.column(0).take(at), batch.column(1).take(at), pa.array([x[2] for x in out], pa.int32())], names=["qid", "id", "b", "o"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("qid", pa.int64() if qkind == "bigint" else pa.string()), ("id", batch.schema.field(0).type), ("b", pa.int32()), ("o", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], qtype), batch.column(0).take(at), batch.column(1).take(at), pa.array([x[2] for x in out], pa.int32())], names=["qid", "id", "b", "o"])
 
         hits = blocks.select(id_col, "b", "t").mapInArrow(scan, f"qid {qkind}, id {kind}, b int, o int")
         return hits.groupBy("qid", "id").agg(F.min(F.struct("b", "o")).alias("a")).select(F.col("qid").alias(quote_id), F.col("id").alias(id_col), "a.b", "a.o")

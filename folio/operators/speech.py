@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
-from folio.functions.segment import lang_runs, parts_of_runs, sentences
+from folio.functions.segment import lang_runs_of_pieces, parts_of_runs, sentences
 from folio.functions.text import lc_lang, once
 from folio.operators.library import noted
 from folio.operators.position import chapter_of
@@ -39,22 +39,32 @@ def speech_queue(blocks: DataFrame, start: DataFrame | None = None, id_col: str
     start: (id, from_b, from_o), where to begin in each document; sentences that end
     before it are left out.
     """
-    rows = block_sentences(blocks, id_col)
+    whole = once(sentences(F.col("t")), lambda s: F.when(F.size(s) == 0, F.array(F.struct(F.col("t").alias("t"), F.lit(0).alias("o")))).otherwise(s))
+    rows = blocks.select(id_col, "b", whole.alias("pieces"))
     if start is not None:
-        from_ = start.select(id_col, "from_b", "from_o")
-        rows = rows.join(from_, id_col, "left").where("from_b IS NULL OR b > from_b OR (b = from_b AND o + char_length(t) > from_o)").select(id_col, "b", "i", "t", "o")
-    rows = rows.withColumn("runs", lang_runs(F.col("t"))).withColumn("parts", parts_of_runs(F.col("runs")))
-    within = Window.partitionBy(id_col, "b").orderBy("i")
-    spoke = F.coalesce(F.max(F.size("parts") > 0).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    last = F.lead("i").over(within).isNull()
+        rows = rows.join(start.select(id_col, "from_b", "from_o"), id_col, "left").where("from_b IS NULL OR b >= from_b")
+        begun = F.filter("pieces", lambda p: p["o"] + F.char_length(p["t"]) > F.col("from_o"))
+        rows = rows.select(id_col, "b", F.when(F.col("b") == F.col("from_b"), begun).otherwise(F.col("pieces")).alias("pieces")).where(F.size("pieces") > 0)
+    rows = rows.select(id_col, "b", F.transform("pieces", lambda p: p["o"]).alias("os"), F.transform(lang_runs_of_pieces(F.col("pieces")), parts_of_runs).alias("parts"))
     pause = lambda ms: F.array(F.struct(F.lit(None).cast("string").alias("say"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("o"), F.lit(ms).alias("pause_ms")))
     none = F.array().cast(f"array<{_ITEM}>")
-    say = lambda p: F.array(F.struct(p["say"].alias("say"), p["lang"].alias("lang"), F.col("o").alias("o"), F.lit(None).cast("int").alias("pause_ms")))
-    said = F.flatten(F.transform("parts", lambda p: F.concat(say(p), F.when(p["brk"], pause(C.CLAUSE_PAUSE_MS)).otherwise(none))))
-    rows = rows.withColumns({"lead_": F.when(spoke, pause(C.SENTENCE_PAUSE_MS)).otherwise(none), "tail_": F.when(last, pause(C.BLOCK_PAUSE_MS)).otherwise(none)})
-    items = rows.select(id_col, "b", "i", F.posexplode(F.concat("lead_", said, "tail_")).alias("j", "x"))
-    seq = F.row_number().over(Window.partitionBy(id_col).orderBy("b", "i", "j")) - 1
-    return items.select(id_col, seq.alias("seq"), "b", "x.o", "x.say", "x.lang", "x.pause_ms")
+
+    def spoken(parts: Column) -> Column:
+        # sentences after the first one that says something begin with a pause
+        first = F.array_position(F.transform(parts, lambda ps: F.size(ps) > 0), True) - 1
+
+        def of_sentence(ps: Column, i: Column) -> Column:
+            say = lambda p: F.array(F.struct(p["say"].alias("say"), p["lang"].alias("lang"), F.get("os", i).alias("o"), F.lit(None).cast("int").alias("pause_ms")))
+            said = F.flatten(F.transform(ps, lambda p: F.concat(say(p), F.when(p["brk"], pause(C.CLAUSE_PAUSE_MS)).otherwise(none))))
+            return F.concat(F.when((first >= 0) & (i > first), pause(C.SENTENCE_PAUSE_MS)).otherwise(none), said)
+
+        return F.concat(F.flatten(F.transform(parts, of_sentence)), pause(C.BLOCK_PAUSE_MS))
+
+    items = rows.select(id_col, "b", once(F.col("parts"), spoken).alias("items"))
+    # places come from the blocks' lengths, not from a sort of all items
+    before = F.sum(F.size("items")).over(Window.partitionBy(id_col).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    placed = items.withColumn("base", F.coalesce(before, F.lit(0)).cast("int")).select(id_col, "b", "base", F.posexplode("items").alias("j", "x"))
+    return placed.select(id_col, (F.col("base") + F.col("j")).alias("seq"), "b", "x.o", "x.say", "x.lang", "x.pause_ms")
 
 
 def speaks(lang: Column, which: str) -> Column:
@@ -78,6 +88,16 @@ def guard_ms(say: Column, rate: Column) -> Column:
     return GUARD_MS + F.floor(F.char_length(say) * GUARD_MS_PER_CHAR / rate + 0.5)
 
 
+def rate_for(lang: Column, settings: Column) -> Column:
+    """How fast a voice of a language speaks."""
+    return F.when(lang == "en", settings["rate_en"]).otherwise(settings["rate"])
+
+
+def replay_from(place: Column) -> Column:
+    """Where a queue goes on after it was interrupted while an item before `place` was said: with that item again."""
+    return F.greatest(place - 1, F.lit(0))
+
+
 def epoch_fence(events: DataFrame, key: str, epoch: str, order: list[str]) -> DataFrame:
     """`events` without those of an epoch older than one already seen for their key."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

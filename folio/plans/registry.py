@@ -20,34 +20,25 @@ from folio.operators import library as B
 from folio.operators import position as P
 from folio.operators import speech as S
 from folio.operators import toc as O
+from folio.plans import library_queries, sql
+from folio.plans.tables import LINES_A_PAGE, blocks_of, documents, page_lines, spread, table
 from folio.sources import markup as M
 from folio.streaming.progress import throttled_saves
 
-LINES_A_PAGE = 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def wide(df: DataFrame) -> DataFrame:
     """Whole numbers as longs, as SQL counts them."""
     return df.select(*[F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.col(f.name) for f in df.schema])
 
 
-def blocks_of(spark, sf_dir):
-    return D.txt_blocks(table(spark, sf_dir, "documents"))
-
-
 def txt_blocks(spark, sf_dir):
     return blocks_of(spark, sf_dir)
 
 
 def sentence_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    s = S.block_sentences(D.txt_blocks(docs.select("doc_id", "text")))
-    per_doc = s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("t")).alias("chars"), F.max(F.char_length("t")).alias("longest"))
-    return per_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.sum("chars").alias("n_chars"), F.max("longest").alias("longest"))
+    # the language goes along in the key
+    docs = documents(spark, sf_dir, "lang").select(F.struct("doc_id", "lang").alias("doc_id"), "text")
+    rows = S.block_sentences(D.txt_blocks(docs)).select(F.col("doc_id.lang").alias("lang"), F.char_length("t").alias("n"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_chars"), F.max("n").alias("longest"))
 
 
 def sentences(spark, sf_dir):
@@ -118,19 +109,13 @@ def quote_locate(spark, sf_dir):
     return P.locate_quotes(table(spark, sf_dir, "benchmark"), blocks_of(spark, sf_dir))
 
 
-def first_notes(spark, sf_dir):
-    """A note at the start of the middle block of each document, quoting it."""
-    blocks = blocks_of(spark, sf_dir)
-    n = blocks.groupBy("doc_id").agg(F.floor(F.count("*") / 2).cast("int").alias("mid"))
-    return blocks.join(n, "doc_id").where("b = mid").select("doc_id", "b", F.lit(0).alias("o"), F.substring("t", 1, 160).alias("quote"))
-
-
 def remap_annotations(spark, sf_dir):
-    """Documents parsed again without their first block: notes follow their quotes."""
-    blocks = blocks_of(spark, sf_dir)
-    n = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    again = blocks.join(n, "doc_id").where("n = 1 OR b > 0").select("doc_id", F.when(F.col("n") > 1, F.col("b") - 1).otherwise(F.col("b")).alias("b"), "k", "t")
-    return P.remap_annotations(first_notes(spark, sf_dir), blocks, again).drop("quote")
+    """Documents parsed again without their first block: notes at the start of the middle block follow their quotes."""
+    doc = Window.partitionBy("doc_id")
+    blocks = blocks_of(spark, sf_dir).withColumn("n", F.count("*").over(doc))
+    notes = blocks.where("b = floor(n / 2)").select("doc_id", "b", F.lit(0).alias("o"), F.substring("t", 1, 160).alias("quote"))
+    again = blocks.where("n = 1 OR b > 0").select("doc_id", F.when(F.col("n") > 1, F.col("b") - 1).otherwise(F.col("b")).alias("b"), "k", "t")
+    return P.remap_annotations(notes, blocks.drop("n"), again).drop("quote")
 
 
 def content_dedup(spark, sf_dir):
@@ -186,21 +171,6 @@ def annot_counts(spark, sf_dir):
     return B.note_counts(books, notes(spark, sf_dir))
 
 
-def page_lines(spark, sf_dir):
-    """Lines of documents laid out on pages: indents, wide gaps and large first lines by number; a head and a number on each page."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n", "t"))
-    body = rows.select("doc_id", (F.col("n") / LINES_A_PAGE).cast("int").alias("page"), (F.col("n") % LINES_A_PAGE + 1).alias("i"), F.trim("t").alias("t"), F.col("n"), "source")
-    x = F.when(F.col("n") % 5 == 0, 90.0).otherwise(72.0)
-    y = 800.0 - 14.0 * F.col("i") - F.when(F.col("i") > 10, 20.0).otherwise(0.0)
-    h = F.when(F.col("n") % 37 == 0, 18.0).otherwise(12.0)
-    lines = body.select("doc_id", "page", "i", "t", x.alias("x"), y.alias("y"), h.alias("h"))
-    edge = body.groupBy("doc_id", "page").agg(F.max("i").alias("m"), F.first("source").alias("source"))
-    head = edge.select("doc_id", "page", F.lit(0).alias("i"), F.concat(F.lit("From "), F.coalesce("source", F.lit("nowhere")), F.lit(", part "), (F.col("page") + 1).cast("string")).alias("t"), F.lit(72.0).alias("x"), F.lit(820.0).alias("y"), F.lit(12.0).alias("h"))
-    foot = edge.select("doc_id", "page", (F.col("m") + 1).alias("i"), F.concat(F.lit("– "), (F.col("page") + 1).cast("string"), F.lit(" –")).alias("t"), F.lit(72.0).alias("x"), F.lit(20.0).alias("y"), F.lit(12.0).alias("h"))
-    return lines.unionByName(head).unionByName(foot)
-
-
 def running_heads(spark, sf_dir):
     return L.strip_running_heads(page_lines(spark, sf_dir)).select("doc_id", "page", "i", "t")
 
@@ -210,23 +180,26 @@ def lines_to_blocks(spark, sf_dir):
 
 
 def page_of_block(spark, sf_dir):
-    lines = L.strip_running_heads(page_lines(spark, sf_dir))
-    starts = L.page_starts(lines)
-    blocks = L.ended_blocks(lines).select("doc_id", F.col("block").alias("b")).distinct()
+    starts = L.page_starts(L.strip_running_heads(page_lines(spark, sf_dir)))
+    rows = starts.select("doc_id", "starts", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b"))
     page = P.page_of_block(F.col("starts"), F.col("b"))
-    return blocks.join(starts, "doc_id").select("doc_id", "b", page.alias("page"), P.block_of_page(F.col("starts"), page).alias("page_start"))
+    return rows.select("doc_id", "b", page.alias("page"), P.block_of_page(F.col("starts"), page).alias("page_start"))
 
 
 def scan_test(spark, sf_dir):
     return L.scan_test(page_lines(spark, sf_dir))
 
 
+def pages_of(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def html_blocks(spark, sf_dir):
-    return M.html_blocks(table(spark, sf_dir, "pages"))
+    return M.html_blocks(pages_of(spark, sf_dir))
 
 
 def nav_toc(spark, sf_dir):
-    return M.nav_toc(table(spark, sf_dir, "pages"))
+    return M.nav_toc(pages_of(spark, sf_dir))
 
 
 def resolve_paths(spark, sf_dir):
@@ -238,8 +211,7 @@ def resolve_paths(spark, sf_dir):
 
 def toc_tree(spark, sf_dir):
     """Contents of each page over its own blocks: entries point at as many blocks from the start as their number."""
-    pages = table(spark, sf_dir, "pages")
-    parsed = M.parse_pages(pages, ["page_id"])
+    parsed = M.parse_pages(pages_of(spark, sf_dir), ["page_id"])
     blocks = parsed.select("page_id", F.posexplode("blocks").alias("b", "x")).select("page_id", "b", "x.k", "x.t")
     entries = parsed.select("page_id", F.posexplode("nav").alias("ti", "x"), F.size("blocks").alias("n")).select("page_id", "ti", F.col("x.label").alias("t"), "x.lv", F.least("ti", F.col("n") - 1).alias("b"))
     return O.tree(entries, blocks, D.document_units(blocks, "page_id"), "page_id")
@@ -268,6 +240,7 @@ def file_labels(spark, sf_dir):
 QUERIES = {
     name: (lambda f: lambda spark, sf_dir: wide(f(spark, sf_dir)))(f)
     for name, f in {
+        **library_queries.QUERIES,
         "sentence_stats": sentence_stats, "txt_blocks": txt_blocks, "sentences": sentences, "clauses": clause_list, "speech_clean": speech_clean,
         "lang_weights": lang_weights, "lang_runs": run_list, "block_prefix_percent": block_prefix_percent, "doc_stats": doc_stats, "chapter_units": chapter_units,
         "block_chapter": block_chapter, "conversation_prefix": conversation_prefix, "anchor_at_percent": anchor_at_percent, "quote_locate": quote_locate,
@@ -279,7 +252,7 @@ QUERIES = {
     }.items()
 }
 
-_TRIM = f"regexp_replace(regexp_replace(%s, '^[{C.WS}]+', ''), '[{C.WS}]+$', '')"
+_TRIM = sql.TRIM
 _NL = "chr(10)"
 #: CTE blocks(doc_id, b, k, t) over documents.
 _BLOCKS = rf"""
@@ -367,4 +340,32 @@ ORACLES = {
     "file_labels": """WITH n AS (SELECT doc_id, source || '.' || ['txt', 'EPUB', 'pdf', 'md'][doc_id % 4 + 1] AS name, strlen(text)::DOUBLE AS n FROM documents)
         SELECT doc_id, CASE WHEN lower(name) LIKE '%.epub' THEN 'epub' WHEN lower(name) LIKE '%.pdf' THEN 'pdf' ELSE 'txt' END AS format, regexp_replace(name, '\\.[^.]+$', '') AS title,
         CASE WHEN n = 0 THEN '' WHEN n < 1048576 THEN CAST(floor(n / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f MB', n / 1048576) END AS size_label FROM n""",
+    "sentences": f"WITH RECURSIVE {_BLOCKS}, {sql.SENTENCES} SELECT doc_id, b, i, t, o FROM sents",
+    "sentence_stats": f"WITH RECURSIVE {_BLOCKS}, {sql.SENTENCES} SELECT lang, count(*) AS n_sentences, CAST(sum(length(t)) AS BIGINT) AS n_chars, max(length(t)) AS longest FROM sents JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang",
+    "clauses": f"WITH {_BLOCKS}, {sql.clause_ctes('blocks', 'doc_id, b', 'cl')} SELECT doc_id, b, c, t, o, CAST({sql.solid('t')} AS BIGINT) AS solid FROM cl",
+    "speech_clean": f"WITH {_BLOCKS} SELECT doc_id, b, {sql.spoken('t')} AS say FROM blocks",
+    "lang_runs": f"WITH {_BLOCKS}, {sql.run_ctes('blocks', 'doc_id, b', 'lr')} SELECT doc_id, b, r, t, lang, o FROM lr",
+    "chapter_units": f'WITH {_BLOCKS}, {sql.unit_ctes("blocks", "doc_id")} SELECT doc_id, ci, title, start, "end", body, chars FROM units',
+    "remap_annotations": f"""WITH {_BLOCKS}, bn AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM blocks),
+        nt AS (SELECT doc_id, b, left(regexp_replace(left(t, 160), '[{C.WS}]+', '', 'g'), {P.QUOTE_CHARS}) AS q FROM bn WHERE b = n // 2),
+        nw AS (SELECT doc_id, CASE WHEN n > 1 THEN b - 1 ELSE b END AS b, t, length(t) AS len, regexp_replace(t, '[{C.WS}]+', '', 'g') AS p FROM bn WHERE n = 1 OR b > 0),
+        np AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY doc_id) AS total FROM nw),
+        ol AS (SELECT bn.doc_id, sum(CASE WHEN bn.b < nt.b THEN length(bn.t) ELSE 0 END) AS before, sum(length(bn.t)) AS total FROM bn JOIN nt ON nt.doc_id = bn.doc_id GROUP BY bn.doc_id),
+        hit AS (SELECT nt.doc_id, min(nw.b) AS hb, arg_min(instr(p, q) - 1, nw.b) AS at_, arg_min(t, nw.b) AS t FROM nt JOIN nw ON nw.doc_id = nt.doc_id AND length(q) >= {P.QUOTE_LEAST} AND instr(p, q) > 0 GROUP BY nt.doc_id),
+        ho AS (SELECT doc_id, hb, (SELECT min(j) FROM range(0, length(hit.t) + 1) r(j) WHERE length(regexp_replace(left(hit.t, r.j), '[{C.WS}]+', '', 'g')) >= hit.at_) AS o FROM hit),
+        sh AS (SELECT doc_id, CASE WHEN ol.total = 0 THEN 0.0 ELSE CAST(ol.before AS DOUBLE) / ol.total END AS share FROM ol),
+        go AS (SELECT sh.doc_id, any_value(share) * any_value(np.total) AS x, min(CASE WHEN np.before + np.len > share * np.total THEN np.b END) AS b, arg_min(np.before, np.b) FILTER (WHERE np.before + np.len > share * np.total) AS before, max(np.b) AS last FROM sh JOIN np USING (doc_id) GROUP BY sh.doc_id),
+        pl AS (SELECT nt.doc_id, nt.b AS old_b, coalesce(ho.hb, go.b, go.last) AS b, CASE WHEN ho.hb IS NOT NULL THEN ho.o WHEN go.b IS NULL THEN 0 ELSE floor(x - go.before) END AS o FROM nt LEFT JOIN ho USING (doc_id) LEFT JOIN go USING (doc_id))
+        SELECT doc_id, CAST(b AS BIGINT) AS b, CAST(o AS BIGINT) AS o, NOT (b = old_b AND o = 0) AS moved FROM pl""",
+    "throttled_saves": f'WITH {sql.SAVES} SELECT user_id, "at", pos, timer FROM saves',
+    "html_blocks": f"WITH {sql.PAGES} SELECT page_id, b, k, t FROM pb",
+    "nav_toc": f"WITH {sql.PAGES} SELECT page_id, ti, regexp_replace(string_split(href, '#')[1], '^/', '') AS path, coalesce(string_split(href, '#')[2], '') AS frag, label, CAST(lv AS BIGINT) AS lv FROM nav WHERE label <> '' AND regexp_replace(string_split(href, '#')[1], '^/', '') <> ''",
+    "toc_tree": f"""WITH {sql.PAGES}, {sql.unit_ctes("pb", "page_id")},
+        pp AS (SELECT page_id, b, coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(t)) OVER (PARTITION BY page_id) AS total FROM pb),
+        en AS (SELECT nav.page_id, ti, label AS t, lv, least(ti, n - 1) AS b FROM nav JOIN (SELECT page_id, count(*) AS n FROM pb GROUP BY page_id) USING (page_id) WHERE label <> ''),
+        fo AS (SELECT *, max(lv) OVER (PARTITION BY page_id) AS deep, lead(lv) OVER (PARTITION BY page_id ORDER BY ti) AS nx FROM en)
+        SELECT fo.page_id, ti, t, CAST(lv AS BIGINT) AS lv, CAST(least(lv, 4) AS BIGINT) AS level, fo.b, coalesce((SELECT max(ci) FROM units u WHERE u.page_id = fo.page_id AND u.start <= fo.b), 0) AS ci,
+               coalesce(nx > lv AND deep > 0 AND nx >= least(deep, 2), false) AS has_kids, {_PCT.format("(CAST(coalesce(before, 0) AS DOUBLE) / greatest(coalesce(total, 1), 1))")} AS pct FROM fo LEFT JOIN pp ON pp.page_id = fo.page_id AND pp.b = fo.b""",
+    "speech_queue": sql.queue_sql(_BLOCKS),
+    **library_queries.oracles(_BLOCKS, _PREFIX, _LINES, _HEADS, _OPENED),
 }

@@ -25,12 +25,13 @@ from folio.sources.markup import cleaned, parse_pages, parsed
 CONTAINER, ENCRYPTION = "META-INF/container.xml", "META-INF/encryption.xml"
 NCX_TYPE = "application/x-dtbncx+xml"
 UNREADABLE, NTH, NTH_FAILED = "（此章無法解析：{}）", "第 {} 篇", "第 {} 篇（解析失敗）"
-#: Members larger than this are reported as unreadable.
-MEMBER_BYTES = 64 << 20
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """(id, name, content, error): the members of each archive (id, content), or one row with the error of a broken one."""
+def archive_members(files: DataFrame, member_bytes: int | None = None) -> DataFrame:
+    """(id, name, content, error): the members of each archive (id, content), or one row with the error of a broken one.
+
+    member_bytes: members larger than this are reported as unreadable; by default none are.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
@@ -43,9 +44,12 @@ def archive_members(files: DataFrame) -> DataFrame:
                             if m.is_dir():
                                 continue
                             try:
-                                if m.file_size > MEMBER_BYTES:
+                                if member_bytes is not None and m.file_size > member_bytes:
                                     raise ValueError(f"{m.file_size} bytes")
                                 rows.append({"id": book, "name": m.filename, "content": z.read(m), "error": None})
+                                if len(rows[-1]["content"]) > 1 << 20:  # large members go on by themselves
+                                    yield pa.RecordBatch.from_pylist(rows, schema)
+                                    rows = []
                             except Exception as e:  # one member's fault is not the book's
                                 rows.append({"id": book, "name": m.filename, "content": None, "error": str(e) or type(e).__name__})
                 except zipfile.BadZipFile as e:

@@ -52,11 +52,3 @@ def decoded(content: Column) -> Column:
 def decode_texts(files: DataFrame) -> DataFrame:
     """Plain-text files with `text` and `encoding` for their content."""
     return files.where("format = 'txt'").withColumn("__d", decoded(F.col("content"))).select(*[c for c in files.columns if c != "content"], F.col("__d.text").alias("text"), F.col("__d.encoding").alias("encoding"))
-
-
-def weak_hash(content: bytes) -> str:
-    """A cheap identity where no digest can be had: length and an FNV-like hash of sampled bytes."""
-    h = 0x811C9DC5
-    for b in content[:: max(1, len(content) // 4096)]:
-        h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-    return f"w{len(content):x}-{h:x}"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAVE_AFTER_MS, WAIT_LONG_MS, WAIT_SHORT_MS = 8000, 2500, 700
@@ -63,6 +63,11 @@ def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str =
             if due is not None:
                 out.append((due, pending, True))
                 saved, due, pending = due, None, None
+            elif state.getCurrentWatermarkMs() > saved + APART_MS:
+                # whatever comes next is saved at once: nothing to remember
+                state.remove()
+                yield pd.DataFrame({"key": [], "at": [], "pos": [], "timer": []})
+                return
         else:
             rows = pd.concat(frames).sort_values(["ms", "pos"])
             for t, p in zip(rows["ms"].tolist(), rows["pos"].tolist(), strict=True):
@@ -75,8 +80,8 @@ def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str =
                 else:
                     due, pending = t + (WAIT_LONG_MS if t - saved < WAIT_LONG_MS else WAIT_SHORT_MS), p
         state.update((saved, due, pending))
-        if due is not None:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        wake = saved + APART_MS + 1 if due is None else due
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]] * len(out), "at": [x[0] for x in out], "pos": [x[1] for x in out], "timer": [x[2] for x in out]})
 
     kind = events.schema[key].dataType.simpleString()
@@ -85,19 +90,41 @@ def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str =
     return out.withColumnRenamed("key", key)
 
 
-def latest_into(path: str, key: str, seq: str):
+def latest_into(path: str, key: str, seq: str, buckets: int = 64):
     """A foreachBatch sink that keeps the last row per key in Parquet folders path/v0, path/v1, ...
 
     Every batch writes a new version from the one before it, so a batch that is run again
-    after a failure writes the same; read with latest().
+    after a failure writes the same.  Keys lie in
+    folders by hash, and only the folders that a batch touches are written anew: a version
+    says for the others which version holds them.  Read with latest().
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(seq, F.xxhash64(*batch.columns))).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v{number}")
+        held = _places(spark, path, number - 1) if number > 0 else {}
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = batch.withColumn("bucket_", bucket)
+        touched = sorted(r[0] for r in new.select("bucket_").distinct().collect())  # at most `buckets`
+        old = [f"{path}/v{held[b]}/rows/bucket_={b}" for b in touched if b in held]
+        if old:
+            new = new.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket_", bucket))
+        last = new.groupBy("bucket_", key).agg(F.max_by(F.struct(*batch.columns), F.struct(seq, F.xxhash64(*batch.columns))).alias("r")).select("r.*", "bucket_")
+        last.write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/v{number}/rows")
+        places = sorted((held | dict.fromkeys(touched, number)).items())
+        spark.createDataFrame(places, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/places")
 
     return write
+
+
+def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which version holds each bucket, as of version `number`."""
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/v{number}/places").collect()}
+
+
+def latest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The rows that latest_into() holds as of batch `number`."""
+    held = _places(spark, path, number)
+    parts: dict[int, list[str]] = {}
+    for b, v in held.items():
+        parts.setdefault(v, []).append(f"{path}/v{v}/rows/bucket_={b}")
+    return spark.read.parquet(*[p for ps in parts.values() for p in ps])

@@ -91,9 +91,9 @@ def test_resolve_toc(spark):
 
 
 def test_speech_queue(spark):
-    blocks = spark.createDataFrame([(1, 0, "p", "Good day, dear reader. ... Next one."), (1, 1, "p", "你好，世界！")], "doc_id int, b int, k string, t string")
+    blocks = spark.createDataFrame([(1, 0, "p", "Good day, dear friend. ... Next one."), (1, 1, "p", "你好，世界！")], "doc_id int, b int, k string, t string")
     got = [(r.say or r.pause_ms) for r in S.speech_queue(blocks).orderBy("seq").collect()]
-    assert got == ["Good day", 150, "dear reader", 150, 150, "Next one", 250, "你好", 150, "世界", 250]
+    assert got == ["Good day", 150, "dear friend", 150, 150, "Next one", 250, "你好", 150, "世界", 250]
     start = spark.createDataFrame([(1, 0, 24)], "doc_id int, from_b int, from_o int")
     assert [(r.say or r.pause_ms) for r in S.speech_queue(blocks, start).orderBy("seq").collect()][:2] == ["Next one", 250]
 

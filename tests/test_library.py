@@ -83,16 +83,16 @@ def test_merge_backup(spark):
 def test_backup_round_trip(spark, tmp_path):
     b = books(spark, book("a", last_read_at=5), book("b", last_read_at=9))
     n = spark.createDataFrame([note("n", book_id="a"), note("m", book_id="b", b=2), note("l", book_id="b", b=1), note("gone", book_id="zz")], NOTES)
-    out = K.export_backup(b, n, "reader", F.lit("2024-01-02T00:00:00Z")).first().value
+    out = K.export_backup(b, n, "shelf", F.lit("2024-01-02T00:00:00Z")).first().value
     data = json.loads(out)
     assert [x["id"] for x in data["books"]] == ["b", "a"] and [x["id"] for x in data["annots"]] == ["l", "m", "n"]
     (tmp_path / "b.json").write_text(json.dumps(data, indent=2))
-    again, notes = K.read_backup(spark, str(tmp_path / "b.json"), "reader")
+    again, notes = K.read_backup(spark, str(tmp_path / "b.json"), "shelf")
     assert rows(again, "id", "last_read_at") == [("a", 5), ("b", 9)] and notes.count() == 3
     (tmp_path / "x.json").write_text('{"app": "other", "books": [{"id": "q"}]}')
     with pytest.raises(Exception, match="not a backup"):
-        K.read_backup(spark, str(tmp_path / "x.json"), "reader")[0].collect()
-    assert spark.range(1).select(K.backup_name(F.lit("2024-01-02").cast("date")).alias("n")).first().n == "reader-backup-2024-01-02.json"
+        K.read_backup(spark, str(tmp_path / "x.json"), "shelf")[0].collect()
+    assert spark.range(1).select(K.backup_name(F.lit("2024-01-02").cast("date"), "shelf").alias("n")).first().n == "shelf-backup-2024-01-02.json"
 
 
 def test_settings(spark):

@@ -5,7 +5,7 @@ import pytest
 
 from folio.plans import registry
 
-TABLES = "events documents pages benchmark labels conversations".split()
+TABLES = "customer orders supplier events documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
