@@ -11,7 +11,8 @@ aggregation, so a group of copies of any size arrives at its reducer as one row
 
 Edge cases: null counts as the empty text and equals it; repeated rows belong to one
 group, of which one row is kept; ties on length and id fall to the first row number; null
-ids lose to any id; an empty table gives an empty table; other columns are not read.
+ids lose to any id; an empty table gives an empty table; very long texts only add digits,
+the last of which may hold half of such a text; other columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ A document stays if its base counts pass and the words of its kept lines hold at
 half of the characters in words.
 
 Edge cases: a null or empty text has no words, so its base counts fail; repeated rows
-give a row each; an empty table gives an empty table; other columns are not read.
+give a row each; an empty table gives an empty table; a text of any length is judged whole;
+other columns are not read, and those with the name of a column that quality() adds are
+replaced by it.
 """
 
 from __future__ import annotations

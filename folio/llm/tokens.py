@@ -9,7 +9,8 @@ Texts hold mostly pre-tokens seen before, so counts are remembered per worker, u
 fixed number of entries.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows give a row each;
-an empty table gives an empty table; other columns are not read.  The special string of
+an empty table gives an empty table; a text of any length is counted whole, by one task;
+other columns are not read.  The special string of
 the vocabulary inside a text counts as one token, as the library does by default.
 """
 

@@ -10,7 +10,8 @@ kinds of records through the concurrent-to identifiers.
 Edge cases: a null payload is empty; a null url is an empty target; a null page id is left
 out of the metadata and read back as null; repeated rows give equal captures each; of
 equal payloads all rows with the largest id are responses; an empty table gives an empty
-archive and no captures; other columns are not read.
+archive and no captures; a payload of any length is one record, which a task holds whole
+with the file that it lies in; other columns are not read.
 """
 
 from __future__ import annotations

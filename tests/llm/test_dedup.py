@@ -266,3 +266,32 @@ def test_cuckoo_filter():
     assert again.might_hold(others).mean() < 0.15
     made = CuckooFilter.of_keys(keys)
     assert not made.spare and made.might_hold(np.array(keys)).all() and made.might_hold(others).mean() < 0.01
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The folder named in the session, else the one set by hand; none of this machine alone on a cluster."""
+    sc = spark.sparkContext
+    spark.conf.set("spark.checkpoint.dir", "file:///tmp/named/")
+    assert common.shared_folder(spark) == "file:///tmp/named"
+    spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "_OWN_FOLDER", {})
+    monkeypatch.setattr(type(sc), "getCheckpointDir", lambda self: "file:///tmp/by-hand")
+    assert common.shared_folder(spark) == "file:///tmp/by-hand"
+    monkeypatch.setattr(type(sc), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(sc), "master", property(lambda self: "spark://host:7077"), raising=False)
+    monkeypatch.setitem(sc.__dict__, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(spark)
+
+
+def test_release_gives_settings_and_folders_back(spark):
+    from pathlib import Path
+
+    common.release(spark)
+    before = spark.conf.get(common.ROWS_A_BATCH)
+    common.bound_batches(spark)
+    kept = common.materialise(spark.range(10), "ten")
+    where = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert spark.conf.get(common.ROWS_A_BATCH) == str(common.BATCH_ROWS) and where.is_dir()
+    common.release(spark)
+    assert spark.conf.get(common.ROWS_A_BATCH) == before and not where.exists()
