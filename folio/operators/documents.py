@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
+from folio.functions.rows import stacked
 from folio.functions.text import clean_title, looks_heading, normalize, once, trim
 
 UNITS = "array<struct<start:int,end:int,title:string,body:bigint,chars:bigint>>"
@@ -96,7 +97,7 @@ def reading_units(chapters: DataFrame, blocks: DataFrame, id_col: str = "doc_id"
     total = lambda f: F.aggregate(F.transform(part, lambda x: x[f].cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
     name = F.when(F.col("p") == 0, F.col("title")).otherwise(F.concat("title", F.lit(C.CONTINUED.split("{}")[0]), (F.col("p") + 1).cast("string"), F.lit(C.CONTINUED.split("{}")[1])))
     cut = parts.select(id_col, (F.col("start") + since).alias("start"), (F.col("start") + F.col("to")).alias("end"), name.alias("title"), total("body").alias("body"), total("n").alias("chars"))
-    units = merged.where(F.col("chars") <= C.MAX_UNIT).unionByName(cut)
+    units = merged.where(F.col("chars") <= C.MAX_UNIT).transform(stacked, cut)
     return units.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("start")) - 1).alias("ci"), "title", "start", "end", "body", "chars")
 
 

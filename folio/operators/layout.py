@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
+from folio.functions.rows import stacked
 from folio.functions.text import fix_radicals, head_key, trim
 from folio.operators.documents import heading_chapters, reading_units, with_sizes
 
@@ -115,7 +116,7 @@ def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame |
     if pages is None:
         return blocks
     empty = pages.select(id_col).distinct().join(lines.select(id_col).distinct(), id_col, "left_anti")
-    return blocks.unionByName(empty.select(id_col, F.lit(0).alias("b"), F.lit("p").alias("k"), F.lit(C.EMPTY_PAGES).alias("t")))
+    return blocks.transform(stacked, empty.select(id_col, F.lit(0).alias("b"), F.lit("p").alias("k"), F.lit(C.EMPTY_PAGES).alias("t")))
 
 
 def page_starts(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -142,7 +143,7 @@ def page_documents(lines: DataFrame, outline: DataFrame, id_col: str = "doc_id")
     n_blocks = blocks.groupBy(id_col).agg(F.count("*").cast("int").alias("n_blocks"))
     outlined = with_sizes(outline_chapters(entries=outline, starts=starts.select(id_col, "starts"), n_blocks=n_blocks, id_col=id_col), blocks, id_col)
     headed = heading_chapters(blocks.join(outlined.select(id_col).distinct(), id_col, "left_anti"), id_col)
-    units = reading_units(outlined.unionByName(headed.select(*outlined.columns)), blocks, id_col)
+    units = reading_units(outlined.transform(stacked, headed.select(*outlined.columns)), blocks, id_col)
     return {"scanned": tested.where("scanned").select(id_col, "n_pages"), "blocks": blocks, "units": units, "starts": starts}
 
 

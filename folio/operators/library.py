@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.rows import stacked
 from folio.functions.text import base_name, date_label, falsy, format_of, pct, trim
 from folio.operators.position import block_of_page, chapter_of, share_of
 
@@ -21,7 +22,7 @@ BACKUP_COLUMNS = ("id", "title", "author", "format", "file_name", "size", "total
 def upsert(table: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
     """`table` after `changes` (its columns and `seq`): per key the row with the largest seq replaces what was there."""
     last = changes.groupBy(key).agg(F.max_by(F.struct(*table.columns), seq).alias("r")).select("r.*")
-    return table.join(last.select(key), key, "left_anti").unionByName(last)
+    return table.join(last.select(key), key, "left_anti").transform(stacked, last)
 
 
 def import_files(files: DataFrame, seq: str = "seq") -> DataFrame:
@@ -41,7 +42,7 @@ def import_into(books: DataFrame, files: DataFrame, seq: str = "seq") -> DataFra
     known = books.join(names, "id", "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in books.columns])
     fresh = {"id": F.col("id"), "title": base_name(F.col("file_name")), "author": F.lit(""), "format": format_of(F.col("file_name")), "file_name": F.col("file_name"), "size": F.col("size"), "added_at": F.col("added_seq"), "last_read_at": F.lit(0), "finished": F.lit(False), "anchor": F.struct(F.lit(0).alias("b"), F.lit(0).alias("o")), "percent": F.lit(0.0), "annot_count": F.lit(0)}
     rows = found.join(books.select("id"), "id", "left_anti")
-    return known.unionByName(rows.select(*[fresh.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in books.schema]))
+    return known.transform(stacked, rows.select(*[fresh.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in books.schema]))
 
 
 def import_summary(outcomes: DataFrame, error: str = "error") -> DataFrame:
@@ -116,7 +117,7 @@ def save_notes(notes: DataFrame, edits: DataFrame) -> DataFrame:
     last = good.groupBy("id").agg(F.max_by(F.struct(*notes.columns), "updated_at").alias("r"), F.min("updated_at").alias("began"))
     old = notes.select("id", F.col("created_at").alias("old_created"))
     rows = last.join(old, "id", "left").select(*[F.coalesce("old_created", "r.created_at", "began").alias(c) if c == "created_at" else F.col(f"r.{c}").alias(c) for c in notes.columns])
-    return notes.join(rows.select("id"), "id", "left_anti").unionByName(rows)
+    return notes.join(rows.select("id"), "id", "left_anti").transform(stacked, rows)
 
 
 def delete_notes(books: DataFrame, notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +182,7 @@ def merge_notes(notes: DataFrame, backup: DataFrame) -> DataFrame:
     good = backup.where("coalesce(id, '') <> '' AND coalesce(book_id, '') <> ''")
     last = F.col("seq") if "seq" in backup.columns else F.struct(F.coalesce("updated_at", F.lit(0)), F.xxhash64(*notes.columns))
     good = good.groupBy("id").agg(F.max_by(F.struct(*notes.columns), last).alias("r")).select("r.*")
-    return notes.join(good.select("id"), "id", "left_anti").unionByName(good)
+    return notes.join(good.select("id"), "id", "left_anti").transform(stacked, good)
 
 
 def exported_notes(notes: DataFrame, books: DataFrame, key: str = "book_id") -> DataFrame:

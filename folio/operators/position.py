@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import chars as C
+from folio.functions.rows import stacked
 from folio.functions.text import text_of
 
 QUOTE_CHARS, QUOTE_LEAST = 24, 4
@@ -41,7 +42,7 @@ def as_of(left: DataFrame, right: DataFrame, on: str, at: str, values: list[str]
     """
     kept = right.groupBy(on, at).agg(F.max(F.struct(*values)).alias("__v"))
     rows = left.select(on, at, F.struct(*left.columns).alias("__l"), F.lit(None).cast(kept.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__s"))
-    rows = rows.unionByName(kept.select(on, at, F.lit(None).cast(rows.schema["__l"].dataType).alias("__l"), "__v", F.lit(0).alias("__s")))
+    rows = rows.transform(stacked, kept.select(on, at, F.lit(None).cast(rows.schema["__l"].dataType).alias("__l"), "__v", F.lit(0).alias("__s")))
     w = Window.partitionBy(on)
     w = w.orderBy(F.col(at).desc_nulls_last(), "__s") if forward else w.orderBy(F.col(at).asc_nulls_first(), "__s")
     found = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -169,9 +170,9 @@ def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id
         rows.append((r.qid, r.q))
         if len(rows) == QUOTE_BLOCK:
             part = search(rows)
-            found, rows = part if found is None else found.unionByName(part), []
+            found, rows = part if found is None else found.transform(stacked, part), []
     part = search(rows)
-    return part if found is None else found.unionByName(part)
+    return part if found is None else found.transform(stacked, part)
 
 
 def remap_annotations(annots: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,8 +11,6 @@ LINES_A_PAGE = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Spark 4.1 may take a union for partitioned by a key whose rows lie apart in it, and leave out an exchange
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.rows import stacked
 from folio.functions.text import dir_of, fragment_of, resolve_path
 from folio.operators.documents import reading_units, with_sizes
 from folio.operators.toc import first_labels, resolve_toc
@@ -112,7 +113,7 @@ def contents(books: DataFrame, items: DataFrame, members: DataFrame) -> DataFram
     nav = items.where(F.col("props").rlike(r"(^|\s)nav(\s|$)")).groupBy("id").agg(F.max_by("path", "pos").alias("path")).join(have, ["id", "path"], "left_semi").select("id", "path", F.lit(0).alias("rank"))
     named = books.where("toc_id <> ''").select("id", F.col("toc_id").alias("iid")).join(items, ["id", "iid"]).select("id", "path", F.lit(1).alias("rank"))
     typed = items.where(F.col("type") == NCX_TYPE).groupBy("id").agg(F.max_by("path", "pos").alias("path")).select("id", "path", F.lit(2).alias("rank"))
-    source = nav.unionByName(named).unionByName(typed).groupBy("id").agg(F.min_by("path", "rank").alias("path"))
+    source = nav.transform(stacked, named).transform(stacked, typed).groupBy("id").agg(F.min_by("path", "rank").alias("path"))
     pages = members.withColumnRenamed("name", "path").join(source, ["id", "path"]).withColumn("html", F.make_valid_utf8(F.col("content").cast("string")))
     rows = parse_pages(pages, ["id", "path"]).select("id", F.col("path").alias("from"), F.posexplode("nav").alias("ti", "x"))
     return rows.select("id", "ti", resolve_path(dir_of(F.col("from")), F.col("x.href")).alias("path"), fragment_of(F.col("x.href")).alias("frag"), "x.label", "x.lv").where("path <> ''")
@@ -141,7 +142,7 @@ def read_books(files: DataFrame) -> dict[str, DataFrame]:
     fragments = pages.select("id", "path", "base", F.explode("ids").alias("frag", "at")).groupBy("id", "path", "frag").agg(F.max(F.col("base") + F.col("at")).alias("b"))
     resolved = resolve_toc(toc, bases, fragments, totals, "id")
     empty = books.where("error IS NULL").join(totals, "id", "left_anti").select("id", F.lit("nothing to read").alias("error"))
-    rejected = books.where("error IS NOT NULL").select("id", "error").unionByName(empty)
+    rejected = books.where("error IS NOT NULL").select("id", "error").transform(stacked, empty)
     return {"books": books.where("error IS NULL").join(totals, "id", "left_semi").select("id", "title", "author", "lang"), "blocks": blocks, "units": units, "toc": resolved, "rejected": rejected}
 
 
@@ -163,6 +164,6 @@ def chapter_starts(pages: DataFrame, toc: DataFrame, totals: DataFrame) -> DataF
     title = F.coalesce(bad, F.nullif("file_label", F.lit("")), F.nullif("zero_label", F.lit("")), F.get(heads, 0)["t"], nth)
     starts = first.select("id", F.col("base").alias("start"), title.alias("title"))
     inner = points.where("i > 0").withColumn("start", F.col("base") + F.col("i")).groupBy("id", "start").agg(F.min_by("label", "ti").alias("title"))
-    every = starts.unionByName(inner).join(totals, "id")
+    every = starts.transform(stacked, inner).join(totals, "id")
     end = F.coalesce(F.lead("start").over(Window.partitionBy("id").orderBy("start")), F.col("n_blocks"))
     return every.select("id", "start", end.cast("int").alias("end"), "title")

@@ -109,3 +109,28 @@ def test_voices(spark):
 def test_epoch_fence(spark):
     e = spark.createDataFrame([(1, "k", 1), (2, "k", 2), (3, "k", 1), (4, "k", 2), (5, "j", 1)], "ts int, key string, epoch int")
     assert rows(S.epoch_fence(e, "key", "epoch", ["ts"]), "ts") == [(1,), (2,), (4,), (5,)]
+
+
+def test_page_documents(spark):
+    """Scanned documents apart; chapters from the outline, else from headings; a block that says that there is no text."""
+    long = "some words of text that fill a line of the page here "
+    text = [[f"{long}{'abc'[i]}{'wxyz'[k]}" for k in range(4)] for i in range(3)]
+    data = [(1, p, i, t, 72.0, 700.0 - 14 * i, 12.0) for p, ls in enumerate(text) for i, t in enumerate(ls)]
+    data += [(2, p, i, t, 72.0 if i else 90.0, 700.0 - 14 * i, 12.0) for p, ls in enumerate(text) for i, t in enumerate(ls)] + [(3, 5, 0, "x", 72.0, 700.0, 12.0)]
+    outline = spark.createDataFrame([(2, 0, "One", 1), (2, 1, "Two", 3)], "doc_id int, seq int, title string, page int")
+    got = L.page_documents(spark.createDataFrame(data, LINE), outline)
+    assert rows(got["scanned"], "doc_id", "n_pages") == [(3, 6)]
+    assert {r.doc_id for r in got["blocks"].collect()} == {1, 2}
+    assert [r[1] for r in rows(got["units"].where("doc_id = 2"), "start", "title")] == ["One", "Two"]
+    assert rows(got["units"].where("doc_id = 1"), "ci", "title") == [(0, "全文")]
+    bare = L.lines_to_blocks(spark.createDataFrame(data, LINE).where("doc_id = 1"), pages=spark.createDataFrame([(1,), (9,)], "doc_id int"))
+    assert rows(bare.where("doc_id = 9"), "b", "k") == [(0, "p")]
+
+
+def test_quotes_with_any_kind_of_id(spark):
+    from folio.operators.position import locate_quotes
+
+    blocks = spark.createDataFrame([(1, 0, "p", "nothing here"), (1, 1, "p", "a phrase to find, and more")], "doc_id int, b int, k string, t string").repartition(3)
+    for kind, one, two in (("int", 1, 2), ("string", "x", "y"), ("bigint", 1, 2)):
+        quotes = spark.createDataFrame([(one, "phrase to find"), (two, "not in any text")], f"item_id {kind}, text string")
+        assert rows(locate_quotes(quotes, blocks), "item_id", "doc_id", "b", "o") in ([(one, 1, 1, 2)], [(one, 1, 1, 1)])

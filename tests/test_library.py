@@ -131,3 +131,58 @@ def test_open_and_render(spark):
     blocks = spark.createDataFrame([("a", 0, "h", "Title"), ("a", 1, "p", "One here. Two there."), ("a", 2, "q", "Three.")], "doc_id string, b int, k string, t string")
     spans = rendered(blocks, units.withColumnRenamed("id", "doc_id"), notes.select(F.col("book_id").alias("doc_id"), "b", "o"))
     assert rows(spans, "ci", "b", "k", "t", "noted") == [(0, 0, "h", "Title", False), (1, 1, "p", " Two there.", False), (1, 1, "p", "One here.", False), (1, 2, "q", "Three.", True)]
+
+
+def test_backups_with_an_id_twice(spark):
+    """Rows of one id are taken one after another, as they stand."""
+    local = books(spark, book("a", last_read_at=10, percent=0.5))
+    remote = books(spark, book("a", last_read_at=20, percent=0.3, anchor=(1, 1)), book("a", last_read_at=30, percent=0.0, anchor=None), book("a", last_read_at=25, percent=0.9)).coalesce(1).withColumn("seq", F.monotonically_increasing_id())
+    got = B.merge_backup(local, remote)
+    assert rows(got, "id", "percent", "last_read_at", "updated") == [("a", 0.3, 30, True)] and tuple(got.first().anchor) == (1, 1)
+    notes = spark.createDataFrame([note("n")], NOTES)
+    twice = spark.createDataFrame([note("n", text="one"), note("n", text="two"), note("m", text="x"), note("m", text="y")], NOTES).coalesce(1).withColumn("seq", F.monotonically_increasing_id())
+    assert rows(B.merge_notes(notes, twice), "id", "text") == [("m", "y"), ("n", "two")]
+
+
+def test_import_into_a_library(spark):
+    f = spark.createDataFrame([("new.txt", b"one", 7), ("b.epub", b"two", 8)], "name string, content binary, seq int")
+    have = B.import_files(f.where("seq = 7")).first().id
+    lib = books(spark, book(have, added_at=0, percent=0.4), book("z"))
+    got = {r.id: r for r in B.import_into(lib, f).collect()}
+    assert len(got) == 3
+    assert (got[have].file_name, got[have].added_at, got[have].percent, got[have].title) == ("new.txt", 7, 0.4, f"T{have}")
+    fresh = next(r for k, r in got.items() if k not in (have, "z"))
+    assert (fresh.title, fresh.format, fresh.file_name, fresh.added_at, fresh.last_read_at, tuple(fresh.anchor)) == ("b", "epub", "b.epub", 8, 0, (0, 0))
+
+
+def test_counters_deletes_and_last_book(spark):
+    outcomes = spark.createDataFrame([("a", None), ("b", "broken"), ("c", None)], "id string, error string")
+    assert tuple(B.import_summary(outcomes).first()) == (2, 1)
+    notes = spark.createDataFrame([note("n"), note("m")], NOTES)
+    b, left = B.delete_notes(books(spark, book("a"), book("b")), notes, spark.createDataFrame([("n",), ("n",)], "id string"))
+    assert rows(b, "id", "annot_count") == [("a", 1), ("b", 0)] and rows(left, "id") == [("m",)]
+    opened = spark.createDataFrame([(1, "a"), (2, "gone")], "k int, last_book string")
+    assert rows(B.last_opened(opened, books(spark, book("a"))), "k") == [(1,)]
+    stale = books(spark, book("a"), book("b"), book("c")).select("id", F.lit(True).alias("stale"))
+    docs, files = spark.createDataFrame([("a", 2), ("b", 2)], "id string, parser_version int"), spark.createDataFrame([("a",), ("c",)], "id string")
+    got = {r.id: (r.doc_version, r.reparse) for r in B.with_documents(stale, docs, files).collect()}
+    assert got == {"a": (2, True), "b": (2, False), "c": (None, True)}
+
+
+def test_settings_text(spark):
+    text = '{"font": 4, "line": 0, "theme": "dark", "rate": 1.5, "rateEn": 0.7, "keepAwake": false, "tapMode": "off", "lastBook": "x"}'
+    row = spark.createDataFrame([(text,)], "t string").select(B.settings(F.col("t")).alias("s"))
+    again = row.select("s", B.settings(B.settings_text(F.col("s"))).alias("again")).first()
+    assert again.s == again.again and json.loads(row.select(B.settings_text(F.col("s")).alias("x")).first().x)["rateEn"] == 0.7
+
+
+def test_rates_and_replay(spark):
+    from folio.operators.speech import rate_for, replay_from
+
+    row = spark.createDataFrame([("en", 3), ("zh", 0)], "lang string, place int").withColumn("s", F.struct(F.lit(1.2).alias("rate"), F.lit(0.8).alias("rate_en")))
+    assert [(r.r, r.p) for r in row.select(rate_for(F.col("lang"), F.col("s")).alias("r"), replay_from(F.col("place")).alias("p")).collect()] == [(0.8, 2), (1.2, 0)]
+
+
+def test_shelves_by_owner(spark):
+    b = books(spark, book("a", last_read_at=60_000, annot_count=2), book("b")).withColumn("owner", F.lit(1)).unionByName(books(spark, book("c")).withColumn("owner", F.lit(2)))
+    assert rows(B.shelf(b, "owner"), "owner", "id", "place", "read", "notes") == [(1, "a", 1, "1970-01-01 00:01", 2), (1, "b", 2, B.NEVER_READ, 0), (2, "c", 1, B.NEVER_READ, 0)]

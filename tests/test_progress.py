@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import spec
 from pyspark.sql import functions as F
 
-from folio.streaming.progress import latest_into, throttled_saves, throttled_stream
+from folio.streaming.progress import latest, latest_into, throttled_saves, throttled_stream
 
 
 def made(seed, keys=4, n=120):
@@ -49,4 +49,7 @@ def test_latest_sink(spark, tmp_path):
     write(one, 0)
     write(two, 1)
     write(two, 1)  # a batch that is run again
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "v1")).collect())) == [(1, "c", 2), (2, "b", 1)]
+    write(spark.createDataFrame([(3, "n", 5)], "id int, v string, seq int"), 2)  # touches one bucket alone
+    assert sorted(map(tuple, latest(spark, str(tmp_path / "t"), 1).select("id", "v", "seq").collect())) == [(1, "c", 2), (2, "b", 1)]
+    assert sorted(map(tuple, latest(spark, str(tmp_path / "t"), 2).select("id", "v", "seq").collect())) == [(1, "c", 2), (2, "b", 1), (3, "n", 5)]
+    assert len(list((tmp_path / "t" / "v2" / "rows").glob("bucket_=*"))) == 1

@@ -9,7 +9,7 @@ from folio.functions import text as X
 ALPHABET = ["a", "B", "Mr", "e", " ", " ", ".", ".", "!", "?", "。", "！", "…", "」", "”", '"', "'", "’", ")", ",", "，", "、", "：", ":", ";", "-", "3", "14", "漢", "字", "か", "한", "é", "\n", "\t", "　", " ", "word ", "etc", "vol", "$", "%", "_", "（", "·"]
 LITERALS = [
     None, "", " ", ".", "。", "He paid 3.14 to Mr. Smith. J. R. R. left!", "他說：「好。」然後走了。But he stayed... \"Yes!\" she said.", "版本 2.0.1 很好，真的。", "a. b. c.", "U.S.A. is e.g. here", "x" * 181, ("word " * 60).strip(), "字" * 400 + "。" + "，".join(["漢字漢字"] * 80),
-    "好，a，b，壞人，好人。", "1,000 and 12:30, then more; and so on: done", "don't -- well-known 'quoted' $5 & 10% @home #tag a_b", "這是 iPhone 的 PWA 應用，very long English phrase here 然後回來", "Il dit ’oui’ 漢", "emoji 😀. Next one! 😀",
+    "好，a，b，壞人，好人。", "1,000 and 12:30, then more; and so on: done", "don't -- well-known 'quoted' $5 & 10% @home #tag a_b", "這是 iPhone 的 PWA 應用，very long English phrase here 然後回來", "Il dit ’oui’ 漢", "emoji 😀. Next one! 😀", "last \U0010ffff code. Point \U0010ffff, here.",
 ]
 
 
