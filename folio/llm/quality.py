@@ -56,8 +56,6 @@ BOILERPLATE = (
     "skip to content",
     "powered by",
 )
-#: The end marks of the SQL; the rules here take SENTENCE_END.
-END_MARK = rf"[.!?:;…。！？][\"')\]’”»]*[{SPACES}]*\z"
 #: Unicode's sentence terminals (STerm, ATerm) beyond ASCII.
 TERMINALS = (
     r"\x{589}\x{61D}-\x{61F}\x{6D4}\x{700}-\x{702}\x{7F9}\x{837}\x{839}\x{83D}-\x{83E}"

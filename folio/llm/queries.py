@@ -83,7 +83,8 @@ _WORD = rf"[^{_SPACES}]+"
 _WORDS = rf"list_filter(regexp_split_to_array(%s, '[{_SPACES}]+'), lambda w: w <> '')"
 _COUNT = "len(regexp_extract_all(line, '{}'))"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-_QUOTED = rules.END_MARK.replace("'", "''")
+_quoted = lambda pattern: pattern.replace("'", "''")
+_NO_WORD = r"[^\p{L}\p{M}\p{N}_]"
 
 ORACLES = {
     "op2_warc": """
@@ -110,14 +111,19 @@ ORACLES = {
         g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
         r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
         rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
-        l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORD}')),
-        f AS (SELECT doc_id, line, length(regexp_replace(line, '[{_SPACES}]+', '', 'g')) AS chars,
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+        s AS (SELECT *, regexp_matches(line, '{_WORD}') AS word, length(line) < {rules.SHORT_LINE} AS short,
               ({_COUNT.format(rules.SEPARATOR)} >= 2 AND 5 * {_COUNT.format(rules.SEPARATOR)} >= {_COUNT.format(_WORD)})
               OR (regexp_matches(line, '[#*$%&|<>]') AND 10 * length(regexp_replace(line, '{rules.NOT_SYMBOLS}', '', 'g')) >= length(line))
               OR ({_COUNT.format(rules.DOUBLED)} >= 2 AND 4 * {_COUNT.format(rules.DOUBLED)} >= {_COUNT.format(_WORD)})
-              OR CASE WHEN length(line) < {rules.SHORT_LINE} THEN regexp_matches(lower(line), '{"|".join(rules.BOILERPLATE)}')
-                 OR (regexp_matches(line, '{rules.FOUR_WORDS}') AND NOT regexp_matches(line, '{_QUOTED}'))
-                 OR 2 * length(regexp_replace(line, '{rules.UNSIGNED}', '', 'g')) > length(line) ELSE regexp_matches(line, '{rules.SIGN_RUN}') END AS fails FROM l),
+              OR CASE WHEN length(line) < {rules.SHORT_LINE} THEN regexp_matches(lower(line), '(^|{_NO_WORD})({"|".join(rules.BOILERPLATE)})($|{_NO_WORD})')
+                 OR 2 * length(regexp_replace(line, '{rules.UNSIGNED}', '', 'g')) > length(line) ELSE regexp_matches(line, '{rules.SIGN_RUN}') END AS bad FROM l),
+        k AS (SELECT *, CASE WHEN NOT word THEN {rules.PASSES} WHEN bad THEN {rules.FAILS} WHEN short AND regexp_matches(line, '{rules.FOUR_WORDS}') AND NOT regexp_matches(line, '{_quoted(rules.SENTENCE_END)}') THEN {rules.UNENDED} ELSE {rules.PASSES} END AS kind FROM s),
+        n AS (SELECT *, lead(line) OVER o AS line2, lead(word) OVER o AS word2, lead(kind) OVER o AS kind2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        j AS (SELECT *, coalesce(word AND word2 AND kind <> {rules.FAILS} AND kind2 <> {rules.FAILS} AND (4 * (length(line) + 1 + length(regexp_extract(line2, '{_WORD}'))) > 3 * length(line2) OR regexp_matches(line2, '^[{_SPACES}]*\\p{{Ll}}')), false) AS reads_on FROM n),
+        p AS (SELECT *, count_if(NOT reads_on) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passage FROM j),
+        q AS (SELECT *, count(*) OVER v > 1 AND bool_or(regexp_matches(line, '{_quoted(rules.SENTENCE)}')) OVER v AS ended FROM p WINDOW v AS (PARTITION BY doc_id, passage)),
+        f AS (SELECT doc_id, line, length(regexp_replace(line, '[{_SPACES}]+', '', 'g')) AS chars, kind = {rules.FAILS} OR (kind = {rules.UNENDED} AND NOT ended) AS fails FROM q WHERE word),
         d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(CASE WHEN fails THEN chars END), 0) AS lost FROM f GROUP BY doc_id),
         a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
               CAST(coalesce(d.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, coalesce(d.lost, 0) AS lost FROM w LEFT JOIN d USING (doc_id) LEFT JOIN rw USING (doc_id)),

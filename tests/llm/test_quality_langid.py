@@ -43,7 +43,7 @@ def test_line_rules(spark):
         "Home | About | Contact | News": False,
         "Please read our privacy policy here.": False,
         "a line of words without an end": False,
-        "Price & quality: 5 % off, and that is all there is to say about it for now, is it not, dear reader?": True,
+        "Price & quality: 5 % off, and that is all there is to say about it for now, is it not, dear friend?": True,
         "word&&& and*** more### of$$$ this%%% noise&&& for*** a### whole$$$ long%%% line&&& of*** words### here$$$ and%%% there.": False,
         "BUY!! NOW!! AND!! NEVER!! THINK!! ABOUT!! IT!! AGAIN!! OR!! YOU!! WILL!! BE!! SORRY!! FOR!! EVER!! AND!! EVER!!": False,
         "What!! he cried, and then he said nothing more for the rest of that long evening, but looked at the fire!!": True,
@@ -107,6 +107,24 @@ def test_end_marks_and_phrases(spark):
     assert got == lines
 
 
+def test_sql_judges_the_same(spark, edge_rows, tmp_path):
+    """The registered SQL over wrapped prose, other scripts, menus and awkward texts."""
+    import duckdb
+    import pandas as pd
+
+    from folio.llm.queries import ORACLES
+
+    junk = "Top stories of this day\nWatch the latest videos now\nMore from all our partners\n"
+    hindi = "यह एक छोटा वाक्य है\nऔर यह आगे बढ़ता है।\n" * 20
+    texts = [r[1] for r in edge_rows] + [WRAPPED, WRAPPED.replace("\n", "\r\n"), WRAPPED + "\n" + junk * 3, junk * 12, "\n\n".join(WRAPPED.split("\n")), hindi, "The catalog is long\n" * 30 + WRAPPED, "Please log in now.\n" * 9 + WRAPPED, PROSE * 3 + "Home | About | Contact\n" * 20]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    want = {r[0]: r for r in con.execute(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({ORACLES['op8_quality_rules']})").fetchall()}
+    got = {r.doc_id: tuple(r) for r in Q.quality_report(spark.read.parquet(f"file://{tmp_path}/d.parquet")).collect()}
+    assert got == want
+
+
 def test_quality_of_repeated_rows_and_empty_tables(null_id_docs, empty_docs, edge_rows):
     assert Q.quality_report(null_id_docs).count() == 3 * len(edge_rows)
     assert Q.quality_report(empty_docs).collect() == []
