@@ -1,5 +1,6 @@
 import brute
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import functions as F
 
 from folio.llm import common
@@ -271,15 +272,16 @@ def test_cuckoo_filter():
 def test_shared_folder(spark, monkeypatch):
     """The folder named in the session, else the one set by hand; none of this machine alone on a cluster."""
     sc = spark.sparkContext
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/named/")
+    named = {"spark.checkpoint.dir": "file:///tmp/named/"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: named.get(key, default))
+    monkeypatch.setattr(type(sc), "getConf", lambda self: SparkConf(loadDefaults=False))
     assert common.shared_folder(spark) == "file:///tmp/named"
-    spark.conf.unset("spark.checkpoint.dir")
+    named.clear()
     monkeypatch.setattr(common, "_OWN_FOLDER", {})
     monkeypatch.setattr(type(sc), "getCheckpointDir", lambda self: "file:///tmp/by-hand")
     assert common.shared_folder(spark) == "file:///tmp/by-hand"
     monkeypatch.setattr(type(sc), "getCheckpointDir", lambda self: None)
-    monkeypatch.setattr(type(sc), "master", property(lambda self: "spark://host:7077"), raising=False)
-    monkeypatch.setitem(sc.__dict__, "master", "spark://host:7077")
+    monkeypatch.setattr(sc, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(spark)
 
