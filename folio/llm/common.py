@@ -151,7 +151,7 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt over all cores by its first column where its files give under half of them something to do."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = True) -> DataFrame:
+    """A table, `dealt` over all cores by its first column where its files give under half of them something to do."""
     df, cores = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores, df.columns[0]) if dealt and 2 * df.rdd.getNumPartitions() <= cores else df

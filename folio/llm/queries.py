@@ -48,7 +48,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(read_table(spark, sf_dir, "documents"))
+    return quality_report(read_table(spark, sf_dir, "documents", dealt=False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
