@@ -89,11 +89,11 @@ def release(spark: SparkSession, docs: DataFrame | None = None) -> None:
         delete_path(spark, paths.pop())
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, outlives executors."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder, in one folder for each value of `by`, and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

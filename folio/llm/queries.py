@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import read_table
+from folio.llm.decontam import contamination_report
 from folio.llm.exact import exact_dedup
 from folio.llm.langid import language_id
+from folio.llm.lexical import ranked
 from folio.llm.linededup import line_dedup
 from folio.llm.minhash import near_duplicates
 from folio.llm.mixing import mix
@@ -16,6 +18,7 @@ from folio.llm import quality as rules
 from folio.llm.quality import quality_report
 from folio.llm.suffix import suffix_dedup
 from folio.llm.tokens import token_counts
+from folio.llm.vectorcodes import ENTRIES, MOST, PARTS, ROUNDS, SCALE, code_report
 from folio.llm.warc import warc_round_trip
 
 
@@ -65,6 +68,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark", dealt=False), window=10)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark", dealt=False), k=10)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_decontamination": op12_decontamination,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _SPACES = r"\x20\x09-\x0D"
@@ -86,6 +104,29 @@ _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _quoted = lambda pattern: pattern.replace("'", "''")
 _NO_WORD = r"[^\p{L}\p{M}\p{N}_]"
 
+# the words of operators 12 and 13: lower-case ASCII letters, digits and all beyond ASCII
+_TERMS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+
+def _vector_codes_sql() -> str:
+    """The rounds of operator 11 one after another, every part held against every entry."""
+    gap = "CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    nearest = f"SELECT k, p, any_value(x) AS x, min((e, g)) FILTER (WHERE g = m)[1] AS e, min(g) AS g FROM (SELECT *, min(g) OVER (PARTITION BY k, p) AS m FROM (SELECT k, v.p, x, e, {gap} AS g FROM v JOIN {{}} b ON b.p = v.p)) GROUP BY k, p"
+    steps = [
+        f"r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS k, * FROM (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * {SCALE}) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR abs(CAST(y AS DOUBLE) * {SCALE}) >= {MOST})) = 0))",
+        f"v AS MATERIALIZED (SELECT k, p, x[p * len(x) // {PARTS} + 1:(p + 1) * len(x) // {PARTS}] AS x FROM r, range({PARTS}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, k - 1 AS e, x AS c FROM v WHERE k <= {ENTRIES})",
+    ]
+    for n in range(ROUNDS):
+        steps.append(f"a{n} AS MATERIALIZED ({nearest.format(f'b{n}')})")
+        means = f"SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e"
+        steps.append(f"b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN ({means}) m ON m.p = b.p AND m.e = b.e)")
+    steps.append(f"z AS MATERIALIZED ({nearest.format(f'b{ROUNDS}')})")
+    steps.append("o AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(g) AS BIGINT) AS error FROM z GROUP BY k)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS d FROM b{ROUNDS})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM r JOIN o USING (k), h"
+
+
 ORACLES = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -142,4 +183,24 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+        b AS (SELECT item_id, {_TERMS} AS ws FROM benchmark),
+        w AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS k FROM b WHERE len(ws) > 0)),
+        o AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w))),
+        m AS (SELECT o.doc_id, o.n, o.k, w.item_id FROM o JOIN w ON w.n = o.n AND w.g = o.g),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+        s AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS len FROM d WHERE len(ws) > 0),
+        t AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(docs AS DOUBLE) + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+        p AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len)) AS impact FROM t, s),
+        q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        c AS (SELECT item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 10""",
 }
