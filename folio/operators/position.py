@@ -1,4 +1,4 @@
-"""Positions in documents: anchors (b, o), shares of the text, chapters, pages, quotes.
+"""Positions in documents: anchors (b, o), shares of the text, chapters, pages, notes.
 
 As-of lookups are one shuffle on the document: both sides are laid in order and the last
 (or first) entry is carried along by a window, so no interval join is needed.
@@ -6,19 +6,11 @@ As-of lookups are one shuffle on the document: both sides are laid in order and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions import chars as C
 from folio.functions.rows import stacked
-from folio.functions.text import text_of
-
-QUOTE_CHARS, QUOTE_LEAST = 24, 4
-#: Quotes searched for by one automaton at a time.
-QUOTE_BLOCK = 100_000
+from folio.operators.quotes import quotes_in_own_document
 
 
 def prefix(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -91,90 +83,6 @@ def block_of_page(page_starts: Column, page: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) <= 0, 0).otherwise(F.coalesce(F.get(page_starts, at - 1), F.lit(0)))
 
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(text_of(c), f"[{C.WS}]+", "")
-
-
-def quote_key(quote: Column) -> Column:
-    """What is searched for: the first QUOTE_CHARS characters that are no white space; null if too few."""
-    key = F.substring(stripped(quote), 1, QUOTE_CHARS)
-    return F.when(F.char_length(key) >= QUOTE_LEAST, key)
-
-
-def raw_offset(text: Column, at: Column) -> Column:
-    """Offset in a text of the place with `at` characters before it that are no white space."""
-    ahead = F.regexp_extract(text, rf"(?s)^.*$", 0)
-    counts = F.aggregate(F.split(ahead, ""), F.struct(F.lit(0).alias("seen"), F.lit(0).alias("j")), lambda s, ch: F.when(s["seen"] >= at, s).otherwise(F.struct((s["seen"] + (~ch.rlike(f"[{C.WS}]")).cast("int")).alias("seen"), (s["j"] + 1).alias("j"))), lambda s: s["j"])
-    return counts.cast("int")
-
-
-def quotes_in_own_document(annots: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`annots` (id, quote, ...) with the anchor (hit_b, hit_o) of the first block that holds the quote, or null."""
-    keyed = annots.withColumn("__q", quote_key(F.col("quote"))).withColumn("__a", F.monotonically_increasing_id())
-    inner = keyed.where("__q IS NOT NULL").select("__a", F.col(id_col).alias("__d"), "__q")
-    plain = blocks.select(F.col(id_col).alias("__d"), "b", "t", stripped(F.col("t")).alias("__p"))
-    hits = inner.join(plain, "__d").where("instr(__p, __q) > 0").groupBy("__a").agg(F.min(F.struct("b", F.expr("instr(__p, __q) - 1").alias("at"), "t")).alias("h"))
-    hits = hits.select("__a", F.col("h.b").alias("hit_b"), raw_offset(F.col("h.t"), F.col("h.at")).alias("hit_o"))
-    return keyed.join(hits, "__a", "left").select(*annots.columns, "hit_b", "hit_o")
-
-
-def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
-    """(quote_id, id, b, o): where each quote first occurs in each document.
-
-    Quotes are searched for in blocks of QUOTE_BLOCK, all of a block at once by an
-    automaton in one pass over the texts; nothing is joined by `contains`.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spark = quotes.sparkSession
-    keys = quotes.select(F.col(quote_id).alias("qid"), quote_key(F.col("text")).alias("q")).where("q IS NOT NULL")
-    found = None
-    rows: list[tuple] = []
-
-    def search(part: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
-        kind = blocks.schema[id_col].dataType.simpleString()
-        qkind = quotes.schema[quote_id].dataType.simpleString()
-        qtype = to_arrow_type(quotes.schema[quote_id].dataType)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine, ids = ahocorasick.Automaton(), {}
-            for qid, q in shared.value:
-                ids.setdefault(q, []).append(qid)
-            for q in ids:
-                machine.add_word(q, q)
-            machine.make_automaton()
-            spaces = dict.fromkeys(map(ord, C.WS_CHARS))
-            for batch in batches:
-                out: list[tuple] = []
-                for i, t in enumerate(batch.column(2).to_pylist()):
-                    plain, seen = t.translate(spaces), set()
-                    for end, q in machine.iter(plain):
-                        if q not in seen:
-                            seen.add(q)
-                            at, raw = end - len(q) + 1, 0
-                            left = at
-                            while left:
-                                left -= ord(t[raw]) not in spaces
-                                raw += 1
-                            out += [(i, qid, raw) for qid in ids[q]]
-                at = pa.array([x[0] for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], qtype), batch.column(0).take(at), batch.column(1).take(at), pa.array([x[2] for x in out], pa.int32())], names=["qid", "id", "b", "o"])
-
-        hits = blocks.select(id_col, "b", "t").mapInArrow(scan, f"qid {qkind}, id {kind}, b int, o int")
-        return hits.groupBy("qid", "id").agg(F.min(F.struct("b", "o")).alias("a")).select(F.col("qid").alias(quote_id), F.col("id").alias(id_col), "a.b", "a.o")
-
-    for r in keys.toLocalIterator():  # a stated query set, in blocks of fixed size
-        rows.append((r.qid, r.q))
-        if len(rows) == QUOTE_BLOCK:
-            part = search(rows)
-            found, rows = part if found is None else found.transform(stacked, part), []
-    part = search(rows)
-    return part if found is None else found.transform(stacked, part)
-
-
 def remap_annotations(annots: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`annots` (id, b, o, quote, ...) moved to re-parsed documents, with `moved`.
 

@@ -18,6 +18,7 @@ from folio.operators import documents as D
 from folio.operators import layout as L
 from folio.operators import library as B
 from folio.operators import position as P
+from folio.operators import quotes as Q
 from folio.operators import speech as S
 from folio.operators import toc as O
 from folio.plans import library_queries, sql
@@ -106,7 +107,7 @@ def anchor_at_percent(spark, sf_dir):
 
 
 def quote_locate(spark, sf_dir):
-    return P.locate_quotes(table(spark, sf_dir, "benchmark"), blocks_of(spark, sf_dir))
+    return Q.locate_quotes(table(spark, sf_dir, "benchmark"), blocks_of(spark, sf_dir))
 
 
 def remap_annotations(spark, sf_dir):
@@ -304,9 +305,9 @@ ORACLES = {
         f AS (SELECT tg.doc_id, tg.share, any_value(tg.x) AS x, any_value(tg.last) AS last, min(p.b) AS b, arg_min(p.before, p.b) AS before FROM tg LEFT JOIN p ON p.doc_id = tg.doc_id AND p.before + p.len > tg.x GROUP BY tg.doc_id, tg.share)
         SELECT doc_id, share, coalesce(b, last) AS b, CAST(CASE WHEN b IS NULL THEN 0 ELSE floor(x - before) END AS BIGINT) AS o FROM f""",
     "quote_locate": f"""WITH {_BLOCKS},
-        q AS (SELECT item_id, left(regexp_replace(text, '[{C.WS}]+', '', 'g'), {P.QUOTE_CHARS}) AS q FROM benchmark),
+        q AS (SELECT item_id, left(regexp_replace(text, '[{C.WS}]+', '', 'g'), {Q.QUOTE_CHARS}) AS q FROM benchmark),
         pl AS (SELECT doc_id, b, t, regexp_replace(t, '[{C.WS}]+', '', 'g') AS p FROM blocks),
-        h AS (SELECT item_id, doc_id, min(b) AS b, arg_min(instr(p, q) - 1, b) AS pos, arg_min(t, b) AS t FROM q JOIN pl ON instr(p, q) > 0 WHERE length(q) >= {P.QUOTE_LEAST} GROUP BY item_id, doc_id)
+        h AS (SELECT item_id, doc_id, min(b) AS b, arg_min(instr(p, q) - 1, b) AS pos, arg_min(t, b) AS t FROM q JOIN pl ON instr(p, q) > 0 WHERE length(q) >= {Q.QUOTE_LEAST} GROUP BY item_id, doc_id)
         SELECT item_id, doc_id, b, CAST((SELECT min(j) FROM range(0, length(h.t) + 1) r(j) WHERE length(regexp_replace(left(h.t, r.j), '[{C.WS}]+', '', 'g')) >= h.pos) AS BIGINT) AS o FROM h""",
     "content_dedup": "SELECT sha256(text) AS id, arg_max(source || '-' || doc_id || '.txt', doc_id) AS file_name, min(doc_id) AS added_seq, CAST(any_value(strlen(text)) AS BIGINT) AS size, count(*) AS n_imports FROM documents GROUP BY sha256(text)",
     "shelf_order": f"WITH l AS (SELECT user_id, event_type, max({_US}) AS us FROM events GROUP BY ALL) SELECT user_id, event_type, us AS \"at\", row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_type) AS place FROM l",
@@ -347,11 +348,11 @@ ORACLES = {
     "lang_runs": f"WITH {_BLOCKS}, {sql.run_ctes('blocks', 'doc_id, b', 'lr')} SELECT doc_id, b, r, t, lang, o FROM lr",
     "chapter_units": f'WITH {_BLOCKS}, {sql.unit_ctes("blocks", "doc_id")} SELECT doc_id, ci, title, start, "end", body, chars FROM units',
     "remap_annotations": f"""WITH {_BLOCKS}, bn AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM blocks),
-        nt AS (SELECT doc_id, b, left(regexp_replace(left(t, 160), '[{C.WS}]+', '', 'g'), {P.QUOTE_CHARS}) AS q FROM bn WHERE b = n // 2),
+        nt AS (SELECT doc_id, b, left(regexp_replace(left(t, 160), '[{C.WS}]+', '', 'g'), {Q.QUOTE_CHARS}) AS q FROM bn WHERE b = n // 2),
         nw AS (SELECT doc_id, CASE WHEN n > 1 THEN b - 1 ELSE b END AS b, t, length(t) AS len, regexp_replace(t, '[{C.WS}]+', '', 'g') AS p FROM bn WHERE n = 1 OR b > 0),
         np AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY doc_id) AS total FROM nw),
         ol AS (SELECT bn.doc_id, sum(CASE WHEN bn.b < nt.b THEN length(bn.t) ELSE 0 END) AS before, sum(length(bn.t)) AS total FROM bn JOIN nt ON nt.doc_id = bn.doc_id GROUP BY bn.doc_id),
-        hit AS (SELECT nt.doc_id, min(nw.b) AS hb, arg_min(instr(p, q) - 1, nw.b) AS at_, arg_min(t, nw.b) AS t FROM nt JOIN nw ON nw.doc_id = nt.doc_id AND length(q) >= {P.QUOTE_LEAST} AND instr(p, q) > 0 GROUP BY nt.doc_id),
+        hit AS (SELECT nt.doc_id, min(nw.b) AS hb, arg_min(instr(p, q) - 1, nw.b) AS at_, arg_min(t, nw.b) AS t FROM nt JOIN nw ON nw.doc_id = nt.doc_id AND length(q) >= {Q.QUOTE_LEAST} AND instr(p, q) > 0 GROUP BY nt.doc_id),
         ho AS (SELECT doc_id, hb, (SELECT min(j) FROM range(0, length(hit.t) + 1) r(j) WHERE length(regexp_replace(left(hit.t, r.j), '[{C.WS}]+', '', 'g')) >= hit.at_) AS o FROM hit),
         sh AS (SELECT doc_id, CASE WHEN ol.total = 0 THEN 0.0 ELSE CAST(ol.before AS DOUBLE) / ol.total END AS share FROM ol),
         go AS (SELECT sh.doc_id, any_value(share) * any_value(np.total) AS x, min(CASE WHEN np.before + np.len > share * np.total THEN np.b END) AS b, arg_min(np.before, np.b) FILTER (WHERE np.before + np.len > share * np.total) AS before, max(np.b) AS last FROM sh JOIN np USING (doc_id) GROUP BY sh.doc_id),

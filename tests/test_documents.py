@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import documents as D
 from folio.operators import position as P
+from folio.operators import quotes as Q
 from folio.operators.speech import block_sentences
 
 BOOK = "第一章 開始\n\n這是第一段。\n還是第一段。\n\n　　第二段很長" + "，字字字字" * 20 + "。\n\n第二章\n\n短\n\nChapter 3\n\nThe end of it all comes here, in a body that is long enough to stand alone."
@@ -92,13 +93,13 @@ def test_as_of_forward(spark):
 def test_quotes(spark):
     b = blocks(spark, ["one two\nfind  me here　please now\nfind me here please now", "nothing\nhere"])
     notes = spark.createDataFrame([(0, 1, "find me here  please now and more"), (0, 2, "abc"), (0, 3, None), (1, 4, "herex")], "doc_id long, n int, quote string")
-    got = {r.n: (r.hit_b, r.hit_o) for r in P.quotes_in_own_document(notes, b).collect()}
+    got = {r.n: (r.hit_b, r.hit_o) for r in Q.quotes_in_own_document(notes, b).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None)}
     notes = spark.createDataFrame([(0, 1, "me  here please"), (0, 2, "two"), (0, 5, "onetwo")], "doc_id long, n int, quote string")
-    got = {r.n: (r.hit_b, r.hit_o) for r in P.quotes_in_own_document(notes, b).collect()}
+    got = {r.n: (r.hit_b, r.hit_o) for r in Q.quotes_in_own_document(notes, b).collect()}
     assert got == {1: (1, 4), 2: (None, None), 5: (0, 0)}
     items = spark.createDataFrame([(7, "me here please"), (8, "nothing"), (9, "x"), (10, "me here please")], "item_id long, text string")
-    assert listed(P.locate_quotes(items, b), "item_id", "doc_id", "b", "o") == [(7, 0, 1, 4), (8, 1, 0, 0), (10, 0, 1, 4)]
+    assert listed(Q.locate_quotes(items, b), "item_id", "doc_id", "b", "o") == [(7, 0, 1, 4), (8, 1, 0, 0), (10, 0, 1, 4)]
 
 
 def test_remap(spark):

@@ -44,7 +44,6 @@ def test_lines_to_blocks(spark):
     pages = spark.createDataFrame([(1, 4)], "doc_id int, n_pages int")
     assert L.page_starts(ls, pages).first().starts == [0, 4, 4, 4]
     assert rows(L.scan_test(ls, pages), "n_pages", "scanned") == [(4, True)]
-    assert L.upper_median is not None and spark.createDataFrame([([3, 1, 2, 4],), ([],)], "v array<int>").select(L.upper_median(F.col("v")).alias("m")).collect()[0].m == 3
 
 
 def test_outline(spark):
@@ -128,7 +127,7 @@ def test_page_documents(spark):
 
 
 def test_quotes_with_any_kind_of_id(spark):
-    from folio.operators.position import locate_quotes
+    from folio.operators.quotes import locate_quotes
 
     blocks = spark.createDataFrame([(1, 0, "p", "nothing here"), (1, 1, "p", "a phrase to find, and more")], "doc_id int, b int, k string, t string").repartition(3)
     for kind, one, two in (("int", 1, 2), ("string", "x", "y"), ("bigint", 1, 2)):
