@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folio.llm.common import bound_batches, if_small, materialise
 
@@ -229,8 +230,6 @@ def encoded(blocks: DataFrame, books: list[np.ndarray], width: int, kinds: tuple
                 ids, labels = (pa.ipc.read_record_batch(pa.py_buffer(block[k]), pa.schema([("a", t)]))["a"] for k, t in (("ids", types[0]), ("labels", types[1])))
                 yield pa.RecordBatch.from_arrays([ids, labels, pa.array([c.tobytes().hex() for c in codes]), pa.array(errors)], ["vec_id", "label", "code", "error"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     types = [to_arrow_type(t) for t in kinds]
     return blocks.mapInArrow(read, f"vec_id {kinds[0].simpleString()}, label {kinds[1].simpleString()}, code string, error bigint")
 
@@ -246,11 +245,12 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     bound_batches(spark)
     rows = integers(vectors, id_col, vec_col, label_col, scale)
     by_id = [F.col("vec_id").isNull(), "vec_id", "x"]
-    start = rows.orderBy(*by_id).limit(1).collect()
-    width = len(start[0].x) if start else 0
+    smallest = rows.orderBy(*by_id).first()
+    width = len(smallest.x) if smallest else 0
     rows = rows.where(F.size("x") == width)
     kinds = (rows.schema["vec_id"].dataType, rows.schema["label"].dataType)
-    first = np.array([r.x for r in rows.orderBy(*by_id).limit(entries).collect()], np.int64).reshape(-1, width)
+    least = [r.x for r in rows.orderBy(*by_id).limit(entries).collect()]
+    first = np.array(least, np.int64).reshape(len(least), width)
     books = [first[:, a:b] for a, b in bounds_of(width, parts)]
     blocks = materialise(blocks_of(rows, width, parts), "trees")
     for _ in range(rounds if width else 0):
