@@ -13,13 +13,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.rows import stacked
 from folio.functions.text import dir_of, fragment_of, resolve_path
 from folio.operators.documents import reading_units, with_sizes
 from folio.operators.toc import first_labels, resolve_toc
+from folio.sources import zipped
 from folio.sources.markup import cleaned, parse_pages, parsed
 
 # Fixed values.
@@ -121,7 +122,17 @@ def contents(books: DataFrame, items: DataFrame, members: DataFrame) -> DataFram
 
 def read_books(files: DataFrame) -> dict[str, DataFrame]:
     """Archives (id, content) to tables: books, blocks, units, toc, rejected."""
-    members = archive_members(files)
+    return books_of_members(archive_members(files))
+
+
+def load_books(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The same for the archives under `path`, by the source of zipped archives; their paths are their ids."""
+    zipped.register(spark)
+    return books_of_members(spark.read.format("folio_archive").load(path).select(F.col("path").alias("id"), "name", "content", "error"))
+
+
+def books_of_members(members: DataFrame) -> dict[str, DataFrame]:
+    """Members (id, name, content, error) to tables: books, blocks, units, toc, rejected."""
     books = packages(members)
     items = manifest(books)
     order = reading_order(books, items)
