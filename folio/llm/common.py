@@ -66,27 +66,33 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession, docs: DataFrame | None = None) -> None:
-    """Delete the working tables made so far, unless `docs` is itself read from one of them,
+def working_tables(spark: SparkSession) -> list[str]:
+    """The paths of the working tables that there are now."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, docs: DataFrame | None = None, paths: list[str] | None = None) -> None:
+    """Delete the working tables made so far, but for those that `docs` is itself read from,
     and give the session back the settings that bound_batches() lowered.
 
-    For callers that have already written out what the earlier operators returned.
+    For callers that have already written out what the earlier operators returned.  With
+    `paths`, some of working_tables(), only these go, and the settings stay: tables of
+    other operators may still be in use.
     """
     app = spark.sparkContext.applicationId
-    for of, key in [k for k in _SETTINGS if k[0] == app]:
+    for of, key in [k for k in _SETTINGS if k[0] == app and paths is None]:
         if (was := _SETTINGS.pop((of, key))) is None:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, was)
-    paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
-    if not paths:
-        return
-    if docs is not None:
+    made = _SCRATCH.get(app, [])
+    gone = [p for p in (made if paths is None else paths) if p in made]
+    if gone and docs is not None:
         read = docs.inputFiles()
-        if any(p.rpartition("/")[2] in f for p in paths for f in read):
-            return
-    while paths:
-        delete_path(spark, paths.pop())
+        gone = [p for p in gone if not any(p.rpartition("/")[2] in f for f in read)]
+    for p in gone:
+        delete_path(spark, p)
+        made.remove(p)
 
 
 def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
@@ -121,8 +127,13 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None)
     return F.broadcast(df) if count <= rows else df
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(named(column), F.lit(""))
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -29,7 +29,8 @@ from folio.llm.common import SPACES, if_small, materialise, set_aside, text_or_e
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2
-ROUNDS = 60
+#: Steps of the dual at most; the brackets of the slowest source halve in each, from 2e6 to under the last bit of a double.
+ROUNDS = 120
 TOLERANCE = 1e-9
 #: Documents of one source and size are ranked in blocks of about so many.
 BLOCK = 50_000
@@ -102,6 +103,9 @@ def solved_rates(hist: DataFrame, sources: DataFrame, ceiling: int = CEILING) ->
         step = F.when(F.col("done") | near, F.col("lam")).otherwise(F.when(inside, newton).otherwise(other))
         moved = joined.select("rank", "target", "source_size", "mean", step.alias("lam"), F.when(F.col("done"), F.col("lo")).otherwise(low).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(high).alias("hi"), (F.col("done") | near).alias("done"))
         state = materialise(moved, "dual")
+    else:
+        if left := state.where("NOT done").count():
+            raise ArithmeticError(f"{left} sources were not balanced in {ROUNDS} rounds")
     return state.select("rank", "lam", "mean")
 
 

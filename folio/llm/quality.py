@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACES, WORD, text_or_empty
+from folio.llm.common import SPACES, WORD, named, set_aside, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -200,10 +200,11 @@ def failing(lines: Column) -> Column:
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, then the base counts, base_failed, kept and clean_text.
 
-    `clean_text` is the text without its failing lines (lines without a word stay).
-    Working columns start with two underscores.
+    `clean_text` is the text without its failing lines (lines without a word stay).  Columns
+    of `docs` with the names of these are replaced by them; all others stay, whatever their names.
     """
-    base = with_base_counts(docs.select(*docs.columns, text_or_empty(text_col).alias("__text")))
+    rows, names = set_aside(docs)
+    base = with_base_counts(rows.withColumn("__text", text_or_empty(names[text_col])))
     lines = F.split(F.col("__text"), "\n", -1)
     base = base.withColumn("__fails", bound(lines, failing))
     chars = lambda x: F.length(F.regexp_replace(x, f"[{SPACES}]+", ""))
@@ -212,10 +213,12 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     judged = base.withColumns({"base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")), "__lost": lost})
     kept = ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("__lost")) >= MIN_KEPT * F.col("word_chars"))
     clean = F.when(F.col("__lost") == 0, F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~fails(i)), "\n"))
-    return judged.withColumns({"kept": kept, "clean_text": clean}).drop("__text", "__fails", "__lost")
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
+    judged = judged.withColumns({"kept": kept, "clean_text": clean})
+    return judged.select(*[F.col(new).alias(old) for old, new in names.items() if old not in added], *added)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, the base counts, base_failed, kept."""
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
+    narrow = docs.select(named(id_col).alias(id_col), named(text_col).alias(text_col))
     return quality(narrow, text_col).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

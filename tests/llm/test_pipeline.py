@@ -69,3 +69,31 @@ def test_edges(spark, edge_rows, tmp_path, sf_dir):
     assert [r.doc_id for r in steps[2][1]].count(None) == 1
     empty = staged(spark, docs.limit(0), str(tmp_path / "empty"), sf_dir)
     assert all(after == [] for _, after in empty)
+
+
+def test_dotted_and_clashing_columns(spark, tmp_path, sf_dir):
+    """Columns of any name pass through the stages unchanged, and through the quality rules."""
+    odd = ["a.b", "a`b", "__words", "__text", "__fails", "__lost", "n_words", "clean_text", "in_text", "c0", "copies"]
+    rows = [(i, prose(i % 9), "en", f"s{i % 3}", 7, *(f"{n} {i % 9}" for n in odd)) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *odd])
+    for _, after in staged(spark, docs, str(tmp_path / "dotted"), sf_dir)[:-1]:
+        assert after and all([r[n] for n in odd] == [f"{n} {r.doc_id % 9}" for n in odd] for r in after)
+    judged = quality(docs)
+    assert judged.columns[:5] == docs.columns[:5] and set(odd) <= set(judged.columns)
+    for r in judged.collect():
+        assert r["a.b"] == f"a.b {r.doc_id % 9}" and r["__lost"] == f"__lost {r.doc_id % 9}" and r["n_words"] == 120 and r["clean_text"] == r.text
+
+
+def test_stages_leave_other_tables_alone(spark, sf_dir, tmp_path):
+    """A frame of another operator, not written yet, can still be read after the pipeline; its own tables go."""
+    from folio.llm import common
+    from folio.llm.exact import exact_dedup
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    common.release(spark)
+    other = exact_dedup(docs)
+    before = set(common.working_tables(spark))
+    P.run(spark, sf_dir).write.parquet(str(tmp_path / "packed"))
+    assert other.count() == docs.count() and before <= set(common.working_tables(spark))
+    common.release(spark)
+    assert common.working_tables(spark) == []
