@@ -21,7 +21,7 @@ from folio.operators import position as P
 from folio.operators import quotes as Q
 from folio.operators import speech as S
 from folio.operators import toc as O
-from folio.plans import library_queries, sql
+from folio.plans import import_queries, library_queries, sql
 from folio.plans.tables import LINES_A_PAGE, blocks_of, documents, page_lines, spread, table
 from folio.sources import markup as M
 from folio.streaming.progress import throttled_saves
@@ -242,6 +242,7 @@ QUERIES = {
     name: (lambda f: lambda spark, sf_dir: wide(f(spark, sf_dir)))(f)
     for name, f in {
         **library_queries.QUERIES,
+        **import_queries.QUERIES,
         "sentence_stats": sentence_stats, "txt_blocks": txt_blocks, "sentences": sentences, "clauses": clause_list, "speech_clean": speech_clean,
         "lang_weights": lang_weights, "lang_runs": run_list, "block_prefix_percent": block_prefix_percent, "doc_stats": doc_stats, "chapter_units": chapter_units,
         "block_chapter": block_chapter, "conversation_prefix": conversation_prefix, "anchor_at_percent": anchor_at_percent, "quote_locate": quote_locate,
@@ -369,4 +370,5 @@ ORACLES = {
                coalesce(nx > lv AND deep > 0 AND nx >= least(deep, 2), false) AS has_kids, {_PCT.format("(CAST(coalesce(before, 0) AS DOUBLE) / greatest(coalesce(total, 1), 1))")} AS pct FROM fo LEFT JOIN pp ON pp.page_id = fo.page_id AND pp.b = fo.b""",
     "speech_queue": sql.queue_sql(_BLOCKS),
     **library_queries.oracles(_BLOCKS, _PREFIX, _LINES, _HEADS, _OPENED),
+    **import_queries.oracles(_BLOCKS),
 }
