@@ -71,16 +71,16 @@ def speaks(lang: Column, which: str) -> Column:
     return lc_lang(lang).rlike("^(zh|cmn|yue)" if which == "zh" else "^en")
 
 
-def ranked_voices(voices: DataFrame, which: str) -> DataFrame:
-    """Voices (name, lang, uri) of a language with their `place` from 1, best first; names in code point order."""
+def ranked_voices(voices: DataFrame, which: str, collation: str = "UNICODE") -> DataFrame:
+    """Voices (name, lang, uri) of a language with their `place` from 1, best first; names in the order of a collation, such as that of a locale."""
     region, preferred = (REGION_ZH, PREFERRED_ZH) if which == "zh" else (REGION_EN, PREFERRED_EN)
-    order = [lc_lang(F.col("lang")).rlike(region).desc(), F.coalesce("name", F.lit("")).rlike(preferred).desc(), F.coalesce("name", F.lit("")), "uri"]
+    order = [lc_lang(F.col("lang")).rlike(region).desc(), F.coalesce("name", F.lit("")).rlike(preferred).desc(), F.collate(F.coalesce("name", F.lit("")), collation), "uri"]
     return voices.where(speaks(F.col("lang"), which)).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a device's voices: few
 
 
-def pick_voice(voices: DataFrame, which: str, wanted: str | None = None) -> DataFrame:
+def pick_voice(voices: DataFrame, which: str, wanted: str | None = None, collation: str = "UNICODE") -> DataFrame:
     """The wanted voice if it is there, else the best; no row without any."""
-    return ranked_voices(voices, which).orderBy((F.col("uri").eqNullSafe(F.lit(wanted or None)) & F.lit(bool(wanted))).desc(), "place").limit(1)
+    return ranked_voices(voices, which, collation).orderBy((F.col("uri").eqNullSafe(F.lit(wanted or None)) & F.lit(bool(wanted))).desc(), "place").limit(1)
 
 
 def guard_ms(say: Column, rate: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.library import BACKUP_COLUMNS, exported_notes
+from folio.sources import named
 
 VERSION = 1
 BOOK = "struct<id:string,title:string,author:string,format:string,file_name:string,size:bigint,total_chars:bigint,added_at:bigint,last_read_at:bigint,finished:boolean,anchor:struct<b:int,o:int>,percent:double>"
@@ -33,6 +34,14 @@ def backup_name(at: Column, app: str) -> Column:
     return F.concat(F.lit(f"{app}-backup-"), F.date_format(at, "yyyy-MM-dd"), F.lit(".json"))
 
 
+def write_backups(books: DataFrame, notes: DataFrame, app: str, at: Column, path: str, owner: str | None = None) -> None:
+    """One file a library under `path`, called by backup_name(), and by the owner where there is one; all or none of them."""
+    named.register(books.sparkSession)
+    rows = export_backup(books, notes, app, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX"), owner)
+    whose = F.concat(F.col(owner).cast("string"), F.lit("-")) if owner else F.lit("")
+    rows.select(F.concat(whose, backup_name(at, app)).alias("name"), "value").write.format("folio_named").mode("append").save(path)
+
+
 def parsed_backup(raw: DataFrame, app: str, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(books, notes), with their place `seq`, of rows with the fields of SCHEMA; those of another app are refused."""
     good = raw.where(F.assert_true(F.col("app").eqNullSafe(F.lit(app)), "not a backup of this library").isNull())

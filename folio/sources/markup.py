@@ -10,6 +10,7 @@ A null or empty page has no blocks; markup nested deeper than DEEPEST is taken a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -164,8 +165,8 @@ def id_blocks(root: Node, blocks: list[tuple[str, str, Node]]) -> dict[str, int]
     for n in root.walk():
         for key in (n.attrs.get("id"), n.attrs.get("name")):
             if key and key not in found:
-                at = next((i for i, end in enumerate(reach) if end > n.start), None) if reach and reach[-1] > n.start else None
-                if at is not None:
+                at = bisect_right(reach, n.start)
+                if at < len(reach):
                     found[key] = at
     return found
 
