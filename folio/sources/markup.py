@@ -4,13 +4,15 @@ A small tolerant tree is built with the standard library's parser: well-formed X
 HTML with unclosed tags alike.  Inline tags are transparent.  The functions run inside
 Arrow batches, a page at a time; everything after them is DataFrame work.
 
-A null or empty page has no blocks; markup nested deeper than DEEPEST is taken as text.
+A null or empty page has no blocks; markup may be nested to any depth, as nothing here
+calls itself.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,7 +33,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("table td th ol ul dl body html".split())
-DEEPEST = 400
 
 NAV = "array<struct<href:string,label:string,lv:int>>"
 SCHEMA = f"blocks array<struct<k:string,t:string>>, ids map<string,int>, nav {NAV}"
@@ -48,12 +49,22 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, rest = [], self.children[::-1]
+        while rest:
+            c = rest.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                rest += c.children[::-1]
+        return "".join(out)
 
     def walk(self) -> Iterator[Node]:
-        for c in self.elements():
-            yield c
-            yield from c.walk()
+        """All elements below, each before what it holds."""
+        rest = self.elements()[::-1]
+        while rest:
+            n = rest.pop()
+            yield n
+            rest += n.elements()[::-1]
 
     def find(self, tag: str) -> list[Node]:
         return [n for n in self.walk() if n.tag == tag]
@@ -68,6 +79,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document", {})
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()  # of the tags of open elements
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], closed: bool = False) -> None:
         name = local(tag)
@@ -77,25 +89,32 @@ class TreeBuilder(HTMLParser):
             self.close_within(ENDS[name], SCOPES - ENDS[name])
         node = Node(name, {k.lower(): v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if not closed and name not in VOID and len(self.open) < DEEPEST:
+        if not closed and name not in VOID:
             self.open.append(node)
+            self.counts[name] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs, closed=True)
 
+    def close_from(self, k: int) -> None:
+        self.counts.subtract(n.tag for n in self.open[k:])
+        del self.open[k:]
+
     def close_within(self, names: set[str], stop: frozenset[str]) -> None:
+        if not any(self.counts[n] for n in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in names:
-                del self.open[k:]
+                self.close_from(k)
                 return
             if self.open[k].tag in stop:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         name = local(tag)
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.counts[name] else ():
             if self.open[k].tag == name:
-                del self.open[k:]
+                self.close_from(k)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -106,17 +125,17 @@ def parsed(markup: str) -> Node:
     builder = TreeBuilder()
     builder.feed(markup)
     builder.close()
-    count = 0
-
-    def number(node: Node) -> None:
-        nonlocal count
+    # numbers in the order of start tags; an element ends where the next one after it starts
+    count, rest = 0, [(builder.root, False)]
+    while rest:
+        node, left = rest.pop()
+        if left:
+            node.end = count
+            continue
         node.start = count
         count += 1
-        for c in node.elements():
-            number(c)
-        node.end = count
-
-    number(builder.root)
+        rest.append((node, True))
+        rest += [(c, False) for c in reversed(node.elements())]
     return builder.root
 
 
@@ -128,31 +147,56 @@ def cleaned(text: str) -> str:
 
 def content(node: Node) -> str:
     """Text of an element: line breaks as line ends, junk left out."""
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.tag in JUNK else content(c) for c in node.children)
+    out, rest = [], node.children[::-1]
+    while rest:
+        c = rest.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        elif c.tag not in JUNK:
+            rest += c.children[::-1]
+    return "".join(out)
 
 
-def blocks_of(node: Node, out: list[tuple[str, str, Node]]) -> None:
-    """Append (kind, text, element); kind "?" for loose text, a heading if it looks like one."""
+def holds_blocks(node: Node) -> bool:
+    return any(c.tag in BLOCK_TAGS for c in node.elements())
 
-    def loose(text: str) -> None:
-        out.extend(("?", line, node) for line in map(cleaned, cleaned(text).split("\n")) if line)
 
-    if any(c.tag in BLOCK_TAGS for c in node.elements()):
-        held = ""
-        for c in node.children:
+def blocks_of(top: Node, out: list[tuple[str, str, Node]]) -> None:
+    """Append (kind, text, element); kind "?" for loose text, a heading if it looks like one."""
+
+    def loose(held: list[str], node: Node) -> None:
+        out.extend(("?", line, node) for line in map(cleaned, cleaned("".join(held)).split("\n")) if line)
+        held.clear()
+
+    def whole(node: Node) -> None:
+        if text := cleaned(content(node)):
+            out.append(("h" if node.tag in HEADINGS else "q" if node.tag == "blockquote" else "p", text, node))
+
+    if not holds_blocks(top):
+        whole(top)
+        return
+    # elements that hold blocks and are not done, with what is left of them and the loose text so far
+    rest: list[tuple[Node, Iterator, list[str]]] = [(top, iter(top.children), [])]
+    while rest:
+        node, children, held = rest[-1]
+        for c in children:
             if isinstance(c, str):
-                held += c
+                held.append(c)
             elif c.tag in BLOCK_TAGS:
-                loose(held)
-                held = ""
-                blocks_of(c, out)
+                loose(held, node)
+                if holds_blocks(c):
+                    rest.append((c, iter(c.children), []))
+                    break
+                whole(c)
             elif c.tag == "br":
-                held += "\n"
+                held.append("\n")
             elif c.tag not in JUNK:
-                held += content(c)
-        loose(held)
-    elif text := cleaned(content(node)):
-        out.append(("h" if node.tag in HEADINGS else "q" if node.tag == "blockquote" else "p", text, node))
+                held.append(content(c))
+        else:
+            loose(held, node)
+            rest.pop()
 
 
 def id_blocks(root: Node, blocks: list[tuple[str, str, Node]]) -> dict[str, int]:
@@ -179,35 +223,41 @@ def nav_entries(root: Node) -> list[tuple[str, str, int]]:
         if href and label:
             out.append((href, label, lv))
 
-    def lists(node: Node, lv: int) -> None:
-        for item in (c for c in node.elements() if c.tag == "li"):
+    def lists(top: Node) -> None:
+        rest = [((c for c in top.elements() if c.tag == "li"), 0)]
+        while rest:
+            items, lv = rest[-1]
+            if (item := next(items, None)) is None:
+                rest.pop()
+                continue
             link, below = None, []
             for c in item.elements():
                 if c.tag in ("ol", "ul"):
                     below.append(c)
                 elif link is None:
-                    link = c if c.tag == "a" else next(iter(c.find("a")), None)
+                    link = c if c.tag == "a" else next((n for n in c.walk() if n.tag == "a"), None)
             if link is not None:
                 add(link.attrs.get("href"), cleaned(link.text()), lv)
-            for c in below:
-                lists(c, lv + (link is not None))
+            rest += [((n for n in c.elements() if n.tag == "li"), lv + (link is not None)) for c in reversed(below)]
 
-    def points(node: Node, lv: int) -> None:
-        for p in (c for c in node.elements() if c.tag == "navpoint"):
-            target, label = next((c for c in p.elements() if c.tag == "content"), None), next(iter(p.find("text")), None)
+    def points(top: Node) -> None:
+        rest = [(c, 0) for c in reversed(top.elements()) if c.tag == "navpoint"]
+        while rest:
+            p, lv = rest.pop()
+            target, label = next((c for c in p.elements() if c.tag == "content"), None), next((n for n in p.walk() if n.tag == "text"), None)
             if target is not None and label is not None:
                 add(target.attrs.get("src"), cleaned(label.text()), lv)
-            points(p, lv + 1)
+            rest += [(c, lv + 1) for c in reversed(p.elements()) if c.tag == "navpoint"]
 
     if maps := root.find("navmap"):
-        points(maps[0], 0)
+        points(maps[0])
         return out
     navs = root.find("nav")
     if navs:
         nav = next((n for n in navs if "toc" in (n.attrs.get("epub:type") or n.attrs.get("type") or "").lower()), navs[0])
         for c in nav.elements():
             if c.tag in ("ol", "ul"):
-                lists(c, 0)
+                lists(c)
         if not out:
             for a in nav.find("a"):
                 add(a.attrs.get("href"), cleaned(a.text()), 0)

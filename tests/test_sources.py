@@ -44,6 +44,22 @@ def test_html_blocks(spark):
     assert ids == {"top": 1, "x": 1, "late": 7}  # loose text belongs to the div, which holds both
 
 
+def test_markup_of_any_depth():
+    n = 30_000
+    deep = M.parsed("<div>" * n + "<p id=x>far down<p>and <b>on</b>" + "</div>" * n + "<p>after")
+    out = []
+    M.blocks_of(deep, out)
+    assert [(k, t) for k, t, _ in out] == [("p", "far down"), ("p", "and on"), ("p", "after")] and M.id_blocks(deep, out) == {"x": 0}
+    spans = M.parsed("<p>" + "<span>a" * n + "</p>")
+    out = []
+    M.blocks_of(spans, out)
+    assert [(k, t) for k, t, _ in out] == [("p", "a" * n)] and spans.text() == "a" * n
+    nested = "<nav>" + "".join(f"<ol><li><a href='{k}'>t{k}</a>" for k in range(3000)) + "</nav>"
+    assert M.nav_entries(M.parsed(nested)) == [(str(k), f"t{k}", k) for k in range(3000)]
+    points = "<navMap>" + "".join(f"<navPoint><navLabel><text>t{k}</text></navLabel><content src='{k}'/>" for k in range(3000)) + "</navMap>"
+    assert M.nav_entries(M.parsed(points)) == [(str(k), f"t{k}", k) for k in range(3000)]
+
+
 NAV = """<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="l">L</a></li></ol></nav><nav epub:type="toc"><ol>
 <li><a href="t/one.xhtml">Part One</a><ol><li><a href="t/one.xhtml#s%201">Section</a></li><li><span>no link</span><ol><li><a href="t/two.xhtml">Two</a></li></ol></li></ol></li></ol></nav></body></html>"""
 NCX = """<?xml version="1.0"?><ncx><navMap><navPoint><navLabel><text>One</text></navLabel><content src="t/one.xhtml"/><navPoint><navLabel><text>In</text></navLabel><content src="t/one.xhtml#s%201"/></navPoint></navPoint></navMap></ncx>"""
