@@ -34,12 +34,34 @@ def cut_at(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"(?s).*?(?:{pattern})|.+\z"), F.lit(0))
 
 
+#: A fold copies what it has so far at each step; longer arrays are folded in parts.
+FOLDED = 64
+
+
+def folded_places(sizes: Column, first: Column) -> Column:
+    """Where each of a few pieces of these sizes begins, if the first one does at `first`."""
+    state = F.struct(F.array().cast("array<int>").alias("out"), first.cast("int").alias("at"))
+    step = lambda s, n: F.struct(F.array_append(s["out"], s["at"]).alias("out"), (s["at"] + n).alias("at"))
+    return F.aggregate(sizes, state, step, lambda s: s["out"])
+
+
+def places(sizes: Column, first: Column) -> Column:
+    """Where each of any number of pieces begins: places of parts of as many pieces as there are parts, then in each part."""
+
+    def in_parts(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / size).cast("int") - 1), lambda j: F.slice(xs, j * size + 1, size))
+        total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
+        return once(parts, lambda ps: once(folded_places(F.transform(ps, total), first), lambda at: F.flatten(F.transform(ps, lambda part, j: folded_places(part, F.get(at, j))))))
+
+    return once(sizes, lambda xs: F.when(F.size(xs) <= FOLDED, folded_places(xs, first)).otherwise(in_parts(xs)))
+
+
 def placed(pieces: Column, start: Column | None = None) -> Column:
     """Strings that follow each other, as (t, o)."""
     first = F.lit(0) if start is None else start
-    state = F.struct(F.array().cast(PIECES).alias("out"), first.cast("int").alias("at"))
-    step = lambda s, t: F.struct(F.array_append(s["out"], F.struct(t.alias("t"), s["at"].alias("o"))).alias("out"), (s["at"] + F.char_length(t)).alias("at"))
-    return F.aggregate(pieces, state, step, lambda s: s["out"])
+    begins = lambda ps: places(F.transform(ps, F.char_length), first)
+    return once(pieces, lambda ps: once(begins(ps), lambda at: F.transform(ps, lambda t, i: F.struct(t.alias("t"), F.get(at, i).alias("o")))))
 
 
 def blank(t: Column) -> Column:
@@ -67,8 +89,20 @@ def merge_short(pieces: Column) -> Column:
         whole = F.when(s["held"].isNull(), p).otherwise(F.struct(F.concat(s["held"]["t"], p["t"]).alias("t"), s["held"]["o"].alias("o")))
         return F.when(short(whole["t"]), F.struct(s["out"].alias("out"), whole.alias("held"))).otherwise(F.struct(F.array_append(s["out"], whole).alias("out"), none.alias("held")))
 
-    done = lambda x: F.aggregate(x, state, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["held"])))
-    return once(pieces, lambda x: F.when(F.exists(x, lambda p: short(p["t"])), done(x)).otherwise(x))
+    fold = lambda x: F.aggregate(x, state, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["held"])))
+
+    def by_runs(x: Column) -> Column:
+        # nothing is held after a piece that is not short, so each such piece ends a run that is merged by itself
+        ends = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == F.size(x)) | ~short(F.get(x, i - 1)["t"]))
+
+        def run(es: Column) -> Column:
+            since = lambda k: F.when(k == 0, 0).otherwise(F.get(es, k - 1))
+            one = lambda e, k: F.slice(x, since(k) + 1, e - since(k))
+            return F.flatten(F.transform(es, lambda e, k: F.when(e - since(k) == 1, one(e, k)).otherwise(fold(one(e, k)))))
+
+        return once(ends, run)
+
+    return once(pieces, lambda x: F.when(F.exists(x, lambda p: short(p["t"])), by_runs(x)).otherwise(x))
 
 
 def sentences(c: Column) -> Column:

@@ -99,3 +99,20 @@ def test_paths(spark):
     assert all(r.x == r.w for r in df.select("r", "w", X.resolve_path(F.col("b"), F.col("r")).alias("x")).collect())
     assert [one(spark, v, X.dir_of) for v in ("a/b/c.x", "c.x", "a/")] == ["a/b", "", "a"]
     assert [one(spark, v, X.fragment_of) for v in ("a#b%20c", "a", "#x")] == ["b c", "", "x"]
+
+
+def test_many_sentences_in_one_text(spark):
+    """50,000 sentences, some of them short: places are right, and the time grows about as the text does."""
+    import time
+
+    took = []
+    for n in (10_000, 50_000):
+        unit = F.concat(F.lit("Sentence number "), F.col("id").cast("string"), F.when(F.col("id") % 50 == 0, ". ! ").otherwise(" goes on. "))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", unit.alias("t")))), lambda x: x["t"]), "")
+        df = spark.range(n).agg(text.alias("t")).persist()
+        whole = df.first().t
+        began = time.perf_counter()
+        got = df.select(F.explode(S.sentences(F.col("t"))).alias("s")).select("s.t", "s.o").collect()
+        took.append(time.perf_counter() - began)
+        assert all(whole[r.o : r.o + len(r.t)] == r.t for r in got) and "".join(r.t for r in got).rstrip() == whole.rstrip() and n <= len(got) <= n + n // 50 + 1
+    assert took[1] < 15 * took[0] + 5
