@@ -48,9 +48,11 @@ def throttled_saves(events: DataFrame, key: str, ts_ms: str, pos: str, tie: str)
     return sessions.select(key, F.inline(done))
 
 
-def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str = "1 minute") -> DataFrame:
+def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str = "1 minute", tie: str | None = None) -> DataFrame:
     """The same over a stream with an event time `ts`: events are taken as they come, later ones than `late` are lost.
 
+    `tie`, a column of numbers, orders events of one time that come together; without it their positions do.
+
     Timers run on event time: they fire at the next event of their key or when the
     watermark has passed them.
     """
@@ -69,7 +71,7 @@ def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str =
                 yield pd.DataFrame({"key": [], "at": [], "pos": [], "timer": []})
                 return
         else:
-            rows = pd.concat(frames).sort_values(["ms", "pos"])
+            rows = pd.concat(frames).sort_values(["ms", "tie"], kind="stable")
             for t, p in zip(rows["ms"].tolist(), rows["pos"].tolist(), strict=True):
                 if due is not None and due <= t:
                     out.append((due, pending, True))
@@ -85,7 +87,7 @@ def throttled_stream(events: DataFrame, key: str, ts: str, pos: str, late: str =
         yield pd.DataFrame({"key": [k[0]] * len(out), "at": [x[0] for x in out], "pos": [x[1] for x in out], "timer": [x[2] for x in out]})
 
     kind = events.schema[key].dataType.simpleString()
-    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(pos).cast("double").alias("pos"))
+    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(pos).cast("double").alias("pos"), F.col(tie or pos).cast("double" if tie is None else events.schema[tie].dataType).alias("tie"))
     out = rows.groupBy("key").applyInPandasWithState(saves, f"key {kind}, at bigint, pos double, timer boolean", "saved bigint, due bigint, pending double", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("key", key)
 
@@ -97,10 +99,13 @@ def latest_into(path: str, key: str, seq: str, buckets: int = 64):
     after a failure writes the same.  Keys lie in
     folders by hash, and only the folders that a batch touches are written anew: a version
     says for the others which version holds them.  Read with latest().
+
+    A version stays until two more have been written: readers of the last but one are not
+    disturbed, and what neither of the last two holds is deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, batch = batch.sparkSession, batch.persist()
         held = _places(spark, path, number - 1) if number > 0 else {}
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         new = batch.withColumn("bucket_", bucket)
@@ -112,10 +117,31 @@ def latest_into(path: str, key: str, seq: str, buckets: int = 64):
         last.write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/v{number}/rows")
         places = sorted((held | dict.fromkeys(touched, number)).items())
         spark.createDataFrame(places, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/places")
+        batch.unpersist()
+        if number > 1 and _exists(spark, f"{path}/v{number - 2}/places"):
+            for b, v in _places(spark, path, number - 2).items():
+                if held.get(b) != v and (b, v) not in places:
+                    _delete(spark, f"{path}/v{v}/rows/bucket_={b}")
+            _delete(spark, f"{path}/v{number - 2}/places")
 
     return write
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, p = _hadoop(spark, path)
+    return system.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, p = _hadoop(spark, path)
+    system.delete(p, True)
+
+
 def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
     """Which version holds each bucket, as of version `number`."""
     return {r.bucket: r.version for r in spark.read.parquet(f"{path}/v{number}/places").collect()}

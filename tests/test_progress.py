@@ -53,3 +53,34 @@ def test_latest_sink(spark, tmp_path):
     assert sorted(map(tuple, latest(spark, str(tmp_path / "t"), 1).select("id", "v", "seq").collect())) == [(1, "c", 2), (2, "b", 1)]
     assert sorted(map(tuple, latest(spark, str(tmp_path / "t"), 2).select("id", "v", "seq").collect())) == [(1, "c", 2), (2, "b", 1), (3, "n", 5)]
     assert len(list((tmp_path / "t" / "v2" / "rows").glob("bucket_=*"))) == 1
+
+
+def test_latest_sink_keeps_two_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = latest_into(path, "id", "seq", buckets=4)
+    held = {}
+    for n in range(6):
+        rows = [(k, f"{n}", n) for k in range(n, 30, 3)]
+        held |= {k: f"{n}" for k, _, _ in rows}
+        write(spark.createDataFrame(rows, "id int, v string, seq int"), n)
+        assert {r.id: r.v for r in latest(spark, path, n).collect()} == held
+        write(spark.createDataFrame(rows, "id int, v string, seq int"), n)  # run again
+    before = {r.id: r.v for r in latest(spark, path, 4).collect()}
+    assert before == {k: max(str(n) for n in range(5) if (k - n) % 3 == 0 and k >= n) for k in before}
+    # of older versions there are only the buckets that the last two still hold
+    folders = {p.parent.parent.name for p in (tmp_path / "t").glob("v*/rows/bucket_=*")}
+    assert {"v4", "v5"} <= folders and len(list((tmp_path / "t").glob("v*/rows/bucket_=*"))) <= 2 * 4 and not (tmp_path / "t" / "v3" / "places").exists()
+
+
+def test_stream_orders_equal_times_by_tie(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    rows = [(1, base, 5.0, 1), (1, base + timedelta(seconds=20), 9.0, 2), (1, base + timedelta(seconds=20), 3.0, 3), (1, base + timedelta(seconds=20), 7.0, 4), (99, base + timedelta(days=1), 0.0, 5)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, pos double, n int")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = throttled_stream(stream, "k", "ts", "pos", tie="n").writeStream.format("memory").queryName("tied").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.pos, r.timer) for r in spark.sql("SELECT * FROM tied").where("k = 1").collect())
+    batch = throttled_saves(df.where("k = 1").withColumn("ms", F.unix_millis("ts")), "k", "ms", "pos", "n")
+    assert got == sorted((r.pos, r.timer) for r in batch.collect()) == [(5.0, False), (7.0, True), (9.0, False)]
