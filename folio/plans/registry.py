@@ -21,7 +21,7 @@ from folio.operators import position as P
 from folio.operators import quotes as Q
 from folio.operators import speech as S
 from folio.operators import toc as O
-from folio.plans import import_queries, library_queries, sql
+from folio.plans import import_queries, library_queries, reading_queries, sql
 from folio.plans.tables import LINES_A_PAGE, blocks_of, documents, page_lines, spread, table
 from folio.sources import markup as M
 from folio.streaming.progress import throttled_saves
@@ -243,6 +243,7 @@ QUERIES = {
     for name, f in {
         **library_queries.QUERIES,
         **import_queries.QUERIES,
+        **reading_queries.QUERIES,
         "sentence_stats": sentence_stats, "txt_blocks": txt_blocks, "sentences": sentences, "clauses": clause_list, "speech_clean": speech_clean,
         "lang_weights": lang_weights, "lang_runs": run_list, "block_prefix_percent": block_prefix_percent, "doc_stats": doc_stats, "chapter_units": chapter_units,
         "block_chapter": block_chapter, "conversation_prefix": conversation_prefix, "anchor_at_percent": anchor_at_percent, "quote_locate": quote_locate,
@@ -372,3 +373,4 @@ ORACLES = {
     **library_queries.oracles(_BLOCKS, _PREFIX, _LINES, _HEADS, _OPENED),
     **import_queries.oracles(_BLOCKS),
 }
+ORACLES |= reading_queries.oracles(_BLOCKS, _PREFIX, ORACLES["lines_to_blocks"], ORACLES["scan_test"])
