@@ -1,9 +1,8 @@
 """Positioned page text: items to lines, running heads, lines to blocks, outlines to chapters.
 
 Lines are rows (doc, page, i, t, x, y, h), pages from 0, y growing upwards.  What depends
-on neighbours is a window over one page, and over one row a page for a document; only the
-joining of items to lines, whose threshold follows the line so far, is a fold, over one
-page's items.
+on neighbours is a window over one document or page; only the joining of items to lines,
+whose threshold follows the line so far, is a fold, over one page's items.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from folio.functions import chars as C
 from folio.functions.rows import stacked
 from folio.functions.text import fix_radicals, head_key, trim
 from folio.operators.documents import heading_chapters, reading_units, with_sizes
-from folio.operators.order import upper_median_over, upper_medians
+from folio.operators.order import upper_median_over
 
 # Fixed values of the layout rules.
 LINE_STEP, LINE_SHARE = 1.5, 0.6
@@ -77,45 +76,27 @@ def strip_running_heads(lines: DataFrame, pages: DataFrame | None = None, id_col
     return cut.where(~F.col("__head") & ~F.col("__foot") & ~F.col("t").rlike(PAGE_NUMBER)).select(*lines.columns)
 
 
-def opened_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`lines` with `heading`, `new` (the line opens a block) and `__k`, how many blocks its page has opened up to it.
+def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`lines` with `new` (the line opens a block), `heading` and `block`, its block's ordinal.
 
-    Windows go over pages; what a document's pages need of each other, its middle height
-    and the last line of the page before, is one row a page.
+    Everything is laid out by document once; medians are ranks in windows, not lists.
     """
-    page, by_page = Window.partitionBy(id_col, "page"), Window.partitionBy(id_col).orderBy("page")
-    inside = page.orderBy("i")
-    pages = lines.groupBy(id_col, "page").agg(F.max(F.struct("i", "t", "h")).alias("__end"), F.min("x").alias("__left"))
-    pages = pages.join(upper_medians(lines.where("h > 0"), [id_col], "h", "__h"), id_col, "left")
-    pages = pages.select(id_col, "page", "__left", F.coalesce("__h", F.lit(DEFAULT_HEIGHT)).alias("__h"), F.lag("__end").over(by_page).alias("__end"))
-    rows = lines.join(pages, [id_col, "page"])
+    doc, page = Window.partitionBy(id_col), Window.partitionBy(id_col, "page")
+    order, inside = doc.orderBy("page", "i"), page.orderBy("i")
+    rows = lines.withColumn("__high", F.when(F.col("h") > 0, F.col("h")))
+    rank, median = upper_median_over(F.col("__high"), doc, "__rank")
+    rows = rows.withColumn("__rank", rank).withColumn("__h", F.coalesce(median("__high"), F.lit(DEFAULT_HEIGHT)))
     rows = rows.withColumns({"__up": F.lag("y").over(inside) - F.col("y"), "__start": F.row_number().over(inside) == 1})
-    rows = rows.withColumns({"__t": F.when(F.col("__start"), F.col("__end.t")).otherwise(F.lag("t").over(inside)), "__hb": F.when(F.col("__start"), F.col("__end.h")).otherwise(F.lag("h").over(inside))})
-    rows = rows.withColumn("__gaps", F.when(F.col("__up") > 0, F.col("__up")))
-    rank, median = upper_median_over(F.col("__gaps"), page)
-    rows = rows.withColumn("__ranked", rank).withColumn("__gap", F.coalesce(median("__gaps"), F.col("__h") * DEFAULT_GAP))
-    large = lambda h, t: (F.col(h) > F.col("__h") * HEADING_RISE) & (F.char_length(t) <= C.MAX_HEADING)
-    none_open = F.coalesce(large("__hb", "__t"), F.lit(True))
-    indented = F.col("x") - F.col("__left") > F.col("__h") * INDENT
-    ended = ~none_open & F.coalesce(F.col("__t").rlike(ENDED), F.lit(False))
+    rows = rows.withColumn("__rise", F.when(F.col("__up") > 0, F.col("__up")))
+    rank, median = upper_median_over(F.col("__rise"), page, "__rank")
+    rows = rows.withColumn("__rank", rank).withColumns({"__gap": F.coalesce(median("__rise"), F.col("__h") * DEFAULT_GAP), "__min": F.min("x").over(page)})
+    rows = rows.withColumn("heading", (F.col("h") > F.col("__h") * HEADING_RISE) & (F.char_length("t") <= C.MAX_HEADING))
+    none_open = F.coalesce(F.lag("heading").over(order), F.lit(True))
+    indented = F.col("x") - F.col("__min") > F.col("__h") * INDENT
+    ended = ~none_open & F.coalesce(F.lag("t").over(order).rlike(ENDED), F.lit(False))
     wide = F.coalesce(F.col("__up") > F.col("__gap") * WIDE_GAP, F.lit(False))
-    rows = rows.withColumn("heading", large("h", "t"))
     rows = rows.withColumn("new", none_open | F.col("heading") | wide | (indented & (ended | F.col("__start"))))
-    return rows.select(*lines.columns, "heading", "new", F.sum(F.col("new").cast("int")).over(inside).alias("__k"))
-
-
-def opened_before(opened: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, page, n, before): blocks that each page with lines opens, and those that the pages before it open."""
-    by_page = Window.partitionBy(id_col).orderBy("page")
-    pages = opened.groupBy(id_col, "page").agg(F.max("__k").alias("n"))
-    return pages.withColumn("before", F.coalesce(F.sum("n").over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-
-def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`lines` with `new` (the line opens a block), `heading` and `block`, its block's ordinal."""
-    opened = opened_blocks(lines, id_col)
-    rows = opened.join(opened_before(opened, id_col), [id_col, "page"])
-    return rows.select(*lines.columns, "heading", "new", (F.col("before") + F.col("__k") - 1).alias("block"))
+    return rows.withColumn("block", F.sum(F.col("new").cast("int")).over(order) - 1).select(*lines.columns, "heading", "new", "block")
 
 
 def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
@@ -141,14 +122,20 @@ def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame |
 
 def page_starts(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, starts, n_blocks): for each page the number of blocks opened before it, i.e. its first block or the one that goes on."""
-    opened = opened_before(opened_blocks(lines, id_col), id_col).select(id_col, "page", "n")
-    counted = opened.groupBy(id_col).agg(F.sum("n").cast("int").alias("n_blocks"), (F.max("page") + 1).alias("__last"))
-    listed = counted if pages is None else pages.select(id_col, F.col("n_pages").alias("__last")).join(counted.drop("__last"), id_col, "left")
-    every = listed.where("__last > 0").select(id_col, F.explode(F.sequence(F.lit(0), F.col("__last") - 1)).alias("page")).join(opened, [id_col, "page"], "left")
-    by_page = Window.partitionBy(id_col).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    every = every.withColumn("before", F.coalesce(F.sum("n").over(by_page), F.lit(0)).cast("int"))
-    starts = every.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "before"))), lambda x: x["before"]).alias("starts"))
-    return listed.join(starts, id_col, "left").select(id_col, F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+    by_page = Window.partitionBy(id_col).orderBy("page")
+    opened = ended_blocks(lines, id_col).groupBy(id_col, "page").agg(F.sum(F.col("new").cast("int")).alias("n"))
+    before = F.coalesce(F.sum("n").over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    # pages without lines begin where the next one with lines does
+    since = F.col("page") - F.coalesce(F.lag("page").over(by_page), F.lit(-1))
+    opened = opened.select(id_col, "page", "n", before.alias("before"), since.alias("since"))
+    runs = F.array_sort(F.collect_list(F.struct("page", "before", "since")))
+    listed = opened.groupBy(id_col).agg(F.flatten(F.transform(runs, lambda r: F.array_repeat(r["before"], r["since"]))).alias("starts"), F.sum("n").cast("int").alias("n_blocks"))
+    if pages is None:
+        return listed
+    listed = pages.select(id_col, "n_pages").join(listed, id_col, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    some = F.coalesce("starts", F.array().cast("array<int>"))
+    rest = F.array_repeat("n_blocks", F.greatest(F.lit(0), F.col("n_pages") - F.size(some)))
+    return listed.select(id_col, F.slice(F.concat(some, rest), F.lit(1), F.greatest(F.lit(0), F.col("n_pages"))).alias("starts"), "n_blocks")
 
 
 def page_documents(lines: DataFrame, outline: DataFrame, id_col: str = "doc_id") -> dict[str, DataFrame]:

@@ -9,6 +9,8 @@ size of n-gram and of window; kinds that no quote has are not looked for.
 
 A text row carries the characters around its n-gram, so that what the key brings together
 is compared in place, and the offsets in the original text, so that no text is read again.
+Where quotes are few enough to be sent to every task, so are their n-grams, and a text
+offers those of its n-grams that some quote has, wherever they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from folio.functions.text import text_of
 QUOTE_CHARS, QUOTE_LEAST = 24, 4
 #: Least length of a kind's quotes: (length of its longest ones, characters in an n-gram, n-grams in a window).
 KINDS = {24: (24, 8, 17), 12: (23, 8, 5), 4: (11, 4, 1)}
-#: Quotes of up to 24 characters with their keys that are sent to every task; more are joined by a shuffle of both sides.
+#: Quotes of up to 24 characters that are sent to every task with their keys, 8 bytes each; more are joined by a shuffle of both sides.
 BROADCAST_QUOTES = 250_000
 
 _SPACE = np.zeros(1 << 16, bool)
@@ -93,13 +95,21 @@ def keyed_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.mapInArrow(read, f"{kept}, kind int, gram bigint, at int")
 
 
-def gram_index(blocks: DataFrame, kinds: list[int], id_col: str = "doc_id") -> DataFrame:
+def found_in(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are among the sorted `wanted`."""
+    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    return np.flatnonzero(wanted[at] == hashes)
+
+
+def gram_index(blocks: DataFrame, kinds: list[int], id_col: str = "doc_id", wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
     """(id, b, kind, gram, spot, lead, around, starts): the n-grams that blocks (id, b, t) are found by.
 
     `around` holds the characters from `lead` before the n-gram to where the longest quote
     that begins with it ends; `starts` the offset in t of a quote that begins 0, 1, ... up to
     `lead` characters before the n-gram, `spot` the n-gram's place without white space.
+    With `wanted`, sorted n-grams by kind, only these are offered.
     """
+    sent = blocks.sparkSession.sparkContext.broadcast(wanted)
     kind_of_id = to_arrow_type(blocks.schema[id_col].dataType)
     named = [("id", kind_of_id), ("b", pa.int32()), ("kind", pa.int32()), ("gram", pa.int64()), ("spot", pa.int32()), ("lead", pa.int32()), ("around", pa.string()), ("starts", pa.list_(pa.int32()))]
     schema = pa.schema(named)
@@ -109,15 +119,18 @@ def gram_index(blocks: DataFrame, kinds: list[int], id_col: str = "doc_id") -> D
             rows, kind_parts, gram_parts, spots, leads, arounds, starts = [], [], [], [], [], [], []
             for i, text in enumerate(batch["t"].to_pylist()):
                 points, at = points_of(text or "")
-                solid = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                # a quote begins right after the character before it
-                begins = np.concatenate([[0], at + 1]).astype(np.int32)
+                solid = begins = None
                 for kind in kinds:
                     longest, size, window = KINDS[kind]
                     if len(points) < kind:
                         continue
                     hashes = gram_hashes(points, size)
-                    for spot in least_of_windows(hashes, window).tolist():
+                    offered = least_of_windows(hashes, window) if sent.value is None else found_in(hashes, sent.value[kind])
+                    if len(offered) and solid is None:
+                        solid = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                        # a quote begins right after the character before it
+                        begins = np.concatenate([[0], at + 1]).astype(np.int32)
+                    for spot in offered.tolist():
                         lead = min(spot, window - 1)
                         rows.append(i)
                         kind_parts.append(kind)
@@ -142,9 +155,12 @@ def occurrences(quotes: DataFrame, blocks: DataFrame, id_col: str = "doc_id") ->
     own = ["id"] if "id" in quotes.columns else []
     keyed = keyed_quotes(quotes.select("q", *own).distinct())
     per_kind = {r.kind: r.n for r in keyed.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    wanted = None
     if sum(per_kind.values()) <= BROADCAST_QUOTES:
+        rows = keyed.select("kind", "gram").distinct().collect()
+        wanted = {k: np.sort(np.array([r.gram for r in rows if r.kind == k], np.int64).astype(np.uint64)) for k in per_kind}
         keyed = F.broadcast(keyed)
-    index = gram_index(blocks, sorted(per_kind, reverse=True), id_col)
+    index = gram_index(blocks, sorted(per_kind, reverse=True), id_col, wanted)
     met = index.join(keyed, ["kind", "gram", *own])
     same = (F.col("lead") >= F.col("at")) & (F.expr("substring(around, lead - at + 1, char_length(q))") == F.col("q"))
     found = met.where(same).select("q", "id", F.struct("b", (F.col("spot") - F.col("at")).alias("spot"), F.get("starts", F.col("at")).alias("o")).alias("x"))
