@@ -3,22 +3,25 @@
 Finding where to look.  Every window of LENGTH bytes has one anchor, the rightmost least
 hash among the GRAM-byte strings in it, and equal windows have it at the same place.  So
 the windows of a text fall into runs with one anchor each; a run's context is the bytes
-that its windows span.  Equal contexts are taken together as one that occurs k times.
-Contexts whose anchor occurs once in the corpus hold nothing repeated.
-
-Comparing.  Different contexts around one anchor (the edges of copied passages) go, by
-anchor, into buckets of bounded size, where a suffix array over the concatenated contexts
-gives the Burrows-Wheeler transform.  Starting from the interval of the empty string,
-intervals are extended backwards breadth first; the string length at which a boundary
-between two suffixes is first met is their common prefix.  The search stops at LENGTH:
-boundaries not met by then separate suffixes that share at least so many bytes.  The
-suffixes of a context that occurs k > 1 times fill such an interval by themselves, so a
-context alone at its anchor needs no search.
-
-An anchor with too many different contexts for a bucket has them cut into parts whose
-windows share a core, a string that all of them hold.  Parts with one core are compared as
-contexts with one anchor are; where there are still too many they are cut again, down to
-single windows.
+that its windows span.  Contexts whose anchor occurs once in the corpus hold nothing
+repeated.  All others are compared; a hash that two strings share costs work, no result.
+
+Comparing.  Contexts are counted by their bytes before they are shuffled: one that occurs
+k times is a kind of count k.  The kinds go, by anchor, into buckets of bounded size, where
+a suffix array over the concatenated kinds gives the Burrows-Wheeler transform; each of its
+rows stands for k suffixes.  Starting from the interval of the empty string, intervals are
+extended backwards breadth first; the string length at which a boundary between two
+suffixes is first met is their common prefix.  The search stops at LENGTH: boundaries not
+met by then separate suffixes that share at least so many bytes.  A window is repeated if
+the rows of its interval of LENGTH bytes stand for two suffixes or more.
+
+An anchor with too many kinds for a bucket has them cut into parts whose windows share a
+core, a string that all of them hold.  Parts with one core are compared as contexts with
+one anchor are; where there are still too many they are cut again, down to single windows,
+which are their own cores.
+
+Kinds find their occurrences again by a hash of the bytes.  Where two kinds of one anchor
+share it, the occurrences are joined by their bytes instead.
 
 Edge cases: null is the empty text; texts shorter than LENGTH are only hashed; repeated
 rows repeat each other and lose all such bytes; null ids are ids like others; an empty
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bound_batches, discard, if_small, materialise, text_or_empty
+from folio.llm.common import bound_batches, discard, if_small, materialise, release, text_or_empty, working_tables
 
 LENGTH, GRAM = 200, 64
 #: Window starts looked at together; longer texts are taken in overlapping pieces.
@@ -46,6 +49,8 @@ PIECE = 1 << 20
 BUCKET_BYTES, MOST_CONTEXTS = 1 << 20, 8000
 #: How far apart the windows of a part start at first; a quarter of it where parts are cut again.
 PART_WIDTH = 32
+#: Contexts of a text that are handed on together.
+BODIES = 4000
 _PLACE_BITS = 24
 _STEPS = np.random.default_rng(7).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,8 +115,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, tag, h, c, s, n): anchor hash, context hash, first window start and number of windows."""
+def contexts(texts: DataFrame, length: int, gram: int, name_bits: int) -> DataFrame:
+    """(id, tag, h, c, s, n): anchor hash, `name_bits` of a context hash, first window start and number of windows."""
+    name_mask = np.uint64((1 << name_bits) - 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +129,7 @@ def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 bytes_ = np.frombuffer(whole, np.uint8)
                 usable = np.repeat(ends, lengths) - np.arange(bytes_.size) >= length
                 start, n, h = context_runs(bytes_, usable, length, gram)
-                c = np.fromiter((xxhash.xxh3_64_intdigest(whole[a : a + k]) for a, k in zip(start.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, start.size)
+                c = np.fromiter((xxhash.xxh3_64_intdigest(whole[a : a + k]) for a, k in zip(start.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, start.size) & name_mask
                 of = np.searchsorted(ends, start, side="right")
                 row = np.array([i for i, _, _ in group])[of]
                 s = start - (ends - lengths)[of] + np.array([at for _, at, _ in group])[of]
@@ -209,8 +215,11 @@ def met_below(order: np.ndarray, symbols: np.ndarray, n_ends: int, length: int)
     return met[:n]
 
 
-def repeated_windows(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each context the runs (first, last) of window starts whose `length` bytes start elsewhere too."""
+def repeated_windows(parts: list[bytes], length: int, counts: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each context the runs (first, last) of window starts whose `length` bytes start elsewhere too.
+
+    The contexts differ from each other; `counts` says how often each occurs (once, if not given).
+    """
     sizes = np.array([len(p) for p in parts])
     symbols = np.zeros(sizes.sum() + sizes.size, np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -220,8 +229,12 @@ def repeated_windows(parts: list[bytes], length: int) -> list[list[tuple[int, in
     symbols[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
     order = suffix_order(symbols, context, ends[context])
     met = met_below(order, symbols, sizes.size, length)
-    shared = ~met | ~np.r_[met[1:], True]
-    at = np.sort(order[shared])
+    # suffixes that each row stands for: none if it ends before `length` symbols
+    of_row = context[order]
+    stands = np.where(ends[of_row] - order >= length, np.ones(sizes.size, np.int64)[of_row] if counts is None else np.array(counts)[of_row], 0)
+    first = np.flatnonzero(met)
+    total = np.repeat(np.add.reduceat(stands, first), np.diff(np.r_[first, met.size]))
+    at = np.sort(order[(total > 1) & (stands > 0)])
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
     if at.size:
         of = context[at]
@@ -233,15 +246,17 @@ def repeated_windows(parts: list[bytes], length: int) -> list[list[tuple[int, in
     return out
 
 
-def bucket_runs(bodies: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(h, c, runs) for contexts (h, c, body), compared within pmod(h, buckets)."""
+def bucket_runs(kinds: DataFrame, bucket_bytes: int, length: int) -> DataFrame:
+    """(kind, runs) for kinds (h, kind, k, body), compared in buckets of about `bucket_bytes` by h."""
+    size = kinds.agg(F.sum(F.octet_length("body"))).first()[0] or 0
 
     def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("h", "ascending"), ("c", "ascending")])
-        runs = repeated_windows(rows["body"].to_pylist(), length)
-        return pa.table({"h": rows["h"], "c": rows["c"], "runs": pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+        rows = rows.sort_by([("h", "ascending"), ("kind", "ascending")])
+        runs = repeated_windows(rows["body"].to_pylist(), length, rows["k"].to_pylist())
+        return pa.table({"kind": rows["kind"], "runs": pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    return bodies.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, "h bigint, c bigint, runs array<struct<a:int,b:int>>").where("size(runs) > 0")
+    bucket = F.pmod("h", F.lit(max(1, -(-size // bucket_bytes))))
+    return kinds.select("h", "kind", "k", "body", bucket.alias("bucket")).groupBy("bucket").applyInArrow(compare, "kind bigint, runs array<struct<a:int,b:int>>").where("size(runs) > 0")
 
 
 def anchor_offset(body: bytes, h: int, n: int, length: int, gram: int) -> int:
@@ -250,18 +265,19 @@ def anchor_offset(body: bytes, h: int, n: int, length: int, gram: int) -> int:
     return int(np.flatnonzero(hashes[n - 1 : length - gram + 1] == np.uint64(h & (1 << 64) - 1))[-1]) + n - 1
 
 
-def split_contexts(rows: DataFrame, length: int, gram: int, width: int) -> DataFrame:
-    """Contexts (h, c, k, d, body) cut into parts: (h, c, k, j, h2, c2, n, d, body).
+def split_contexts(kinds: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """Kinds (h, kind, k, d, body) cut into parts: (kind, k, j, h2, d, body).
 
     The windows of a part start up to `width` apart, in blocks of distances before the anchor,
-    so equal windows lie in the same block.  h2 is the hash of what all windows of the block
-    hold, c2 that of the part; d is the distance from the first window to the anchor (null at first).
+    so equal windows lie in the same block.  j is a part's place in its kind, h2 the hash of
+    what all windows of the block hold; d is the distance from the first window to the anchor
+    (null at first).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, c, k, d, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for h, kind, k, d, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 n = len(body) - length + 1
                 d = anchor_offset(body, h, n, length, gram) if d is None else d
                 j = 0
@@ -270,89 +286,80 @@ def split_contexts(rows: DataFrame, length: int, gram: int, width: int) -> DataF
                     upto = min(n, d - block * width + 1)
                     # the block's windows start from d - block * width back to width - 1 bytes before
                     core = body[d - block * width : d - block * width - width + 1 + length]
-                    part = body[j : upto + length - 1]
-                    names = [np.frombuffer(xxhash.xxh3_64_digest(x), ">i8")[0] for x in (f"{h} {block} {width} ".encode() + core, part)]
-                    out.append((h, c, k, j, int(names[0]), int(names[1]), upto - j, d - j, part))
+                    name = np.frombuffer(xxhash.xxh3_64_digest(f"{h} {block} {width} ".encode() + core), ">i8")[0]
+                    out.append((kind, k, j, int(name), d - j, body[j : upto + length - 1]))
                     j = upto
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["h", "c", "k", "j", "h2", "c2", "n", "d", "body"])
-
-    return rows.select("h", "c", "k", "d", "body").mapInArrow(cut, "h bigint, c bigint, k bigint, j int, h2 bigint, c2 bigint, n int, d int, body binary")
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["kind", "k", "j", "h2", "d", "body"])
 
+    return kinds.select("h", "kind", "k", "d", "body").mapInArrow(cut, "kind bigint, k bigint, j int, h2 bigint, d int, body binary")
 
-def runs_by_parts(rows: DataFrame, length: int, gram: int, bucket_bytes: int, most: int, width: int) -> DataFrame:
-    """(h, c, runs) of contexts (h, c, k, d, body) whose anchors have too many of them for one bucket.
 
-    Parts that share their core are compared as contexts are that share an anchor; where there
-    are still too many, they are cut again, down to single windows, which are their own cores.
-    """
-    parts = materialise(split_contexts(rows, length, gram, width), "parts")
-    kinds = parts.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("body").alias("body"))
-    kinds = materialise(kinds, "part-kinds")
-    cores = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "cores")
-    shared = kinds.join(if_small(cores), "h")
-    flags = whole_runs(kinds)
-    several = shared.where(F.col("m") <= most)
-    size = several.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    if size:
-        flags = flags.unionByName(single_runs(bucket_runs(several.select("h", "c", "body"), -(-size // bucket_bytes), length), kinds))
-    if width > 1 and not cores.where(F.col("m") > most).isEmpty():
-        finer = runs_by_parts(shared.where(F.col("m") > most), length, gram, bucket_bytes, most, -(-width // 4))
-        flags = flags.unionByName(single_runs(finer, kinds))
-    flags = materialise(flags.withColumnsRenamed({"h": "h2", "c": "c2"}), "part-flags")
-    moved = F.transform("runs", lambda r: F.struct((F.col("j") + r["a"]).cast("int").alias("a"), (F.col("j") + r["b"]).cast("int").alias("b")))
-    return parts.select("h", "c", "j", "h2", "c2").join(flags, ["h2", "c2"]).groupBy("h", "c").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+def numbered(kinds: DataFrame, tag: str) -> DataFrame:
+    """`kinds` as a working table with a number for each row, `kind`."""
+    return materialise(kinds.withColumn("kind", F.monotonically_increasing_id()), tag)
 
 
-def whole_runs(kinds: DataFrame) -> DataFrame:
-    """All windows of contexts (h, c, k, n) that occur k > 1 times."""
-    return kinds.where("k > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b"))).alias("runs"))
+def kind_runs(kinds: DataFrame, length: int, gram: int, bucket_bytes: int, most: int, width: int) -> DataFrame:
+    """(kind, runs) of kinds (h, kind, k, d, body): runs (a, b) of the windows that are repeated.
 
-
-def single_runs(runs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The rows of `runs` for contexts that occur once."""
-    return runs.join(kinds.where("k = 1").select("h", "c"), ["h", "c"], "left_semi")
+    Kinds of an anchor with over `most` of them are cut into parts that are up to `width`
+    windows wide.  Parts of one window that share their core are the same, so there are
+    never many; they are compared like the others.
+    """
+    anchors = kinds.groupBy("h").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
+    anchors = materialise(anchors.where("k > 1").drop("k"), "anchors")
+    shared = kinds.join(if_small(anchors), "h")
+    if width == 0 or anchors.where(F.col("m") > most).isEmpty():
+        return bucket_runs(shared, bucket_bytes, length)
+    parts = materialise(split_contexts(shared.where(F.col("m") > most), length, gram, width), "parts")
+    part_kinds = numbered(parts.groupBy(F.col("h2").alias("h"), "body").agg(F.sum("k").alias("k"), F.first("d").alias("d")), "part-kinds")
+    found = kind_runs(part_kinds, length, gram, bucket_bytes, most, -(-width // 4) if width > 1 else 0)
+    flags = materialise(part_kinds.select(F.col("h").alias("h2"), "body", "kind").join(found, "kind").drop("kind"), "part-flags")
+    moved = F.transform("runs", lambda r: F.struct((F.col("j") + r["a"]).cast("int").alias("a"), (F.col("j") + r["b"]).cast("int").alias("b")))
+    crowded = parts.join(flags, ["h2", "body"]).groupBy("kind").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+    return bucket_runs(shared.where(F.col("m") <= most), bucket_bytes, length).unionByName(crowded)
 
 
 def context_bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, c, body) for wanted contexts (h, c, id, tag, s, n), read from their texts."""
-    listed = materialise(wanted.groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("h", "c", "s", "n")).alias("list")), "listed")
-    joined = texts.join(listed, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("text", "list")
+    """(id, tag, h, c, s, body) for wanted contexts (id, tag, h, c, s, n), read from their texts; repeated rows give them again."""
+    listed = materialise(wanted.groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_set(F.struct("h", "c", "s", "n")).alias("list")), "listed")
+    joined = texts.join(listed, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("id", "tag", "text", "list")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, entries in zip(batch.column(0), batch.column(1), strict=True):
-                data, entries = text.as_py().encode("utf-8", "surrogatepass"), entries.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([e["h"] for e in entries], pa.int64()), pa.array([e["c"] for e in entries], pa.int64()), pa.array([data[e["s"] : e["s"] + e["n"] + length - 1] for e in entries], pa.binary())], names=["h", "c", "body"])
+            for i in range(batch.num_rows):
+                data = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
+                own = batch.column(3)[i].values
+                for at in range(0, len(own), BODIES):
+                    h, c, s, n = (x.to_pylist() for x in own.slice(at, BODIES).flatten())
+                    row = pa.array([i] * len(h))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64()), pa.array([data[a : a + k + length - 1] for a, k in zip(s, n, strict=True)], pa.binary())], names=["id", "tag", "h", "c", "s", "body"])
 
-    # repeated rows offer the same context again
-    return joined.mapInArrow(cut, "h bigint, c bigint, body binary").dropDuplicates(["h", "c"])
+    kind = texts.schema["id"].dataType.simpleString()
+    return joined.mapInArrow(cut, f"id {kind}, tag bigint, h bigint, c bigint, s bigint, body binary")
 
 
-def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int, most_contexts: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, gram: int, bucket_bytes: int, most_contexts: int, name_bits: int) -> DataFrame:
     """(id, tag, spans): byte ranges (a, b) of each text that repeated strings cover, not merged."""
-    found = materialise(contexts(texts, length, gram), "contexts")
-    twice = materialise(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "anchors")
+    found = materialise(contexts(texts, length, gram, name_bits), "contexts")
+    twice = materialise(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
     here = materialise(found.join(twice, "h"), "occurrences")
-    discard(found)
-    kinds = materialise(here.groupBy("h", "c").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "tag", "s")).alias("at")), "kinds")
-    many = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
-    doubtful = kinds.join(many, "h").select("h", "c", "k", "m", "n", "at.id", "at.tag", "at.s")
-    doubtful = materialise(doubtful, "doubtful")
-    bodies = context_bodies(texts, doubtful, length).join(if_small(many.where(F.col("m") > most_contexts)), "h", "left")
-    bodies = materialise(bodies, "bodies")
-    normal, crowded = bodies.where("m IS NULL"), bodies.where("m IS NOT NULL")
-    size = normal.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    runs = single_runs(bucket_runs(normal, max(1, -(-size // bucket_bytes)), length), kinds)
-    if not crowded.isEmpty():
-        crowded = crowded.join(kinds.select("h", "c", "k"), ["h", "c"]).withColumn("d", F.lit(None).cast("int"))
-        runs = runs.unionByName(single_runs(runs_by_parts(crowded, length, gram, bucket_bytes, most_contexts, PART_WIDTH), kinds))
-    flags = materialise(whole_runs(kinds).unionByName(runs), "flags")
-    for done in (twice, kinds, many, doubtful, bodies):
+    for done in (found, twice):
         discard(done)
+    bodies = context_bodies(texts, here, length)
+    kinds = numbered(bodies.groupBy("h", "c", "body").agg(F.count("*").alias("k")), "kinds")
+    flags = materialise(kind_runs(kinds.withColumn("d", F.lit(None).cast("int")), length, gram, bucket_bytes, most_contexts, PART_WIDTH), "flags")
+    alike = materialise(kinds.groupBy("h", "c").agg(F.count("*").alias("m")).where("m > 1").select("h", "c"), "alike")
+    names = kinds.select("h", "c", "kind").join(if_small(alike), ["h", "c"], "left_anti")
+    runs = here.join(names.join(flags, "kind"), ["h", "c"]).select("id", "tag", "s", "runs")
+    if not alike.isEmpty():
+        several = kinds.join(if_small(alike), ["h", "c"], "left_semi").join(flags, "kind").select("h", "c", "body", "runs")
+        again = context_bodies(texts, here.join(if_small(alike), ["h", "c"], "left_semi"), length)
+        runs = runs.unionByName(again.join(several, ["h", "c", "body"]).select("id", "tag", "s", "runs"))
     spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return here.join(flags, ["h", "c"]).select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return runs.select("id", "tag", spans.alias("spans")).groupBy("id", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -365,15 +372,18 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most_contexts: int = MOST_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most_contexts: int = MOST_CONTEXTS, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes.
 
     Removed is every byte that a string of `length` bytes covers which also starts
     anywhere else in the table; `gram` (a power of two) must be shorter than `length`.
+    The sizes of buckets, and the bits of the hash that names contexts, change the work only.
     """
-    bound_batches(docs.sparkSession)
-    texts = keyed(docs, id_col, text_col)
-    spans = materialise(repeated_spans(texts, length, gram, bucket_bytes, most_contexts).withColumnsRenamed({"id": "id_", "tag": "tag_"}), "spans")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    texts, before = keyed(docs, id_col, text_col), working_tables(spark)
+    spans = materialise(repeated_spans(texts, length, gram, bucket_bytes, most_contexts, name_bits).withColumnsRenamed({"id": "id_", "tag": "tag_"}), "spans")
+    release(spark, spans, [p for p in working_tables(spark) if p not in before])
     joined = texts.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,21 @@ def test_suffix(edge_docs, edge_rows, length, gram, bucket, most):
     assert suffix_rows(suffix_dedup(edge_docs, length, gram, bucket, most)) == sorted(brute.suffix([r[:2] for r in edge_rows], length))
 
 
+@pytest.mark.parametrize("most", [8000, 2])
+def test_suffix_whatever_the_names(edge_docs, edge_rows, most):
+    """With one name for all contexts, and for few of them, the results are the same."""
+    for bits in (0, 3):
+        got = suffix_rows(suffix_dedup(edge_docs, 64, 16, 3000, most, name_bits=bits))
+        assert got == sorted(brute.suffix([r[:2] for r in edge_rows], 64))
+
+
+def test_suffix_intervals_with_counts():
+    """A kind of count two is repeated as a whole, as two equal contexts are; short suffixes are not windows."""
+    parts, counts = [b"abcdefgh", b"xxcdefyy", b"qrstuvwx"], [1, 1, 2]
+    assert repeated_windows(parts, 4, counts) == [[(2, 2)], [(2, 2)], [(0, 4)]]
+    assert repeated_windows(parts, 4) == [[(2, 2)], [(2, 2)], []]
+
+
 def test_suffix_of_the_table(spark, sf_dir, table_rows):
     assert suffix_rows(op7_suffix_dedup(spark, sf_dir)) == sorted(brute.suffix(table_rows, 200))
 
