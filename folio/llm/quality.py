@@ -3,8 +3,12 @@
 Everything is a column expression over one row; nothing is shuffled and no Python runs.
 
 Line rules (a line that holds no word is neither kept nor lost):
-* navigation: at least two of the separators ``| > » ·``, and one to every five words;
-* boilerplate: a short line with a phrase of BOILERPLATE as whole words;
+* navigation: at least two of the separators ``| > » ·``, and one to every five words; or a
+  menu, MENU_LINES fragments or more in a row, lines without a word between them aside.  A
+  fragment is a short line of one to three words that has no end mark, does not start in
+  lower case and fails by no other rule;
+* boilerplate: a short line with a sign of copyright, or with a phrase of BOILERPLATE as
+  whole words;
 * punctuation: a short line of four words or more without an end mark that is no part of
   a wrapped passage, a short line of which more than half are ASCII signs, a line with a
   long run of signs, a line with a symbol (one of ``# * $ % & | < >``) to every ten
@@ -37,6 +41,9 @@ MAX_REPEATED = 50  # per cent of the words
 MIN_KEPT = 50  # per cent of the characters in words
 #: Lines of at least this many characters are prose whatever they end in.
 SHORT_LINE = 80
+#: So many fragments in a row make a menu.
+MENU_LINES = 4
+COPYRIGHT = r"[\x{A9}\x{2117}]"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 BOILERPLATE = (
     "all rights reserved",
@@ -83,6 +90,7 @@ UNSIGNED = rf"[{SPACES}A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+"
 SIGN_RUN = r"[!-/:-@\[-`{-~]{12}"
 SEPARATOR, DOUBLED = "[|>»·]", "[!?]{2,}"
 FOUR_WORDS = rf"{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}[{SPACES}]+{WORD}"
+LOWER_START = rf"^[{SPACES}]*\p{{Ll}}"
 #: Bits of a position inside the packed (hash, position) numbers that find repeated windows:
 #: for texts of at most 2 ** POSITION_BITS words, and for longer ones (an array index has 31).
 POSITION_BITS, ANY_POSITION_BITS = 24, 31
@@ -140,30 +148,43 @@ def with_base_counts(docs: DataFrame, text: str = "__text") -> DataFrame:
     ).withColumns({"n_words": F.col("__words.n"), "n_repeat_words": F.col("__words.repeated")}).drop("__words")
 
 
-#: Of a line: passes (or holds no word), fails only for want of an end mark, fails by another rule.
-PASSES, UNENDED, FAILS = 0, 1, 2
+#: Of a line: passes, fails only for want of an end mark, fails by another rule, is a fragment, holds no word.
+PASSES, UNENDED, FAILS, FRAGMENT, BLANK = range(5)
 
 
 def line_kind(line: Column) -> Column:
-    """PASSES, UNENDED or FAILS, from the line alone."""
+    """PASSES, UNENDED, FAILS, FRAGMENT or BLANK, from the line alone."""
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     navigation = (count(SEPARATOR) >= 2) & (5 * count(SEPARATOR) >= count(WORD))
     phrase = "|".join(BOILERPLATE)
     # the plain phrases come first: few lines hold one
-    boilerplate = F.lower(line).rlike(phrase) & F.lower(line).rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])({phrase})(?![\p{{L}}\p{{M}}\p{{N}}_])")
-    unended = line.rlike(FOUR_WORDS) & ~line.rlike(SENTENCE_END)
+    boilerplate = line.rlike(COPYRIGHT) | F.lower(line).rlike(phrase) & F.lower(line).rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])({phrase})(?![\p{{L}}\p{{M}}\p{{N}}_])")
+    unended = F.when(line.rlike(SENTENCE_END), PASSES).when(line.rlike(FOUR_WORDS), UNENDED).when(line.rlike(LOWER_START), PASSES).otherwise(FRAGMENT)
     signs = 2 * F.length(F.regexp_replace(line, UNSIGNED, "")) > F.length(line)
     symbols = line.rlike("[#*$%&|<>]") & (10 * F.length(F.regexp_replace(line, NOT_SYMBOLS, "")) >= F.length(line))
     shouting = line.rlike(DOUBLED) & (count(DOUBLED) >= 2) & (4 * count(DOUBLED) >= count(WORD))
     # the cheap look for a sign comes first: most lines of prose end there
     odd = line.rlike("[|>»·#*$%&<!?]") & (navigation | symbols | shouting)
     fails = odd | F.when(F.length(line) < SHORT_LINE, boilerplate | signs).otherwise(line.rlike(SIGN_RUN))
-    return F.when(~line.rlike(WORD), PASSES).when(fails, FAILS).when((F.length(line) < SHORT_LINE) & unended, UNENDED).otherwise(PASSES)
+    return F.when(~line.rlike(WORD), BLANK).when(fails, FAILS).when(F.length(line) < SHORT_LINE, unended).otherwise(PASSES)
 
 
 def line_passes(line: Column) -> Column:
     """Whether a line that holds a word passes all line rules on its own."""
-    return line_kind(line) == PASSES
+    return ~line_kind(line).isin(UNENDED, FAILS)
+
+
+def with_menus(kinds: Column) -> Column:
+    """The kinds of lines as PASSES, UNENDED or FAILS: fragments fail where they make a menu, and pass elsewhere.
+
+    One digit a line, cut where menus may start and end: linear in the lines.
+    """
+    menu = f"[{FRAGMENT}{BLANK}]"
+    pieces = F.split(F.array_join(kinds, ""), f"(?<={menu})(?!{menu})|(?<!{menu})(?={menu})")
+    alone, together = (f"{x}{PASSES}" for x in (PASSES, FAILS))
+    many = lambda p: F.length(F.translate(p, str(BLANK), "")) >= MENU_LINES
+    judged = F.transform(pieces, lambda p: F.when(p.rlike(f"^{menu}") & many(p), F.translate(p, f"{FRAGMENT}{BLANK}", together)).otherwise(F.translate(p, f"{FRAGMENT}{BLANK}", alone)))
+    return F.transform(F.split(F.array_join(judged, ""), ""), lambda k: k.cast("int"))
 
 
 def in_passages(lines: Column, kinds: Column) -> Column:
@@ -177,7 +198,7 @@ def in_passages(lines: Column, kinds: Column) -> Column:
         after = F.get(lines, i + 1)
         words = x.rlike(WORD) & after.rlike(WORD) & (F.get(kinds, i) != FAILS) & (F.get(kinds, i + 1) != FAILS)
         similar = 4 * (F.length(x) + 1 + F.length(F.regexp_extract(after, WORD, 0))) > 3 * F.length(after)
-        on = F.coalesce(words & (similar | after.rlike(rf"^[{SPACES}]*\p{{Ll}}")), F.lit(False))
+        on = F.coalesce(words & (similar | after.rlike(LOWER_START)), F.lit(False))
         ends = x.rlike(SENTENCE)
         return F.when(on, F.when(ends, "d").otherwise("b")).otherwise(F.when(ends, "c").otherwise("a"))
 
@@ -190,11 +211,12 @@ def failing(lines: Column) -> Column:
     """Of each of the (bound) lines, whether it fails."""
 
     def judged(kinds: Column) -> Column:
-        alone = F.transform(kinds, lambda k: k != PASSES)
+        alone = F.transform(kinds, lambda k: (k == UNENDED) | (k == FAILS))
         passages = bound(in_passages(lines, kinds), lambda p: F.transform(kinds, lambda k, i: (k == FAILS) | ((k == UNENDED) & (F.get(p, i) == "0"))))
         return F.when(F.array_contains(kinds, UNENDED), passages).otherwise(alone)
 
-    return bound(F.transform(lines, line_kind), judged)
+    menus = lambda kinds: F.when(F.size(F.filter(kinds, lambda k: k == FRAGMENT)) >= MENU_LINES, with_menus(kinds)).otherwise(kinds)
+    return bound(bound(F.transform(lines, line_kind), menus), judged)
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:

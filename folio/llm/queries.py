@@ -157,11 +157,14 @@ ORACLES = {
               ({_COUNT.format(rules.SEPARATOR)} >= 2 AND 5 * {_COUNT.format(rules.SEPARATOR)} >= {_COUNT.format(_WORD)})
               OR (regexp_matches(line, '[#*$%&|<>]') AND 10 * length(regexp_replace(line, '{rules.NOT_SYMBOLS}', '', 'g')) >= length(line))
               OR ({_COUNT.format(rules.DOUBLED)} >= 2 AND 4 * {_COUNT.format(rules.DOUBLED)} >= {_COUNT.format(_WORD)})
-              OR CASE WHEN length(line) < {rules.SHORT_LINE} THEN regexp_matches(lower(line), '(^|{_NO_WORD})({"|".join(rules.BOILERPLATE)})($|{_NO_WORD})')
+              OR CASE WHEN length(line) < {rules.SHORT_LINE} THEN regexp_matches(line, '{rules.COPYRIGHT}') OR regexp_matches(lower(line), '(^|{_NO_WORD})({"|".join(rules.BOILERPLATE)})($|{_NO_WORD})')
                  OR 2 * length(regexp_replace(line, '{rules.UNSIGNED}', '', 'g')) > length(line) ELSE regexp_matches(line, '{rules.SIGN_RUN}') END AS bad FROM l),
-        k AS (SELECT *, CASE WHEN NOT word THEN {rules.PASSES} WHEN bad THEN {rules.FAILS} WHEN short AND regexp_matches(line, '{rules.FOUR_WORDS}') AND NOT regexp_matches(line, '{_quoted(rules.SENTENCE_END)}') THEN {rules.UNENDED} ELSE {rules.PASSES} END AS kind FROM s),
+        kl AS (SELECT *, CASE WHEN NOT word THEN {rules.BLANK} WHEN bad THEN {rules.FAILS} WHEN NOT short OR regexp_matches(line, '{_quoted(rules.SENTENCE_END)}') THEN {rules.PASSES}
+               WHEN regexp_matches(line, '{rules.FOUR_WORDS}') THEN {rules.UNENDED} WHEN regexp_matches(line, '{rules.LOWER_START}') THEN {rules.PASSES} ELSE {rules.FRAGMENT} END AS alone FROM s),
+        kr AS (SELECT *, count_if(alone NOT IN ({rules.FRAGMENT}, {rules.BLANK})) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM kl),
+        k AS (SELECT *, CASE WHEN alone IN ({rules.UNENDED}, {rules.FAILS}) THEN alone WHEN alone = {rules.FRAGMENT} AND count_if(alone = {rules.FRAGMENT}) OVER (PARTITION BY doc_id, run) >= {rules.MENU_LINES} THEN {rules.FAILS} ELSE {rules.PASSES} END AS kind FROM kr),
         n AS (SELECT *, lead(line) OVER o AS line2, lead(word) OVER o AS word2, lead(kind) OVER o AS kind2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-        j AS (SELECT *, coalesce(word AND word2 AND kind <> {rules.FAILS} AND kind2 <> {rules.FAILS} AND (4 * (length(line) + 1 + length(regexp_extract(line2, '{_WORD}'))) > 3 * length(line2) OR regexp_matches(line2, '^[{_SPACES}]*\\p{{Ll}}')), false) AS reads_on FROM n),
+        j AS (SELECT *, coalesce(word AND word2 AND kind <> {rules.FAILS} AND kind2 <> {rules.FAILS} AND (4 * (length(line) + 1 + length(regexp_extract(line2, '{_WORD}'))) > 3 * length(line2) OR regexp_matches(line2, '{rules.LOWER_START}')), false) AS reads_on FROM n),
         p AS (SELECT *, count_if(NOT reads_on) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passage FROM j),
         q AS (SELECT *, count(*) OVER v > 1 AND bool_or(regexp_matches(line, '{_quoted(rules.SENTENCE)}')) OVER v AS ended FROM p WINDOW v AS (PARTITION BY doc_id, passage)),
         f AS (SELECT doc_id, line, length(regexp_replace(line, '[{_SPACES}]+', '', 'g')) AS chars, kind = {rules.FAILS} OR (kind = {rules.UNENDED} AND NOT ended) AS fails FROM q WHERE word),

@@ -107,6 +107,27 @@ def test_end_marks_and_phrases(spark):
     assert got == lines
 
 
+MENUS = (
+    "Accueil\nNos produits\nMentions légales\nNous contacter\nPlan du site\n",
+    "Startseite\n\nÜber uns\n\nImpressum\n \nKontakt\n",
+    "Inicio\nQuiénes somos\nAviso legal\nMapa del sitio\n",
+    "首页\n关于我们\n联系方式\n隐私政策\n",
+)
+
+
+def test_menus_of_any_language_fall(spark):
+    """Four fragments in a row are a menu in whatever language; fewer, verse and lists that end are not."""
+    body = WRAPPED.replace("Ishmael", "Éloïse")
+    verse = "so much depends\nupon\n\na red wheel\nbarrow\n\nglazed with rain\nwater\n"
+    stays = [body + "\nChapter One\n\nThe Sea\n\nLoomings\n" + body, body + verse, body + "Yes.\nNo!\nWhy?\nSo.\nWell.\n", "Titre\n" * 3 + body]
+    falls = [menu + body for menu in MENUS] + [body + menu for menu in MENUS] + [body + "© 2024 Société Éloïse, tous droits réservés.\n"]
+    docs = spark.createDataFrame(list(enumerate(stays + falls)), "doc_id int, text string")
+    got = {r.doc_id: r for r in Q.quality(docs).collect()}
+    assert [got[i].clean_text for i in range(len(stays))] == stays
+    for i in range(len(stays), len(got)):
+        assert got[i].clean_text.strip() == body.strip()
+
+
 def test_sql_judges_the_same(spark, edge_rows, tmp_path):
     """The registered SQL over wrapped prose, other scripts, menus and awkward texts."""
     import duckdb
@@ -117,6 +138,7 @@ def test_sql_judges_the_same(spark, edge_rows, tmp_path):
     junk = "Top stories of this day\nWatch the latest videos now\nMore from all our partners\n"
     hindi = "यह एक छोटा वाक्य है\nऔर यह आगे बढ़ता है।\n" * 20
     texts = [r[1] for r in edge_rows] + [WRAPPED, WRAPPED.replace("\n", "\r\n"), WRAPPED + "\n" + junk * 3, junk * 12, "\n\n".join(WRAPPED.split("\n")), hindi, "The catalog is long\n" * 30 + WRAPPED, "Please log in now.\n" * 9 + WRAPPED, PROSE * 3 + "Home | About | Contact\n" * 20]
+    texts += [m * k + t for m in MENUS for k in (1, 30) for t in (WRAPPED, "\n" + PROSE)] + ["Titre\n" * 3 + WRAPPED + "A\n\nb\nC D E\nF\nG" * 9, "© Éloïse\n" * 30 + WRAPPED]
     pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "d.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
