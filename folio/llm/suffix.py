@@ -154,9 +154,12 @@ def suffix_order(symbols: np.ndarray, context: np.ndarray, end: np.ndarray) -> n
         moved[: max(0, n - j)] = symbols[j:]
         key = (key << 9) | np.where(left >= j, moved, 0)
     tie = np.where(left < 7, context + 1, 0)
-    order = np.lexsort((tie, key))
+    order = np.argsort(key)
+    near_end = np.flatnonzero(left[order] < 7)  # told apart by context
+    last = order[near_end]
+    order[near_end] = last[np.lexsort((last, key[last]))]
     head = np.r_[True, (key[order][1:] != key[order][:-1]) | (tie[order][1:] != tie[order][:-1])]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     step, place = 7, np.arange(n)
     while True:
@@ -166,8 +169,8 @@ def suffix_order(symbols: np.ndarray, context: np.ndarray, end: np.ndarray) -> n
             return order
         place = place[open_]
         items = order[place]
-        both = rank[items] * n + rank[items + step]
-        by = np.argsort(both, kind="stable")
+        both = rank[items].astype(np.int64) * n + rank[items + step]
+        by = np.argsort(both)
         items, both = items[by], both[by]
         order[place] = items
         head = np.r_[True, both[1:] != both[:-1]]
@@ -185,12 +188,12 @@ def met_below(order: np.ndarray, symbols: np.ndarray, n_ends: int, length: int)
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
     before = order - 1
-    bwt = np.where(before >= 0, symbols[before], 0)
-    to = inverse[before]  # the row of the suffix one symbol longer
+    bwt = np.where(before >= 0, symbols[before], 0).astype(np.int16)
+    to = inverse[before].astype(np.int32)  # the row of the suffix one symbol longer
     met = np.zeros(n + 1, bool)
     met[: n_ends + 1] = True  # rows that begin with an end mark
     met[n] = True
-    low, high = np.array([0]), np.array([n])
+    low, high, bits = np.array([0]), np.array([n]), n.bit_length()
     for step in range(length):
         size = high - low
         rows = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
@@ -199,12 +202,11 @@ def met_below(order: np.ndarray, symbols: np.ndarray, n_ends: int, length: int)
         rows, of = rows[real], of[real]
         if not rows.size:
             break
-        key = of * 257 + bwt[rows]
-        by = np.argsort(key, kind="stable")
-        key, rows = key[by], rows[by]
+        key = np.sort((of * 257 + bwt[rows] << bits) | rows)
+        key, rows = key >> bits, key & (1 << bits) - 1
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         tail = np.r_[head[1:], key.size] - 1
-        low, high = to[rows[head]], to[rows[tail]] + 1
+        low, high = to[rows[head]].astype(np.int64), to[rows[tail]].astype(np.int64) + 1
         new = ~met[high]
         low, high = low[new], high[new]
         met[high] = True
@@ -215,10 +217,10 @@ def met_below(order: np.ndarray, symbols: np.ndarray, n_ends: int, length: int)
     return met[:n]
 
 
-def repeated_windows(parts: list[bytes], length: int, counts: list[int] | None = None) -> list[list[tuple[int, int]]]:
-    """For each context the runs (first, last) of window starts whose `length` bytes start elsewhere too.
+def repeated_runs(parts: list[bytes], length: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last) of each run of window starts whose `length` bytes start elsewhere too, in order.
 
-    The contexts differ from each other; `counts` says how often each occurs (once, if not given).
+    The contexts differ from each other; `counts` says how often each occurs.
     """
     sizes = np.array([len(p) for p in parts])
     symbols = np.zeros(sizes.sum() + sizes.size, np.int64)
@@ -231,18 +233,22 @@ def repeated_windows(parts: list[bytes], length: int, counts: list[int] | None =
     met = met_below(order, symbols, sizes.size, length)
     # suffixes that each row stands for: none if it ends before `length` symbols
     of_row = context[order]
-    stands = np.where(ends[of_row] - order >= length, np.ones(sizes.size, np.int64)[of_row] if counts is None else np.array(counts)[of_row], 0)
+    stands = np.where(ends[of_row] - order >= length, counts[of_row], 0)
     first = np.flatnonzero(met)
     total = np.repeat(np.add.reduceat(stands, first), np.diff(np.r_[first, met.size]))
     at = np.sort(order[(total > 1) & (stands > 0)])
+    of = context[at]
+    rel = at - (ends - sizes)[of]
+    edge = (np.diff(at) != 1) | (np.diff(of) != 0)
+    first, last = np.flatnonzero(np.r_[at.size > 0, edge]), np.flatnonzero(np.r_[edge, at.size > 0])
+    return of[first], rel[first], rel[last]
+
+
+def repeated_windows(parts: list[bytes], length: int, counts: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """repeated_runs() as a list of runs for each context; without `counts`, each occurs once."""
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
-    if at.size:
-        of = context[at]
-        rel = at - (ends - sizes)[of]
-        first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(of) != 0)])
-        last = np.r_[first[1:], at.size] - 1
-        for k, a, b in zip(of[first].tolist(), rel[first].tolist(), rel[last].tolist(), strict=True):
-            out[k].append((a, b))
+    for k, a, b in zip(*(x.tolist() for x in repeated_runs(parts, length, np.array(counts or [1] * len(parts)))), strict=True):
+        out[k].append((a, b))
     return out
 
 
@@ -252,11 +258,13 @@ def bucket_runs(kinds: DataFrame, bucket_bytes: int, length: int) -> DataFrame:
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("h", "ascending"), ("kind", "ascending")])
-        runs = repeated_windows(rows["body"].to_pylist(), length, rows["k"].to_pylist())
-        return pa.table({"kind": rows["kind"], "runs": pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+        of, first, last = repeated_runs(rows["body"].to_pylist(), length, rows["k"].to_numpy())
+        kinds, at = np.unique(of, return_index=True)
+        runs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["a", "b"])
+        return pa.table({"kind": rows["kind"].take(pa.array(kinds)), "runs": pa.ListArray.from_arrays(pa.array(np.r_[at, of.size], pa.int32()), runs)})
 
     bucket = F.pmod("h", F.lit(max(1, -(-size // bucket_bytes))))
-    return kinds.select("h", "kind", "k", "body", bucket.alias("bucket")).groupBy("bucket").applyInArrow(compare, "kind bigint, runs array<struct<a:int,b:int>>").where("size(runs) > 0")
+    return kinds.select("h", "kind", "k", "body", bucket.alias("bucket")).groupBy("bucket").applyInArrow(compare, "kind bigint, runs array<struct<a:int,b:int>>")
 
 
 def anchor_offset(body: bytes, h: int, n: int, length: int, gram: int) -> int:
@@ -308,18 +316,18 @@ def kind_runs(kinds: DataFrame, length: int, gram: int, bucket_bytes: int, most:
     windows wide.  Parts of one window that share their core are the same, so there are
     never many; they are compared like the others.
     """
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
-    anchors = materialise(anchors.where("k > 1").drop("k"), "anchors")
-    shared = kinds.join(if_small(anchors), "h")
-    if width == 0 or anchors.where(F.col("m") > most).isEmpty():
-        return bucket_runs(shared, bucket_bytes, length)
-    parts = materialise(split_contexts(shared.where(F.col("m") > most), length, gram, width), "parts")
-    part_kinds = numbered(parts.groupBy(F.col("h2").alias("h"), "body").agg(F.sum("k").alias("k"), F.first("d").alias("d")), "part-kinds")
-    found = kind_runs(part_kinds, length, gram, bucket_bytes, most, -(-width // 4) if width > 1 else 0)
+    crowded = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h"), "crowded")
+    if width == 0 or crowded.isEmpty():
+        return bucket_runs(kinds, bucket_bytes, length)
+    parts = materialise(split_contexts(kinds.join(if_small(crowded), "h", "left_semi"), length, gram, width), "parts")
+    part_kinds = parts.groupBy(F.col("h2").alias("h"), "body").agg(F.sum("k").alias("k"), F.first("d").alias("d"))
+    part_kinds = numbered(part_kinds, "part-kinds")
+    several = materialise(part_kinds.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h"), "several")
+    found = kind_runs(part_kinds.join(if_small(several), "h", "left_semi"), length, gram, bucket_bytes, most, -(-width // 4) if width > 1 else 0)
     flags = materialise(part_kinds.select(F.col("h").alias("h2"), "body", "kind").join(found, "kind").drop("kind"), "part-flags")
     moved = F.transform("runs", lambda r: F.struct((F.col("j") + r["a"]).cast("int").alias("a"), (F.col("j") + r["b"]).cast("int").alias("b")))
-    crowded = parts.join(flags, ["h2", "body"]).groupBy("kind").agg(F.flatten(F.collect_list(moved)).alias("runs"))
-    return bucket_runs(shared.where(F.col("m") <= most), bucket_bytes, length).unionByName(crowded)
+    by_parts = parts.join(flags, ["h2", "body"]).groupBy("kind").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+    return bucket_runs(kinds.join(if_small(crowded), "h", "left_anti"), bucket_bytes, length).unionByName(by_parts)
 
 
 def context_bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -333,9 +341,10 @@ def context_bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 data = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
                 own = batch.column(3)[i].values
                 for at in range(0, len(own), BODIES):
-                    h, c, s, n = (x.to_pylist() for x in own.slice(at, BODIES).flatten())
+                    h, c, s, n = own.slice(at, BODIES).flatten()
+                    part = [data[a : a + k + length - 1] for a, k in zip(s.to_pylist(), n.to_pylist(), strict=True)]
                     row = pa.array([i] * len(h))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64()), pa.array([data[a : a + k + length - 1] for a, k in zip(s, n, strict=True)], pa.binary())], names=["id", "tag", "h", "c", "s", "body"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), h, c, s, pa.array(part, pa.binary())], names=["id", "tag", "h", "c", "s", "body"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"id {kind}, tag bigint, h bigint, c bigint, s bigint, body binary")
