@@ -60,6 +60,13 @@ def test_markup_of_any_depth():
     assert M.nav_entries(M.parsed(points)) == [(str(k), f"t{k}", k) for k in range(3000)]
 
 
+def test_references_end_in_a_semicolon(spark):
+    page = "<nav><a href='q?a=1&copy=2&amp;b=3'>R&amp</a></nav><h1>A &amp; B&amp</h1><p>&#38; &#38 &#x41; &copy; &copy &notit; &amp;copy; &</p>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [r.t for r in M.html_blocks(pages).orderBy("b").collect()] == ["R&amp", "A & B&amp", "& &#38 A © &copy &notit; &copy; &"]
+    assert [(r.path, r.label) for r in M.nav_toc(pages).collect()] == [("q?a=1&copy=2&b=3", "R&amp")]
+
+
 NAV = """<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="l">L</a></li></ol></nav><nav epub:type="toc"><ol>
 <li><a href="t/one.xhtml">Part One</a><ol><li><a href="t/one.xhtml#s%201">Section</a></li><li><span>no link</span><ol><li><a href="t/two.xhtml">Two</a></li></ol></li></ol></li></ol></nav></body></html>"""
 NCX = """<?xml version="1.0"?><ncx><navMap><navPoint><navLabel><text>One</text></navLabel><content src="t/one.xhtml"/><navPoint><navLabel><text>In</text></navLabel><content src="t/one.xhtml#s%201"/></navPoint></navPoint></navMap></ncx>"""
