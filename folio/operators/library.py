@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.rows import stacked
-from folio.functions.text import base_name, date_label, falsy, format_of, pct, trim
+from folio.functions.text import base_name, date_label, falsy, format_of, once, pct, trim
 from folio.operators.position import block_of_page, chapter_of, share_of
 
 FINISHED_AT = 0.995
@@ -202,28 +202,32 @@ SETTINGS = "font int, line int, family string, theme string, rate double, rateEn
 
 def settings(json: Column, fonts: int = 5, lines: int = 5) -> Column:
     """A settings text as a struct; what is out of range or unknown takes its default."""
-    s = F.from_json(json, SETTINGS)
     pick = lambda ok, v, default: F.when(ok, v).otherwise(F.lit(default))
-    tap = F.when(s["tapMode"].isin("off", "edge", "updown"), s["tapMode"]).when(s["edgeTap"].isNotNull(), F.when(s["edgeTap"], "edge").otherwise("off")).otherwise("edge")
-    return F.struct(
-        pick((s["font"] >= 0) & (s["font"] < fonts), s["font"], 2).alias("font"),
-        pick((s["line"] >= 0) & (s["line"] < lines), s["line"], 2).alias("line"),
-        pick(s["family"].isin("sans", "serif"), s["family"], "sans").alias("family"),
-        pick(s["theme"].isin("paper", "light", "dark"), s["theme"], "paper").alias("theme"),
-        pick(s["rate"].between(0.6, 1.6), s["rate"], 1.0).alias("rate"),
-        pick(s["rateEn"].between(0.6, 1.6), s["rateEn"], 0.85).alias("rate_en"),
-        F.coalesce(s["voiceZh"], F.lit("")).alias("voice_zh"),
-        F.coalesce(s["voiceEn"], F.lit("")).alias("voice_en"),
-        F.coalesce(s["keepAwake"], F.lit(True)).alias("keep_awake"),
-        tap.alias("tap_mode"),
-        F.coalesce(s["lastBook"], F.lit("")).alias("last_book"),
-    )
+
+    def read(s: Column) -> Column:
+        tap = F.when(s["tapMode"].isin("off", "edge", "updown"), s["tapMode"]).when(s["edgeTap"].isNotNull(), F.when(s["edgeTap"], "edge").otherwise("off")).otherwise("edge")
+        return F.struct(
+            pick((s["font"] >= 0) & (s["font"] < fonts), s["font"], 2).alias("font"),
+            pick((s["line"] >= 0) & (s["line"] < lines), s["line"], 2).alias("line"),
+            pick(s["family"].isin("sans", "serif"), s["family"], "sans").alias("family"),
+            pick(s["theme"].isin("paper", "light", "dark"), s["theme"], "paper").alias("theme"),
+            pick(s["rate"].between(0.6, 1.6), s["rate"], 1.0).alias("rate"),
+            pick(s["rateEn"].between(0.6, 1.6), s["rateEn"], 0.85).alias("rate_en"),
+            F.coalesce(s["voiceZh"], F.lit("")).alias("voice_zh"),
+            F.coalesce(s["voiceEn"], F.lit("")).alias("voice_en"),
+            F.coalesce(s["keepAwake"], F.lit(True)).alias("keep_awake"),
+            tap.alias("tap_mode"),
+            F.coalesce(s["lastBook"], F.lit("")).alias("last_book"),
+        )
+
+    # a text is parsed once, whatever number of fields is asked of it
+    return once(F.from_json(json, SETTINGS), read)
 
 
 def settings_text(s: Column) -> Column:
     """A settings struct as the text that settings() reads."""
     names = {"font": "font", "line": "line", "family": "family", "theme": "theme", "rate": "rate", "rate_en": "rateEn", "voice_zh": "voiceZh", "voice_en": "voiceEn", "keep_awake": "keepAwake", "tap_mode": "tapMode", "last_book": "lastBook"}
-    return F.to_json(F.struct(*[s[k].alias(v) for k, v in names.items()]))
+    return once(s, lambda x: F.to_json(F.struct(*[x[k].alias(v) for k, v in names.items()])))
 
 
 def tap_direction(mode: Column, x: Column, y: Column, edge: float = 0.25, band: float = 0.35) -> Column:

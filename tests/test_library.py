@@ -103,6 +103,12 @@ def test_settings(spark):
     assert got[2] == got[3] and got[2].theme == "paper" and got[2].tap_mode == "edge"
 
 
+def test_settings_are_parsed_once(spark):
+    rows = spark.createDataFrame([("{}",)], "t string").select(B.settings(B.settings_text(B.settings(F.col("t")))).alias("s")).select("s.*")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count("to_json(") == 1
+
+
 def test_tap_direction(spark):
     df = spark.createDataFrame([("edge", 0.1, 0.5), ("edge", 0.9, 0.5), ("edge", 0.5, 0.0), ("updown", 0.0, 0.2), ("updown", 0.0, 0.7), ("off", 0.0, 0.0)], "m string, x double, y double")
     assert [r.d for r in df.select(B.tap_direction(F.col("m"), F.col("x"), F.col("y")).alias("d")).collect()] == [-1, 1, 0, -1, 1, 0]
