@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.rows import stacked
+from folio.functions.rows import in_small_batches, stacked
 from folio.plans import sql
 from folio.plans.tables import spread, table
 from folio.sources import archive as A
@@ -63,7 +63,7 @@ def books_of_files(spark, sf_dir) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["book"].cast(pa.string()), pa.array(books, pa.binary())], names=["id", "content"])
 
     grouped = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / PAGES_A_BOOK).alias("book")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("pages"))
-    return grouped.mapInArrow(pack, "id string, content binary")
+    return in_small_batches(grouped).mapInArrow(pack, "id string, content binary")
 
 
 def book_blocks(spark, sf_dir):
@@ -88,7 +88,7 @@ def mixed_files(spark, sf_dir) -> DataFrame:
     texts = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".epub"))
     cut = F.when(F.col("page_id") % 10 == 0, F.concat(F.substring("content", 1, 20), name.cast("binary"))).otherwise(F.col("content"))
-    return texts.transform(stacked, pages.mapInArrow(pack, "page_id bigint, content binary").select(name.alias("name"), cut.alias("content")))
+    return texts.transform(stacked, in_small_batches(pages).mapInArrow(pack, "page_id bigint, content binary").select(name.alias("name"), cut.alias("content")))
 
 
 def imported_files(spark, sf_dir):
@@ -116,18 +116,15 @@ LETTERS = two_byte_letters()
 def foreign_texts(spark, sf_dir):
     """Texts whose letters are Han, in Big5 and in GB18030, told apart and decoded."""
 
-    def encoder(codec: str):
-        @F.pandas_udf("binary")
-        def encode(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: t.encode(codec))
-
-        return encode
+    @F.pandas_udf("binary")
+    def encode(text: pd.Series, even: pd.Series) -> pd.Series:
+        return pd.Series([t.encode("big5" if e else "gb18030") for t, e in zip(text, even, strict=True)], dtype=object)
 
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x09\x0A\x0D\x20-\x7E]", "?")
     han = F.translate(plain, "abcdefghijklmnopqrstuvwxyz", LETTERS)
-    content = F.when(F.col("doc_id") % 2 == 0, encoder("big5")(han)).otherwise(encoder("gb18030")(han))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return E.decode_texts(docs.select("doc_id", F.lit("txt").alias("format"), content.alias("content"))).select("doc_id", "encoding", F.sha2("text", 256).alias("sha"))
+    docs = in_small_batches(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    files = docs.select("doc_id", F.lit("txt").alias("format"), encode(han, F.col("doc_id") % 2 == 0).alias("content"))
+    return E.decode_texts(files).select("doc_id", "encoding", F.sha2("text", 256).alias("sha"))
 
 
 QUERIES = {f.__name__: f for f in (book_blocks, book_contents, imported_files, foreign_texts)}

@@ -6,14 +6,18 @@ Big5, GB18030 and UTF-8, the first of equals.  Empty content is an empty UTF-8 t
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import bad_score, base_name, format_of
+from folio.functions.rows import in_small_batches
+from folio.functions.text import base_name, format_of
 
 # Encodings to try, in this order, as Python names them and as they are reported.
 FALLBACKS = (("big5hkscs", "big5"), ("gb18030", "gb18030"), ("utf-8", "utf-8"))
+MARKS = ((b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -23,32 +27,42 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("content", 256).alias("id"), name.alias("name"), base_name(name).alias("title"), format_of(name).alias("format"), F.col("length").alias("size"), "content")
 
 
-def _decoder(codec: str):
-    @F.pandas_udf("string")
-    def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: None if b is None else b.decode(codec, "replace"))
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f]")
+
+
+def foreign_text(content: bytes) -> tuple[str, str]:
+    """(text, encoding) of bytes that are no UTF-8: by their mark UTF-16, else the least broken of FALLBACKS, the first of equals."""
+    for mark, codec in MARKS:
+        if content.startswith(mark):
+            return content[len(mark) :].decode(codec, "replace"), codec
+    best = None
+    for codec, name in FALLBACKS:
+        text = content.decode(codec, "replace")
+        score = 3 * text.count("\ufffd") + len(_CONTROL.findall(text))  # as functions.text.bad_score
+        if best is None or score < best[0]:
+            best = score, text, name
+        if score == 0:  # no later one is better
+            break
+    return best[1], best[2]
+
+
+def _decoder():
+    @F.pandas_udf("struct<text:string,encoding:string>")
+    def decode(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if b is None else foreign_text(b) for b in content], columns=["text", "encoding"])
 
     return decode
 
 
 def decoded(content: Column) -> Column:
-    """struct(text, encoding) of bytes."""
-    head = lambda n: F.hex(F.substring(content, 1, n))
-    marks = [("EFBBBF", 3, "utf-8", "UTF-8"), ("FFFE", 2, "utf-16le", "UTF-16LE"), ("FEFF", 2, "utf-16be", "UTF-16BE")]
-    made = lambda text, name: F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(name).alias("encoding"))
-    out = F.when(content.isNull(), made(F.lit(""), "utf-8"))
-    for mark, n, name, codec in marks:
-        body = F.substring(content, n + 1, 2_147_483_647)
-        text = F.make_valid_utf8(body.cast("string")) if codec == "UTF-8" else _decoder(name)(body)
-        out = out.when(head(n) == mark, made(text, name))
-    good = F.is_valid_utf8(content.cast("string"))
-    out = out.when(good, made(content.cast("string"), "utf-8"))
-    broken = F.when(~good, content)
-    tries = [F.struct(bad_score(t).alias("score"), F.lit(i).alias("place"), t.alias("text"), F.lit(name).alias("encoding")) for i, (t, name) in enumerate((_decoder(codec)(broken), name) for codec, name in FALLBACKS)]
-    best = F.least(*tries)
-    return out.otherwise(F.struct(best["text"].alias("text"), best["encoding"].alias("encoding")))
+    """struct(text, encoding) of bytes; only bytes that are no UTF-8 leave the JVM, once."""
+    made = lambda text, name: F.struct(text.alias("text"), name.alias("encoding"))
+    marked, good = F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.is_valid_utf8(content.cast("string"))
+    foreign = _decoder()(F.when(~marked & ~good, content))
+    text = F.when(content.isNull(), F.lit("")).when(marked, F.make_valid_utf8(F.substring(content, 4, 2_147_483_647).cast("string"))).when(good, content.cast("string")).otherwise(foreign["text"])
+    return made(text, F.when(content.isNull() | marked | good, "utf-8").otherwise(foreign["encoding"]))
 
 
 def decode_texts(files: DataFrame) -> DataFrame:
     """Plain-text files with `text` and `encoding` for their content."""
-    return files.where("format = 'txt'").withColumn("__d", decoded(F.col("content"))).select(*[c for c in files.columns if c != "content"], F.col("__d.text").alias("text"), F.col("__d.encoding").alias("encoding"))
+    return in_small_batches(files).where("format = 'txt'").withColumn("__d", decoded(F.col("content"))).select(*[c for c in files.columns if c != "content"], F.col("__d.text").alias("text"), F.col("__d.encoding").alias("encoding"))

@@ -31,6 +31,17 @@ def test_decoding(spark, tmp_path):
     assert [tuple(r.d) for r in empty.select(S.decoded(F.col("c")).alias("d")).collect()] == [("", "utf-8")] * 2
 
 
+def test_python_holds_little_at_a_time(spark):
+    from folio.functions.rows import BATCH_BYTES, BATCH_ROWS, in_small_batches
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 100, 100_000).otherwise(1)).alias("t"))
+    sizes = in_small_batches(texts).mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) <= BATCH_ROWS and max(r["size"] for r in sizes) < 2 * BATCH_BYTES
+    files = texts.select(F.lit("txt").alias("format"), F.encode("t", "utf-16").alias("content"))
+    plan = S.decode_texts(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("decode(") == 1  # a text goes to Python once
+
+
 PAGE = """<html><head><title>no</title><style>p {}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div>loose text<br>Chapter 2<h2 id="top">Title</h2> tail<p>one <b>two<p id=x>three<img alt=q><script>var p = "<p>no</p>"</script></p></div><a name="late"></a><blockquote>quoted<br>line</blockquote><ul><li>i1<li>i2</ul></body></html>"""
 
