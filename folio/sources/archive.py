@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.rows import stacked
+from folio.functions.rows import in_small_batches, stacked
 from folio.functions.text import dir_of, fragment_of, resolve_path
 from folio.operators.documents import reading_units, with_sizes
 from folio.operators.toc import first_labels, resolve_toc
@@ -58,7 +58,7 @@ def archive_members(files: DataFrame, member_bytes: int | None = None) -> DataFr
                     rows.append({"id": book, "name": None, "content": None, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("id", "content").mapInArrow(read, "id string, name string, content binary, error string")
+    return in_small_batches(files).select("id", "content").mapInArrow(read, "id string, name string, content binary, error string")
 
 
 def packages(members: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def packages(members: DataFrame) -> DataFrame:
                 rows.append({"id": book, "title": first("title"), "author": first("creator"), "lang": first("language"), "items": items, "refs": refs, "toc_id": toc})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    opf = members.withColumnRenamed("name", "opf_path").join(flags.where("error IS NULL"), ["id", "opf_path"]).select("id", text.alias("xml")).mapInArrow(read, schema)
+    opf = in_small_batches(members).withColumnRenamed("name", "opf_path").join(flags.where("error IS NULL"), ["id", "opf_path"]).select("id", text.alias("xml")).mapInArrow(read, schema)
     j = flags.join(opf, "id", "left")
     return j.withColumn("error", F.coalesce("error", F.when(F.col("items").isNull(), "no package file")))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.rows import stacked
+from folio.functions.rows import in_small_batches, stacked
 from folio.functions.text import base_name, format_of
 from folio.operators.documents import txt_blocks
 from folio.sources.archive import books_of_members
@@ -75,7 +75,7 @@ def parts(files: DataFrame) -> DataFrame:
                     held += size
             yield pa.RecordBatch.from_pylist(rows, _PART)
 
-    routed = files.select("id", "name", format_of(F.col("name")).alias("format"), F.octet_length("content").cast("long").alias("size"), "content")
+    routed = in_small_batches(files).select("id", "name", format_of(F.col("name")).alias("format"), F.octet_length("content").cast("long").alias("size"), "content")
     return routed.mapInArrow(read, "id string, name string, format string, size bigint, member string, content binary, error string")
 
 
