@@ -25,10 +25,14 @@ def text_parts(text: Column) -> Column:
     return F.filter(F.transform(parts, trim), lambda p: p != "")
 
 
+def block_texts(text: Column) -> Column:
+    """The texts of the blocks of a plain text: its paragraphs, or the placeholder."""
+    return once(text_parts(text), lambda parts: F.when(F.size(parts) == 0, F.array(F.lit(C.EMPTY_FILE))).otherwise(parts))
+
+
 def txt_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Plain texts to blocks (id, b, k, t)."""
-    some = once(text_parts(F.col(text_col)), lambda parts: F.when(F.size(parts) == 0, F.array(F.lit(C.EMPTY_FILE))).otherwise(parts))
-    rows = docs.select(F.col(id_col), F.posexplode(some).alias("b", "t"))
+    rows = docs.select(F.col(id_col), F.posexplode(block_texts(F.col(text_col))).alias("b", "t"))
     return rows.select(id_col, "b", F.when(looks_heading(F.col("t")), "h").otherwise("p").alias("k"), "t")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folio.functions import chars as C
+from folio.functions.rows import in_small_batches, stacked
 from folio.functions.text import text_of
 
 QUOTE_CHARS, QUOTE_LEAST = 24, 4
@@ -31,6 +32,8 @@ QUOTE_CHARS, QUOTE_LEAST = 24, 4
 KINDS = {24: (24, 8, 17), 12: (23, 8, 5), 4: (11, 4, 1)}
 #: Quotes of up to 24 characters that are sent to every task with their keys, 8 bytes each; more are joined by a shuffle of both sides.
 BROADCAST_QUOTES = 250_000
+#: Quotes of one document that are each looked for in the whole of it.
+FEW_QUOTES = 16
 
 _SPACE = np.zeros(1 << 16, bool)
 _SPACE[[ord(c) for c in C.WS_CHARS]] = True
@@ -92,7 +95,7 @@ def keyed_quotes(quotes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.int32()), pa.array(grams, pa.int64()), pa.array(places, pa.int32())], schema=schema)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in quotes.schema)
-    return quotes.mapInArrow(read, f"{kept}, kind int, gram bigint, at int")
+    return in_small_batches(quotes).mapInArrow(read, f"{kept}, kind int, gram bigint, at int")
 
 
 def found_in(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -146,7 +149,7 @@ def gram_index(blocks: DataFrame, kinds: list[int], id_col: str = "doc_id", want
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     texts = blocks.select(F.col(id_col).alias("id"), F.col("b").cast("int").alias("b"), "t")
-    return texts.mapInArrow(read, f"id {blocks.schema[id_col].dataType.simpleString()}, b int, kind int, gram bigint, spot int, lead int, around string, starts array<int>")
+    return in_small_batches(texts).mapInArrow(read, f"id {blocks.schema[id_col].dataType.simpleString()}, b int, kind int, gram bigint, spot int, lead int, around string, starts array<int>")
 
 
 def occurrences(quotes: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -174,9 +177,41 @@ def locate_quotes(quotes: DataFrame, blocks: DataFrame, quote_id: str = "item_id
     return keys.join(hits, "q").select(quote_id, F.col("id").alias(id_col), "b", "o")
 
 
+def offset_after(text: Column, solid: Column) -> Column:
+    """The offset in `text` right after its first `solid` characters that are no white space; 0 for none."""
+    # pieces between single white-space characters: each piece that ends before the place has one of them after it
+    state = F.struct(F.lit(0).alias("read"), F.lit(0).alias("spaces"))
+
+    def step(s: Column, piece: Column) -> Column:
+        read = s["read"] + F.char_length(piece)
+        return F.struct(read.alias("read"), (s["spaces"] + (read < solid).cast("int")).alias("spaces"))
+
+    return solid + F.aggregate(F.split(text, f"[{C.WS}]", -1), state, step, lambda s: s["spaces"])
+
+
+def own_occurrences(quotes: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """occurrences() of quotes (q, id) in their own documents, by looking through each: for documents of few quotes."""
+    texts = blocks.select(F.col(id_col).alias("id"), "b", "t")
+    met = texts.join(quotes.select("q", "id"), "id").select("q", "id", "b", "t", (F.instr(stripped(F.col("t")), F.col("q")) - 1).alias("spot")).where("spot >= 0")
+    first = met.groupBy("q", "id").agg(F.min(F.struct("b", "spot", "t")).alias("x"))
+    return first.select("q", "id", "x.b", offset_after(F.col("x.t"), F.col("x.spot")).alias("o"), "x.spot")
+
+
 def quotes_in_own_document(annots: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`annots` (id, quote, ...) with the anchor (hit_b, hit_o) of the first block that holds the quote, or null."""
+    """`annots` (id, quote, ...) with the anchor (hit_b, hit_o) of the first block that holds the quote, or null.
+
+    A document is looked through for its quotes if they are FEW_QUOTES at most; its n-grams
+    are laid out only if there are more.
+    """
     keyed = annots.withColumn("__q", quote_key(F.col("quote")))
-    inner = keyed.where(F.col("__q").isNotNull() & F.col(id_col).isNotNull()).select(F.col("__q").alias("q"), F.col(id_col).alias("id"))
-    hits = occurrences(inner, blocks, id_col).select(F.col("q").alias("__q"), F.col("id").alias(id_col), F.col("b").alias("hit_b"), F.col("o").alias("hit_o"))
+    inner = keyed.where(F.col("__q").isNotNull() & F.col(id_col).isNotNull()).select(F.col("__q").alias("q"), F.col(id_col).alias("id")).distinct()
+    counts = inner.groupBy("id").agg(F.count("*").alias("n"))
+    many = counts.where(F.col("n") > FEW_QUOTES).select("id")
+    if many.isEmpty():
+        found = own_occurrences(inner, blocks, id_col)
+    else:
+        rest = own_occurrences(inner.join(many, "id", "left_anti"), blocks, id_col)
+        of_many = blocks.join(many.withColumnRenamed("id", id_col), id_col, "left_semi")
+        found = rest.transform(stacked, occurrences(inner.join(many, "id", "left_semi"), of_many, id_col).select(*rest.columns))
+    hits = found.select(F.col("q").alias("__q"), F.col("id").alias(id_col), F.col("b").alias("hit_b"), F.col("o").alias("hit_o"))
     return keyed.join(hits, ["__q", id_col], "left").select(*annots.columns, "hit_b", "hit_o")

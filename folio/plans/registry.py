@@ -112,11 +112,12 @@ def quote_locate(spark, sf_dir):
 
 def remap_annotations(spark, sf_dir):
     """Documents parsed again without their first block: notes at the start of the middle block follow their quotes."""
-    doc = Window.partitionBy("doc_id")
-    blocks = blocks_of(spark, sf_dir).withColumn("n", F.count("*").over(doc))
-    notes = blocks.where("b = floor(n / 2)").select("doc_id", "b", F.lit(0).alias("o"), F.substring("t", 1, 160).alias("quote"))
-    again = blocks.where("n = 1 OR b > 0").select("doc_id", F.when(F.col("n") > 1, F.col("b") - 1).otherwise(F.col("b")).alias("b"), "k", "t")
-    return P.remap_annotations(notes, blocks.drop("n"), again).drop("quote")
+    docs = documents(spark, sf_dir).select("doc_id", D.block_texts(F.col("text")).alias("ts"))
+    n = F.size("ts")
+    middle = F.floor(n / 2).cast("int")
+    notes = docs.select("doc_id", middle.alias("b"), F.lit(0).alias("o"), F.substring(F.get("ts", middle), 1, 160).alias("quote"))
+    again = docs.select("doc_id", F.posexplode(F.when(n > 1, F.slice("ts", F.lit(2), n)).otherwise(F.col("ts"))).alias("b", "t"))
+    return P.remap_annotations(notes, blocks_of(spark, sf_dir), again).drop("quote")
 
 
 def content_dedup(spark, sf_dir):

@@ -116,6 +116,19 @@ def test_quotes_of_every_length(spark, monkeypatch, sent):
     assert own == {(n, n % 30): want.get((n, n % 30), (None, None)) for n, _ in quotes}
 
 
+@pytest.mark.parametrize("few", [1, 16])
+def test_quotes_of_own_documents_need_no_index(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW_QUOTES", few)  # more quotes than that in documents 0 and 1, as two of them are there
+    monkeypatch.setattr(Q, "BROADCAST_QUOTES", 0)
+    blocks = [(d, b, t) for d in range(4) for b, t in enumerate(["  a b\n\nc d e", "", f"x  y\u3000z {d} \U0001f600 tail", "x y z 2 again"])]
+    notes = [(0, 1, "abcd"), (0, 2, "xyz0"), (1, 3, "cde!"), (1, 4, "b cde"), (2, 5, "xyz2"), (3, 6, "\U0001f600 tail"), (3, None, None)]
+    df, qs = spark.createDataFrame(blocks, "doc_id int, b int, t string"), spark.createDataFrame(notes, "doc_id int, n int, quote string")
+    found = Q.quotes_in_own_document(qs, df)
+    got = {r.n: (r.hit_b, r.hit_o) for r in found.collect()}
+    assert got == {1: (0, 0), 2: (2, 0), 3: (None, None), 4: (0, 3), 5: (2, 0), 6: (2, 8), None: (None, None)}
+    assert ("mapinarrow" in found._jdf.queryExecution().optimizedPlan().toString().lower()) == (few == 1)
+
+
 def test_quotes_are_not_gathered_on_the_driver(spark):
     blocks = spark.createDataFrame(corpus(random.Random(3)), "doc_id int, b int, t string")
     quotes = spark.range(5000).select(F.col("id").alias("item_id"), F.concat(F.lit("quote number "), F.col("id").cast("string"), F.lit(" of many that no text has")).alias("text"))
