@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folio.operators import documents as D
 
 LINES_A_PAGE = 20
+#: Parts that documents of one split of their files are dealt into before they become lines; a line takes several times its text where it is sorted.
+PARTS_A_SPLIT = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """Documents dealt by id into parts of a bounded size, whatever the size of the table: windows over their lines need no other exchange and sort little at a time."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(max(cores, PARTS_A_SPLIT * docs.rdd.getNumPartitions()), "doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
 
@@ -30,7 +38,7 @@ def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents laid out on pages: indents, wide gaps and large first lines by number; a head and a number on each page."""
-    docs = documents(spark, sf_dir, "source")
+    docs = by_document(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     listed = docs.select("doc_id", F.coalesce("source", F.lit("nowhere")).alias("source"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("ls")).where(F.size("ls") > 0)
     line = lambda page, i, t, x, y, h: F.struct(page.cast("int").alias("page"), i.cast("int").alias("i"), t.alias("t"), x.alias("x"), y.alias("y"), h.alias("h"))
 

@@ -133,3 +133,11 @@ def test_quotes_with_any_kind_of_id(spark):
     for kind, one, two in (("int", 1, 2), ("string", "x", "y"), ("bigint", 1, 2)):
         quotes = spark.createDataFrame([(one, "phrase to find"), (two, "not in any text")], f"item_id {kind}, text string")
         assert rows(locate_quotes(quotes, blocks), "item_id", "doc_id", "b", "o") in ([(one, 1, 1, 2)], [(one, 1, 1, 1)])
+
+
+def test_lines_come_in_parts_of_bounded_size(spark, sf_dir):
+    from folio.plans import tables
+
+    lines = tables.page_lines(spark, sf_dir)
+    splits = tables.table(spark, sf_dir, "documents").rdd.getNumPartitions()
+    assert lines.rdd.getNumPartitions() == tables.PARTS_A_SPLIT * splits > spark.sparkContext.defaultParallelism
