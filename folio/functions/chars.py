@@ -12,6 +12,15 @@ CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
 #: The wider class that decides whether two lines join without a space.
 CJK_WIDE = r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 
+#: Latin letters and digits one by one: Java looks single characters up in a table, but asks every range of a class in turn.
+PLAIN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
+
+
+def all_but(marks: str) -> str:
+    """The usual characters of Latin scripts but for `marks`, one by one, as a class body."""
+    return PLAIN + "".join("\\" + ch for ch in " !\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if ch not in marks)
+
+
 # These follow the documents and tools that the library must agree with.
 CJK_END = "。！？…‥．"
 CJK_CLOSE = "」』）】〉》”’"

@@ -116,3 +116,29 @@ def test_many_sentences_in_one_text(spark):
         took.append(time.perf_counter() - began)
         assert all(whole[r.o : r.o + len(r.t)] == r.t for r in got) and "".join(r.t for r in got).rstrip() == whole.rstrip() and n <= len(got) <= n + n // 50 + 1
     assert took[1] < 15 * took[0] + 5
+
+
+def seconds(df):
+    import time
+
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def against_one_look(spark, make):
+    """How often longer than one look at every character with a short class `make` takes over plain prose."""
+    prose = F.repeat(F.concat(F.lit("It was a plain line, of words: and it went on until it ended. "), F.col("id").cast("string")), 40)
+    df = spark.range(0, 6000, 1, 4).select(prose.alias("t")).persist()
+    df.count()
+    took = {}
+    for name, c in (("one", F.col("t").rlike("[#~]")), ("all", make(F.col("t")))):
+        took[name] = min(seconds(df.select(c)) for _ in range(4))
+    df.unpersist()
+    return took["all"] / took["one"]
+
+
+def test_speech_clean_looks_at_most_characters_once(spark):
+    runs = ["-" * 60_000, "a" + "- " * 30_000 + "b", " " * 60_000, "字" * 60_000 + "。", "a.b,c:1.5," * 6000]
+    assert column(spark, runs, X.strip_speech_punctuation) == ["", "a b", "", "字" * 60_000, ("a b c 1.5 " * 6000).strip()] == [spec.said(t) for t in runs]
+    assert against_one_look(spark, X.strip_speech_punctuation) < 12
