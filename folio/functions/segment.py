@@ -26,12 +26,16 @@ _STOP = rf"\.{_FOLLOWS}(?<!(?<![A-Za-z])(?i:[A-Z]|{'|'.join(C.ABBREVIATIONS)})\.
 SENTENCE_END = rf"(?:[{C.CJK_END}]|[!?]{_FOLLOWS}|{_STOP})[{C.CJK_END}.!?{_CLOSERS}]*"
 #: Pieces of a text longer than MAX_SENTENCE: up to the last mark in reach, else as long as may be.
 HARD_CUT = rf"(?s)\G(?=.{{{C.MAX_SENTENCE + 1}}})(?:.{{{C.SHORTEST_CUT},{C.MAX_SENTENCE}}}[{C.HARD_MARKS}]|.{{{C.MAX_SENTENCE}}})"
+_SOLID = f"{C.LATIN}0-9{C.CJK}"
+#: A look at one table passes over most characters.
+MARKED = rf"[^{C.all_but(',:;')}](?<=[{C.CLAUSE_MARKS}])"
+HAS_CJK = rf"[^{C.all_but('')}](?<=[{C.CJK}])"
 CLAUSE_CUT = rf"(?:[，、；：;]|(?<![0-9])[,:]|[,:](?![0-9]))[{C.WS}]*"
 
 
-def cut_at(c: Column, pattern: str) -> Column:
-    """The pieces of a text, each up to and with the next match, and what is left."""
-    return F.regexp_extract_all(c, F.lit(rf"(?s).*?(?:{pattern})|.+\z"), F.lit(0))
+def cut_at(c: Column, pattern: str, marks: str) -> Column:
+    """The pieces of a text, each up to and with the next match, and what is left; of the usual characters only `marks` begin a match."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s)(?=.)(?:[{C.all_but(marks)}]++|(?!{pattern}).)*+(?:{pattern})?"), F.lit(0))
 
 
 #: A fold copies what it has so far at each step; longer arrays are folded in parts.
@@ -107,7 +111,7 @@ def merge_short(pieces: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with their end marks; spaces before a sentence belong to it."""
-    pieces = F.filter(placed(cut_at(text_of(c), SENTENCE_END)), lambda p: ~blank(p["t"]))
+    pieces = F.filter(placed(cut_at(text_of(c), SENTENCE_END, ".!?")), lambda p: ~blank(p["t"]))
     return merge_short(hard_split(pieces))
 
 
@@ -115,7 +119,8 @@ def clauses(c: Column) -> Column:
     """Cut after clause marks (and the white space behind them) with MIN_CLAUSE solid characters on both sides."""
 
     def folded(parts: Column) -> Column:
-        counted = F.transform(parts, lambda p: F.struct(p.alias("t"), solid_count(p).alias("n")))
+        # of solid characters no more than MIN_CLAUSE are ever asked for
+        counted = F.transform(parts, lambda p: F.struct(p.alias("t"), F.when(enough(p), C.MIN_CLAUSE).otherwise(solid_count(p)).alias("n")))
         state = lambda xs: F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"), F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"]).alias("left"))
 
         def step(s: Column, p: Column) -> Column:
@@ -125,8 +130,11 @@ def clauses(c: Column) -> Column:
 
         return once(counted, lambda xs: F.aggregate(xs, state(xs), step, lambda s: F.when(s["cur"] == "", s["out"]).otherwise(F.array_append(s["out"], s["cur"]))))
 
+    enough = lambda p: p.rlike(rf"^(?:[^{_SOLID}]*+[{_SOLID}]){{{C.MIN_CLAUSE}}}")
+    # where all have enough, each is a clause
+    joined = lambda parts: F.when(F.forall(parts, enough), parts).otherwise(folded(parts))
     whole = lambda t: F.when(t == "", F.array().cast(PIECES)).otherwise(F.array(F.struct(t.alias("t"), F.lit(0).alias("o"))))
-    return once(text_of(c), lambda t: F.when(t.rlike(f"[{C.CLAUSE_MARKS}]"), placed(once(cut_at(t, CLAUSE_CUT), folded))).otherwise(whole(t)))
+    return once(text_of(c), lambda t: F.when(t.rlike(MARKED), placed(once(cut_at(t, CLAUSE_CUT, ",:;"), joined))).otherwise(whole(t)))
 
 
 def _python_class(body: str) -> str:
@@ -171,7 +179,7 @@ def lang_runs_of_pieces(pieces: Column, min_en: int = C.MIN_FOREIGN_EN, min_zh:
         return lists.map(lambda ts: [] if ts is None else [of_text(t) for t in ts])
 
     texts = F.transform(pieces, lambda p: p["t"])
-    han, latin = (lambda t: t.rlike(f"[{C.CJK}]")), (lambda t: t.rlike(f"[{C.LATIN}]"))
+    han, latin = (lambda t: t.rlike(HAS_CJK)), (lambda t: t.rlike(f"[{C.LATIN}]"))
     both = F.exists(texts, lambda t: han(t) & latin(t))
     whole = lambda t: F.when(t == "", F.array().cast(RUNS)).otherwise(F.array(F.struct(t.alias("t"), F.when(latin(t), "en").when(han(t), "zh").otherwise(fallback).alias("lang"), F.lit(0).alias("o"))))
     return F.when(both, mixed(F.when(both, texts))).otherwise(F.transform(texts, whole))
@@ -186,7 +194,7 @@ def lang_runs(c: Column, min_en: int = C.MIN_FOREIGN_EN, min_zh: int = C.MIN_FOR
         return texts.map(lambda t: [] if t is None else [{"t": a, "lang": lang, "o": o} for a, lang, o in runs_of(t, min_en, min_zh)])
 
     t = text_of(c)
-    han, latin = t.rlike(f"[{C.CJK}]"), t.rlike(f"[{C.LATIN}]")
+    han, latin = t.rlike(HAS_CJK), t.rlike(f"[{C.LATIN}]")
     whole = lambda lang: F.array(F.struct(t.alias("t"), F.lit(lang).alias("lang"), F.lit(0).alias("o")))
     both = han & latin
     return F.when(t == "", F.array().cast(RUNS)).when(both, mixed(F.when(both, t))).when(latin, whole("en")).when(han, whole("zh")).otherwise(whole(fallback))
@@ -196,7 +204,7 @@ def parts_of_runs(runs: Column) -> Column:
     """What a voice says, (say, lang, o, brk), for an array of runs; brk asks for a short pause."""
 
     def of_run(r: Column) -> Column:
-        return F.transform(clauses(r["t"]), lambda p: F.struct(strip_speech_punctuation(p["t"]).alias("say"), r["lang"].alias("lang"), (r["o"] + p["o"]).alias("o"), p["t"].rlike(rf"[{C.CLAUSE_MARKS}][{C.WS}{_CLOSERS}]*\z").alias("brk")))
+        return F.transform(clauses(r["t"]), lambda p: F.struct(strip_speech_punctuation(p["t"]).alias("say"), r["lang"].alias("lang"), (r["o"] + p["o"]).alias("o"), p["t"].rlike(rf"{MARKED}[{C.WS}{_CLOSERS}]*\z").alias("brk")))
 
     said = F.filter(F.flatten(F.transform(runs, of_run)), lambda p: p["say"] != "")
     return once(said, lambda x: F.transform(x, lambda p, i: F.struct(p["say"].alias("say"), p["lang"].alias("lang"), p["o"].alias("o"), (p["brk"] & (i < F.size(x) - 1)).alias("brk"))))

@@ -50,15 +50,14 @@ def speech_queue(blocks: DataFrame, start: DataFrame | None = None, id_col: str
     none = F.array().cast(f"array<{_ITEM}>")
 
     def spoken(parts: Column) -> Column:
-        # sentences after the first one that says something begin with a pause
-        first = F.array_position(F.transform(parts, lambda ps: F.size(ps) > 0), True) - 1
-
-        def of_sentence(ps: Column, i: Column) -> Column:
+        def of_sentence(ps: Column, i: Column, first: Column) -> Column:
             say = lambda p: F.array(F.struct(p["say"].alias("say"), p["lang"].alias("lang"), F.get("os", i).alias("o"), F.lit(None).cast("int").alias("pause_ms")))
             said = F.flatten(F.transform(ps, lambda p: F.concat(say(p), F.when(p["brk"], pause(C.CLAUSE_PAUSE_MS)).otherwise(none))))
-            return F.concat(F.when((first >= 0) & (i > first), pause(C.SENTENCE_PAUSE_MS)).otherwise(none), said)
+            return F.when((first >= 0) & (i > first), F.concat(pause(C.SENTENCE_PAUSE_MS), said)).otherwise(said)
 
-        return F.concat(F.flatten(F.transform(parts, of_sentence)), pause(C.BLOCK_PAUSE_MS))
+        # sentences after the first one that says something begin with a pause; it is looked for once a block
+        first = F.array_position(F.transform(parts, lambda ps: F.size(ps) > 0), True) - 1
+        return F.concat(F.flatten(once(first, lambda f: F.transform(parts, lambda ps, i: of_sentence(ps, i, f)))), pause(C.BLOCK_PAUSE_MS))
 
     items = rows.select(id_col, "b", once(F.col("parts"), spoken).alias("items"))
     # places come from the blocks' lengths, not from a sort of all items

@@ -142,3 +142,10 @@ def test_speech_clean_looks_at_most_characters_once(spark):
     runs = ["-" * 60_000, "a" + "- " * 30_000 + "b", " " * 60_000, "字" * 60_000 + "。", "a.b,c:1.5," * 6000]
     assert column(spark, runs, X.strip_speech_punctuation) == ["", "a b", "", "字" * 60_000, ("a b c 1.5 " * 6000).strip()] == [spec.said(t) for t in runs]
     assert against_one_look(spark, X.strip_speech_punctuation) < 12
+
+
+def test_speech_parts_look_at_most_characters_once(spark):
+    parts = lambda c: S.parts_of_runs(F.array(F.struct(c.alias("t"), F.lit("en").alias("lang"), F.lit(0).alias("o"))))
+    assert against_one_look(spark, parts) < 38
+    odd = ["-" * 300 + ",x, " + "." * 300, ",:;，" * 50, "a, b, cd, 漢, 1,5,  ;; ef"]
+    assert [[(s.o, s.t) for s in x] for x in column(spark, odd, S.clauses)] == [spec.clauses(t) for t in odd]
