@@ -60,20 +60,32 @@ def page_counts(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return lines.groupBy(id_col).agg((F.max("page") + 1).alias("n_pages"))
 
 
-def strip_running_heads(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """`lines` without page numbers, and without first and last lines that most pages share."""
+def strip_running_heads(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", bare: str | None = None) -> DataFrame:
+    """`lines` without page numbers, and without first and last lines that most pages share.
+
+    bare: a column to add; of a document that would lose all its lines one stays, and is marked there.
+    """
     page = Window.partitionBy(id_col, "page")
     if pages is None:
         counted = lines.withColumn("n_pages", F.max("page").over(Window.partitionBy(id_col)) + 1)
     else:
         counted = lines.join(pages.select(id_col, "n_pages"), id_col)
-    marked = counted.withColumns({"__key": head_key(trim(F.col("t"))), "__first": F.row_number().over(page.orderBy("i")) == 1, "__last": F.row_number().over(page.orderBy(F.col("i").desc())) == 1})
+    marked = counted.withColumns({"__first": F.row_number().over(page.orderBy("i")) == 1, "__last": F.row_number().over(page.orderBy(F.col("i").desc())) == 1})
+    # lines inside a page are never compared, so they need no key
+    marked = marked.withColumn("__key", F.when(F.col("__first") | F.col("__last"), head_key(trim(F.col("t")))))
     same = Window.partitionBy(id_col, "__key")
     need = F.greatest(F.lit(HEAD_LEAST), F.ceil(F.col("n_pages") * HEAD_SHARE))
     often = lambda flag: (F.col("n_pages") >= HEAD_PAGES) & (F.col("__key") != "") & F.col(flag) & (F.count_if(F.col(flag)).over(same) >= need)
     # a line that went as a head is no foot any more, and what then comes last on its page is its last line
     cut = marked.withColumns({"__head": often("__first"), "__foot": often("__last")})
-    return cut.where(~F.col("__head") & ~F.col("__foot") & ~F.col("t").rlike(PAGE_NUMBER)).select(*lines.columns)
+    stays = ~F.col("__head") & ~F.col("__foot") & ~F.col("t").rlike(PAGE_NUMBER)
+    if bare is None:
+        return cut.where(stays).select(*lines.columns)
+    doc = Window.partitionBy(id_col)
+    cut = cut.withColumn("__stays", F.coalesce(stays, F.lit(False)))
+    # the first of its lines in the order of the window before, whichever that is: only the document counts
+    cut = cut.withColumns({bare: ~F.max("__stays").over(doc), "__one": F.row_number().over(doc.orderBy("__key")) == 1})
+    return cut.where(F.col("__stays") | (F.col(bare) & F.col("__one"))).select(*lines.columns, bare)
 
 
 def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -99,21 +111,26 @@ def ended_blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("block", F.sum(F.col("new").cast("int")).over(order) - 1).select(*lines.columns, "heading", "new", "block")
 
 
-def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
+def lines_to_blocks(lines: DataFrame, id_col: str = "doc_id", pages: DataFrame | None = None, bare: str | None = None) -> DataFrame:
     """Lines to blocks (id, b, k, t); hyphens at line ends go, CJK lines join without a space.
 
-    pages: documents (id), of which those without lines get a block that says so.
+    pages: documents (id), of which those without lines get a block that says so; so do
+    those whose one line is marked in the column `bare`.
     """
     rows = ended_blocks(lines, id_col)
     within = Window.partitionBy(id_col, "block").orderBy("page", "i")
     after = F.lead("t").over(within)
     wide = f"[{C.CJK_WIDE}]"
-    hyphen = F.col("t").rlike(r"[-\x{2010}\x{00AD}]$") & after.rlike("^[A-Za-z]")
-    tight = F.col("t").rlike(f"{wide}$") | after.rlike(f"^{wide}") | F.col("t").rlike(f"[{C.WS}]$")
+    # one character, and a line end of two at most
+    tail = F.right(F.col("t"), F.lit(3))
+    hyphen = tail.rlike(r"[-\x{2010}\x{00AD}]$") & after.rlike("^[A-Za-z]")
+    tight = tail.rlike(f"{wide}$") | after.rlike(f"^{wide}") | tail.rlike(f"[{C.WS}]$")
     piece = F.when(after.isNull(), F.col("t")).when(hyphen, F.expr("left(t, char_length(t) - 1)")).when(tight, F.col("t")).otherwise(F.concat("t", F.lit(" ")))
-    pieces = rows.select(id_col, "block", "heading", F.struct("page", "i", piece.alias("s")).alias("x"))
-    blocks = pieces.groupBy(id_col, "block").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("heading").alias("head"))
-    blocks = blocks.select(id_col, F.col("block").cast("int").alias("b"), F.when(F.col("head"), "h").otherwise("p").alias("k"), trim(F.array_join(F.transform("xs", lambda x: x["s"]), "")).alias("t"))
+    none = F.lit(False) if bare is None else F.col(bare)
+    pieces = rows.select(id_col, "block", (F.col("heading") & ~none).alias("heading"), none.alias("__none"), F.struct("page", "i", piece.alias("s")).alias("x"))
+    blocks = pieces.groupBy(id_col, "block").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("heading").alias("head"), F.max("__none").alias("none"))
+    text = F.when(F.col("none"), C.EMPTY_PAGES).otherwise(trim(F.array_join(F.transform("xs", lambda x: x["s"]), "")))
+    blocks = blocks.select(id_col, F.col("block").cast("int").alias("b"), F.when(F.col("head"), "h").otherwise("p").alias("k"), text.alias("t"))
     if pages is None:
         return blocks
     empty = pages.select(id_col).distinct().join(lines.select(id_col).distinct(), id_col, "left_anti")
@@ -144,10 +161,13 @@ def page_documents(lines: DataFrame, outline: DataFrame, id_col: str = "doc_id")
     Documents with too little text for their pages are scanned and have no blocks; chapters
     come from the outline where there is a usable one, else from headings.
     """
-    tested = scan_test(lines, id_col=id_col)
-    read = lines.join(tested.where("NOT scanned").select(id_col), id_col, "left_semi")
-    clean, pages = strip_running_heads(read, id_col=id_col), page_counts(read, id_col)
-    blocks, starts = lines_to_blocks(clean, id_col, pages), page_starts(clean, pages, id_col)
+    tested, doc = scan_test(lines, id_col=id_col), Window.partitionBy(id_col)
+    counted = lines.withColumns({"__pages": F.max("page").over(doc) + 1, "__chars": F.coalesce(F.sum(F.char_length("t")).over(doc), F.lit(0))})
+    read = counted.where(F.col(id_col).isNotNull() & ~too_little(F.col("__pages"), F.col("__chars"))).select(*lines.columns)
+    clean, pages = strip_running_heads(read, id_col=id_col), tested.where("NOT scanned").select(id_col, "n_pages")
+    # documents without a line left go along in the one pass over all lines
+    blocks = lines_to_blocks(strip_running_heads(read, id_col=id_col, bare="__bare"), id_col, bare="__bare")
+    starts = page_starts(clean, pages, id_col)
     n_blocks = blocks.groupBy(id_col).agg(F.count("*").cast("int").alias("n_blocks"))
     outlined = with_sizes(outline_chapters(entries=outline, starts=starts.select(id_col, "starts"), n_blocks=n_blocks, id_col=id_col), blocks, id_col)
     headed = heading_chapters(blocks.join(outlined.select(id_col).distinct(), id_col, "left_anti"), id_col)
@@ -157,27 +177,43 @@ def page_documents(lines: DataFrame, outline: DataFrame, id_col: str = "doc_id")
 
 def scan_test(lines: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, n_pages, n_chars, scanned): too little text for its pages."""
-    pages = page_counts(lines, id_col) if pages is None else pages
-    chars = lines.groupBy(id_col).agg(F.sum(F.char_length("t")).alias("n_chars"))
-    j = pages.join(chars, id_col, "left").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
-    return j.select(id_col, "n_pages", "n_chars", ((F.col("n_pages") <= 0) | (F.col("n_chars") < SCANNED_BELOW * F.col("n_pages"))).alias("scanned"))
+    chars = F.sum(F.char_length("t")).alias("n_chars")
+    if pages is None:
+        j = lines.groupBy(id_col).agg((F.max("page") + 1).alias("n_pages"), chars)
+    else:
+        j = pages.join(lines.groupBy(id_col).agg(chars), id_col, "left")
+    n_chars = F.coalesce("n_chars", F.lit(0))
+    return j.select(id_col, "n_pages", n_chars.alias("n_chars"), too_little(F.col("n_pages"), n_chars).alias("scanned"))
 
 
-def flat_outline(outline: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Entries (id, seq, title, page, children: array<struct<title,page>>) of two levels in reading order, unresolved ones gone."""
+def too_little(n_pages: Column, n_chars: Column) -> Column:
+    return (n_pages <= 0) | (n_chars < SCANNED_BELOW * n_pages)
+
+
+def flat_entries(outline: DataFrame, id_col: str = "doc_id", *further: Column | str) -> DataFrame:
+    """flat_outline() with (seq, sub) as seq, and with further columns of the outline's rows: no window, so that what is asked of these is asked before rows are sorted."""
     entry = lambda e: F.struct(e["title"].cast("string").alias("title"), e["page"].cast("int").alias("page"))
     below = F.transform("children", entry)
     both = F.concat(F.array(F.struct("title", F.col("page").cast("int").alias("page"))), F.coalesce(below, F.array().cast("array<struct<title:string,page:int>>")))
-    rows = outline.select(id_col, "seq", F.posexplode(both).alias("sub", "e")).select(id_col, "seq", "sub", "e.title", "e.page").where("page IS NOT NULL")
-    return rows.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("seq", "sub")) - 1).alias("seq"), "title", "page")
+    rows = outline.select(id_col, "seq", *further, F.posexplode(both).alias("sub", "e"))
+    return rows.select(id_col, F.struct("seq", "sub").alias("seq"), "e.title", "e.page", *further).where("page IS NOT NULL")
+
+
+def flat_outline(outline: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Entries (id, seq, title, page, children: array<struct<title,page>>) of two levels in reading order, unresolved ones gone."""
+    return flat_entries(outline, id_col).select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("seq")) - 1).alias("seq"), "title", "page")
 
 
 def outline_chapters(entries: DataFrame, starts: DataFrame, n_blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, end, title): outline entries (id, seq, title, page from 1) as chapters over blocks."""
+    return chapters_of_entries(entries.where("coalesce(title, '') <> ''").join(starts, id_col).join(n_blocks.select(id_col, "n_blocks"), id_col), id_col)
+
+
+def chapters_of_entries(entries: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """outline_chapters() of entries that carry their document's `starts` and `n_blocks`."""
     doc = Window.partitionBy(id_col)
-    rows = entries.where("coalesce(title, '') <> ''").join(starts, id_col).join(n_blocks.select(id_col, "n_blocks"), id_col)
     page = F.greatest(F.lit(1), F.least(F.size("starts"), F.coalesce(F.nullif("page", F.lit(0)), F.lit(1))))
-    rows = rows.withColumn("start", F.get("starts", page - 1)).where("start IS NOT NULL")
+    rows = entries.where("coalesce(title, '') <> ''").select(id_col, "seq", "title", "n_blocks", F.get("starts", page - 1).alias("start")).where("start IS NOT NULL")
     rows = rows.withColumn("__prev", F.lag("start").over(doc.orderBy("seq"))).where("__prev IS NULL OR __prev <> start")
     rows = rows.select(id_col, "seq", trim(F.col("title")).alias("title"), "start", "n_blocks")
     order = doc.orderBy("start", "seq")

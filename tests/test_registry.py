@@ -57,3 +57,9 @@ def test_package_is_shipped_where_workers_lack_it(spark, tmp_path, monkeypatch):
     shipping.ship(spark)
     shipping.ship(spark)
     assert len(sent) == 1
+
+
+@pytest.mark.parametrize("name", ["outline_units", "page_document_blocks"])
+def test_lines_are_laid_out_once(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
